@@ -1,0 +1,50 @@
+"""Scans whose input paths are themselves the result of a query.
+
+A Spark scan is planned from a list of paths on the driver. Paths found by a job (manifests named in manifest lists) have
+to come back to the driver for that. To keep this list bounded, long ones are scanned in hashed slices that are
+written to the shared checkpoint folder one after another; the driver never holds more than one slice of paths.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+MAX_PATHS = 50_000
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder for cut lineage."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("more paths than one scan takes: set spark.checkpoint.dir to a folder all executors share")
+    return folder.rstrip("/")
+
+
+def scan_paths(
+    paths: DataFrame,
+    column: str,
+    scan: Callable[[SparkSession, Sequence[str]], DataFrame],
+    empty: str,
+    max_paths: int = MAX_PATHS,
+) -> DataFrame:
+    """``scan(spark, list of paths)`` over the distinct paths in ``column``; ``empty`` is the schema for no path."""
+    spark = paths.sparkSession
+    distinct = paths.select(F.col(column).alias("path")).where("path IS NOT NULL").distinct()
+    head = [r.path for r in distinct.limit(max_paths + 1).collect()]
+    if not head:
+        return spark.createDataFrame([], empty)
+    if len(head) <= max_paths:
+        return scan(spark, sorted(head))
+
+    # Slices of half the limit on average, so that an uneven hash stays below it.
+    slices = -(-2 * distinct.count() // max_paths)
+    target = f"{work_dir(spark)}/scan-{uuid.uuid4()}"
+    sliced = distinct.withColumn("slice", F.pmod(F.xxhash64("path"), F.lit(slices)))
+    for i in range(slices):
+        part = [r.path for r in sliced.where(F.col("slice") == i).select("path").collect()]
+        if part:
+            scan(spark, sorted(part)).write.mode("overwrite").parquet(f"{target}/slice={i}")
+    return spark.read.parquet(target).drop("slice")
