@@ -136,7 +136,7 @@ def partition_size_describe(metrics: DataFrame) -> DataFrame:
     )
     counts = sizes.groupBy("table_name", "mb").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("slice", F.floor(F.col("mb") / _SLICE_MB))
-    ranked = running_totals(counts, ["table_name"], ["slice"], ["mb"], {"n": "upto"})
+    ranked = running_totals(counts, ["table_name"], ["slice"], "mb", {"n": "upto"})
 
     # A value covers the 0-based ranks [upto - n, upto).
     placed = ranked.join(moments.select("table_name", "count"), "table_name")

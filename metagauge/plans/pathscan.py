@@ -12,15 +12,9 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-MAX_PATHS = 50_000
-
+from .lineage import shared_folder
 
-def work_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for cut lineage."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise ValueError("more paths than one scan takes: set spark.checkpoint.dir to a folder all executors share")
-    return folder.rstrip("/")
+MAX_PATHS = 50_000
 
 
 def scan_paths(
@@ -41,7 +35,7 @@ def scan_paths(
 
     # Slices of half the limit on average, so that an uneven hash stays below it.
     slices = -(-2 * distinct.count() // max_paths)
-    target = f"{work_dir(spark)}/scan-{uuid.uuid4()}"
+    target = f"{shared_folder(spark)}/scan-{uuid.uuid4()}"
     sliced = distinct.withColumn("slice", F.pmod(F.xxhash64("path"), F.lit(slices)))
     for i in range(slices):
         part = [r.path for r in sliced.where(F.col("slice") == i).select("path").collect()]

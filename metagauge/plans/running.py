@@ -17,19 +17,22 @@ def running_totals(
     rows: DataFrame,
     group: Sequence[str],
     buckets: Sequence[str],
-    order: Sequence[str],
+    order: str,
     sums: dict[str, str],
     previous: dict[str, str] | None = None,
 ) -> DataFrame:
-    """``rows`` with running sums, and values of the preceding row, along ``order`` inside each ``group``.
+    """``rows`` with running sums, and values of the preceding row, inside each ``group``.
 
-    ``buckets`` are columns from coarse to fine whose tuple never decreases along ``order``. ``sums`` maps a numeric
-    column to its running sum (the row itself included), ``previous`` maps a column to its value in the row before.
-    These columns hold no NULL, and ``order`` is total inside a group.
+    Rows are ordered by ``buckets``, columns from coarse to fine, and inside an innermost bucket by the column ``order``,
+    which has no duplicates there. ``sums`` maps a numeric column to its running sum (the row itself included),
+    ``previous`` maps a column to its value in the row before. These columns hold no NULL.
+
+    ``rows`` should have no columns but these, since all of them are shuffled. Several passes read them: store rows that
+    are expensive to derive first (:func:`metagauge.plans.lineage.stored`).
     """
     previous = previous or {}
     if not buckets:
-        w = Window.partitionBy(*group).orderBy(*order)
+        w = Window.partitionBy(*group).orderBy(order)
         upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return rows.select(
             "*",
@@ -42,12 +45,13 @@ def running_totals(
     last = {c: f"__last{depth}_{c}" for c in previous}
     keys = [*group, *buckets]
 
-    inside = running_totals(rows, keys, (), order, sums, previous)
-    per_bucket = rows.groupBy(*keys).agg(
+    shared = rows.repartition(*keys)
+    inside = running_totals(shared, keys, (), order, sums, previous)
+    per_bucket = shared.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in sums],
-        *[F.max_by(F.col(c), F.struct(*order)).alias(c) for c in previous],
+        *[F.max_by(c, order).alias(c) for c in previous],
     )
-    accumulated = running_totals(per_bucket, group, buckets[:-1], buckets, total, last)
+    accumulated = running_totals(per_bucket, group, buckets[:-1], buckets[-1], total, last)
     before = accumulated.select(
         *keys,
         *[(F.col(t) - F.col(c)).alias(t) for c, t in total.items()],

@@ -44,6 +44,13 @@ def avro_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     )
 
 
+def _parsed(records: DataFrame, schema: str) -> DataFrame:
+    """Records as the columns of ``schema``, by source path. Generated, so that each record is parsed once however many
+    expressions read it."""
+    record = F.array(F.from_json("record", schema))
+    return records.select(normal_path("source_path").alias("__path"), F.inline(record))
+
+
 def manifest_files(snapshots: DataFrame) -> DataFrame:
     """Manifests of the given snapshots: those in their manifest lists, or named in the metadata itself (early format)."""
     lists = snapshots.where("manifest_list IS NOT NULL").select(
@@ -51,14 +58,14 @@ def manifest_files(snapshots: DataFrame) -> DataFrame:
     )
     records = scan_paths(snapshots, "manifest_list", avro_records, RECORD_SCHEMA)
     listed = (
-        records.select(normal_path("source_path").alias("__path"), F.from_json("record", MANIFEST_LIST_SCHEMA).alias("m"))
+        _parsed(records, MANIFEST_LIST_SCHEMA)
         .join(lists, "__path")
         .select(
             "table_name",
             "snapshot_id",
-            "m.manifest_path",
-            F.coalesce("m.partition_spec_id", F.lit(0)).alias("spec_id"),
-            F.coalesce("m.added_snapshot_id", "snapshot_id").alias("added_snapshot_id"),
+            "manifest_path",
+            F.coalesce("partition_spec_id", F.lit(0)).alias("spec_id"),
+            F.coalesce("added_snapshot_id", "snapshot_id").alias("added_snapshot_id"),
         )
     )
     if "manifests" not in snapshots.columns:
@@ -117,7 +124,7 @@ def parse_entries(records: DataFrame, manifests: DataFrame) -> DataFrame:
     ``kinds``. Entries without a snapshot id inherit the manifest's; the early format has no ``content`` and knows data
     files only.
     """
-    e = records.select(normal_path("source_path").alias("__path"), F.from_json("record", ENTRY_SCHEMA).alias("e"))
+    e = _parsed(records, ENTRY_SCHEMA)
     named = manifests.select(
         "table_name",
         "spec_id",
@@ -128,22 +135,21 @@ def parse_entries(records: DataFrame, manifests: DataFrame) -> DataFrame:
     )
     joined = e.join(named, "__path")
     kinds = F.col("kinds")
-    # Taken apart and put together again: a map function would keep its own null handling for every value.
     shown = F.transform_values(
-        "e.data_file.partition", lambda k, v: _value_text(v, F.coalesce(F.try_element_at(kinds, k), F.lit("")))
+        "data_file.partition", lambda k, v: _value_text(v, F.coalesce(F.try_element_at(kinds, k), F.lit("")))
     )
     partition = F.coalesce(shown, F.create_map().cast("map<string,string>"))
     return joined.select(
         "table_name",
-        F.coalesce("e.snapshot_id", "added_snapshot_id").alias("snapshot_id"),
-        "e.status",
-        F.coalesce("e.data_file.content", F.lit(0)).alias("content"),
-        "e.data_file.file_path",
-        "e.data_file.file_format",
+        F.coalesce("snapshot_id", "added_snapshot_id").alias("snapshot_id"),
+        "status",
+        F.coalesce("data_file.content", F.lit(0)).alias("content"),
+        "data_file.file_path",
+        "data_file.file_format",
         "spec_id",
         partition.alias("partition"),
-        "e.data_file.record_count",
-        "e.data_file.file_size_in_bytes",
+        "data_file.record_count",
+        "data_file.file_size_in_bytes",
         "manifest_path",
     )
 

@@ -42,7 +42,10 @@ def parse_documents(documents: DataFrame, table_name: Column | None = None) -> D
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     parsed = F.from_json("document", METADATA_SCHEMA + ", `_corrupt` STRING", options)
     name = table_name if table_name is not None else table_name_of("metadata_location")
-    m = documents.select(name.alias("table_name"), "metadata_location", "document", parsed.alias("m"))
+    # A generated column: the optimizer would copy a plain parser call into every expression that reads its result.
+    m = documents.select(
+        name.alias("table_name"), "metadata_location", "document", F.explode(F.array(parsed)).alias("m")
+    )
     # Text that is JSON but no table (say, an empty object) names no location.
     broken = F.col("m").isNull() | F.col("m._corrupt").isNotNull() | F.col("m.location").isNull()
     return m.select(

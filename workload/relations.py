@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from metagauge.plans.lineage import stored
 from metagauge.plans.running import running_totals
 from metagauge.schemas import CHANGE_COLUMNS, CHANGE_KEYS, STATUS_DELETED, TOTAL_COLUMNS, TOTAL_KEYS
 
@@ -29,7 +30,8 @@ def _table(key: str) -> Column:
 
 
 def _cents() -> Column:
-    return F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint"))
+    # Prices have two decimals: nothing lies halfway, so the cheap rounding is the right one.
+    return F.sum(F.rint(F.col("l_extendedprice") * 100).cast("bigint"))
 
 
 def _month(date: str) -> Column:
@@ -39,7 +41,8 @@ def _month(date: str) -> Column:
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest entries: one per order key and line number, partitioned by line status and ship month."""
     lines = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.min("l_linestatus").alias("part_status"),
+        # A line status is one character. The smallest number aggregates by hash, the smallest text by sorting.
+        F.char(F.min(F.ascii("l_linestatus"))).alias("part_status"),
         F.min(_month("l_shipdate")).cast("int").alias("part_month"),
         F.sum("l_quantity").cast("bigint").alias("record_count"),
         _cents().alias("file_size_in_bytes"),
@@ -65,27 +68,28 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each order changes."""
-    line, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    """What each order changes.
 
-    def lines(condition: Column) -> Column:
-        return F.count_if(condition).cast("bigint")
-
-    return (
+    Months are counted by grouping them first: both steps combine before they shuffle, so an order of any size is fine.
+    """
+    line, flag, quantity = F.col("l_linenumber"), F.col("l_returnflag"), F.col("l_quantity")
+    months = (
         _read(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey")
+        .groupBy("l_orderkey", _month("l_shipdate").alias("month"))
         .agg(
-            lines(line <= 5).alias("added_data_files"),
-            lines(flag == "R").alias("deleted_data_files"),
-            lines(line >= 6).alias("added_delete_files"),
-            lines((line >= 6) & (flag == "A")).alias("removed_delete_files"),
-            F.sum("l_quantity").cast("bigint").alias("added_records"),
-            F.sum(F.when(flag == "R", F.col("l_quantity"))).cast("bigint").alias("deleted_records"),
-            # At most as many months as the shipping period has.
-            F.size(F.collect_set(_month("l_shipdate"))).cast("bigint").alias("changed_partition_count"),
+            F.count_if(line <= 5).alias("added_data_files"),
+            F.count_if(flag == "R").alias("deleted_data_files"),
+            F.count_if(line >= 6).alias("added_delete_files"),
+            F.count_if((line >= 6) & (flag == "A")).alias("removed_delete_files"),
+            F.sum(quantity).cast("bigint").alias("added_records"),
+            F.sum(F.when(flag == "R", quantity)).cast("bigint").alias("deleted_records"),
             _cents().alias("bytes"),
         )
     )
+    sums = [c for c in months.columns if c not in ("l_orderkey", "month")]
+    return months.groupBy("l_orderkey").agg(
+        *[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("changed_partition_count")
+    )
 
 
 def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +109,8 @@ def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("metadata/snap-"), F.col("o_orderkey"), F.lit(".avro")).alias("manifest_list"),
     )
     changes = order_changes(spark, sf_dir).withColumnRenamed("l_orderkey", "snapshot_id")
-    return orders.join(changes, "snapshot_id", "left")
+    # Both sides grow alike, so neither is broadcast; the changes are already partitioned by the key.
+    return orders.join(changes.hint("merge"), "snapshot_id", "left")
 
 
 def _summary(keys: tuple[str, ...], columns: tuple[str, ...]) -> Column:
@@ -124,31 +129,37 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _commits(spark, sf_dir).select(*SNAPSHOT_COLUMNS, _summary(CHANGE_KEYS, CHANGE_COLUMNS))
 
 
-def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshots with parents, and with running totals in their summaries."""
-    metrics = _commits(spark, sf_dir)
-    rows = metrics.withColumns(
-        {
-            "known": F.col("bytes").isNotNull().cast("bigint"),
-            "data": F.coalesce("added_data_files", F.lit(0)),
-            "deletes": F.coalesce("added_delete_files", F.lit(0)),
-            "size": F.coalesce(F.col("bytes") * 100, F.lit(0)),
-            "id_slice": F.floor(F.col("snapshot_id") / _ID_SLICE),
-        }
+def _running(commits_: DataFrame) -> DataFrame:
+    """Parent and running totals of each snapshot."""
+    slim = commits_.select(
+        "table_name",
+        "committed_at",
+        F.floor(F.col("snapshot_id") / _ID_SLICE).alias("id_slice"),
+        "snapshot_id",
+        F.col("bytes").isNotNull().cast("bigint").alias("known"),
+        F.coalesce("added_data_files", F.lit(0)).alias("data"),
+        F.coalesce("added_delete_files", F.lit(0)).alias("deletes"),
+        F.coalesce(F.col("bytes") * 100, F.lit(0)).alias("size"),
     )
+    sources = ("all_data", "all_deletes", "all_size")
     running = running_totals(
-        rows,
+        slim,
         ["table_name"],
         ["committed_at", "id_slice"],
-        ["committed_at", "snapshot_id"],
-        {"known": "known_upto", "data": "all_data", "deletes": "all_deletes", "size": "all_size"},
+        "snapshot_id",
+        {"known": "known_upto", **dict(zip(("data", "deletes", "size"), sources))},
         {"snapshot_id": "parent_id"},
     )
-    totals = {
-        name: F.when(F.col("known_upto") > 0, F.col(source))
-        for name, source in zip(TOTAL_COLUMNS, ("all_data", "all_deletes", "all_size"))
-    }
-    return running.withColumns(totals).select(
+    # Unknown until some snapshot of the table has metrics.
+    totals = [F.when(F.col("known_upto") > 0, F.col(c)).alias(n) for n, c in zip(TOTAL_COLUMNS, sources)]
+    return running.select("snapshot_id", "parent_id", *totals)
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots with parents, and with running totals in their summaries."""
+    # Read by each pass of the running totals and by the final join.
+    changes = stored(_commits(spark, sf_dir))
+    return changes.join(_running(changes).hint("merge"), "snapshot_id").select(
         *SNAPSHOT_COLUMNS,
         "parent_id",
         _summary(CHANGE_KEYS + TOTAL_KEYS, CHANGE_COLUMNS + TOTAL_COLUMNS),
@@ -158,9 +169,11 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current snapshot per table, and one table without any."""
     orders = _read(spark, sf_dir, "orders")
-    current = orders.groupBy(_table("o_custkey").alias("table_name")).agg(
-        F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("current_snapshot_id")
+    # First the last id of each day, which aggregates by hash, then the last day.
+    days = orders.groupBy(_table("o_custkey").alias("table_name"), "o_orderdate").agg(
+        F.max("o_orderkey").alias("snapshot_id")
     )
+    current = days.groupBy("table_name").agg(F.max_by("snapshot_id", "o_orderdate").alias("current_snapshot_id"))
     empty = spark.range(1).select(F.lit("t_empty"), F.lit(None).cast("bigint"))
     return current.union(empty)
 
