@@ -176,8 +176,12 @@ def _value_text(value: Column, dtype: T.DataType) -> Column:
     return F.coalesce(text, F.lit("None"))
 
 
+def _is_field_list(dtype: T.DataType) -> bool:
+    return isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType)
+
+
 def partition_label(df: DataFrame, partition: str = "partition") -> Column:
-    """``k=v, k2=v2`` for a struct or a map, the text itself for anything else."""
+    """``k=v, k2=v2`` for a struct or a list of (name, value) fields, the text itself for anything else."""
     dtype = df.schema[partition].dataType
     col = F.col(partition)
     if isinstance(dtype, T.StructType):
@@ -187,14 +191,11 @@ def partition_label(df: DataFrame, partition: str = "partition") -> Column:
             F.concat(F.lit(f"{f.name}="), _value_text(col.getField(f.name), f.dataType)) for f in dtype.fields
         ]
         return F.concat_ws(", ", *parts)
-    if isinstance(dtype, T.MapType):
+    if _is_field_list(dtype):
         pairs = F.transform(
-            F.map_entries(col),
-            lambda e: F.concat(e["key"], F.lit("="), _value_text(e["value"], dtype.valueType)),
-        )
-        return F.when(F.coalesce(F.size(col), F.lit(0)) == 0, F.lit(UNPARTITIONED)).otherwise(
-            F.concat_ws(", ", pairs)
+            col, lambda e: F.concat(e["name"], F.lit("="), F.coalesce(e["value"], F.lit("None")))
         )
+        return F.when(F.size(col) > 0, F.concat_ws(", ", pairs)).otherwise(F.lit(UNPARTITIONED))
     return F.coalesce(col.cast("string"), F.lit(UNPARTITIONED))
 
 
@@ -203,14 +204,15 @@ def partition_columns(
 ) -> list[Column]:
     """The partition tuple as columns, one per field.
 
-    A struct brings its field names. A map has none at planning time, so ``names`` gives the fields of the table's
-    partition spec; without them, and for every other type, the tuple stays one text column.
+    A struct brings its field names. A list of fields has none at planning time, so ``names`` gives the fields of the
+    table's partition spec; without them, and for every other type, the tuple stays one text column.
     """
     dtype = df.schema[partition].dataType
     if isinstance(dtype, T.StructType) and dtype.fields:
         return [F.col(partition).getField(f.name).alias(prefix + f.name) for f in dtype.fields]
-    if isinstance(dtype, T.MapType) and names:
-        return [F.try_element_at(F.col(partition), F.lit(n)).alias(prefix + n) for n in names]
+    if _is_field_list(dtype) and names:
+        values = F.map_from_entries(partition)
+        return [F.try_element_at(values, F.lit(n)).alias(prefix + n) for n in names]
     return [partition_label(df, partition).alias("partition")]
 
 

@@ -135,10 +135,15 @@ def parse_entries(records: DataFrame, manifests: DataFrame) -> DataFrame:
     )
     joined = e.join(named, "__path")
     kinds = F.col("kinds")
-    shown = F.transform_values(
-        "data_file.partition", lambda k, v: _value_text(v, F.coalesce(F.try_element_at(kinds, k), F.lit("")))
+    # A list of fields rather than a map: grouping by a map would sort its keys, and the order of the spec would be lost.
+    shown = F.transform(
+        F.map_entries("data_file.partition"),
+        lambda f: F.struct(
+            f["key"].alias("name"),
+            _value_text(f["value"], F.coalesce(F.try_element_at(kinds, f["key"]), F.lit(""))).alias("value"),
+        ),
     )
-    partition = F.coalesce(shown, F.create_map().cast("map<string,string>"))
+    partition = F.coalesce(shown, F.array().cast("array<struct<name:string,value:string>>"))
     return joined.select(
         "table_name",
         F.coalesce("snapshot_id", "added_snapshot_id").alias("snapshot_id"),

@@ -49,7 +49,7 @@ def parse_documents(documents: DataFrame, table_name: Column | None = None) -> D
     # Text that is JSON but no table (say, an empty object) names no location.
     broken = F.col("m").isNull() | F.col("m._corrupt").isNotNull() | F.col("m.location").isNull()
     return m.select(
-        "table_name", "metadata_location", "m", F.when(broken, F.col("document")).alias("error")
+        "table_name", "metadata_location", "m", F.when(broken, F.coalesce("document", F.lit(""))).alias("error")
     )
 
 

@@ -2,20 +2,90 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..plans.lineage import stored
+
+_LEVEL_SCHEMA = "file_path STRING, is_folder BOOLEAN, length BIGINT, modified TIMESTAMP"
+
 
 def storage_listing(spark: SparkSession, location: str, table_name: str | None = None) -> DataFrame:
-    """All files below ``location`` with length and modification time; contents are never read.
+    """All files below ``location`` with length and modification time.
+
+    Folders are listed by tasks, one level of the tree per job, and each level is written to the shared folder, so the
+    driver never holds the listing. Empty files and names starting with ``_`` or ``.`` are included, which a Spark file
+    scan leaves out; failed writes often leave just those. Any DataFrame with a ``file_path`` column, say a storage
+    inventory, can stand in for this.
+    """
+    tasks = spark.sparkContext.defaultParallelism
+    folders = spark.createDataFrame([(location.rstrip("/"),)], "folder STRING")
+    files = None
+    while True:
+        level = stored(folders.repartition(tasks, "folder").mapInArrow(_folder_lister(), _LEVEL_SCHEMA))
+        found = level.where("NOT is_folder").drop("is_folder")
+        files = found if files is None else files.unionByName(found)
+        folders = level.where("is_folder").select(F.col("file_path").alias("folder"))
+        if folders.isEmpty():
+            break
+    return files.select(_name(table_name), "file_path", "length", "modified")
+
 
-    Spark lists folders in parallel and keeps the listing with its file index. Names that start with ``_`` or ``.`` are
-    not listed. For locations too large to list, any DataFrame with a ``file_path`` column (a storage inventory) does.
+def indexed_listing(spark: SparkSession, location: str, table_name: str | None = None) -> DataFrame:
+    """The same through Spark's file index, for file systems that only Hadoop's configuration can open.
+
+    The index stays on the driver, and empty and hidden files are left out. Contents are never read.
     """
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(location)
-    name = F.lit(table_name) if table_name else F.lit(None).cast("string")
     return listing.select(
-        name.alias("table_name"),
-        F.col("path").alias("file_path"),
-        "length",
-        F.col("modificationTime").alias("modified"),
+        _name(table_name), F.col("path").alias("file_path"), "length", F.col("modificationTime").alias("modified")
     )
+
+
+def _name(table_name: str | None):
+    return (F.lit(table_name) if table_name else F.lit(None).cast("string")).alias("table_name")
+
+
+def _folder_lister():
+    # Nested, so that it travels to the tasks by value.
+    def list_folders(batches: Iterator) -> Iterator:
+        import re
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        rows_per_batch = 10_000
+        schema = pa.schema(
+            [
+                ("file_path", pa.string()),
+                ("is_folder", pa.bool_()),
+                ("length", pa.int64()),
+                ("modified", pa.timestamp("us", "UTC")),
+            ]
+        )
+
+        def resolve(folder: str):
+            uri = re.fullmatch(r"(\w+)://([^/]*)/?(.*)", folder)
+            if uri is None or uri[1] == "file":
+                return fs.LocalFileSystem(), re.sub(r"^file:/+", "/", folder)
+            scheme = "s3" if uri[1] in ("s3a", "s3n") else uri[1]
+            filesystem, base = fs.FileSystem.from_uri(f"{scheme}://{uri[2]}")
+            return filesystem, f"{base.rstrip('/')}/{uri[3]}"
+
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                filesystem, path = resolve(folder)
+                infos = filesystem.get_file_info(fs.FileSelector(path))
+                for start in range(0, len(infos), rows_per_batch):
+                    part = infos[start : start + rows_per_batch]
+                    columns = [
+                        [f"{folder}/{i.base_name}" for i in part],
+                        [i.type == fs.FileType.Directory for i in part],
+                        [i.size for i in part],
+                        [None if i.mtime_ns is None else i.mtime_ns // 1000 for i in part],
+                    ]
+                    arrays = [pa.array(c, t) for c, t in zip(columns, schema.types)]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    return list_folders

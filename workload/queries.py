@@ -118,7 +118,7 @@ def _(spark, sf_dir):
     names = ("part_status", "part_month")
     return live.select(
         *[c for c in live.columns if c not in ("partition", "manifest_path")],
-        *[F.try_element_at("partition", F.lit(n)).alias(n) for n in names],
+        *[F.try_element_at(F.map_from_entries("partition"), F.lit(n)).alias(n) for n in names],
     )
 
 
