@@ -225,6 +225,15 @@ def normal_path(path: Column | str) -> Column:
     ``file:/a`` and ``file:///a`` become ``/a``; ``s3a`` and ``s3n`` become ``s3``; an HDFS authority is dropped, since
     one name node has several spellings. Nothing is URL-decoded: names in manifests and listings are raw.
     """
-    p = F.regexp_replace(_col(path), r"^file:/+", "/")
-    p = F.regexp_replace(p, r"^s3[an]://", "s3://")
-    return F.regexp_replace(p, r"^(hdfs|viewfs)://[^/]*/", "/")
+    p = _col(path)
+    rest = F.lit(2**31 - 1)
+
+    def after(prefix: str) -> Column:
+        return F.substring(p, F.lit(len(prefix) + 1), rest)
+
+    return (
+        F.when(p.startswith("file:/"), F.concat(F.lit("/"), F.ltrim(after("file:/"), F.lit("/"))))
+        .when(p.startswith("s3a://") | p.startswith("s3n://"), F.concat(F.lit("s3://"), after("s3x://")))
+        .when(p.startswith("hdfs://") | p.startswith("viewfs://"), F.regexp_replace(p, r"^\w+://[^/]*/", "/"))
+        .otherwise(p)
+    )

@@ -155,7 +155,10 @@ def partition_size_describe(metrics: DataFrame) -> DataFrame:
     for name, q in QUANTILES.items():
         position = (F.col("count") - 1) * F.lit(q)
         low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
-        columns.append((low + (high - low) * (position - F.floor(position))).alias(name))
+        part = position - F.floor(position)
+        # From the nearer neighbour, so that the last digit is the same as numpy's.
+        upper = high - (high - low) * (1 - part)
+        columns.append(F.when(part < 0.5, low + (high - low) * part).otherwise(upper).alias(name))
     return result.select("table_name", "count", "mean", "std", "min", *columns, "max")
 
 

@@ -1,0 +1,168 @@
+"""Column expressions against Python's own arithmetic and formatting."""
+
+from __future__ import annotations
+
+import datetime as dt
+import math
+import random
+
+import pytest
+from pyspark.errors import NumberFormatException
+from pyspark.sql import functions as F
+
+from metagauge import functions as fn
+from metagauge.schemas import CHANGE_KEYS
+
+
+def values(spark, items, kind, expression):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(items)], f"i INT, v {kind}")
+    return [r[0] for r in df.orderBy("i").select(expression).collect()]
+
+
+SIZES = [0, 1, 131072, 393216, 1023, 1024, 1048575, 1048576, 5_000_000_000, 2**45 + 131072]
+
+
+def test_bytes_to_mb_rounds_ties_to_even(spark):
+    rng = random.Random(1)
+    sizes = SIZES + [rng.randrange(2**42) for _ in range(300)] + [131072 * rng.randrange(10**6) for _ in range(300)]
+    assert values(spark, sizes, "BIGINT", fn.bytes_to_mb("v")) == [round(s / 1048576, 2) for s in sizes]
+
+
+def test_texts_round_like_python(spark):
+    rng = random.Random(2)
+    numbers = [0.125, 0.375, 2.365, 1.005, 2.675, 1234567.125, 0.0, 1e12 + 0.005] + [
+        rng.randrange(10**7) / 1000 for _ in range(500)
+    ]
+    assert values(spark, numbers, "DOUBLE", fn.grouped_text("v", suffix=" MB")) == [f"{v:,.2f} MB" for v in numbers]
+    assert values(spark, numbers, "DOUBLE", fn.fixed_text("v", " MB")) == [f"{v:.2f} MB" for v in numbers]
+    assert values(spark, [0, 1234567], "BIGINT", fn.grouped_text("v", 0)) == ["0", "1,234,567"]
+
+
+def _format_bytes(size):
+    for unit in ("B", "KB", "MB", "GB", "TB"):
+        if size < 1024:
+            return f"{size:.2f} {unit}"
+        size /= 1024
+    return f"{size:.2f} PB"
+
+
+def test_format_bytes_picks_the_unit(spark):
+    sizes = [0, 1, 1023, 1024, 1536, 1024**2 - 1, 1024**2, 1024**3, 1024**4, 1024**5 - 1, 1024**5, 2**62]
+    assert values(spark, sizes, "BIGINT", fn.format_bytes("v")) == [_format_bytes(s) for s in sizes]
+
+
+def test_iso_time_shows_a_fraction_only_if_there_is_one(spark):
+    times = [dt.datetime(2024, 5, 1, 2, 3, 4), dt.datetime(2024, 5, 1, 2, 3, 4, 1200), dt.datetime(1999, 12, 31)]
+    assert values(spark, times, "TIMESTAMP", fn.iso_time("v")) == [t.isoformat() for t in times]
+
+
+def test_display_time_of_nothing(spark):
+    assert values(spark, [None, dt.datetime(2024, 5, 1)], "TIMESTAMP", fn.display_time("v")) == [
+        "Unknown",
+        "2024-05-01 00:00:00",
+    ]
+
+
+def test_skew_class_boundaries(spark):
+    cvs = [0.3, 0.30001, 0.5, 0.50001, math.nan, None, 0.0]
+    assert values(spark, cvs, "DOUBLE", fn.skew_class("v")) == [
+        "balanced",
+        "moderate",
+        "moderate",
+        "skewed",
+        "balanced",
+        "balanced",
+        "balanced",
+    ]
+
+
+def test_gauge_band_includes_its_lower_end(spark):
+    assert values(spark, [0.0, 0.2999, 0.3, 0.6999, 0.7, 1.0, 7.0], "DOUBLE", fn.gauge_band("v")) == [
+        "low",
+        "low",
+        "medium",
+        "medium",
+        "high",
+        "high",
+        "high",
+    ]
+
+
+def test_operations_have_a_class_and_a_colour(spark):
+    operations = ["append", "replace", "overwrite", "delete", "rewrite", None]
+    assert values(spark, operations, "STRING", fn.operation_class("v")) == operations[:4] + ["other", "other"]
+    colours = values(spark, operations, "STRING", fn.operation_colour("v"))
+    assert colours == ["#2ca02c", "#d62728", "#ff7f0e", "#9467bd", "#1f77b4", "#1f77b4"]
+
+
+def test_names(spark):
+    assert values(spark, ["a.b.c", "c", "a."], "STRING", fn.short_table_name("v")) == ["c", "c", ""]
+    assert values(spark, ["added_records", "x"], "STRING", fn.title_words("v")) == ["Added Records", "X"]
+    assert values(spark, [0, 1, 2], "INT", fn.file_type("v")) == ["DATA_FILES", "DELETE_FILES", "DELETE_FILES"]
+
+
+def test_mean_rounds_half_to_even(spark):
+    df = spark.createDataFrame([(1, 2), (3, 2), (5, 2), (13, 5)], "total BIGINT, n BIGINT")
+    got = [r[0] for r in df.select(fn.half_even_mean(F.col("total"), F.col("n"))).collect()]
+    assert got == [0, 2, 2, 3]
+
+
+def test_summary_metrics_default_to_zero_and_are_wide(spark):
+    df = spark.createDataFrame([({"added-records": "3000000000"},), ({},)], "summary MAP<STRING,STRING>")
+    rows = df.select(*fn.summary_metrics(["total-files-size"])).collect()
+    assert rows[0].added_records == 3_000_000_000 and rows[0].total_files_size == 0
+    assert all(v == 0 for v in rows[1])
+    assert len(rows[0]) == len(CHANGE_KEYS) + 1
+
+
+def test_malformed_summary_number(spark):
+    df = spark.createDataFrame([({"added-records": "x"},)], "summary MAP<STRING,STRING>")
+    with pytest.raises(NumberFormatException):
+        df.select(fn.summary_metric("added-records")).collect()
+    assert df.select(fn.summary_metric("added-records", strict=False)).collect()[0][0] == 0
+
+
+@pytest.mark.parametrize(
+    "kind, value, label",
+    [
+        ("STRUCT<a: STRING, b: INT>", ("x", 1), "a=x, b=1"),
+        ("STRUCT<a: STRING, b: INT>", (None, None), "a=None, b=None"),
+        ("STRUCT<a: BOOLEAN>", (True,), "a=True"),
+        ("STRUCT<a: DATE>", (dt.date(2024, 1, 2),), "a=2024-01-02"),
+        ("ARRAY<STRUCT<name: STRING, value: STRING>>", [("z", "1"), ("a", None)], "z=1, a=None"),
+        ("ARRAY<STRUCT<name: STRING, value: STRING>>", [], "<unpartitioned>"),
+        ("STRING", "free text", "free text"),
+    ],
+)
+def test_partition_labels(spark, kind, value, label):
+    df = spark.createDataFrame([(value,)], f"partition {kind}")
+    assert df.select(fn.partition_label(df)).collect()[0][0] == label
+
+
+def test_partition_columns_strip_only_the_leading_prefix(spark):
+    df = spark.createDataFrame([(("v",),)], "partition STRUCT<partition_key: STRING>")
+    assert df.select(*fn.partition_columns(df, prefix="")).columns == ["partition_key"]
+    assert df.select(*fn.partition_columns(df)).columns == ["partition_partition_key"]
+
+
+def test_paths_have_one_spelling(spark):
+    paths = [
+        "file:/a/b%20 c",
+        "file:///a/b%20 c",
+        "/a/b%20 c",
+        "s3a://bucket/k",
+        "s3://bucket/k",
+        "hdfs://nn:8020/x",
+        "hdfs:///x",
+        "gs://b/file:/x",
+    ]
+    assert values(spark, paths, "STRING", fn.normal_path("v")) == [
+        "/a/b%20 c",
+        "/a/b%20 c",
+        "/a/b%20 c",
+        "s3://bucket/k",
+        "s3://bucket/k",
+        "/x",
+        "/x",
+        "gs://b/file:/x",
+    ]

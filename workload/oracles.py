@@ -77,9 +77,10 @@ RELATIONS = {
         SELECT table_name, snapshot_id AS current_snapshot_id FROM fx_metrics WHERE age = 1
         UNION ALL SELECT 't_empty', CAST(NULL AS BIGINT)""",
     "fx_storage": """
-        SELECT file_path, file_size_in_bytes FROM fx_entries
+        SELECT table_name, file_path, file_size_in_bytes FROM fx_entries
         UNION ALL
-        SELECT concat('data/stray-', CAST(c_custkey AS VARCHAR), '.parquet'), CAST(c_custkey AS BIGINT)
+        SELECT concat('t', CAST(c_custkey % 20 AS VARCHAR)), concat('data/stray-', CAST(c_custkey AS VARCHAR), '.parquet'),
+               CAST(c_custkey AS BIGINT)
         FROM customer WHERE c_custkey % 10 = 0""",
     "fx_referenced": "SELECT DISTINCT file_path FROM fx_entries WHERE snapshot_id % 13 <> 0",
     "fx_live": """
@@ -160,6 +161,21 @@ _DESCRIBE = f"""
            quantile_cont(mb, 0.25) AS p25, quantile_cont(mb, 0.5) AS p50, quantile_cont(mb, 0.75) AS p75, max(mb) AS max
     FROM (SELECT table_name, {_mb('total_data_file_size')} AS mb FROM fx_partition_metrics) GROUP BY table_name"""
 
+# Quartiles by hand, from the nearer neighbour: as texts they show the last digit.
+_SORTED = f"""
+    SELECT table_name, count(*) AS count, avg(mb) AS mean, stddev_samp(mb) AS std, min(mb) AS min, max(mb) AS max,
+           list(mb ORDER BY mb) AS mbs
+    FROM (SELECT table_name, {_mb('total_data_file_size')} AS mb FROM fx_partition_metrics) GROUP BY table_name"""
+
+
+def _quartile(q: float) -> str:
+    position = f"((count - 1) * CAST({q} AS DOUBLE))"
+    low, high = f"mbs[CAST(floor{position} AS BIGINT) + 1]", f"mbs[CAST(ceil{position} AS BIGINT) + 1]"
+    part = f"({position} - floor{position})"
+    return f"""CASE WHEN {part} < 0.5 THEN {low} + ({high} - {low}) * {part}
+                    ELSE {high} - ({high} - {low}) * (1 - {part}) END"""
+
+
 _BODIES = {
     # sources
     "src_files_live": """
@@ -254,7 +270,8 @@ _BODIES = {
     "partition_size_statistics": f"""
         SELECT table_name, statistic, {_grouped('value')} AS value_mb
         FROM (SELECT table_name, unnest(['count', 'mean', 'std', 'min', '25%', '50%', '75%', 'max']) AS statistic,
-                     unnest([CAST(count AS DOUBLE), mean, std, min, p25, p50, p75, max]) AS value FROM ({_DESCRIBE}))""",
+                     unnest([CAST(count AS DOUBLE), mean, std, min, {_quartile(0.25)}, {_quartile(0.5)},
+                             {_quartile(0.75)}, max]) AS value FROM ({_SORTED}))""",
     "partition_skew_sample": _SKEW_SAMPLE,
     "partition_skew_population": _SKEW_POPULATION,
     "partition_skew_class": f"""
@@ -348,10 +365,7 @@ _BODIES = {
     "orphan_files": """
         SELECT file_path, file_size_in_bytes FROM fx_storage
         WHERE file_path NOT IN (SELECT file_path FROM fx_referenced)""",
-    "format_bytes": f"""
-        SELECT table_name, {_LABEL} AS partition_label, CAST(sum(total_data_file_size) AS BIGINT) AS size_bytes,
-               {_bytes_text('sum(total_data_file_size)')} AS size_text
-        FROM fx_partition_metrics GROUP BY table_name, part_status, part_month""",
+    "format_bytes": f"SELECT file_path, {_bytes_text('file_size_in_bytes')} AS size_text FROM fx_files",
     "health_files_per_partition": f"""
         SELECT table_name, {_LABEL} AS partition_label, CAST(sum(data_file_count) AS BIGINT) AS file_count
         FROM fx_partition_metrics GROUP BY table_name, part_status, part_month""",
@@ -360,18 +374,22 @@ _BODIES = {
                {_bytes_text('sum(total_data_file_size)')} AS size_text
         FROM fx_partition_metrics GROUP BY table_name, part_status, part_month""",
     "health_summary": f"""
-        SELECT 'lake' AS table_name, CAST(sum(size_bytes) AS BIGINT) AS total_size_bytes,
-               {_bytes_text('sum(size_bytes)')} AS total_size_text,
-               CAST(sum(files) AS BIGINT) AS total_files, count(*) AS total_partitions,
-               round(sum(size_bytes) / count(*), 6) AS average_partition_size_bytes,
-               round(CASE WHEN avg(size_bytes) > 0 THEN stddev_pop(size_bytes) / avg(size_bytes) ELSE 0 END, 9)
-                   AS partition_skewness,
-               (SELECT count(*) FROM fx_storage WHERE file_path NOT IN (SELECT file_path FROM fx_referenced))
-                   AS orphan_file_count,
-               (SELECT count(*) FROM fx_expirable) AS expirable_snapshot_count
-        FROM (SELECT count(*) FILTER (WHERE content = 0) AS files,
-                     sum(CASE WHEN content = 0 THEN file_size_in_bytes ELSE 0 END) AS size_bytes
-              FROM fx_files GROUP BY part_status, part_month)""",
+        SELECT t.table_name, coalesce(size_bytes, 0) AS total_size_bytes,
+               {_bytes_text('coalesce(size_bytes, 0)')} AS total_size_text,
+               coalesce(files, 0) AS total_files, coalesce(partitions, 0) AS total_partitions,
+               round(CASE WHEN partitions > 0 THEN size_bytes / partitions ELSE 0 END, 6) AS average_partition_size_bytes,
+               coalesce(skewness, 0) AS partition_skewness, coalesce(orphans, 0) AS orphan_file_count,
+               coalesce(expirable, 0) AS expirable_snapshot_count
+        FROM fx_tables t
+        LEFT JOIN (SELECT table_name, CAST(sum(total_data_file_size) AS BIGINT) AS size_bytes,
+                          CAST(sum(data_file_count) AS BIGINT) AS files, count(*) AS partitions
+                   FROM fx_partition_metrics GROUP BY table_name) p ON p.table_name = t.table_name
+        LEFT JOIN ({_SKEW_POPULATION}) k ON k.table_name = t.table_name
+        LEFT JOIN (SELECT table_name, count(*) AS orphans FROM fx_storage
+                   WHERE file_path NOT IN (SELECT file_path FROM fx_referenced) GROUP BY table_name) o
+               ON o.table_name = t.table_name
+        LEFT JOIN (SELECT table_name, count(*) AS expirable FROM fx_expirable GROUP BY table_name) e
+               ON e.table_name = t.table_name""",
     "table_metrics_report": f"""
         SELECT t.table_name,
                coalesce(added_data_files, 0) AS added_data_files, coalesce(deleted_data_files, 0) AS deleted_data_files,

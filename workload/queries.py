@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from metagauge.functions import bytes_to_mb, short_table_name
+from metagauge.functions import bytes_to_mb, format_bytes, short_table_name
 from metagauge.operators import files as file_ops
 from metagauge.operators import health as health_ops
 from metagauge.operators import orphans as orphan_ops
@@ -134,7 +134,7 @@ def _(spark, sf_dir):
 
 @register("src_storage_listing")
 def _(spark, sf_dir):
-    return rel.storage(spark, sf_dir).withColumnRenamed("file_size_in_bytes", "length")
+    return rel.storage(spark, sf_dir).select("file_path", F.col("file_size_in_bytes").alias("length"))
 
 
 @register("current_snapshot")
@@ -368,12 +368,13 @@ def _(spark, sf_dir):
 
 @register("orphan_files")
 def _(spark, sf_dir):
-    return orphan_ops.orphan_files(rel.storage(spark, sf_dir), rel.all_entries(spark, sf_dir))
+    orphans = orphan_ops.orphan_files(rel.storage(spark, sf_dir), rel.all_entries(spark, sf_dir))
+    return orphans.select("file_path", "file_size_in_bytes")
 
 
 @register("format_bytes")
 def _(spark, sf_dir):
-    return health_ops.partition_sizes(_metrics(spark, sf_dir))
+    return rel.files(spark, sf_dir).select("file_path", format_bytes("file_size_in_bytes").alias("size_text"))
 
 
 @register("health_partition_sizes")
@@ -388,15 +389,11 @@ def _(spark, sf_dir):
 
 @register("health_summary")
 def _(spark, sf_dir):
-    # The listing belongs to one table, so everything counts for one.
-    lake = F.lit("lake")
-    partitions = partition_ops.partition_stats(rel.files(spark, sf_dir).withColumn("table_name", lake))
-    orphans = orphan_ops.orphan_files(rel.storage(spark, sf_dir), rel.all_entries(spark, sf_dir))
     summary = health_ops.health_summary(
-        spark.range(1).select(lake.alias("table_name")),
-        partition_ops.partition_metrics(partitions),
-        orphans.withColumn("table_name", lake),
-        _expirable(spark, sf_dir).withColumn("table_name", lake),
+        rel.tables(spark, sf_dir),
+        _metrics(spark, sf_dir),
+        orphan_ops.orphan_files(rel.storage(spark, sf_dir), rel.all_entries(spark, sf_dir)),
+        _expirable(spark, sf_dir),
     )
     return _rounded(summary, average_partition_size_bytes=6, partition_skewness=9)
 

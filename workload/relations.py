@@ -183,9 +183,10 @@ def storage(spark: SparkSession, sf_dir: str) -> DataFrame:
     strays = _read(spark, sf_dir, "customer").where("c_custkey % 10 = 0")
     return (
         entries(spark, sf_dir)
-        .select("file_path", "file_size_in_bytes")
+        .select("table_name", "file_path", "file_size_in_bytes")
         .union(
             strays.select(
+                _table("c_custkey"),
                 F.concat(F.lit("data/stray-"), F.col("c_custkey"), F.lit(".parquet")),
                 F.col("c_custkey").cast("bigint"),
             )
