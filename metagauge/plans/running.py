@@ -27,7 +27,7 @@ def running_totals(
     which has no duplicates there. ``sums`` maps a numeric column to its running sum (the row itself included),
     ``previous`` maps a column to its value in the row before. These columns hold no NULL.
 
-    ``rows`` should have no columns but these, since all of them are shuffled. Several passes read them: store rows that
+    ``rows`` are read once per bucket level and once more, all but one time for the named columns only: store rows that
     are expensive to derive first (:func:`metagauge.plans.lineage.stored`).
     """
     previous = previous or {}
@@ -45,9 +45,8 @@ def running_totals(
     last = {c: f"__last{depth}_{c}" for c in previous}
     keys = [*group, *buckets]
 
-    shared = rows.repartition(*keys)
-    inside = running_totals(shared, keys, (), order, sums, previous)
-    per_bucket = shared.groupBy(*keys).agg(
+    inside = running_totals(rows, keys, (), order, sums, previous)
+    per_bucket = rows.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in sums],
         *[F.max_by(c, order).alias(c) for c in previous],
     )
@@ -57,7 +56,8 @@ def running_totals(
         *[(F.col(t) - F.col(c)).alias(t) for c, t in total.items()],
         *[F.col(v) for v in last.values()],
     )
-    return inside.join(before, keys).select(
+    # The window leaves the rows partitioned and sorted by the keys; a merge join takes them as they are.
+    return inside.join(before.hint("merge"), keys).select(
         *rows.columns,
         *[(F.col(out) + F.col(total[c])).alias(out) for c, out in sums.items()],
         *[F.coalesce(F.col(out), F.col(last[c])).alias(out) for c, out in previous.items()],

@@ -129,37 +129,31 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _commits(spark, sf_dir).select(*SNAPSHOT_COLUMNS, _summary(CHANGE_KEYS, CHANGE_COLUMNS))
 
 
-def _running(commits_: DataFrame) -> DataFrame:
-    """Parent and running totals of each snapshot."""
-    slim = commits_.select(
-        "table_name",
-        "committed_at",
-        F.floor(F.col("snapshot_id") / _ID_SLICE).alias("id_slice"),
-        "snapshot_id",
-        F.col("bytes").isNotNull().cast("bigint").alias("known"),
-        F.coalesce("added_data_files", F.lit(0)).alias("data"),
-        F.coalesce("added_delete_files", F.lit(0)).alias("deletes"),
-        F.coalesce(F.col("bytes") * 100, F.lit(0)).alias("size"),
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots with parents, and with running totals in their summaries."""
+    rows = stored(_commits(spark, sf_dir)).withColumns(
+        {
+            "id_slice": F.floor(F.col("snapshot_id") / _ID_SLICE),
+            "known": F.col("bytes").isNotNull().cast("bigint"),
+            "data": F.coalesce("added_data_files", F.lit(0)),
+            "deletes": F.coalesce("added_delete_files", F.lit(0)),
+            "size": F.coalesce(F.col("bytes") * 100, F.lit(0)),
+        }
     )
-    sources = ("all_data", "all_deletes", "all_size")
     running = running_totals(
-        slim,
+        rows,
         ["table_name"],
         ["committed_at", "id_slice"],
         "snapshot_id",
-        {"known": "known_upto", **dict(zip(("data", "deletes", "size"), sources))},
+        {"known": "known_upto", "data": "all_data", "deletes": "all_deletes", "size": "all_size"},
         {"snapshot_id": "parent_id"},
     )
     # Unknown until some snapshot of the table has metrics.
-    totals = [F.when(F.col("known_upto") > 0, F.col(c)).alias(n) for n, c in zip(TOTAL_COLUMNS, sources)]
-    return running.select("snapshot_id", "parent_id", *totals)
-
-
-def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshots with parents, and with running totals in their summaries."""
-    # Read by each pass of the running totals and by the final join.
-    changes = stored(_commits(spark, sf_dir))
-    return changes.join(_running(changes).hint("merge"), "snapshot_id").select(
+    totals = {
+        name: F.when(F.col("known_upto") > 0, F.col(source))
+        for name, source in zip(TOTAL_COLUMNS, ("all_data", "all_deletes", "all_size"))
+    }
+    return running.withColumns(totals).select(
         *SNAPSHOT_COLUMNS,
         "parent_id",
         _summary(CHANGE_KEYS + TOTAL_KEYS, CHANGE_COLUMNS + TOTAL_COLUMNS),
