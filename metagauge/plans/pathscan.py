@@ -2,7 +2,10 @@
 
 A Spark scan is planned from a list of paths on the driver. Paths found by a job (manifests named in manifest lists) have
 to come back to the driver for that. To keep this list bounded, long ones are scanned in hashed slices that are
-written to the shared checkpoint folder one after another; the driver never holds more than one slice of paths.
+written to the shared checkpoint folder one after another; the driver never holds more than one slice.
+
+What is known about each path travels with it as a small DataFrame of at most that many rows. Its size is bounded, so it
+may be broadcast, and the records of a scan need no shuffle to learn where they belong.
 """
 
 from __future__ import annotations
@@ -16,29 +19,32 @@ from .lineage import shared_folder
 
 MAX_PATHS = 50_000
 
+Scan = Callable[[SparkSession, Sequence[str], DataFrame], DataFrame]
+
+
+def scan_paths(rows: DataFrame, column: str, scan: Scan, max_paths: int = MAX_PATHS) -> DataFrame | None:
+    """``scan(spark, paths, rows of these paths)`` over ``rows``, which has one row per path in ``column``.
+
+    None when there is no path at all.
+    """
+    spark, schema = rows.sparkSession, rows.schema
+    found = rows.where(F.col(column).isNotNull())
+
+    def run(part: list) -> DataFrame:
+        return scan(spark, sorted(r[column] for r in part), spark.createDataFrame(part, schema))
 
-def scan_paths(
-    paths: DataFrame,
-    column: str,
-    scan: Callable[[SparkSession, Sequence[str]], DataFrame],
-    empty: str,
-    max_paths: int = MAX_PATHS,
-) -> DataFrame:
-    """``scan(spark, list of paths)`` over the distinct paths in ``column``; ``empty`` is the schema for no path."""
-    spark = paths.sparkSession
-    distinct = paths.select(F.col(column).alias("path")).where("path IS NOT NULL").distinct()
-    head = [r.path for r in distinct.limit(max_paths + 1).collect()]
+    head = found.limit(max_paths + 1).collect()
     if not head:
-        return spark.createDataFrame([], empty)
+        return None
     if len(head) <= max_paths:
-        return scan(spark, sorted(head))
+        return run(head)
 
     # Slices of half the limit on average, so that an uneven hash stays below it.
-    slices = -(-2 * distinct.count() // max_paths)
+    slices = -(-2 * found.count() // max_paths)
     target = f"{shared_folder(spark)}/scan-{uuid.uuid4()}"
-    sliced = distinct.withColumn("slice", F.pmod(F.xxhash64("path"), F.lit(slices)))
+    sliced = found.withColumn("__slice", F.pmod(F.xxhash64(column), F.lit(slices)))
     for i in range(slices):
-        part = [r.path for r in sliced.where(F.col("slice") == i).select("path").collect()]
+        part = sliced.where(F.col("__slice") == i).drop("__slice").collect()
         if part:
-            scan(spark, sorted(part)).write.mode("overwrite").parquet(f"{target}/slice={i}")
+            run(part).write.parquet(f"{target}/slice={i}")
     return spark.read.parquet(target).drop("slice")

@@ -43,7 +43,8 @@ def newest_metadata(paths: DataFrame) -> DataFrame:
 def warehouse_documents(spark: SparkSession, warehouse: str, database: str = "*", table: str = "*") -> DataFrame:
     """Newest document of each matching table; older versions are never opened."""
     newest = newest_metadata(list_metadata(spark, warehouse, database, table))
-    return scan_paths(newest, "metadata_location", read_documents, DOCUMENT_SCHEMA)
+    documents = scan_paths(newest, "metadata_location", lambda s, paths, _: read_documents(s, paths))
+    return spark.createDataFrame([], DOCUMENT_SCHEMA) if documents is None else documents
 
 
 def list_databases(inventory: DataFrame) -> DataFrame:

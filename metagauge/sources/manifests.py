@@ -16,7 +16,11 @@ from ..functions import normal_path
 from ..plans.pathscan import scan_paths
 from ..schemas import ENTRY_SCHEMA, MANIFEST_LIST_SCHEMA, STATUS_DELETED
 
-RECORD_SCHEMA = "source_path STRING, record STRING"
+ENTRIES_SCHEMA = (
+    "table_name STRING, snapshot_id BIGINT, status INT, content INT, file_path STRING, file_format STRING, "
+    "spec_id INT, partition ARRAY<STRUCT<name: STRING, value: STRING>>, record_count BIGINT, "
+    "file_size_in_bytes BIGINT, manifest_path STRING"
+)
 _INPUT_DIR = "mapreduce.input.fileinputformat.inputdir"
 
 
@@ -51,23 +55,34 @@ def _parsed(records: DataFrame, schema: str) -> DataFrame:
     return records.select(normal_path("source_path").alias("__path"), F.inline(record))
 
 
+MANIFEST_SCHEMA = (
+    "table_name STRING, snapshot_id BIGINT, manifest_path STRING, spec_id INT, added_snapshot_id BIGINT"
+)
+
+
 def manifest_files(snapshots: DataFrame) -> DataFrame:
     """Manifests of the given snapshots: those in their manifest lists, or named in the metadata itself (early format)."""
-    lists = snapshots.where("manifest_list IS NOT NULL").select(
-        "table_name", "snapshot_id", normal_path("manifest_list").alias("__path")
+    lists = snapshots.where("manifest_list IS NOT NULL").groupBy("manifest_list").agg(
+        F.min("table_name").alias("table_name"), F.min("snapshot_id").alias("snapshot_id")
     )
-    records = scan_paths(snapshots, "manifest_list", avro_records, RECORD_SCHEMA)
-    listed = (
-        _parsed(records, MANIFEST_LIST_SCHEMA)
-        .join(lists, "__path")
-        .select(
-            "table_name",
-            "snapshot_id",
-            "manifest_path",
-            F.coalesce("partition_spec_id", F.lit(0)).alias("spec_id"),
-            F.coalesce("added_snapshot_id", "snapshot_id").alias("added_snapshot_id"),
+
+    def read(spark: SparkSession, paths: Sequence[str], known: DataFrame) -> DataFrame:
+        owners = known.select("table_name", F.col("snapshot_id").alias("owner"), normal_path("manifest_list").alias("__path"))
+        return (
+            _parsed(avro_records(spark, paths), MANIFEST_LIST_SCHEMA)
+            .join(F.broadcast(owners), "__path")
+            .select(
+                "table_name",
+                F.col("owner").alias("snapshot_id"),
+                "manifest_path",
+                F.coalesce("partition_spec_id", F.lit(0)).alias("spec_id"),
+                F.coalesce("added_snapshot_id", "owner").alias("added_snapshot_id"),
+            )
         )
-    )
+
+    listed = scan_paths(lists, "manifest_list", read)
+    if listed is None:
+        listed = snapshots.sparkSession.createDataFrame([], MANIFEST_SCHEMA)
     if "manifests" not in snapshots.columns:
         return listed
     embedded = snapshots.where("manifest_list IS NULL").select(
@@ -161,12 +176,18 @@ def parse_entries(records: DataFrame, manifests: DataFrame) -> DataFrame:
 
 def read_entries(manifest_rows: DataFrame, tables: DataFrame) -> DataFrame:
     """Entries of all given manifests; a manifest shared by many snapshots is read once."""
-    distinct = manifest_rows.groupBy("table_name", "manifest_path").agg(
-        F.min("spec_id").alias("spec_id"), F.min("added_snapshot_id").alias("added_snapshot_id")
+    distinct = manifest_rows.groupBy("manifest_path").agg(
+        F.min("table_name").alias("table_name"),
+        F.min("spec_id").alias("spec_id"),
+        F.min("added_snapshot_id").alias("added_snapshot_id"),
     )
     with_kinds = distinct.join(spec_kinds(tables), ["table_name", "spec_id"], "left")
-    records = scan_paths(distinct, "manifest_path", avro_records, RECORD_SCHEMA)
-    return parse_entries(records, with_kinds)
+
+    def read(spark: SparkSession, paths: Sequence[str], known: DataFrame) -> DataFrame:
+        return parse_entries(avro_records(spark, paths), F.broadcast(known))
+
+    entries = scan_paths(with_kinds, "manifest_path", read)
+    return manifest_rows.sparkSession.createDataFrame([], ENTRIES_SCHEMA) if entries is None else entries
 
 
 def live_files(entries: DataFrame) -> DataFrame:

@@ -215,14 +215,29 @@ def test_a_source_is_needed(spark):
 
 def test_long_path_lists_are_scanned_in_slices(spark, trees):
     newest = catalog.newest_metadata(catalog.list_metadata(spark, str(trees)))
-    whole = pathscan.scan_paths(newest, "metadata_location", metadata.read_documents, metadata.DOCUMENT_SCHEMA)
-    sliced = pathscan.scan_paths(
-        newest, "metadata_location", metadata.read_documents, metadata.DOCUMENT_SCHEMA, max_paths=3
-    )
+    scan = lambda s, paths, known: metadata.read_documents(s, paths)
+    whole = pathscan.scan_paths(newest, "metadata_location", scan)
+    sliced = pathscan.scan_paths(newest, "metadata_location", scan, max_paths=3)
+    assert pathscan.scan_paths(newest.limit(0), "metadata_location", scan) is None
     assert sliced.columns == whole.columns
     assert rows(sliced, "metadata_location") == rows(whole, "metadata_location")
 
 
+def test_entries_in_slices_equal_entries_at_once(spark, trees, fleet, monkeypatch):
+    def entries():
+        return rows(manifests.read_entries(manifests.manifest_files(fleet.snapshots), fleet.tables), "*")
+
+    whole = entries()
+    scan = pathscan.scan_paths
+    monkeypatch.setattr(manifests, "scan_paths", lambda r, c, s: scan(r, c, s, max_paths=2))
+    assert entries() == whole and len(whole) > 10
+
+
+def test_entries_are_not_shuffled_before_they_are_combined(mor):
+    plan = mor.files._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_no_path_gives_an_empty_relation(spark, trees):
     empty = TableAnalyzer(spark, f"{trees}/sales/empty/metadata/v1.metadata.json")
     assert empty.files.count() == 0
