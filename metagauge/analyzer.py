@@ -5,13 +5,14 @@ from __future__ import annotations
 import datetime as dt
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators import files as file_ops
 from .operators import health as health_ops
 from .operators import orphans as orphan_ops
 from .operators import partitions as partition_ops
 from .operators import snapshots as snapshot_ops
+from .plans.lineage import stored
 from .plans.report import TableReport, table_report
 from .sources import catalog, manifests, metadata, storage
 
@@ -19,8 +20,9 @@ from .sources import catalog, manifests, metadata, storage
 class TableAnalyzer:
     """Lazy relations and operators over the tables named by some metadata documents.
 
-    A metadata path (or glob) wins over a name; a name is looked up in a warehouse folder. ``strict=False`` counts
-    malformed summary numbers as 0, for fleets in which one bad table must not fail the rest.
+    A metadata path (or glob) wins over a name; a name is looked up in a warehouse folder. ``strict=False`` is for fleets
+    in which one bad table must not fail the rest: tables with a missing manifest are left out and listed in ``errors``,
+    and malformed summary numbers count as 0.
     """
 
     def __init__(
@@ -52,15 +54,17 @@ class TableAnalyzer:
 
     @cached_property
     def tables(self) -> DataFrame:
-        return metadata.tables(self._parsed)
+        return self._readable(metadata.tables(self._parsed))
 
     @cached_property
     def errors(self) -> DataFrame:
-        return metadata.fleet_errors(self._parsed)
+        """Tables that could not be read, with the document or the missing file."""
+        broken = metadata.fleet_errors(self._parsed)
+        return broken if self._lost is None else broken.unionByName(self._lost)
 
     @cached_property
     def snapshots(self) -> DataFrame:
-        return metadata.snapshots(self._parsed)
+        return self._readable(metadata.snapshots(self._parsed))
 
     @cached_property
     def files(self) -> DataFrame:
@@ -74,6 +78,26 @@ class TableAnalyzer:
         """Entries of every manifest that any snapshot reaches."""
         return manifests.read_entries(manifests.manifest_files(self.snapshots), self.tables)
 
+    @cached_property
+    def _lost(self) -> DataFrame | None:
+        """Manifest lists and manifests that are not there, by table; not looked for in strict mode."""
+        if self.strict:
+            return None
+        documents = metadata.tables(self._parsed).select("table_name", "metadata_location")
+        snapshots = metadata.snapshots(self._parsed)
+        lists = storage.missing_files(snapshots.select("table_name", "manifest_list"), "manifest_list")
+        whole = snapshots.join(lists.select("table_name").distinct(), "table_name", "left_anti")
+        found = manifests.manifest_files(whole).select("table_name", "manifest_path").distinct()
+        lost = storage.missing_files(found, "manifest_path").select("table_name", F.col("manifest_path").alias("path"))
+        paths = lists.select("table_name", F.col("manifest_list").alias("path")).unionByName(lost)
+        error = F.concat(F.lit("missing file: "), "path").alias("error")
+        return stored(paths.join(documents, "table_name").select("table_name", "metadata_location", error))
+
+    def _readable(self, relation: DataFrame) -> DataFrame:
+        if self._lost is None:
+            return relation
+        return relation.join(self._lost.select("table_name").distinct(), "table_name", "left_anti")
+
     @cached_property
     def partitions(self) -> DataFrame:
         return partition_ops.partition_stats(self.files)

@@ -47,11 +47,37 @@ def _name(table_name: str | None):
     return (F.lit(table_name) if table_name else F.lit(None).cast("string")).alias("table_name")
 
 
-def _folder_lister():
-    # Nested, so that it travels to the tasks by value.
-    def list_folders(batches: Iterator) -> Iterator:
+def missing_files(rows: DataFrame, column: str) -> DataFrame:
+    """The rows whose file in ``column`` is not there. Tasks ask for each path; the driver sees none."""
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    paths = rows.select(F.col(column).alias("path")).where("path IS NOT NULL").distinct()
+    lost = paths.repartition(tasks, "path").mapInArrow(_absent_path_finder(), "path STRING")
+    return rows.join(lost.withColumnRenamed("path", column), column, "left_semi")
+
+
+# The functions below travel to the tasks by value, with everything they use nested inside.
+
+
+def _resolver():
+    def resolve(location: str):
         import re
 
+        from pyarrow import fs
+
+        uri = re.fullmatch(r"(\w+)://([^/]*)/?(.*)", location)
+        if uri is None or uri[1] == "file":
+            return fs.LocalFileSystem(), re.sub(r"^file:/+", "/", location)
+        scheme = "s3" if uri[1] in ("s3a", "s3n") else uri[1]
+        filesystem, base = fs.FileSystem.from_uri(f"{scheme}://{uri[2]}")
+        return filesystem, f"{base.rstrip('/')}/{uri[3]}"
+
+    return resolve
+
+
+def _folder_lister():
+    resolve = _resolver()
+
+    def list_folders(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyarrow import fs
 
@@ -64,15 +90,6 @@ def _folder_lister():
                 ("modified", pa.timestamp("us", "UTC")),
             ]
         )
-
-        def resolve(folder: str):
-            uri = re.fullmatch(r"(\w+)://([^/]*)/?(.*)", folder)
-            if uri is None or uri[1] == "file":
-                return fs.LocalFileSystem(), re.sub(r"^file:/+", "/", folder)
-            scheme = "s3" if uri[1] in ("s3a", "s3n") else uri[1]
-            filesystem, base = fs.FileSystem.from_uri(f"{scheme}://{uri[2]}")
-            return filesystem, f"{base.rstrip('/')}/{uri[3]}"
-
         for batch in batches:
             for folder in batch.column(0).to_pylist():
                 filesystem, path = resolve(folder)
@@ -89,3 +106,21 @@ def _folder_lister():
                     yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return list_folders
+
+
+def _absent_path_finder():
+    resolve = _resolver()
+
+    def find_absent(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            absent = []
+            for location in batch.column(0).to_pylist():
+                filesystem, path = resolve(location)
+                if filesystem.get_file_info(path).type == fs.FileType.NotFound:
+                    absent.append(location)
+            yield pa.RecordBatch.from_arrays([pa.array(absent, pa.string())], names=["path"])
+
+    return find_absent

@@ -83,6 +83,24 @@ def test_broken_document_is_reported_and_fails_no_other(fleet):
     assert rows(fleet.errors, "table_name") == [("ops.broken",)]
 
 
+def test_missing_manifests_leave_out_their_table_only(spark, tmp_path):
+    from tests.trees import COLUMNS, Tree
+
+    for name in ("whole", "no_list", "no_manifest"):
+        t = Tree(spark, tmp_path, "db", name, 2, [{"spec-id": 0, "fields": []}], COLUMNS)
+        t.snapshot(1, 1000, "append", [t.manifest(1, [], [{"path": "data/a.parquet"}])])
+        t.metadata(1)
+    (tmp_path / "db/no_list/metadata/snap-1.avro").unlink()
+    (tmp_path / "db/no_manifest/metadata/00000-m0.avro").unlink()
+
+    fleet = TableAnalyzer(spark, warehouse=str(tmp_path), database="db", strict=False)
+    assert rows(fleet.live_table_metrics(), "table_name", "total_data_files") == [("db.whole", 1)]
+    errors = {r.table_name: r.error.rsplit("/", 1)[1] for r in fleet.errors.collect()}
+    assert errors == {"db.no_list": "snap-1.avro", "db.no_manifest": "00000-m0.avro"}
+    with pytest.raises(Exception, match="(?i)input path does not exist"):
+        TableAnalyzer(spark, warehouse=str(tmp_path), database="db").live_table_metrics().collect()
+
+
 def test_partition_values_are_written_by_their_transform(fleet):
     got = fleet.partitions.where("table_name <> 'ops.big_numbers'")
     assert rows(got, "table_name", "spec_id", partition_label(got)) == [
