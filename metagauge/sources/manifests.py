@@ -37,6 +37,8 @@ def avro_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     input_format = loader.loadClass("org.apache.avro.mapred.AvroAsTextInputFormat")
     conf = jvm.org.apache.hadoop.mapred.JobConf(jsc.hadoopConfiguration())
     conf.set(_INPUT_DIR, ",".join(_input_path(p) for p in paths))
+    # Each path is looked up while the scan is planned.
+    conf.setInt("mapreduce.input.fileinputformat.list-status.num-threads", 16)
     # Snapshot and manifest names are taken as given, with or without the usual suffix.
     conf.setBoolean("avro.mapred.ignore.inputs.without.extension", False)
     records = jsc.hadoopRDD(conf, input_format, text, text, 1).keys()

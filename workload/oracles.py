@@ -59,7 +59,7 @@ RELATIONS = {
         FROM orders LEFT JOIN fx_order_changes ON l_orderkey = o_orderkey
         WINDOW w AS (PARTITION BY o_custkey % 20 ORDER BY o_orderdate, o_orderkey)""",
     "fx_metrics": """
-        SELECT table_name, snapshot_id, committed_at, parent_id, operation,
+        SELECT table_name, snapshot_id, committed_at, parent_id, operation, added_data_files IS NULL AS no_metrics,
                coalesce(added_data_files, 0) AS added_data_files,
                coalesce(deleted_data_files, 0) AS deleted_data_files,
                coalesce(added_delete_files, 0) AS added_delete_files,
@@ -81,8 +81,8 @@ RELATIONS = {
         UNION ALL
         SELECT concat('t', CAST(c_custkey % 20 AS VARCHAR)), concat('data/stray-', CAST(c_custkey AS VARCHAR), '.parquet'),
                CAST(c_custkey AS BIGINT)
-        FROM customer WHERE c_custkey % 10 = 0""",
-    "fx_referenced": "SELECT DISTINCT file_path FROM fx_entries WHERE snapshot_id % 13 <> 0",
+        FROM customer""",
+    "fx_referenced": "SELECT DISTINCT file_path FROM fx_entries WHERE part_month >= 199503",
     "fx_live": """
         SELECT table_name,
                count(*) FILTER (WHERE content = 0) AS total_data_files,
@@ -185,18 +185,18 @@ _BODIES = {
                concat(substr(CAST(part_month AS VARCHAR), 1, 4), '-', substr(CAST(part_month AS VARCHAR), 5, 2))
                    AS part_month,
                record_count, file_size_in_bytes
-        FROM (SELECT f.* REPLACE (CASE WHEN snapshot_id % 5 = 0 THEN current_snapshot_id ELSE snapshot_id END
+        FROM (SELECT f.* REPLACE (CASE WHEN content <> 0 THEN current_snapshot_id ELSE snapshot_id END
                                   AS snapshot_id)
               FROM fx_files f JOIN fx_tables USING (table_name))""",
     "src_snapshots": f"""
         SELECT table_name, snapshot_id, parent_id, committed_at, epoch_ms(committed_at) AS timestamp_ms, operation,
                manifest_list, {_CHANGES}
         FROM (SELECT m.* REPLACE (CAST(NULL AS BIGINT) AS parent_id), s.manifest_list
-              FROM fx_metrics m JOIN fx_snapshots s USING (snapshot_id)) WHERE snapshot_id % 101 <> 0""",
+              FROM fx_metrics m JOIN fx_snapshots s USING (snapshot_id)) WHERE NOT no_metrics""",
     "src_metadata_json": f"""
         SELECT table_name, {_DOCUMENT} AS metadata_location, concat('uuid-', table_name) AS table_uuid,
                {_LOCATION} AS location, 2 AS format_version, snapshot_id AS current_snapshot_id
-        FROM fx_metrics WHERE snapshot_id % 101 <> 0""",
+        FROM fx_metrics WHERE NOT no_metrics""",
     "src_catalog_load": f"""
         SELECT {_DATABASE} AS database, table_name AS name, max(snapshot_id) AS version,
                concat('/lake/', {_DATABASE}, '/', table_name, '/metadata/v', CAST(max(snapshot_id) AS VARCHAR),
@@ -205,9 +205,9 @@ _BODIES = {
     "catalog_inventory": f"""
         SELECT {_DATABASE} AS database, table_name AS name, {_LOCATION} AS location, operation AS owner,
                'part_month' AS partition_keys, 'id long, shipped date' AS schema
-        FROM fx_metrics WHERE snapshot_id % 101 <> 0""",
+        FROM fx_metrics WHERE NOT no_metrics""",
     "fleet_errors": f"""
-        SELECT table_name, {_DOCUMENT} AS metadata_location FROM fx_metrics WHERE snapshot_id % 101 = 0""",
+        SELECT table_name, {_DOCUMENT} AS metadata_location FROM fx_metrics WHERE no_metrics""",
     "src_partitions": "SELECT * FROM fx_partitions",
     "src_referenced_files": "SELECT file_path FROM fx_referenced",
     "src_storage_listing": "SELECT file_path, file_size_in_bytes AS length FROM fx_storage",

@@ -173,8 +173,8 @@ def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def storage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A listing: every entry's file, and stray ones."""
-    strays = _read(spark, sf_dir, "customer").where("c_custkey % 10 = 0")
+    """A listing: every entry's file, and a stray one per customer."""
+    strays = _read(spark, sf_dir, "customer")
     return (
         entries(spark, sf_dir)
         .select("table_name", "file_path", "file_size_in_bytes")
@@ -189,17 +189,17 @@ def storage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of the snapshots that are still known; some listed files are left out."""
-    return entries(spark, sf_dir).where("snapshot_id % 13 <> 0")
+    """Entries of all snapshots that still exist: those of the first two months have expired, and left their files."""
+    return entries(spark, sf_dir).where(F.col("partition.part_month") >= 199503)
 
 
 # -- documents and manifest records ------------------------------------------------------------------------------------
 
-BROKEN_EVERY = 101
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata documents: one version of a table per order, with that order's snapshot. Some are cut off."""
+    """Metadata documents: one version of a table per order, with that order's snapshot.
+
+    Those of orders without lines are cut off in the middle.
+    """
     c = commits(spark, sf_dir)
     database = F.concat(F.lit("db"), (F.substring("table_name", 2, 9).cast("int") % 4).cast("string"))
     location = F.concat(F.lit("/lake/"), database, F.lit("/"), F.col("table_name"))
@@ -238,7 +238,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             "metadata_location"
         ),
         document.alias("document"),
-        (F.col("snapshot_id") % BROKEN_EVERY == 0).alias("broken"),
+        (F.size("summary") == 0).alias("broken"),
     ).select("metadata_location", F.when(F.col("broken"), cut_off).otherwise(F.col("document")).alias("document"))
 
 
@@ -248,13 +248,16 @@ def metadata_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries as the JSON text that a manifest scan yields, one manifest per table; months count from 1970."""
+    """Entries as the JSON text that a manifest scan yields, one manifest per table; months count from 1970.
+
+    Entries of delete files leave out the snapshot id, those of data files the content.
+    """
     month = (F.col("partition.part_month").cast("int") - 197000)
     since_1970 = F.floor(month / 100) * 12 + month % 100 - 1
     record = F.to_json(
         F.struct(
             "status",
-            F.when(F.col("snapshot_id") % 5 != 0, F.col("snapshot_id")).alias("snapshot_id"),
+            F.when(F.col("content") == 0, F.col("snapshot_id")).alias("snapshot_id"),
             F.struct(
                 F.when(F.col("content") != 0, F.col("content")).alias("content"),
                 "file_path",
