@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import file_type, half_even_mean, megabytes
+from ..functions import file_type, fixed_text, grouped_text, half_even_mean, megabytes
 from ..plans.file_stats import as_stats, file_stats
 from ..schemas import CONTENT_DATA, CONTENT_EQUALITY_DELETES, CONTENT_POSITION_DELETES
 
@@ -63,6 +63,19 @@ def live_size_mb(live: DataFrame) -> DataFrame:
     )
 
 
+def live_display(live: DataFrame) -> DataFrame:
+    """The live metrics as shown: sizes as MB texts, records with grouped digits."""
+    return live.select(
+        "table_name",
+        "total_data_files",
+        "total_delete_files",
+        fixed_text(megabytes("total_files_size"), " MB").alias("total_files_size"),
+        fixed_text(megabytes("data_file_size"), " MB").alias("data_file_size"),
+        fixed_text(megabytes("delete_file_size"), " MB").alias("delete_file_size"),
+        grouped_text("record_count", 0).alias("record_count"),
+    )
+
+
 def live_file_share(live: DataFrame) -> DataFrame:
     """Data and delete files as rows, with their share of both; no share where a table has neither."""
     both = F.col("total_data_files") + F.col("total_delete_files")
@@ -99,6 +112,20 @@ def file_metrics(files: DataFrame) -> DataFrame:
     )
 
 
+def file_metrics_display(metrics: DataFrame) -> DataFrame:
+    """The file metrics as shown."""
+    counts = ("file_count", "max_record_count", "min_record_count")
+    sizes = ("avg_file_size", "max_file_size", "min_file_size")
+    return metrics.select(
+        "table_name",
+        "content",
+        "file_type",
+        *[grouped_text(c, 0).alias(c) for c in counts],
+        grouped_text("avg_record_count").alias("avg_record_count"),
+        *[fixed_text(megabytes(c), " MB").alias(c) for c in sizes],
+    )
+
+
 def file_type_comparison(metrics: DataFrame) -> DataFrame:
     """File types side by side, for tables that have more than one. A table has at most three rows here."""
     types = F.count(F.lit(1)).over(Window.partitionBy("table_name"))

@@ -241,10 +241,10 @@ def partition_distribution(partitions: DataFrame) -> DataFrame:
 def partition_file_histogram(metrics: DataFrame, bins: int = 20) -> DataFrame:
     """Partitions per equal-width bin of their data file count; the last bin includes its upper end.
 
-    Equal counts are added up first, so the join with each table's range sees one row per distinct count.
+    Equal counts are added up first; each table's range, and the join with it, then see one row per distinct count.
     """
     counts = metrics.groupBy("table_name", "data_file_count").agg(F.count(F.lit(1)).alias("n"))
-    ranges = metrics.groupBy("table_name").agg(
+    ranges = counts.groupBy("table_name").agg(
         F.min("data_file_count").alias("lo"), F.max("data_file_count").alias("hi")
     )
     lo, hi = F.col("lo"), F.col("hi")

@@ -47,6 +47,35 @@ def warehouse_documents(spark: SparkSession, warehouse: str, database: str = "*"
     return spark.createDataFrame([], DOCUMENT_SCHEMA) if documents is None else documents
 
 
+INVENTORY_SCHEMA = (
+    "database STRING, name STRING, location STRING, properties MAP<STRING, STRING>, "
+    "partition_keys ARRAY<STRING>, schema MAP<STRING, STRING>"
+)
+
+
+def session_inventory(spark: SparkSession, database: str) -> DataFrame:
+    """The same inventory for the tables of a database that the session's catalog knows."""
+    rows = []
+    for t in spark.catalog.listTables(database):
+        if t.isTemporary or t.tableType == "VIEW":
+            continue
+        name = ".".join(f"`{part}`" for part in [*([t.catalog] if t.catalog else []), *t.namespace, t.name])
+        details = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+        properties = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+        columns = spark.catalog.listColumns(name)
+        rows.append(
+            (
+                t.namespace[-1],
+                t.name,
+                details.get("Location"),
+                properties,
+                [c.name for c in columns if c.isPartition],
+                {c.name: c.dataType for c in columns},
+            )
+        )
+    return spark.createDataFrame(rows, INVENTORY_SCHEMA)
+
+
 def list_databases(inventory: DataFrame) -> DataFrame:
     return inventory.select("database").distinct()
 

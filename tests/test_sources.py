@@ -219,6 +219,29 @@ def test_catalog_inventory(spark, trees):
     assert location.endswith("/sales/empty")
 
 
+def test_session_inventory(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE stock LOCATION '{tmp_path}'")
+    try:
+        spark.sql(
+            "CREATE TABLE stock.parts (id BIGINT, day DATE) USING parquet PARTITIONED BY (day) "
+            f"TBLPROPERTIES ('team' = 'tests') LOCATION '{tmp_path}/parts'"
+        )
+        spark.sql("CREATE VIEW stock.shown AS SELECT 1 AS x")
+        row = catalog.session_inventory(spark, "stock").collect()
+        assert len(row) == 1
+        got = row[0].asDict()
+        assert got.pop("properties")["team"] == "tests"
+        assert got.pop("location").endswith("/parts")
+        assert got == {
+            "database": "stock",
+            "name": "parts",
+            "partition_keys": ["day"],
+            "schema": {"id": "bigint", "day": "date"},
+        }
+    finally:
+        spark.sql("DROP DATABASE stock CASCADE")
+
+
 def test_names_with_dots_are_split(spark, trees):
     assert catalog.split_name("cat.sales.empty") == ("sales", "empty")
     assert catalog.split_name("empty") == ("default", "empty")

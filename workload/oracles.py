@@ -235,6 +235,20 @@ _BODIES = {
               UNION ALL
               SELECT table_name, 'Delete Files', total_delete_files, total_data_files + total_delete_files FROM fx_live)""",
     "file_metrics": "SELECT * FROM fx_file_metrics",
+    "live_display": f"""
+        SELECT table_name, total_data_files, total_delete_files,
+               printf('%.2f MB', total_files_size / {MB}) AS total_files_size,
+               printf('%.2f MB', data_file_size / {MB}) AS data_file_size,
+               printf('%.2f MB', delete_file_size / {MB}) AS delete_file_size,
+               format('{{:,}}', record_count) AS record_count FROM fx_live""",
+    "file_metrics_display": f"""
+        SELECT table_name, content, file_type, format('{{:,}}', file_count) AS file_count,
+               format('{{:,}}', max_record_count) AS max_record_count,
+               format('{{:,}}', min_record_count) AS min_record_count,
+               {_grouped('avg_record_count')} AS avg_record_count,
+               printf('%.2f MB', avg_file_size / {MB}) AS avg_file_size,
+               printf('%.2f MB', max_file_size / {MB}) AS max_file_size,
+               printf('%.2f MB', min_file_size / {MB}) AS min_file_size FROM fx_file_metrics""",
     "file_type_comparison": f"""
         SELECT table_name, content, file_type, file_count, avg_record_count, avg_file_size / {MB} AS avg_file_size_mb
         FROM fx_file_metrics QUALIFY count(*) OVER (PARTITION BY table_name) > 1""",

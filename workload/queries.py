@@ -173,6 +173,16 @@ def _(spark, sf_dir):
     return file_ops.file_metrics(rel.files(spark, sf_dir))
 
 
+@register("live_display")
+def _(spark, sf_dir):
+    return file_ops.live_display(_live(spark, sf_dir))
+
+
+@register("file_metrics_display")
+def _(spark, sf_dir):
+    return file_ops.file_metrics_display(file_ops.file_metrics(rel.files(spark, sf_dir)))
+
+
 @register("file_type_comparison")
 def _(spark, sf_dir):
     return file_ops.file_type_comparison(file_ops.file_metrics(rel.files(spark, sf_dir)))
