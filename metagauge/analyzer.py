@@ -47,8 +47,12 @@ class TableAnalyzer:
             name = metadata.qualified_name_of("metadata_location")
         else:
             raise ValueError("a metadata path or a warehouse is needed")
-        self.documents = documents
-        self._parsed = metadata.parse_documents(documents, name)
+        # Tables, snapshots and errors all read the parsed documents.
+        self._parsed = metadata.parse_documents(documents, name).persist()
+
+    def release(self) -> None:
+        """Drops the cached documents."""
+        self._parsed.unpersist()
 
     # -- relations -----------------------------------------------------------------------------------------------------
 
