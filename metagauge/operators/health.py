@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import format_bytes, partition_label
-from .partitions import partition_skew_population
+from .partitions import population_skew
 
 
 def _count_per_table(df: DataFrame, name: str) -> DataFrame:
@@ -25,11 +25,11 @@ def health_summary(
         F.sum("total_data_file_size").alias("total_size_bytes"),
         F.sum("data_file_count").alias("total_files"),
         F.count(F.lit(1)).alias("total_partitions"),
+        population_skew(F.col("total_data_file_size")).alias("partition_skewness"),
     )
     joined = (
         tables.select("table_name")
         .join(totals, "table_name", "left")
-        .join(partition_skew_population(partition_metrics), "table_name", "left")
         .join(_count_per_table(orphans, "orphan_file_count"), "table_name", "left")
         .join(_count_per_table(expirable, "expirable_snapshot_count"), "table_name", "left")
         .na.fill(0)
@@ -44,7 +44,7 @@ def health_summary(
         "total_files",
         "total_partitions",
         average.alias("average_partition_size_bytes"),
-        F.col("skewness").alias("partition_skewness"),
+        "partition_skewness",
         "orphan_file_count",
         "expirable_snapshot_count",
     )

@@ -196,12 +196,14 @@ def partition_skew_sample(metrics: DataFrame) -> DataFrame:
     )
 
 
+def population_skew(size: Column) -> Column:
+    """Aggregate: population deviation over mean, 0 where that is undefined."""
+    return F.coalesce(_coefficient_of_variation(F.stddev_pop(size), F.avg(size)), F.lit(0.0))
+
+
 def partition_skew_population(metrics: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """Population deviation over mean of the partition sizes; 0 without partitions."""
-    size = F.col("total_data_file_size")
-    skew = metrics.groupBy("table_name").agg(
-        F.coalesce(_coefficient_of_variation(F.stddev_pop(size), F.avg(size)), F.lit(0.0)).alias("skewness")
-    )
+    skew = metrics.groupBy("table_name").agg(population_skew(F.col("total_data_file_size")).alias("skewness"))
     if tables is None:
         return skew
     return tables.select("table_name").join(skew, "table_name", "left").na.fill(0.0, ["skewness"])

@@ -10,6 +10,7 @@ from ..operators.files import file_metrics, live_table_metrics
 from ..operators.partitions import in_report_order, partition_metrics, partition_stats
 from ..operators.snapshots import historical_snapshots, history_in_order, latest_snapshot_metrics
 from .file_stats import file_stats
+from .lineage import stored
 
 
 @dataclass
@@ -45,8 +46,12 @@ def table_report(
 def table_report_row(
     tables: DataFrame, snapshots: DataFrame, files: DataFrame, history: int = 20, strict: bool = True
 ) -> DataFrame:
-    """One flat row per table: live metrics, latest change, and the sizes of the report's lists."""
-    stats = file_stats(files)
+    """One flat row per table: live metrics, latest change, and the sizes of the report's lists.
+
+    The aggregate is stored before it is read by three roll-ups: each needs other columns of it, so Spark would not share
+    its shuffle between them and derive the files three times.
+    """
+    stats = stored(file_stats(files))
     live = live_table_metrics(stats)
     lists = (
         partition_metrics(partition_stats(stats))

@@ -116,11 +116,13 @@ def session_relations(
             label, "content", "file_path", "file_format", "spec_id", partition, "record_count", "file_size_in_bytes"
         )
 
-    current = read("refs").where("name = 'main'").select(F.col("snapshot_id").alias("current_snapshot_id"))
-    refs = read("refs").groupBy().agg(F.collect_list("snapshot_id").alias("ref_snapshot_ids"))
-    one = spark.range(1).select(label)
+    # One row in any case, also for a table without snapshots. A table has a handful of branches and tags.
+    tables = read("refs").agg(
+        F.max(F.when(F.col("name") == "main", F.col("snapshot_id"))).alias("current_snapshot_id"),
+        F.collect_list("snapshot_id").alias("ref_snapshot_ids"),
+    )
     return {
-        "tables": one.join(current, how="left").join(refs, how="left"),
+        "tables": tables.select(label, "current_snapshot_id", "ref_snapshot_ids"),
         "snapshots": snapshots,
         "files": files("files"),
         "referenced": files("all_files").select("table_name", "file_path"),

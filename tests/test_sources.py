@@ -343,3 +343,7 @@ def test_session_catalog_relations(spark, mor):
     stats = partition_ops.partition_stats(relations["files"])
     assert stats.count() == 3
     assert relations["referenced"].count() == mor.entries.count()
+
+    parts["refs"] = parts["refs"].limit(0)
+    nothing = catalog.session_relations(spark, "cat.sales.v2_mor", parts.__getitem__)["tables"]
+    assert rows(nothing, "table_name", "current_snapshot_id") == [("sales.v2_mor", None)]
