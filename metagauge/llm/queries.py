@@ -6,7 +6,11 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from metagauge.llm.decontaminate import find_items, hit_words
+from metagauge.llm.fingerprints import compare_with_edits
+from metagauge.llm.sharding import shard_by_bytes
 from metagauge.llm.tables import shared_folder, table
 from metagauge.llm.token_counts import count_tokens
 from metagauge.llm.token_files import read_token_files, write_token_files
@@ -32,9 +36,32 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit_words().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
+        (hit_words() > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_token_counts": op5_token_counts,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_sharding": op7_sharding,
+    "op9_decontamination": op9_decontamination,
 }
 
 SQL: dict[str, str] = {}

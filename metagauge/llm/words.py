@@ -71,9 +71,9 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, borders - borders[0]
 
 
-def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+def steps(batch: pa.RecordBatch, column: str | pa.Array, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most ``limit`` bytes of text each, or one row."""
-    _, borders = text_bytes(batch.column(column))
+    _, borders = text_bytes(batch.column(column) if isinstance(column, str) else column)
     at = 0
     while at < batch.num_rows:
         end = max(at + 1, int(np.searchsorted(borders, borders[at] + limit, "right")) - 1)
@@ -130,3 +130,12 @@ def shingles(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray,
                 value = (value * int(_STEP) + w) & MASK
             out[out_first[i]] = mix(np.array([value ^ int(count[i])], dtype=np.uint64))[0]
     return out, out_first
+
+
+def without(text: str, cuts: list[tuple[int, int]]) -> str:
+    """The text without these spans of its UTF-8 bytes, which ascend and don't overlap; white space at the ends goes too."""
+    data, at, kept = text.encode(), 0, []
+    for a, b in cuts:
+        kept.append(data[at:a])
+        at = b
+    return b"".join([*kept, data[at:]]).decode().strip()
