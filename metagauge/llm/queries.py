@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from metagauge.llm.decontaminate import find_items, hit_words
 from metagauge.llm.fingerprints import compare_with_edits
+from metagauge.llm.near_dedup import near_duplicates
 from metagauge.llm.sharding import shard_by_bytes
 from metagauge.llm.tables import shared_folder, table
 from metagauge.llm.token_counts import count_tokens
@@ -56,12 +57,17 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_token_counts": op5_token_counts,
     "op6_fingerprints": op6_fingerprints,
     "op7_sharding": op7_sharding,
     "op9_decontamination": op9_decontamination,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 SQL: dict[str, str] = {}
