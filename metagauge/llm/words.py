@@ -101,9 +101,14 @@ def spans(data: np.ndarray, borders: np.ndarray, is_word: np.ndarray) -> tuple[n
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of the bytes of each span."""
-    power, inverse = powers(len(data) + 1)
-    running = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_VALUE[data] * power[: len(data)], out=running[1:])
+    return runs(_VALUE[data], starts, ends)
+
+
+def runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the values of each span."""
+    power, inverse = powers(len(values) + 1)
+    running = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * power[: len(values)], out=running[1:])
     return mix((running[ends] - running[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
