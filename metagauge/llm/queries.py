@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from metagauge.llm.decontaminate import find_items, hit_words
 from metagauge.llm.fingerprints import compare_with_edits
 from metagauge.llm.near_dedup import near_duplicates
+from metagauge.llm.quality import judge
 from metagauge.llm.repeats import as_id, find_repeats, words_in
 from metagauge.llm.sharding import shard_by_bytes
 from metagauge.llm.tables import shared_folder, table
@@ -34,6 +35,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(as_id().alias("doc_id"), "n_words", words_in().alias("n_removed"), n, "spans")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
     write_token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), folder, end_id=0)
@@ -70,6 +75,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_quality": op3_quality,
     "op4_token_files": op4_token_files,
     "op5_token_counts": op5_token_counts,
     "op6_fingerprints": op6_fingerprints,
