@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metagauge.llm import chat
 from metagauge.llm.decontaminate import find_items, hit_words
 from metagauge.llm.fingerprints import compare_with_edits
 from metagauge.llm.near_dedup import near_duplicates
@@ -29,6 +30,20 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.canonical_turns(table(spark, sf_dir, "conversations"))
+    spelled = spark.range(1).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.array(
+            *[
+                F.struct(F.lit(role).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("content"))
+                for role in ("user", "assistant")
+            ]
+        ).alias("messages"),
+    )
+    return chat.digests(chat.format_turns(turns.unionByName(chat.canonical_turns(spelled))))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_repeats(table(spark, sf_dir, "documents"))
     n = F.size("spans").cast("long").alias("n_spans")
@@ -74,6 +89,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality": op3_quality,
     "op4_token_files": op4_token_files,
@@ -84,4 +100,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": op10_near_dedup,
 }
 
-SQL: dict[str, str] = {}
+def _escaped_in_sql(column: str) -> str:
+    out = rf"replace({column}, '\', '\0')"
+    for control in chat.CONTROL:
+        out = f"replace({out}, '{control}', '{chat._SPELLED[control[0]]}{control[1:]}')"
+    return out
+
+
+SQL: dict[str, str] = {
+    "op1_chat_format": rf"""
+        WITH said AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), whole AS (
+            SELECT conv_id,
+                count(*) AS n_turns,
+                string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+                coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+                sum(8 + length(replace({_escaped_in_sql("role")}, chr(10), '\3')) + 1 + length({_escaped_in_sql("text")}) + 8)
+                    AS chars
+            FROM said GROUP BY conv_id
+        )
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+            sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
+        FROM whole""",
+}
