@@ -85,8 +85,7 @@ def piece_encoder(path: str) -> Callable[[str], list[int]]:
 class PieceTable:
     """The ids of the pieces met so far: sorted hashes, and for each where its ids begin in one long array, and how many."""
 
-    def __init__(self, encode: Callable[[str], list[int]]):
-        self.encode = encode
+    def __init__(self):
         self._clear()
 
     def _clear(self) -> None:
@@ -103,21 +102,19 @@ class PieceTable:
         self.used = need
         return at, n
 
-    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each piece, given as a span of UTF-8 bytes: where its ids begin in ``self.ids``, and how many there are.
-        Valid until the next call."""
+    def find(self, hashed: np.ndarray, encode: Callable[[np.ndarray], list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+        """For each piece, given by its hash: where its ids begin in ``self.ids``, and how many there are. ``encode`` gives
+        the ids of the pieces at some positions. Valid until the next call."""
         if len(self.keys) > REMEMBERED or self.used > 8 * REMEMBERED:
             self._clear()
-        unique, first, inverse = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
+        unique, first, inverse = np.unique(hashed, return_index=True, return_inverse=True)
         place = np.minimum(np.searchsorted(self.keys, unique), max(0, len(self.keys) - 1))
         known = self.keys[place] == unique if len(self.keys) else np.zeros(len(unique), bool)
         at, n = np.empty(len(unique), np.int64), np.empty(len(unique), np.int64)
         at[known], n[known] = self.at[place[known]], self.n[place[known]]
         new = np.flatnonzero(~known)
         if len(new):
-            raw, encode = data.tobytes(), self.encode
-            cuts = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
-            at[new], n[new] = self._append([encode(raw[i:j].decode()) for i, j in cuts])
+            at[new], n[new] = self._append(encode(first[new]))
             keys = np.concatenate([self.keys, unique[new]])
             order = np.argsort(keys, kind="stable")
             self.keys = keys[order]
@@ -131,6 +128,20 @@ class PieceTable:
         return self.ids[np.repeat((at - end + n).astype(np.int32), n) + np.arange(total, dtype=np.int32)]
 
 
+class Encoder:
+    """Looks pieces of UTF-8 text up, and encodes those that are new."""
+
+    def __init__(self, path: str):
+        self.table, self.encode = PieceTable(), piece_encoder(path)
+
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def new(at: np.ndarray) -> list[list[int]]:
+            raw = data.tobytes()
+            return [self.encode(raw[a:b].decode()) for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+
+        return self.table.find(hashes(data, starts, ends), new)
+
+
 def _before_punctuation(data: np.ndarray) -> np.ndarray:
     """Whether a byte is a stop or a comma after an ASCII letter: both vocabularies begin a pre-token there."""
     cut = _STOP[data]

@@ -12,6 +12,7 @@ from metagauge.llm import chat
 from metagauge.llm.decontaminate import find_items, hit_words
 from metagauge.llm.fingerprints import compare_with_edits
 from metagauge.llm.near_dedup import near_duplicates
+from metagauge.llm.pieces import round_trip
 from metagauge.llm.quality import judge
 from metagauge.llm.repeats import as_id, find_repeats, words_in
 from metagauge.llm.sharding import shard_by_bytes
@@ -72,6 +73,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_fingerprints": op6_fingerprints,
     "op7_sharding": op7_sharding,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_decontamination": op9_decontamination,
     "op10_near_dedup": op10_near_dedup,
 }

@@ -8,10 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from metagauge.llm.encoding import PieceTable, dropped_space_pieces, piece_encoder, sums
+from metagauge.llm.encoding import Encoder, dropped_space_pieces, sums
 from metagauge.llm.words import steps, text_bytes
 
-_KNOWN: dict[str, PieceTable] = {}
+_KNOWN: dict[str, Encoder] = {}
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
@@ -25,7 +25,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, batch_byte
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _KNOWN.setdefault(vocabulary, PieceTable(piece_encoder(vocabulary)))
+        known = _KNOWN.setdefault(vocabulary, Encoder(vocabulary))
         for batch in batches:
             for part in steps(batch, "text", batch_bytes):
                 data, borders = text_bytes(part.column("text"))

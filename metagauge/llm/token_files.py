@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metagauge.llm.encoding import PieceTable, byte_level_pieces, piece_encoder, sums, vocabulary_size
+from metagauge.llm.encoding import Encoder, byte_level_pieces, sums, vocabulary_size
 from metagauge.llm.tables import FIRST_KEY, order_key, partitions
 from metagauge.llm.words import steps, text_bytes
 
@@ -33,7 +33,7 @@ MAGIC = b"IDPACK01"
 _TRAILER = struct.Struct("<8sIIQQQ")
 #: A multiple of 64, so that a full block is a whole number of words whatever the width.
 BLOCK_IDS = 65_536
-_KNOWN: dict[str, PieceTable] = {}
+_KNOWN: dict[str, Encoder] = {}
 
 
 def width_of(n_ids: int) -> int:
@@ -149,7 +149,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
     width = width_of(max(vocabulary_size(vocabulary), end_id + 1))
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _KNOWN.setdefault(vocabulary, PieceTable(piece_encoder(vocabulary)))
+        known = _KNOWN.setdefault(vocabulary, Encoder(vocabulary))
         shard, writer = TaskContext.get().partitionId(), None
         for batch in batches:
             for part in steps(batch, "text"):
@@ -164,7 +164,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
                 starts, ends, first = byte_level_pieces(data, borders, vocabulary)
                 at, n = known.find(data, starts, ends)
                 per_text = sums(n, first)
-                ids = np.insert(known.gather(at, n), np.cumsum(per_text), end_id)
+                ids = np.insert(known.table.gather(at, n), np.cumsum(per_text), end_id)
                 writer.add(ids)
                 writer.doc_ids.append(part.column("key").to_numpy())
                 writer.n_tokens.append(per_text + 1)
