@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metagauge.llm.tables import stored
+from metagauge.llm.tables import stored, whole_row
 from metagauge.llm.words import FOLD, LETTERS_DIGITS, hashes, mix, spans, steps, text_bytes, without
 
 #: Bytes of item texts in one automaton; more items are searched for slice by slice, each slice in a pass of its own.
@@ -249,7 +249,7 @@ def remove_items(
     What stands before and after a removed span keeps its own spelling. ``n_chars``, where there is one, follows the text. A
     document without hits is unchanged, and so is one with a null text; see :func:`find_items` for other cases.
     """
-    found = _searched(docs.select(F.struct(*docs.columns).alias("row")), items, window, slice_bytes)
+    found = _searched(docs.select(whole_row(docs).alias("row")), items, window, slice_bytes)
     found = found.filter(hit_words() <= max_coverage * F.col("n_words"))
     clean = found.select("row", "hits").mapInArrow(_without_hits, found.select("row", "hits").schema).select("row.*")
     if "n_chars" in docs.columns:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metagauge.llm.components import components
-from metagauge.llm.tables import FIRST_KEY, order_key, partitions, stored
+from metagauge.llm.tables import FIRST_KEY, order_key, partitions, stored, whole_row
 from metagauge.llm.words import FOLD, NOT_SPACE, hashes, mix, shingles, spans, steps, text_bytes
 
 #: Rows of a band and bands. A link at similarity 0.8 shares no band with chance (1 - 0.8**5)**32, three in a million.
@@ -326,5 +326,5 @@ def near_duplicates(
 def keep_one_of_each(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """The documents with all their columns, without those that :func:`near_duplicates` does not keep."""
     found = near_duplicates(docs, shingle_words, percent).filter("not kept")
-    gone = found.select(F.coalesce("doc_id", F.lit(FIRST_KEY)).alias("_gone")).distinct()
-    return docs.join(gone, order_key() == F.col("_gone"), "left_anti")
+    gone = found.select(F.coalesce("doc_id", F.lit(FIRST_KEY)).alias("key")).distinct()
+    return docs.select(order_key().alias("key"), whole_row(docs).alias("row")).join(gone, "key", "left_anti").select("row.*")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from metagauge.llm.encoding import PieceTable, sums
+from metagauge.llm.tables import whole_row
 from metagauge.llm.words import mix, powers, runs, steps
 
 SPACE = "▁"
@@ -297,8 +298,7 @@ def encode(docs: DataFrame, model: str, name: str = "piece_ids") -> DataFrame:
 
     Null and empty texts have no ids. A column of that name is replaced. Characters without a piece are spelled in bytes.
     """
-    others = [c for c in docs.columns if c.lower() != name.lower()]
-    rows = docs.select(F.struct(*others).alias("row"))
+    rows = docs.select(whole_row(docs, name).alias("row"))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, table = _loaded(model)
@@ -315,8 +315,7 @@ def encode(docs: DataFrame, model: str, name: str = "piece_ids") -> DataFrame:
 
 def decode(encoded: DataFrame, model: str, ids: str = "piece_ids", name: str = "decoded") -> DataFrame:
     """The rows with ``name``, the texts that their ids spell; no ids, or null, spell an empty text."""
-    others = [c for c in encoded.columns if c.lower() != name.lower()]
-    rows = encoded.select(F.struct(*others).alias("row"))
+    rows = encoded.select(whole_row(encoded, name).alias("row"))
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, _ = _loaded(model)

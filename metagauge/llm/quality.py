@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from metagauge.llm.tables import whole_row
 from metagauge.llm.words import FOLD, NOT_SPACE, hashes, mix, spans, steps, text_bytes
 
 #: Labelled rows of each class that a model is fitted on: the bound of all that the driver holds and broadcasts.
@@ -147,24 +148,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Neighbours:
     return _model(rows, np.array([r.quality for r in found]))
 
 
-def score(docs: DataFrame, model: Neighbours, name: str = "score") -> DataFrame:
-    """The documents, all columns, with ``name``: from 0 to 1, the higher the likelier label 1.
+def score(docs: DataFrame, model: Neighbours) -> DataFrame:
+    """``row, score``: each document as a struct of all its columns, and from 0 to 1, the higher the likelier label 1.
 
-    A null or empty text has no features and is judged by what they are nearest to; without labelled vectors every score is
-    0.5. The name must not be a column's.
+    A null or empty text has no features and is judged by what such a text is nearest to; without labelled vectors every score
+    is 0.5.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(whole_row(docs).alias("row"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, batch.column("row").field("text"), 1_000_000):
                 found = shared.value.scores(features(part.column("row").field("text")))
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(found)], names=["row", name])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(found)], names=["row", "score"])
 
-    schema = StructType([*rows.schema, StructField(name, DoubleType())])
-    return rows.mapInArrow(scored, schema).select("row.*", name)
+    return rows.mapInArrow(scored, StructType([*rows.schema, StructField("score", DoubleType())]))
 
 
 def held_out(key: str = "doc_id"):
@@ -180,8 +179,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
     model = fit(docs, labels.filter(~held_out()))
     found = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
     return found.select(
-        "doc_id",
-        F.coalesce(held_out(), F.lit(False)).alias("held_out"),
+        "row.doc_id",
+        F.coalesce(held_out("row.doc_id"), F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
@@ -190,4 +189,4 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents with all their columns whose score reaches the threshold."""
     model = fit(docs, labels.filter(~held_out()))
-    return score(docs, model, "_score").filter(F.col("_score") >= threshold).drop("_score")
+    return score(docs, model).filter(F.col("score") >= threshold).select("row.*")

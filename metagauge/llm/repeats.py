@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metagauge.llm.tables import FIRST_KEY, order_key, stored
+from metagauge.llm.tables import FIRST_KEY, order_key, stored, whole_row
 from metagauge.llm.words import NOT_SPACE, hashes, runs, spans, steps, text_bytes, without
 
 #: Words of a suffix that its key covers.
@@ -197,7 +197,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """
     found = find_repeats(docs, min_words).filter(F.size("spans") > 0)
     found = found.groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("id", "spans")).alias("found"))
-    rows = docs.select(order_key().alias("_key"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(order_key().alias("_key"), whole_row(docs).alias("row"))
     rows = rows.join(found, "_key", "left").select("row", "found")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,6 +36,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def whole_row(df: DataFrame, *but: str) -> Column:
+    """All columns but some as one struct, so that names of ours don't meet theirs."""
+    left_out = {c.lower() for c in but}
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in left_out])
+
+
 def order_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(FIRST_KEY))
 
