@@ -1,10 +1,12 @@
 """MinHash near-dedup with sequential Bayesian verification of banded candidates.
 
 Texts with equal shingle sets are one node. Nodes that share a band of their signatures are candidates. Every node of a band
-is compared with the band's least node; only nodes of one band that are still apart then are compared with each other, block
-by block, so a group of near copies costs as many comparisons as it has members. A comparison looks at the signatures batch by
-batch and gives up as soon as the posterior says that the similarity is below the limit, but for a chosen chance of error;
-what is left is decided on the full sets.
+is compared with the band's hub, the node that shares bands with the most others, which among copies of one text tends to be
+that text; so a group of near copies costs about as many comparisons as it has members. Only nodes of one band that are still
+in different components then are compared with each other, in blocks of bounded size, each pair in the first band that it
+shares; a block gives no more links than join its components. A comparison looks at the signatures batch by batch and gives up
+as soon as the posterior says that the similarity is below the limit, but for a chosen chance of error; what is left is decided
+on the full sets.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from metagauge.llm.words import FOLD, NOT_SPACE, hashes, mix, shingles, spans, s
 ROWS, BANDS = 5, 32
 #: Signature values of one step of the sequential comparison.
 BATCH = 32
-#: Members of a band that one task compares with as many others.
-BLOCK = 512
+#: Shingles of the members of a band that one task compares with as many others; a member counts for LEAST at least.
+BLOCK, LEAST = 512_000, 2_000
+#: Shingles whose occurrences in a block are counted at once.
+_COLUMNS = 8192
 _N = ROWS * BANDS
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 63, _N, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -138,15 +142,15 @@ def _as_matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.uint32).reshape(-1, _N)
 
 
-def _may_be_alike(a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
-    """Positions of the pairs of rows that no batch rules out."""
+def _may_be_alike(a: np.ndarray, b: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of rows that no batch rules out, and how many values they share."""
     left, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
     for i, need in enumerate(least):
         at = slice(i * BATCH, (i + 1) * BATCH)
         matches = matches + (a[left, at] == b[left, at]).sum(1)
         stays = matches >= need
         left, matches = left[stays], matches[stays]
-    return left
+    return left, matches
 
 
 def _size_allows(a: str, b: str, percent: int):
@@ -158,7 +162,7 @@ def _compared(pairs: DataFrame, signed: DataFrame, percent: int, least: list[int
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stays = _may_be_alike(_as_matrix(batch.column("sa")), _as_matrix(batch.column("sb")), least)
+            stays, _ = _may_be_alike(_as_matrix(batch.column("sa")), _as_matrix(batch.column("sb")), least)
             yield batch.select(["a", "b"]).take(pa.array(stays))
 
     left = signed.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
@@ -208,49 +212,106 @@ def _full_sets(docs: DataFrame, first: DataFrame, nodes: DataFrame, n: int) -> D
                     [part.column("node").take(pa.array(same)), pa.array(members, pa.binary())], names=["node", "members"]
                 )
 
-    wanted = nodes.distinct().join(first, "node")
+    wanted = nodes.join(first, "node")
     rows = docs.select(order_key().alias("key"), "text").join(wanted, "key").select("node", "text")
     return rows.mapInArrow(build, "node long, members binary")
 
 
-def _pairs_apart(members: DataFrame, least: list[int], percent: int) -> DataFrame:
-    """``a, b`` of different roots within each group, from ``band, i, j, block, node, root, n_shingles, signature`` in order."""
+def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first band in which each pair of signatures agrees."""
+    return (a == b).reshape(len(a), BANDS, ROWS).all(2).argmax(1)
+
+
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many members each set of x has in common with each of y: occurrences, multiplied column block by column block."""
+    both = np.concatenate([*x, *y])
+    kinds, column, times = np.unique(both, return_inverse=True, return_counts=True)
+    often = np.flatnonzero(times > 1)
+    place = np.full(len(kinds), -1)
+    place[often] = np.arange(len(often))
+    column = place[column]
+    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.zeros((len(x), len(y)), np.float64)
+    for begin in range(0, len(often), _COLUMNS):
+        at = slice(*np.searchsorted(column, [begin, begin + _COLUMNS]))
+        has = np.zeros((len(x) + len(y), _COLUMNS), np.float32)
+        has[row[at], column[at] - begin] = 1
+        out += has[: len(x)] @ has[len(x) :].T
+    return out.astype(np.int64)
+
+
+def _links_of_block(t: pa.Table, least: list[int], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the components of a block, whose members are in parts ``i`` and ``j`` of a band."""
+    block, i, j, slot = t["block"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py(), t["slot"][0].as_py()
+    signature = _as_matrix(t["signature"].combine_chunks())
+    node, root, size = (t[c].to_numpy() for c in ("node", "root", "n_shingles"))
+    x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    found = []
+    for part in np.array_split(x, max(1, len(x) // 64)):
+        u, v = np.repeat(part, len(y)), np.tile(y, len(part))
+        small, large = np.minimum(size[u], size[v]), np.maximum(size[u], size[v])
+        fits = (node[u] < node[v]) if i == j else np.ones(len(u), bool)
+        fits &= (root[u] != root[v]) & (100 * small >= percent * large)
+        u, v = u[fits], v[fits]
+        stays, matches = _may_be_alike(signature[u], signature[v], least)
+        u, v = u[stays], v[stays]
+        new = _first_shared(signature[u], signature[v]) == slot
+        found.append((u[new], v[new], matches[new]))
+    u, v, matches = (np.concatenate(c) for c in zip(*found, strict=True))
+    if not len(u):
+        return node[:0], node[:0]
+    members = [np.frombuffer(m.as_buffer(), np.uint64) for m in t["members"]]
+    own_u, at_u = np.unique(u, return_inverse=True)
+    own_v, at_v = np.unique(v, return_inverse=True)
+    if len(u) > 200:
+        shared = _shared([members[k] for k in own_u], [members[k] for k in own_v])[at_u, at_v]
+    else:
+        shared = [len(np.intersect1d(members[a], members[b], assume_unique=True)) for a, b in zip(u, v, strict=True)]
+    linked = 100 * np.array(shared) >= percent * (size[u] + size[v] - shared)
+    parent = {r: r for r in root.tolist()}
+
+    def top(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
+    kept = []
+    for k in np.flatnonzero(linked).tolist():
+        a, b = top(int(root[u[k]])), top(int(root[v[k]]))
+        if a != b:
+            parent[a] = b
+            kept.append(k)
+    return node[u[kept]], node[v[kept]]
+
+
+def _links_apart(members: DataFrame, least: list[int], percent: int) -> DataFrame:
+    """``a, b``: links between different roots of each group of ``band, i, j``; the rows come in that order."""
+    keys = ("band", "i", "j")
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            key = [batch.column(c).to_numpy() for c in ("band", "i", "j")]
             edge = np.zeros(max(0, batch.num_rows - 1), bool)
-            for k in key:
+            for column in keys:
+                k = batch.column(column).to_numpy()
                 edge |= k[1:] != k[:-1]
             cuts = [0, *(np.flatnonzero(edge) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                if held and any(held[-1].column(c)[0] != batch.column(c)[a] for c in ("band", "i", "j")):
+                if held and any(held[-1].column(c)[0] != batch.column(c)[a] for c in keys):
                     yield pa.Table.from_batches(held)
                     held = []
                 held.append(batch.slice(a, b - a))
         if held:
             yield pa.Table.from_batches(held)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(b for b in batches if b.num_rows):
-            t = t.combine_chunks()
-            block, i, j = t["block"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py()
-            signature = _as_matrix(t["signature"].combine_chunks() if t["signature"].num_chunks != 1 else t["signature"].chunk(0))
-            node, root, size = (t[c].to_numpy() for c in ("node", "root", "n_shingles"))
-            x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            for part in np.array_split(x, max(1, len(x) // 64)):
-                u, v = np.repeat(part, len(y)), np.tile(y, len(part))
-                small, large = np.minimum(size[u], size[v]), np.maximum(size[u], size[v])
-                fits = (node[u] < node[v]) if i == j else np.ones(len(u), bool)
-                fits &= (root[u] != root[v]) & (100 * small >= percent * large)
-                u, v = u[fits], v[fits]
-                stays = _may_be_alike(signature[u], signature[v], least)
-                if len(stays):
-                    a, b = node[u[stays]], node[v[stays]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return members.mapInArrow(compare, "a long, b long")
+            a, b = _links_of_block(t.combine_chunks(), least, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return members.mapInArrow(link, "a long, b long")
 
 
 def near_duplicates(
@@ -271,44 +332,47 @@ def near_duplicates(
     nodes = signed.filter("node is not null")
     first = nodes.groupBy("node").agg(F.min("key").alias("key"))
 
-    bands = nodes.select(F.explode("bands").alias("band"), "node")
-    hubs = bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other")
-    spokes = stored(bands.join(hubs.drop("other"), "band").filter("node <> hub").distinct())
+    bands = nodes.select(F.posexplode("bands").alias("slot", "band"), "node")
+    several = bands.groupBy("band").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("band")
+    members = stored(bands.join(several, "band").select("band", "slot", "node").distinct())
+    counts = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    met = members.join(counts, "band").groupBy("node").agg(F.sum("n").alias("met"))
+    hubs = members.join(met, "node").groupBy("band").agg(F.max(F.struct("met", "node")).alias("hub"))
+    spokes = stored(members.join(hubs.select("band", F.col("hub.node").alias("hub")), "band").filter("node <> hub"))
 
-    tested = spokes.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    one_each = nodes.select("node", "n_shingles", "signature").join(
-        tested.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"
-    )
+    candidates = met.select("node")
+    one_each = nodes.select("node", "n_shingles", "signature").join(candidates, "node", "left_semi")
     one_each = stored(one_each.dropDuplicates(["node"]))
-    likely = stored(_compared(tested, one_each, percent, least))
-    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    full = stored(_full_sets(docs, first, ends(likely), shingle_words))
-    links = stored(_verified(likely, full, percent))
+    full = stored(_full_sets(docs, first, candidates, shingle_words))
+    tested = spokes.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    links = stored(_verified(_compared(tested, one_each, percent, least), full, percent))
     roots = components(links)
 
-    apart = spokes.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    apart = stored(apart)
-    still = apart.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n"))
-    still = still.filter("x <> y").select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    order = F.row_number().over(Window.partitionBy("band").orderBy("node"))
-    within = apart.join(still, "band").withColumn("block", F.floor((order - 1) / block).cast("int"))
-    dealt = within.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(one_each, "node")
-    dealt = dealt.select(
+    apart = spokes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = stored(apart.select("band", "slot", "node", "root"))
+    still = apart.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band")
+    within = apart.join(still, "band").join(one_each.select("node", "n_shingles"), "node")
+    run = Window.partitionBy("band").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.coalesce(F.sum(F.greatest("n_shingles", F.lit(LEAST))).over(run), F.lit(0))
+    within = within.withColumn("block", F.floor(weight / block).cast("int"))
+    within = within.withColumn("blocks", F.max("block").over(Window.partitionBy("band")))
+    dealt = within.withColumn("with", F.explode(F.sequence(F.lit(0), "blocks"))).drop("n_shingles")
+    dealt = dealt.join(one_each, "node").join(full, "node").select(
         "band",
         F.least("block", "with").alias("i"),
         F.greatest("block", "with").alias("j"),
+        "slot",
         "block",
         "node",
         "root",
         "n_shingles",
         "signature",
+        "members",
     )
     dealt = dealt.repartition(partitions(spark), "band", "i", "j").sortWithinPartitions("band", "i", "j")
-    more = stored(_pairs_apart(dealt, least, percent).distinct())
+    more = stored(_links_apart(dealt, least, percent))
     if not more.isEmpty():
-        lacking = ends(more).distinct().join(full, "node", "left_anti")
-        full = full.unionByName(_full_sets(docs, first, lacking, shingle_words))
-        roots = components(links.unionByName(_verified(more, full, percent)))
+        roots = components(links.unionByName(more))
 
     rooted = signed.select("key", "n_shingles", "node").join(roots, "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))
