@@ -12,7 +12,8 @@ from .operators import health as health_ops
 from .operators import orphans as orphan_ops
 from .operators import partitions as partition_ops
 from .operators import snapshots as snapshot_ops
-from .plans.lineage import stored
+from .functions import normal_path
+from .plans.lineage import Kept
 from .plans.report import TableReport, table_report
 from .sources import catalog, manifests, metadata, storage
 
@@ -20,9 +21,12 @@ from .sources import catalog, manifests, metadata, storage
 class TableAnalyzer:
     """Lazy relations and operators over the tables named by some metadata documents.
 
-    A metadata path (or glob) wins over a name; a name is looked up in a warehouse folder. ``strict=False`` is for fleets
-    in which one bad table must not fail the rest: tables with a missing manifest are left out and listed in ``errors``,
-    and malformed summary numbers count as 0.
+    A metadata path (or glob) wins over a name; a name is looked up in a warehouse folder. Of each table the newest document
+    named is used, and every table has a name of its own. ``strict=False`` is for fleets in which one bad table must not fail
+    the rest: a table whose current manifests can't be read has no file metrics, one whose older manifests can't be read has no
+    orphans, all such files are listed in ``errors``, and malformed summary numbers count as 0.
+
+    Manifests are read once, when a relation is first asked for, and kept until :meth:`release`.
     """
 
     def __init__(
@@ -37,9 +41,10 @@ class TableAnalyzer:
     ):
         self.spark = spark
         self.strict = strict
+        self._kept = Kept()
         if metadata_path:
-            documents = metadata.read_documents(spark, metadata_path)
-            name = None
+            documents = catalog.documents_at(spark, metadata_path, self._kept)
+            name = F.col("table_name")
         elif warehouse:
             if table_name:
                 database, table_name = catalog.split_name(table_name, database)
@@ -50,77 +55,128 @@ class TableAnalyzer:
         # Tables, snapshots and errors all read the parsed documents.
         self._parsed = metadata.parse_documents(documents, name).persist()
 
+    @classmethod
+    def of_relations(cls, spark: SparkSession, relations: dict[str, DataFrame], strict: bool = True) -> TableAnalyzer:
+        """Over relations from elsewhere: ``tables``, ``snapshots``, ``files``, and for orphans ``referenced`` paths."""
+        own = cls.__new__(cls)
+        own.spark, own.strict, own._kept, own._parsed = spark, strict, Kept(), None
+        given = dict(relations)
+        referenced = given.pop("referenced", None)
+        if referenced is not None:
+            given["references"] = given["entries"] = referenced
+        # A cached property that is in the instance's dictionary is not computed.
+        vars(own).update(given)
+        return own
+
+    @classmethod
+    def of_session_table(cls, spark: SparkSession, name: str, strict: bool = True) -> TableAnalyzer:
+        """Over a table of an Iceberg catalog that the session knows."""
+        return cls.of_relations(spark, catalog.session_relations(spark, name), strict)
+
     def release(self) -> None:
-        """Drops the cached documents."""
-        self._parsed.unpersist()
+        """Drops what is cached and what was stored; the relations can't be used any more."""
+        if self._parsed is not None:
+            self._parsed.unpersist()
+        self._kept.release()
 
     # -- relations -----------------------------------------------------------------------------------------------------
 
     @cached_property
     def tables(self) -> DataFrame:
-        return self._readable(metadata.tables(self._parsed))
+        return metadata.tables(self._parsed)
 
     @cached_property
     def errors(self) -> DataFrame:
-        """Tables that could not be read, with the document or the missing file."""
+        """What could not be read: documents, and unless strict, manifest lists and manifests."""
         broken = metadata.fleet_errors(self._parsed)
-        return broken if self._lost is None else broken.unionByName(self._lost)
+        if self.strict:
+            return broken
+        documents = self.tables.select("table_name", "metadata_location")
+        lost = self._current[1].unionByName(self._history[1]).distinct()
+        told = lost.select("table_name", F.concat("error", F.lit(": "), "path").alias("error"))
+        return broken.unionByName(told.join(documents, "table_name").select(*broken.columns))
 
     @cached_property
     def snapshots(self) -> DataFrame:
-        return self._readable(metadata.snapshots(self._parsed))
+        return metadata.snapshots(self._parsed)
+
+    def _manifests(self, snapshots: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Manifests of the snapshots, and what of them and of their lists can't be read; in strict mode nobody looks."""
+        if self.strict:
+            return manifests.manifest_files(snapshots, self._kept), None
+        unknown = F.lit(None).cast("bigint").alias("length")
+        lists = self._kept.stored(
+            storage.unreadable_files(snapshots.select("table_name", F.col("manifest_list").alias("path"), unknown))
+        )
+        gone = lists.select("table_name", F.col("path").alias("manifest_list"))
+        found = manifests.manifest_files(snapshots.join(gone, ["table_name", "manifest_list"], "left_anti"), self._kept)
+        paths = found.select("table_name", F.col("manifest_path").alias("path"), F.col("manifest_length").alias("length"))
+        lost = self._kept.stored(storage.unreadable_files(paths))
+        gone = lost.select("table_name", F.col("path").alias("manifest_path"))
+        return found.join(gone, ["table_name", "manifest_path"], "left_anti"), lists.unionByName(lost)
+
+    @cached_property
+    def _current(self) -> tuple[DataFrame, DataFrame | None]:
+        current = snapshot_ops.current_snapshot(self.tables, self.snapshots).where("snapshot_id IS NOT NULL")
+        return self._manifests(current)
+
+    @cached_property
+    def _history(self) -> tuple[DataFrame, DataFrame | None]:
+        return self._manifests(self.snapshots)
 
     @cached_property
     def files(self) -> DataFrame:
         """Live files: only the manifests of current snapshots are opened."""
-        current = snapshot_ops.current_snapshot(self.tables, self.snapshots).where("snapshot_id IS NOT NULL")
-        entries = manifests.read_entries(manifests.manifest_files(current), self.tables)
-        return manifests.live_files(entries)
+        found, lost = self._current
+        if lost is not None:
+            found = found.join(lost.select("table_name").distinct(), "table_name", "left_anti")
+        return manifests.live_files(manifests.read_entries(found, self.tables, self._kept))
+
+    @cached_property
+    def _with_files(self) -> DataFrame:
+        """The tables whose live files are known."""
+        lost = None if self._parsed is None else self._current[1]
+        return self.tables if lost is None else self.tables.join(lost.select("table_name").distinct(), "table_name", "left_anti")
 
     @cached_property
     def entries(self) -> DataFrame:
         """Entries of every manifest that any snapshot reaches."""
-        return manifests.read_entries(manifests.manifest_files(self.snapshots), self.tables)
+        return manifests.read_entries(self._history[0], self.tables, self._kept)
 
     @cached_property
-    def _lost(self) -> DataFrame | None:
-        """Manifest lists and manifests that are not there, by table; not looked for in strict mode."""
-        if self.strict:
-            return None
-        documents = metadata.tables(self._parsed).select("table_name", "metadata_location")
-        snapshots = metadata.snapshots(self._parsed)
-        lists = storage.missing_files(snapshots.select("table_name", "manifest_list"), "manifest_list")
-        whole = snapshots.join(lists.select("table_name").distinct(), "table_name", "left_anti")
-        found = manifests.manifest_files(whole).select("table_name", "manifest_path").distinct()
-        lost = storage.missing_files(found, "manifest_path").select("table_name", F.col("manifest_path").alias("path"))
-        paths = lists.select("table_name", F.col("manifest_list").alias("path")).unionByName(lost)
-        error = F.concat(F.lit("missing file: "), "path").alias("error")
-        return stored(paths.join(documents, "table_name").select("table_name", "metadata_location", error))
-
-    def _readable(self, relation: DataFrame) -> DataFrame:
-        if self._lost is None:
-            return relation
-        return relation.join(self._lost.select("table_name").distinct(), "table_name", "left_anti")
+    def references(self) -> DataFrame:
+        """Every file that the tables know, ``table_name, file_path``: data, manifests, lists, documents, statistics."""
+        own = self._history[0].select("table_name", F.col("manifest_path").alias("file_path"))
+        return self.entries.select("table_name", "file_path").union(own).union(metadata.metadata_files(self._parsed))
 
     @cached_property
     def partitions(self) -> DataFrame:
         return partition_ops.partition_stats(self.files)
 
-    def storage(self, location: str) -> DataFrame:
-        return storage.storage_listing(self.spark, location)
+    def storage(self, location: str | None = None) -> DataFrame:
+        """What lies in the tables' locations, or in those below ``location``, each file with its table."""
+        at = self.tables.select("table_name", "location")
+        if location is not None:
+            given = F.rtrim(normal_path(F.lit(location)), F.lit("/"))
+            own = F.rtrim(normal_path("location"), F.lit("/"))
+            at = at.where((own == given) | own.startswith(F.concat(given, F.lit("/"))))
+        return storage.fleet_listing(at, self._kept)
 
     # -- operators -----------------------------------------------------------------------------------------------------
 
     def table_metrics(self, history: int = 20) -> TableReport:
-        return table_report(self.tables, self.snapshots, self.files, history, self.strict)
+        return table_report(self._with_files, self.snapshots, self.files, history, self.strict, self.tables)
 
     def live_table_metrics(self) -> DataFrame:
-        return file_ops.live_table_metrics(self.files, self.tables)
+        return file_ops.live_table_metrics(self.files, self._with_files)
 
     def file_metrics(self) -> DataFrame:
         return file_ops.file_metrics(self.files)
 
-    def snapshot_metrics(self) -> DataFrame:
+    def snapshot_metrics(self, snapshot_id: int | None = None) -> DataFrame:
+        """Of the current snapshots, or of the one with the given id."""
+        if snapshot_id is not None:
+            return snapshot_ops.snapshot_metrics(self.tables, self.snapshots, snapshot_id, self.strict)
         return snapshot_ops.latest_snapshot_metrics(self.tables, self.snapshots, self.strict)
 
     def historical_snapshots(self, limit: int = 10) -> DataFrame:
@@ -137,7 +193,12 @@ class TableAnalyzer:
         )
 
     def orphan_files(self, listing: DataFrame, older_than: dt.datetime | None = None) -> DataFrame:
-        return orphan_ops.orphan_files(listing, self.entries, older_than)
+        """Listed files that nothing references. Where not all manifests could be read (see ``errors``) nobody knows, and a
+        table has no orphans."""
+        lost = None if self._parsed is None else self._history[1]
+        if lost is not None:
+            listing = listing.join(lost.select("table_name").distinct(), "table_name", "left_anti")
+        return orphan_ops.orphan_files(listing, self.references, older_than)
 
     def expirable_snapshots(
         self, as_of: dt.datetime | int, days: int = 30, protect_current: bool = False
@@ -146,9 +207,12 @@ class TableAnalyzer:
         return snapshot_ops.expirable_snapshots(self.snapshots, as_of, days, protected)
 
     def health_summary(self, listing: DataFrame, as_of: dt.datetime | int, days: int = 30) -> DataFrame:
-        """Totals, skew, orphan and expiry counts; ``listing`` carries the table each file belongs to."""
+        """Totals, skew, orphan and expiry counts; ``listing`` carries the table each file belongs to, as :meth:`storage`'s
+        does."""
+        if "table_name" not in listing.columns:
+            raise ValueError("the listing must tell the table of each file")
         return health_ops.health_summary(
-            self.tables,
+            self._with_files,
             partition_ops.partition_metrics(self.partitions),
             self.orphan_files(listing),
             self.expirable_snapshots(as_of, days),

@@ -48,16 +48,43 @@ def summary_metrics(extra: Iterable[str] = (), strict: bool = True) -> list[Colu
 # -- times -------------------------------------------------------------------------------------------------------------
 
 
+def utc_micros(ts: Column | str) -> Column:
+    """Microseconds since 1970 of a time, or of a time without zone taken as UTC, whatever the session's zone."""
+    c = _col(ts)
+    clock = F.hour(c) * 3600 + F.minute(c) * 60
+    plain = (F.unix_date(F.to_date(c)) * F.lit(86_400).cast("bigint") + clock) * 1_000_000 + (
+        F.extract(F.lit("SECOND"), c) * 1_000_000
+    ).cast("bigint")
+    return F.when(F.typeof(c) == "timestamp_ntz", plain).otherwise(F.unix_micros(c.cast("timestamp")))
+
+
+def utc_text(micros: Column | str, between: str = " ", fraction: bool = True) -> Column:
+    """Microseconds since 1970 as UTC text, whatever the session's zone; six fraction digits unless they are all zero."""
+    n = _col(micros)
+    seconds = F.floor(n / 1_000_000)
+    part = F.pmod(n, F.lit(1_000_000))
+    of_day = F.pmod(seconds, F.lit(86_400))
+
+    def two(number: Column) -> Column:
+        return F.lpad(F.floor(number).cast("string"), 2, "0")
+
+    day = F.date_from_unix_date(F.floor(seconds / 86_400).cast("int")).cast("string")
+    clock = F.concat_ws(":", two(of_day / 3600), two(F.pmod(F.floor(of_day / 60), F.lit(60))), two(F.pmod(of_day, F.lit(60))))
+    # concat_ws would skip what a missing time lacks.
+    whole = F.when(n.isNotNull(), F.concat(day, F.lit(between), clock))
+    if not fraction:
+        return whole
+    return F.when(part == 0, whole).otherwise(F.concat(whole, F.lit("."), F.lpad(part.cast("string"), 6, "0")))
+
+
 def iso_time(ts: Column | str) -> Column:
-    """ISO-8601 text; the six fraction digits appear only when they are not all zero."""
-    seconds = F.date_format(_col(ts), "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(_col(ts), "SSSSSS")
-    return F.when(micros == "000000", seconds).otherwise(F.concat(seconds, F.lit("."), micros))
+    """ISO-8601 text in UTC; the six fraction digits appear only when they are not all zero."""
+    return utc_text(utc_micros(ts), "T")
 
 
 def display_time(ts: Column | str) -> Column:
-    """``yyyy-MM-dd HH:mm:ss``, or ``Unknown`` for no time."""
-    return F.coalesce(F.date_format(_col(ts), "yyyy-MM-dd HH:mm:ss"), F.lit("Unknown"))
+    """``yyyy-MM-dd HH:mm:ss`` in UTC, or ``Unknown`` for no time."""
+    return F.coalesce(utc_text(utc_micros(ts), fraction=False), F.lit("Unknown"))
 
 
 # -- sizes -------------------------------------------------------------------------------------------------------------
@@ -144,7 +171,7 @@ def operation_colour(operation: Column | str = "operation") -> Column:
 
 
 def snapshot_option_text(snapshot_id: Column | str, ts: Column | str, operation: Column | str) -> Column:
-    # Text of a missing operation as the original prints it.
+    # Text of a missing operation, as Python prints it.
     op = F.coalesce(_col(operation), F.lit("None"))
     return F.format_string("Snapshot %s - %s (%s)", _col(snapshot_id).cast("string"), display_time(ts), op)
 

@@ -19,8 +19,10 @@ def health_summary(
 
     Sizes and counts cover data files, so they agree with the partition metrics. Lists and per-partition maps stay
     DataFrames of their own (orphans, expirable snapshots and the two functions below): packed into one row they would
-    have to fit one task.
+    have to fit one task. Orphans of unknown tables are refused, as they would count for none.
     """
+    if not orphans.where("table_name IS NULL").isEmpty():
+        raise ValueError("the listing must tell the table of each file")
     totals = partition_metrics.groupBy("table_name").agg(
         F.sum("total_data_file_size").alias("total_size_bytes"),
         F.sum("data_file_count").alias("total_files"),

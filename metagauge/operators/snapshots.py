@@ -71,6 +71,19 @@ def latest_snapshot_metrics(tables: DataFrame, snapshots: DataFrame, strict: boo
     )
 
 
+def snapshot_metrics(
+    tables: DataFrame, snapshots: DataFrame, snapshot_id: int, strict: bool = True
+) -> DataFrame:
+    """Change metrics of the snapshot with the given id; zeros and an empty operation for a table that has no such."""
+    one = snapshots.where(F.col("snapshot_id") == F.lit(snapshot_id))
+    return (
+        tables.select("table_name")
+        .join(one, "table_name", "left")
+        .select("table_name", *summary_metrics(strict=strict), "operation")
+        .na.fill("", ["operation"])
+    )
+
+
 def historical_snapshots(snapshots: DataFrame, limit: int = 10, strict: bool = True) -> DataFrame:
     """The newest ``limit`` snapshots of each table with change metrics and totals.
 

@@ -1,30 +1,50 @@
-"""Results kept in the cluster's shared folder."""
+"""Results that are computed once and read several times."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only for a local session without the setting."""
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that ``spark.checkpoint.dir`` names, which all executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    return folder.rstrip("/") if folder else None
+
+
+class Kept:
+    """What some results keep, to be dropped together."""
+
+    def __init__(self):
+        self._frames: list[DataFrame] = []
+        self._folders: list[tuple[SparkSession, str]] = []
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        """``df`` computed once for everything built on it.
+
+        Written to the shared folder now, it cuts the lineage, survives lost executors, and lets each reader take only the
+        columns it needs. A session without such a folder caches it instead, which a lost executor makes Spark compute anew.
+        """
+        spark = df.sparkSession
+        folder = shared_folder(spark)
+        if folder is None:
+            self._frames.append(df.persist())
+            return df
+        path = f"{folder}/stored-{uuid.uuid4()}"
+        df.write.parquet(path)
+        self._folders.append((spark, path))
+        return spark.read.schema(df.schema).parquet(path)
+
+    def release(self) -> None:
+        while self._frames:
+            self._frames.pop().unpersist()
+        while self._folders:
+            spark, path = self._folders.pop()
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder now and read back by everything built on it.
-
-    Cuts the lineage, survives lost executors, and unlike a checkpoint lets each reader take only the columns it needs.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stored-{uuid.uuid4()}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    """``df`` kept for as long as the shared folder, or the cache, keeps it; see :meth:`Kept.stored`."""
+    return Kept().stored(df)

@@ -1,50 +1,46 @@
 """Scans whose input paths are themselves the result of a query.
 
 A Spark scan is planned from a list of paths on the driver. Paths found by a job (manifests named in manifest lists) have
-to come back to the driver for that. To keep this list bounded, long ones are scanned in hashed slices that are
-written to the shared checkpoint folder one after another; the driver never holds more than one slice.
+to come back to the driver for that. They come in hashed slices of bounded size, each scanned and stored before the next
+one is fetched, so the driver never holds more than one; the rows that name the paths are themselves computed once. The
+same is done for one path and for any number of them.
 
-What is known about each path travels with it as a small DataFrame of at most that many rows. Its size is bounded, so it
-may be broadcast, and the records of a scan need no shuffle to learn where they belong.
+What is known about each path travels with it as a small DataFrame of at most a slice. Its size is bounded, so it may be
+broadcast, and the records of a scan need no shuffle to learn where they belong.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .lineage import shared_folder
+from .lineage import Kept
 
 MAX_PATHS = 50_000
 
 Scan = Callable[[SparkSession, Sequence[str], DataFrame], DataFrame]
 
 
-def scan_paths(rows: DataFrame, column: str, scan: Scan, max_paths: int = MAX_PATHS) -> DataFrame | None:
-    """``scan(spark, paths, rows of these paths)`` over ``rows``, which has one row per path in ``column``.
+def scan_paths(
+    rows: DataFrame, column: str, scan: Scan, max_paths: int = MAX_PATHS, kept: Kept | None = None
+) -> DataFrame | None:
+    """``scan(spark, paths, rows of these paths)`` over ``rows``, which names a path in ``column``; paths may repeat.
 
-    None when there is no path at all.
+    None when there is no path at all. ``kept`` takes over what is stored.
     """
+    kept = kept or Kept()
     spark, schema = rows.sparkSession, rows.schema
-    found = rows.where(F.col(column).isNotNull())
-
-    def run(part: list) -> DataFrame:
-        return scan(spark, sorted(r[column] for r in part), spark.createDataFrame(part, schema))
-
-    head = found.limit(max_paths + 1).collect()
-    if not head:
-        return None
-    if len(head) <= max_paths:
-        return run(head)
-
+    found = kept.stored(rows.where(F.col(column).isNotNull()))
+    total = found.count()
     # Slices of half the limit on average, so that an uneven hash stays below it.
-    slices = -(-2 * found.count() // max_paths)
-    target = f"{shared_folder(spark)}/scan-{uuid.uuid4()}"
-    sliced = found.withColumn("__slice", F.pmod(F.xxhash64(column), F.lit(slices)))
+    slices = -(-2 * total // max_paths)
+    own = F.pmod(F.xxhash64(column), F.lit(slices))
+    parts = []
     for i in range(slices):
-        part = sliced.where(F.col("__slice") == i).drop("__slice").collect()
+        part = found.where(own == i).collect()
         if part:
-            run(part).write.parquet(f"{target}/slice={i}")
-    return spark.read.parquet(target).drop("slice")
+            known = spark.createDataFrame(part, schema)
+            parts.append(kept.stored(scan(spark, sorted({r[column] for r in part}), known)))
+    return reduce(DataFrame.unionByName, parts) if parts else None

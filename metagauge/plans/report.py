@@ -10,7 +10,6 @@ from ..operators.files import file_metrics, live_table_metrics
 from ..operators.partitions import in_report_order, partition_metrics, partition_stats
 from ..operators.snapshots import historical_snapshots, history_in_order, latest_snapshot_metrics
 from .file_stats import file_stats
-from .lineage import stored
 
 
 @dataclass
@@ -29,13 +28,21 @@ class TableReport:
 
 
 def table_report(
-    tables: DataFrame, snapshots: DataFrame, files: DataFrame, history: int = 20, strict: bool = True
+    tables: DataFrame,
+    snapshots: DataFrame,
+    files: DataFrame,
+    history: int = 20,
+    strict: bool = True,
+    all_tables: DataFrame | None = None,
 ) -> TableReport:
-    """All five parts. The manifest entries are read once, for the shared aggregate; every file figure rolls up from it."""
+    """All five parts. The manifest entries are read once, for the shared aggregate; every file figure rolls up from it.
+
+    ``tables`` are those whose files are known, ``all_tables`` those whose snapshots are; by default the same.
+    """
     stats = file_stats(files).persist()
     return TableReport(
         live_table_metrics=live_table_metrics(stats, tables),
-        snapshot_metrics=latest_snapshot_metrics(tables, snapshots, strict),
+        snapshot_metrics=latest_snapshot_metrics(tables if all_tables is None else all_tables, snapshots, strict),
         partition_metrics=in_report_order(partition_metrics(partition_stats(stats))),
         file_metrics=file_metrics(stats),
         historical_snapshots=history_in_order(historical_snapshots(snapshots, history, strict)),
@@ -48,10 +55,10 @@ def table_report_row(
 ) -> DataFrame:
     """One flat row per table: live metrics, latest change, and the sizes of the report's lists.
 
-    The aggregate is stored before it is read by three roll-ups: each needs other columns of it, so Spark would not share
-    its shuffle between them and derive the files three times.
+    The aggregate is cached, when the row is first asked for, as three roll-ups read it: each needs other columns of it, so
+    Spark would not share its shuffle between them and derive the files three times.
     """
-    stats = stored(file_stats(files))
+    stats = file_stats(files).persist()
     live = live_table_metrics(stats)
     lists = (
         partition_metrics(partition_stats(stats))

@@ -23,13 +23,16 @@ METADATA_SCHEMA = (
     f"`partition-spec` {SPEC_FIELDS}, "
     "`properties` MAP<STRING, STRING>, "
     "`refs` MAP<STRING, STRUCT<`snapshot-id`: BIGINT>>, "
-    f"`snapshots` ARRAY<STRUCT<{SNAPSHOT_FIELDS.replace('` ', '`: ')}>>"
+    f"`snapshots` ARRAY<STRUCT<{SNAPSHOT_FIELDS.replace('` ', '`: ')}>>, "
+    "`metadata-log` ARRAY<STRUCT<`metadata-file`: STRING>>, "
+    "`statistics` ARRAY<STRUCT<`statistics-path`: STRING>>, "
+    "`partition-statistics` ARRAY<STRUCT<`statistics-path`: STRING>>"
 )
 
 # One record of a manifest list and of a manifest. Partition tuples differ from spec to spec; read as a map, one schema
 # fits every table of a fleet.
 MANIFEST_LIST_SCHEMA = (
-    "manifest_path STRING, partition_spec_id INT, content INT, added_snapshot_id BIGINT"
+    "manifest_path STRING, manifest_length BIGINT, partition_spec_id INT, content INT, added_snapshot_id BIGINT"
 )
 ENTRY_SCHEMA = (
     "status INT, snapshot_id BIGINT, data_file STRUCT<"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions import normal_path
+from ..plans.lineage import Kept
 from ..plans.pathscan import scan_paths
 from .metadata import DOCUMENT_SCHEMA, database_of, read_documents, table_name_of
 
@@ -18,23 +20,31 @@ def split_name(name: str, database: str = "default") -> tuple[str, str]:
 
 def list_metadata(spark: SparkSession, warehouse: str, database: str = "*", table: str = "*") -> DataFrame:
     """Paths of metadata files under ``warehouse/database/table/metadata``; contents are not read."""
-    pattern = f"{warehouse.rstrip('/')}/{database}/{table}/metadata"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.metadata.json").load(pattern)
-    return files.select(F.col("path").alias("metadata_location"))
+    return metadata_at(spark, f"{warehouse.rstrip('/')}/{database}/{table}/metadata")
+
+
+def metadata_at(spark: SparkSession, pattern: str) -> DataFrame:
+    """Paths of the metadata files that a path or glob names, or that lie in the folders it names."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.metadata.json*").load(pattern)
+    return files.select(F.col("path").alias("metadata_location")).where(
+        F.col("metadata_location").rlike(r"\.metadata\.json(\.gz)?$")
+    )
 
 
 def newest_metadata(paths: DataFrame) -> DataFrame:
-    """The highest version per table. Versions are the number at the start of the file name (``v3.``, ``00003-``)."""
+    """The highest version per table, which is the folder above the file's. Versions are the number at the start of the
+    file name (``v3.``, ``00003-``)."""
     name = F.element_at(F.split("metadata_location", "/"), -1)
     version = F.coalesce(F.regexp_extract(name, r"^v?(\d+)", 1).try_cast("bigint"), F.lit(-1))
     return (
         paths.select(
             database_of("metadata_location").alias("database"),
             table_name_of("metadata_location").alias("name"),
+            F.regexp_extract("metadata_location", r"^(.*)/[^/]*/[^/]*$", 1).alias("__folder"),
             version.alias("version"),
             "metadata_location",
         )
-        .groupBy("database", "name")
+        .groupBy("__folder", "database", "name")
         .agg(F.max(F.struct("version", "metadata_location")).alias("newest"))
         .select("database", "name", F.col("newest.version"), F.col("newest.metadata_location"))
     )
@@ -42,9 +52,42 @@ def newest_metadata(paths: DataFrame) -> DataFrame:
 
 def warehouse_documents(spark: SparkSession, warehouse: str, database: str = "*", table: str = "*") -> DataFrame:
     """Newest document of each matching table; older versions are never opened."""
-    newest = newest_metadata(list_metadata(spark, warehouse, database, table))
-    documents = scan_paths(newest, "metadata_location", lambda s, paths, _: read_documents(s, paths))
-    return spark.createDataFrame([], DOCUMENT_SCHEMA) if documents is None else documents
+    return _documents(newest_metadata(list_metadata(spark, warehouse, database, table)), Kept())
+
+
+def documents_at(spark: SparkSession, pattern: str, kept: Kept | None = None) -> DataFrame:
+    """Newest document of each table among the files a path or glob names, with a ``table_name`` of its own.
+
+    A table is named after its folder; tables of one name are ``database.table``, or else told apart by their whole folder.
+    """
+    newest = newest_metadata(metadata_at(spark, pattern)).withColumns(
+        {
+            "qualified": F.concat_ws(".", "database", "name"),
+            "folder": F.regexp_extract("metadata_location", r"^(.*)/[^/]*/[^/]*$", 1),
+        }
+    )
+    alone = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c)) == 1
+    named = newest.withColumns({"one": alone("name"), "one_qualified": alone("qualified")})
+    name = F.when(F.col("one"), F.col("name")).when(F.col("one_qualified"), F.col("qualified")).otherwise(F.col("folder"))
+    return _documents(named.select("metadata_location", name.alias("table_name")), kept or Kept())
+
+
+def _documents(newest: DataFrame, kept: Kept) -> DataFrame:
+    spark = newest.sparkSession
+
+    def read(s: SparkSession, paths: Sequence[str], known: DataFrame) -> DataFrame:
+        documents = read_documents(s, paths)
+        if "table_name" not in known.columns:
+            return documents
+        names = known.select("table_name", normal_path("metadata_location").alias("__path"))
+        keyed = documents.withColumn("__path", normal_path("metadata_location"))
+        return keyed.join(F.broadcast(names), "__path").drop("__path")  # at most a slice of paths
+
+    documents = scan_paths(newest, "metadata_location", read, kept=kept)
+    if documents is not None:
+        return documents
+    named = "table_name STRING, " if "table_name" in newest.columns else ""
+    return spark.createDataFrame([], named + DOCUMENT_SCHEMA)
 
 
 INVENTORY_SCHEMA = (
@@ -60,17 +103,24 @@ def session_inventory(spark: SparkSession, database: str) -> DataFrame:
         if t.isTemporary or t.tableType == "VIEW":
             continue
         name = ".".join(f"`{part}`" for part in [*([t.catalog] if t.catalog else []), *t.namespace, t.name])
-        details = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+        # The catalog answers for one table at a time; one description holds columns, location and partition fields.
+        described = [(r.col_name, r.data_type) for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()]
+        heads = [i for i, (c, _) in enumerate(described) if not c or c.startswith("#")] or [len(described)]
+        parts = [i for i, (c, _) in enumerate(described) if c == "# col_name"]
+        keys = []
+        for c, _ in described[parts[0] + 1 :] if parts else []:
+            if not c or c.startswith("#"):
+                break
+            keys.append(c)
         properties = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
-        columns = spark.catalog.listColumns(name)
         rows.append(
             (
                 t.namespace[-1],
                 t.name,
-                details.get("Location"),
+                dict(described[heads[0] :]).get("Location"),
                 properties,
-                [c.name for c in columns if c.isPartition],
-                {c.name: c.dataType for c in columns},
+                keys,
+                dict(described[: heads[0]]),
             )
         )
     return spark.createDataFrame(rows, INVENTORY_SCHEMA)

@@ -7,14 +7,15 @@ and sizes before anything is shuffled. Each manifest is at least one input split
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import normal_path
+from ..functions import normal_path, utc_text
+from ..plans.lineage import Kept
 from ..plans.pathscan import scan_paths
 from ..schemas import ENTRY_SCHEMA, MANIFEST_LIST_SCHEMA, STATUS_DELETED
+from .metadata import literal_path
 
 ENTRIES_SCHEMA = (
     "table_name STRING, snapshot_id BIGINT, status INT, content INT, file_path STRING, file_format STRING, "
@@ -25,8 +26,7 @@ _INPUT_DIR = "mapreduce.input.fileinputformat.inputdir"
 
 
 def _input_path(path: str) -> str:
-    literal = re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
-    return literal.replace("\\", "\\\\").replace(",", "\\,")
+    return literal_path(path).replace("\\", "\\\\").replace(",", "\\,")
 
 
 def avro_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -58,14 +58,18 @@ def _parsed(records: DataFrame, schema: str) -> DataFrame:
 
 
 MANIFEST_SCHEMA = (
-    "table_name STRING, snapshot_id BIGINT, manifest_path STRING, spec_id INT, added_snapshot_id BIGINT"
+    "table_name STRING, snapshot_id BIGINT, manifest_path STRING, manifest_length BIGINT, spec_id INT, "
+    "added_snapshot_id BIGINT"
 )
 
 
-def manifest_files(snapshots: DataFrame) -> DataFrame:
-    """Manifests of the given snapshots: those in their manifest lists, or named in the metadata itself (early format)."""
-    lists = snapshots.where("manifest_list IS NOT NULL").groupBy("manifest_list").agg(
-        F.min("table_name").alias("table_name"), F.min("snapshot_id").alias("snapshot_id")
+def manifest_files(snapshots: DataFrame, kept: Kept | None = None) -> DataFrame:
+    """Manifests of the given snapshots: those in their manifest lists, or named in the metadata itself (early format).
+
+    A list that several tables share, say one table under two names, is read once and its manifests belong to each.
+    """
+    lists = snapshots.where("manifest_list IS NOT NULL").groupBy("manifest_list", "table_name").agg(
+        F.min("snapshot_id").alias("snapshot_id")
     )
 
     def read(spark: SparkSession, paths: Sequence[str], known: DataFrame) -> DataFrame:
@@ -77,12 +81,13 @@ def manifest_files(snapshots: DataFrame) -> DataFrame:
                 "table_name",
                 F.col("owner").alias("snapshot_id"),
                 "manifest_path",
+                "manifest_length",
                 F.coalesce("partition_spec_id", F.lit(0)).alias("spec_id"),
                 F.coalesce("added_snapshot_id", "owner").alias("added_snapshot_id"),
             )
         )
 
-    listed = scan_paths(lists, "manifest_list", read)
+    listed = scan_paths(lists, "manifest_list", read, kept=kept)
     if listed is None:
         listed = snapshots.sparkSession.createDataFrame([], MANIFEST_SCHEMA)
     if "manifests" not in snapshots.columns:
@@ -91,19 +96,66 @@ def manifest_files(snapshots: DataFrame) -> DataFrame:
         "table_name",
         "snapshot_id",
         F.explode("manifests").alias("manifest_path"),
+        F.lit(None).cast("bigint").alias("manifest_length"),
         F.lit(0).alias("spec_id"),
         F.col("snapshot_id").alias("added_snapshot_id"),
     )
     return listed.unionByName(embedded)
 
 
+def _bytes_of(value: Column) -> Column:
+    """The bytes of a value that the Avro reader wrote as a list of signed numbers, or as text of one character a byte."""
+    listed = F.transform(F.from_json(value, "array<int>"), lambda b: F.pmod(b, F.lit(256)))
+    text = F.from_json(value, "bytes STRING")["bytes"]
+    spelled = F.transform(F.split(text, ""), lambda c: F.ascii(c))
+    return F.when(value.startswith("["), listed).when(value.startswith("{"), F.filter(spelled, lambda b: b > 0))
+
+
+def _hex(data: Column) -> Column:
+    return F.array_join(F.transform(data, lambda b: F.lower(F.lpad(F.hex(b.cast("int")), 2, "0"))), "")
+
+
+def _decimal_text(value: Column, kind: Column) -> Column:
+    """An unscaled two's complement number, written with the scale of its type."""
+    data = _bytes_of(value)
+    wide = "decimal(38,0)"
+    whole = F.aggregate(data, F.lit(0).cast(wide), lambda n, b: (n * 256 + b).cast(wide))
+    limit = F.aggregate(data, F.lit(1).cast(wide), lambda n, b: (n * 256).cast(wide))
+    number = F.when(F.element_at(data, 1) >= 128, (whole - limit).cast(wide)).otherwise(whole)
+    scale = F.regexp_extract(kind, r",\s*(\d+)\)", 1).try_cast("int")
+    plain = F.abs(number).cast("string")
+    padded = F.lpad(plain, F.greatest(F.length(plain), scale + 1), F.lit("0"))
+    cut = F.length(padded) - scale
+    digits = F.concat(F.substring(padded, F.lit(1), cut), F.lit("."), F.substring(padded, cut + 1, scale))
+    return F.concat(F.when(number < 0, "-").otherwise(""), F.when(scale > 0, digits).otherwise(plain))
+
+
+def _uuid_text(value: Column) -> Column:
+    return F.regexp_replace(_hex(_bytes_of(value)), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
 def _value_text(value: Column, kind: Column) -> Column:
-    """A partition value as text. Times arrive as numbers since 1970 in the unit of their transform."""
+    """A partition value as text. Times arrive as numbers since 1970 in the unit of their transform, and are written in UTC
+    whatever the session's zone."""
     number = value.try_cast("bigint")
     day = F.date_from_unix_date(number.try_cast("int")).cast("string")
     month = F.date_format(F.add_months(F.lit("1970-01-01").cast("date"), number.try_cast("int")), "yyyy-MM")
-    hour = F.date_format(F.timestamp_seconds(number * 3600), "yyyy-MM-dd-HH")
-    moment = F.timestamp_micros(number).cast("string")
+    hour_day = F.date_from_unix_date(F.floor(number / 24).cast("int")).cast("string")
+    hour = F.concat(hour_day, F.lit("-"), F.lpad(F.pmod(number, F.lit(24)).cast("string"), 2, "0"))
+    moment = utc_text(number)
+    clock = F.substring(utc_text(number), F.lit(12), F.lit(15))
+    return (
+        F.when(kind.startswith("decimal"), F.coalesce(_decimal_text(value, kind), value))
+        .when(kind == "uuid", F.coalesce(_uuid_text(value), value))
+        .when((kind == "binary") | kind.startswith("fixed"), F.coalesce(_hex(_bytes_of(value)), value))
+        .when(kind == "time", clock)
+        .otherwise(_time_or_plain(value, kind, number, day, month, hour, moment))
+    )
+
+
+def _time_or_plain(
+    value: Column, kind: Column, number: Column, day: Column, month: Column, hour: Column, moment: Column
+) -> Column:
     return (
         F.when(kind.isin("day", "date"), day)
         .when(kind == "month", month)
@@ -176,10 +228,9 @@ def parse_entries(records: DataFrame, manifests: DataFrame) -> DataFrame:
     )
 
 
-def read_entries(manifest_rows: DataFrame, tables: DataFrame) -> DataFrame:
-    """Entries of all given manifests; a manifest shared by many snapshots is read once."""
-    distinct = manifest_rows.groupBy("manifest_path").agg(
-        F.min("table_name").alias("table_name"),
+def read_entries(manifest_rows: DataFrame, tables: DataFrame, kept: Kept | None = None) -> DataFrame:
+    """Entries of all given manifests, for every table that has them; one shared by many snapshots is read once."""
+    distinct = manifest_rows.groupBy("manifest_path", "table_name").agg(
         F.min("spec_id").alias("spec_id"),
         F.min("added_snapshot_id").alias("added_snapshot_id"),
     )
@@ -188,7 +239,7 @@ def read_entries(manifest_rows: DataFrame, tables: DataFrame) -> DataFrame:
     def read(spark: SparkSession, paths: Sequence[str], known: DataFrame) -> DataFrame:
         return parse_entries(avro_records(spark, paths), F.broadcast(known))
 
-    entries = scan_paths(with_kinds, "manifest_path", read)
+    entries = scan_paths(with_kinds, "manifest_path", read, kept=kept)
     return manifest_rows.sparkSession.createDataFrame([], ENTRIES_SCHEMA) if entries is None else entries
 
 

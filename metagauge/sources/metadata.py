@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -16,11 +17,46 @@ def _raw_path(uri: Column) -> Column:
     return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
-def read_documents(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Whole metadata files as text. ``paths`` may hold globs, so one scan covers a fleet."""
-    return spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True).select(
-        _raw_path(F.col("_metadata.file_path")).alias("metadata_location"), F.col("value").alias("document")
-    )
+# Written whole through gzip, but with a name from which no reader can tell.
+_PACKED = ".gz.metadata.json"
+
+
+def literal_path(path: str) -> str:
+    """A path in which no character stands for others."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def _unpacker():
+    def unpack(batches: Iterator) -> Iterator:
+        import gzip
+
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = []
+            for content in batch.column("content").to_pylist():
+                try:
+                    texts.append(gzip.decompress(content).decode())
+                except (OSError, EOFError, UnicodeDecodeError):
+                    texts.append("")
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(texts)], names=["path", "document"])
+
+    return unpack
+
+
+def read_documents(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Whole metadata files as text, whether compressed or not; a file that can't be unpacked is an empty document."""
+    packed = [literal_path(p) for p in paths if p.endswith(_PACKED)]
+    plain = [literal_path(p) for p in paths if not p.endswith(_PACKED)]
+    parts = []
+    if plain:
+        location = _raw_path(F.col("_metadata.file_path")).alias("metadata_location")
+        parts.append(spark.read.text(plain, wholetext=True).select(location, F.col("value").alias("document")))
+    if packed:
+        files = spark.read.format("binaryFile").load(packed).select("path", "content")
+        unpacked = files.mapInArrow(_unpacker(), "path STRING, document STRING")
+        parts.append(unpacked.select(F.col("path").alias("metadata_location"), "document"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def table_name_of(metadata_location: Column | str) -> Column:
@@ -53,6 +89,23 @@ def parse_documents(documents: DataFrame, table_name: Column | None = None) -> D
     )
 
 
+def metadata_files(parsed: DataFrame) -> DataFrame:
+    """Every file but manifests and data that the documents name, and the documents themselves, by table."""
+    t = parsed.where("error IS NULL")
+
+    def paths(items: str, field: str) -> Column:
+        return F.coalesce(F.transform(items, lambda x: x[field]), F.array().cast("array<string>"))
+
+    named = F.concat(
+        F.array("metadata_location"),
+        paths("m.metadata-log", "metadata-file"),
+        paths("m.statistics", "statistics-path"),
+        paths("m.partition-statistics", "statistics-path"),
+        paths("m.snapshots", "manifest-list"),
+    )
+    return t.select("table_name", F.explode(named).alias("file_path")).where("file_path IS NOT NULL")
+
+
 def fleet_errors(parsed: DataFrame) -> DataFrame:
     """Documents that could not be read as table metadata."""
     return parsed.where("error IS NOT NULL").select("table_name", "metadata_location", "error")

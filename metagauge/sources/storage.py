@@ -6,30 +6,40 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..plans.lineage import stored
+from ..plans.lineage import Kept
 
-_LEVEL_SCHEMA = "file_path STRING, is_folder BOOLEAN, length BIGINT, modified TIMESTAMP"
+_LEVEL_SCHEMA = "table_name STRING, file_path STRING, is_folder BOOLEAN, length BIGINT, modified TIMESTAMP"
 
 
-def storage_listing(spark: SparkSession, location: str, table_name: str | None = None) -> DataFrame:
-    """All files below ``location`` with length and modification time.
+def storage_listing(
+    spark: SparkSession, location: str, table_name: str | None = None, kept: Kept | None = None
+) -> DataFrame:
+    """All files below ``location`` with length and modification time."""
+    start = spark.range(1).select(_name(table_name), F.lit(location).alias("location"))
+    return fleet_listing(start, kept)
 
-    Folders are listed by tasks, one level of the tree per job, and each level is written to the shared folder, so the
-    driver never holds the listing. Empty files and names starting with ``_`` or ``.`` are included, which a Spark file
-    scan leaves out; failed writes often leave just those. Any DataFrame with a ``file_path`` column, say a storage
-    inventory, can stand in for this.
+
+def fleet_listing(locations: DataFrame, kept: Kept | None = None) -> DataFrame:
+    """All files below the locations of ``table_name, location`` rows, each with its table.
+
+    Folders are listed by tasks, one level of all trees per job, and each level is stored, so the driver never holds the
+    listing. Empty files and names starting with ``_`` or ``.`` are included, which a Spark file scan leaves out; failed
+    writes often leave just those. A location that is not there has no files. Any DataFrame with these columns, say a
+    storage inventory, can stand in for this.
     """
-    tasks = spark.sparkContext.defaultParallelism
-    folders = spark.createDataFrame([(location.rstrip("/"),)], "folder STRING")
+    kept = kept or Kept()
+    tasks = locations.sparkSession.sparkContext.defaultParallelism
+    at = locations.where("location IS NOT NULL")
+    folders = at.select("table_name", F.rtrim(F.col("location"), F.lit("/")).alias("folder"))
     files = None
     while True:
-        level = stored(folders.repartition(tasks, "folder").mapInArrow(_folder_lister(), _LEVEL_SCHEMA))
+        level = kept.stored(folders.repartition(tasks, "folder").mapInArrow(_folder_lister(), _LEVEL_SCHEMA))
         found = level.where("NOT is_folder").drop("is_folder")
         files = found if files is None else files.unionByName(found)
-        folders = level.where("is_folder").select(F.col("file_path").alias("folder"))
+        folders = level.where("is_folder").select("table_name", F.col("file_path").alias("folder"))
         if folders.isEmpty():
             break
-    return files.select(_name(table_name), "file_path", "length", "modified")
+    return files.select("table_name", "file_path", "length", "modified")
 
 
 def indexed_listing(spark: SparkSession, location: str, table_name: str | None = None) -> DataFrame:
@@ -43,22 +53,43 @@ def indexed_listing(spark: SparkSession, location: str, table_name: str | None =
     )
 
 
+def inventory_listing(
+    inventory: DataFrame, path: str, length: str, modified: str | None = None, table_name: str = "table_name"
+) -> DataFrame:
+    """A listing from a storage inventory that names files, lengths and tables in columns of its own.
+
+    Folder markers, empty objects whose names end in a slash, are no files.
+    """
+    own = F.col(table_name) if table_name in inventory.columns else F.lit(None).cast("string")
+    time = F.col(modified) if modified else F.lit(None)
+    marker = (F.col(path).endswith("/")) & (F.coalesce(F.col(length), F.lit(0)) == 0)
+    return inventory.where(~marker).select(
+        own.alias("table_name"),
+        F.col(path).alias("file_path"),
+        F.col(length).cast("bigint").alias("length"),
+        time.cast("timestamp").alias("modified"),
+    )
+
+
 def _name(table_name: str | None):
     return (F.lit(table_name) if table_name else F.lit(None).cast("string")).alias("table_name")
 
 
-def missing_files(rows: DataFrame, column: str) -> DataFrame:
-    """The rows whose file in ``column`` is not there. Tasks ask for each path; the driver sees none."""
+def unreadable_files(rows: DataFrame) -> DataFrame:
+    """``table_name, path, error`` of the Avro files in ``table_name, path, length`` rows that can't be read: not there, no
+    Avro, or shorter than the length that is known of them. Tasks look at each path once; the driver sees none."""
     tasks = rows.sparkSession.sparkContext.defaultParallelism
-    paths = rows.select(F.col(column).alias("path")).where("path IS NOT NULL").distinct()
-    lost = paths.repartition(tasks, "path").mapInArrow(_absent_path_finder(), "path STRING")
-    return rows.join(lost.withColumnRenamed("path", column), column, "left_semi")
+    paths = rows.where("path IS NOT NULL").groupBy("path").agg(F.max("length").alias("length"))
+    bad = paths.repartition(tasks, "path").mapInArrow(_avro_prober(), "path STRING, error STRING")
+    return rows.select("table_name", "path").distinct().join(bad, "path").select("table_name", "path", "error")
 
 
 # The functions below travel to the tasks by value, with everything they use nested inside.
 
 
 def _resolver():
+    clients: dict = {}
+
     def resolve(location: str):
         import re
 
@@ -66,9 +97,14 @@ def _resolver():
 
         uri = re.fullmatch(r"(\w+)://([^/]*)/?(.*)", location)
         if uri is None or uri[1] == "file":
-            return fs.LocalFileSystem(), re.sub(r"^file:/+", "/", location)
+            if "file" not in clients:
+                clients["file"] = fs.LocalFileSystem()
+            return clients["file"], re.sub(r"^file:/+", "/", location)
         scheme = "s3" if uri[1] in ("s3a", "s3n") else uri[1]
-        filesystem, base = fs.FileSystem.from_uri(f"{scheme}://{uri[2]}")
+        root = f"{scheme}://{uri[2]}"
+        if root not in clients:
+            clients[root] = fs.FileSystem.from_uri(root)
+        filesystem, base = clients[root]
         return filesystem, f"{base.rstrip('/')}/{uri[3]}"
 
     return resolve
@@ -84,6 +120,7 @@ def _folder_lister():
         rows_per_batch = 10_000
         schema = pa.schema(
             [
+                ("table_name", pa.string()),
                 ("file_path", pa.string()),
                 ("is_folder", pa.bool_()),
                 ("length", pa.int64()),
@@ -91,12 +128,13 @@ def _folder_lister():
             ]
         )
         for batch in batches:
-            for folder in batch.column(0).to_pylist():
+            for table_name, folder in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 filesystem, path = resolve(folder)
-                infos = filesystem.get_file_info(fs.FileSelector(path))
+                infos = filesystem.get_file_info(fs.FileSelector(path, allow_not_found=True))
                 for start in range(0, len(infos), rows_per_batch):
                     part = infos[start : start + rows_per_batch]
                     columns = [
+                        [table_name] * len(part),
                         [f"{folder}/{i.base_name}" for i in part],
                         [i.type == fs.FileType.Directory for i in part],
                         [i.size for i in part],
@@ -108,19 +146,27 @@ def _folder_lister():
     return list_folders
 
 
-def _absent_path_finder():
+def _avro_prober():
     resolve = _resolver()
 
-    def find_absent(batches: Iterator) -> Iterator:
+    def probe(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyarrow import fs
 
+        def error_of(location: str, length: int | None) -> str | None:
+            filesystem, path = resolve(location)
+            info = filesystem.get_file_info(path)
+            if info.type == fs.FileType.NotFound:
+                return "missing file"
+            if length is not None and info.size < length:
+                return "cut off file"
+            with filesystem.open_input_stream(path) as stream:
+                return None if stream.read(4) == b"Obj\x01" else "no Avro file"
+
         for batch in batches:
-            absent = []
-            for location in batch.column(0).to_pylist():
-                filesystem, path = resolve(location)
-                if filesystem.get_file_info(path).type == fs.FileType.NotFound:
-                    absent.append(location)
-            yield pa.RecordBatch.from_arrays([pa.array(absent, pa.string())], names=["path"])
-
-    return find_absent
+            rows = zip(*[c.to_pylist() for c in batch.columns], strict=True)
+            bad = [(path, error) for path, length in rows if (error := error_of(path, length))]
+            columns = [pa.array([b[i] for b in bad], pa.string()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "error"])
+
+    return probe

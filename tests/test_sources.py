@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import os
 
 import pytest
 
@@ -97,10 +99,116 @@ def test_missing_manifests_leave_out_their_table_only(spark, tmp_path):
     assert rows(fleet.live_table_metrics(), "table_name", "total_data_files") == [("db.whole", 1)]
     errors = {r.table_name: r.error.rsplit("/", 1)[1] for r in fleet.errors.collect()}
     assert errors == {"db.no_list": "snap-1.avro", "db.no_manifest": "00000-m0.avro"}
+    assert fleet.snapshot_metrics().count() == 3  # snapshots are known from the documents
     with pytest.raises(Exception, match="(?i)input path does not exist"):
         TableAnalyzer(spark, warehouse=str(tmp_path), database="db").live_table_metrics().collect()
 
 
+def _plain(spark, root, database, name, version=2, files=("data/a.parquet",)):
+    from tests.trees import COLUMNS, Tree
+
+    t = Tree(spark, root, database, name, version, [{"spec-id": 0, "fields": []}], COLUMNS)
+    t.snapshot(1, 1000, "append", [t.manifest(1, [], [{"path": f} for f in files])])
+    return t
+
+
+def test_old_and_corrupt_manifests_are_isolated(spark, tmp_path):
+    for name in ("whole", "old_gone", "corrupt", "cut"):
+        t = _plain(spark, tmp_path, "db", name)
+        t.snapshot(2, 2000, "append", [t.manifest(2, [], [{"path": "data/b.parquet"}])])
+        t.metadata(1)
+        (tmp_path / f"db/{name}/data").mkdir(exist_ok=True)
+        (tmp_path / f"db/{name}/data/stray.parquet").write_text("x")
+    (tmp_path / "db/old_gone/metadata/00000-m0.avro").unlink()
+    (tmp_path / "db/corrupt/metadata/00001-m0.avro").write_bytes(b"no avro at all")
+    bad = tmp_path / "db/cut/metadata/snap-2.avro"
+    bad.write_bytes(b"")
+
+    fleet = TableAnalyzer(spark, warehouse=str(tmp_path), database="db", strict=False)
+    assert rows(fleet.live_table_metrics(), "table_name", "total_data_files") == [("db.old_gone", 1), ("db.whole", 1)]
+    assert {r.table_name for r in fleet.errors.collect()} == {"db.old_gone", "db.corrupt", "db.cut"}
+    assert {r.table_name for r in fleet.orphan_files(fleet.storage()).collect()} == {"db.whole"}
+    assert fleet.snapshot_metrics().count() == 4
+    fleet.release()
+
+
+def test_one_row_per_table_from_any_glob(spark, trees, tmp_path):
+    _plain(spark, tmp_path, "a", "orders", files=["data/1.parquet"]).metadata(1)
+    _plain(spark, tmp_path, "b", "orders", files=["data/1.parquet", "data/2.parquet"]).metadata(1)
+    _plain(spark, tmp_path, "b", "lines").metadata(1)
+    some = TableAnalyzer(spark, f"{tmp_path}/*/*/metadata/v1.metadata.json")
+    assert rows(some.live_table_metrics(), "table_name", "total_data_files") == [("a.orders", 1), ("b.orders", 2), ("lines", 1)]
+    versions = TableAnalyzer(spark, f"{trees}/sales/v2_mor/metadata/*.metadata.json")
+    assert rows(versions.tables, "table_name", "current_snapshot_id") == [("v2_mor", 13)]
+    assert versions.snapshots.count() == 3 and rows(versions.live_table_metrics(), "total_data_files") == [(3,)]
+
+
+def test_a_manifest_belongs_to_every_table_that_has_it(spark, tmp_path):
+    t = _plain(spark, tmp_path, "a", "one")
+    document = (tmp_path / "a/one/metadata" / t.metadata(1).rsplit("/", 1)[1]).read_text()
+    other = tmp_path / "a/two/metadata"
+    other.mkdir(parents=True)
+    (other / "v1.metadata.json").write_text(document)
+    both = TableAnalyzer(spark, f"{tmp_path}/a/*/metadata/v1.metadata.json")
+    assert rows(both.live_table_metrics(), "table_name", "total_data_files") == [("one", 1), ("two", 1)]
+
+
+def test_compressed_metadata(spark, tmp_path):
+    import gzip
+
+    t = _plain(spark, tmp_path, "a", "packed")
+    path = tmp_path / "a/packed/metadata" / t.metadata(1).rsplit("/", 1)[1]
+    for name in ("v2.gz.metadata.json", "v3.metadata.json.gz"):
+        (path.parent / name).write_bytes(gzip.compress(path.read_bytes()))
+        one = TableAnalyzer(spark, f"{path.parent}/{name}")
+        assert rows(one.live_table_metrics(), "table_name", "total_data_files") == [("packed", 1)]
+    (path.parent / "v4.gz.metadata.json").write_bytes(b"broken")
+    assert TableAnalyzer(spark, str(path.parent)).errors.count() == 1
+
+
+def test_partition_values_of_every_type(spark):
+    kinds = {"d": "decimal(9, 2)", "n": "decimal(9, 2)", "b": "binary", "u": "uuid", "t": "time", "h": "hour", "x": "int"}
+    uuid = [18, 52, -85, -51, *range(12)]
+    values = {"d": [0, 0, 4, -46], "n": [-1, -1, -1, -1], "u": uuid, "t": 3_661_000_001, "h": 455_941, "x": 7}
+    partition = {**values, "b": {"bytes": "\u0001ÿ"}}
+    record = json.dumps({"status": 1, "data_file": {"file_path": "f", "partition": partition, "record_count": 1}})
+    manifest = "table_name STRING, spec_id INT, added_snapshot_id BIGINT, kinds MAP<STRING,STRING>, manifest_path STRING"
+    known = spark.createDataFrame([("t", 0, 1, kinds, "/m")], manifest)
+    records = spark.createDataFrame([("file:/m", record)], "source_path STRING, record STRING")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = {f.name: f.value for f in manifests.parse_entries(records, known).collect()[0].partition}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == {
+        "d": "12.34",
+        "n": "-0.01",
+        "b": "01ff",
+        "u": "1234abcd-0001-0203-0405-060708090a0b",
+        "t": "01:01:01.000001",
+        "h": "2022-01-05-13",
+        "x": "7",
+    }
+
+
+def test_analyzer_over_relations(spark, mor, trees):
+    own = TableAnalyzer.of_relations(
+        spark, {"tables": mor.tables, "snapshots": mor.snapshots, "files": mor.files, "referenced": mor.references}
+    )
+    assert rows(own.live_table_metrics(), "*") == rows(mor.live_table_metrics(), "*")
+    listing = mor.storage()
+    assert rows(own.orphan_files(listing), "file_path") == rows(mor.orphan_files(listing), "file_path")
+    assert rows(own.snapshot_metrics(12), "*") == rows(mor.snapshot_metrics(12), "*")
+    own.release()
+
+
+def test_metrics_of_a_given_snapshot(mor):
+    assert rows(mor.snapshot_metrics(13), "*") == rows(mor.snapshot_metrics(), "*")
+    assert rows(mor.snapshot_metrics(99), "operation", "added_records") == [("", 0)]
+    assert {r.operation for r in mor.snapshot_metrics(11).collect()} != {""}
+
+
 def test_partition_values_are_written_by_their_transform(fleet):
     got = fleet.partitions.where("table_name <> 'ops.big_numbers'")
     assert rows(got, "table_name", "spec_id", partition_label(got)) == [
@@ -188,9 +296,11 @@ def test_report_reads_from_one_aggregate(mor):
 
 
 def test_health_summary_of_one_table(mor, trees):
-    from pyspark.sql import functions as F
-
-    listing = mor.storage(f"file://{trees}/sales/v2_mor").withColumn("table_name", F.lit("v2_mor"))
+    listing = mor.storage(f"file://{trees}/sales/v2_mor")
+    with pytest.raises(ValueError):
+        mor.health_summary(listing.drop("table_name"), as_of=1)
+    with pytest.raises(ValueError):
+        mor.health_summary(storage.storage_listing(mor.spark, f"{trees}/sales/v2_mor"), as_of=1)
     row = mor.health_summary(listing, as_of=1_800_000_000_000).collect()[0]
     assert (row.total_size_bytes, row.total_files, row.total_partitions) == (3500, 3, 3)
     assert (row.orphan_file_count, row.expirable_snapshot_count) == (1, 3)
@@ -270,13 +380,33 @@ def test_entries_in_slices_equal_entries_at_once(spark, trees, fleet, monkeypatc
 
     whole = entries()
     scan = pathscan.scan_paths
-    monkeypatch.setattr(manifests, "scan_paths", lambda r, c, s: scan(r, c, s, max_paths=2))
+    monkeypatch.setattr(manifests, "scan_paths", lambda r, c, s, kept: scan(r, c, s, 2, kept))
     assert entries() == whole and len(whole) > 10
 
 
-def test_entries_are_not_shuffled_before_they_are_combined(mor):
+def test_entries_are_read_once(spark, mor):
     plan = mor.files._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert "FileScan parquet" in plan and "Exchange" not in plan
+
+
+def test_paths_are_found_once_and_what_is_stored_is_released(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    found = spark.range(8).selectExpr("concat('/p', id) path").mapInArrow(counted, "path STRING")
+    for slices in (1, 4):
+        seen.value = 0
+        kept = pathscan.Kept()
+        got = pathscan.scan_paths(found, "path", lambda s, p, known: known, max_paths=16 // slices, kept=kept)
+        assert got.count() == 8 and seen.value == 8
+        folders = [path for _, path in kept._folders]
+        assert folders and all(os.path.isdir(f) for f in folders)
+        kept.release()
+        assert not any(os.path.exists(f) for f in folders)
 
 
 def test_no_path_gives_an_empty_relation(spark, trees):

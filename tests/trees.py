@@ -215,7 +215,9 @@ def build_warehouse(spark: SparkSession, root: Path) -> Path:
     (t.location / "data/d0/stray x%20y.parquet").touch()
     t.metadata(1, **{"current-snapshot-id": 12, "snapshots": t.snapshots[:2]})
     t.metadata(2)
-    t.metadata(10, refs={"main": {"snapshot-id": 13, "type": "branch"}, "keep": {"snapshot-id": 11, "type": "tag"}})
+    log = [{"metadata-file": t.path(f"metadata/v{v}.metadata.json"), "timestamp-ms": v} for v in (1, 2)]
+    refs = {"main": {"snapshot-id": 13, "type": "branch"}, "keep": {"snapshot-id": 11, "type": "tag"}}
+    t.metadata(10, refs=refs, **{"metadata-log": log})
 
     # v1_plain: early format, identity partition, old field names.
     t = Tree(spark, root, "sales", "v1_plain", 1, [], COLUMNS)

@@ -330,6 +330,16 @@ _BODIES = {
                coalesce(deleted_records, 0) AS deleted_records,
                coalesce(changed_partition_count, 0) AS changed_partition_count, coalesce(operation, '') AS operation
         FROM fx_tables t LEFT JOIN fx_metrics m ON m.table_name = t.table_name AND snapshot_id = current_snapshot_id""",
+    "snapshot_metrics_by_id": """
+        SELECT t.table_name, coalesce(added_data_files, 0) AS added_data_files,
+               coalesce(deleted_data_files, 0) AS deleted_data_files,
+               coalesce(added_delete_files, 0) AS added_delete_files,
+               coalesce(removed_delete_files, 0) AS removed_delete_files, coalesce(added_records, 0) AS added_records,
+               coalesce(deleted_records, 0) AS deleted_records,
+               coalesce(changed_partition_count, 0) AS changed_partition_count, coalesce(operation, '') AS operation,
+               wanted
+        FROM fx_tables t CROSS JOIN (SELECT 7 AS wanted UNION ALL SELECT -1)
+        LEFT JOIN fx_metrics m ON m.table_name = t.table_name AND snapshot_id = wanted""",
     "historical_snapshots": f"""
         SELECT table_name, snapshot_id, committed_at AS timestamp, parent_id, operation, {_CHANGES},
                total_data_files, total_delete_files, total_files_size FROM fx_history""",

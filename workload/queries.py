@@ -7,14 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from metagauge.functions import bytes_to_mb, format_bytes, short_table_name
+from metagauge.functions import bytes_to_mb, format_bytes, short_table_name, utc_micros, utc_text
 from metagauge.operators import files as file_ops
 from metagauge.operators import health as health_ops
 from metagauge.operators import orphans as orphan_ops
 from metagauge.operators import partitions as partition_ops
 from metagauge.operators import snapshots as snapshot_ops
 from metagauge.plans.report import table_report_row
-from metagauge.sources import catalog, manifests, metadata
+from metagauge.sources import catalog, manifests, metadata, storage
 
 from . import relations as rel
 
@@ -103,7 +103,7 @@ def _(spark, sf_dir):
         "table_name",
         "snapshot_id",
         "parent_id",
-        F.col("committed_at").cast("timestamp_ntz").alias("committed_at"),
+        utc_text(utc_micros("committed_at")).cast("timestamp_ntz").alias("committed_at"),
         "timestamp_ms",
         "operation",
         "manifest_list",
@@ -134,7 +134,8 @@ def _(spark, sf_dir):
 
 @register("src_storage_listing")
 def _(spark, sf_dir):
-    return rel.storage(spark, sf_dir).select("file_path", F.col("file_size_in_bytes").alias("length"))
+    listing = storage.inventory_listing(rel.storage(spark, sf_dir), "file_path", "file_size_in_bytes")
+    return listing.select("file_path", "length")
 
 
 @register("current_snapshot")
@@ -301,6 +302,14 @@ def _(spark, sf_dir):
     return snapshot_ops.latest_snapshot_metrics(rel.tables(spark, sf_dir), rel.commits(spark, sf_dir))
 
 
+@register("snapshot_metrics_by_id")
+def _(spark, sf_dir):
+    """Of a snapshot that one table has, and of one that none has."""
+    tables, commits = rel.tables(spark, sf_dir), rel.commits(spark, sf_dir)
+    wanted = [snapshot_ops.snapshot_metrics(tables, commits, i).withColumn("wanted", F.lit(i).cast("bigint")) for i in (7, -1)]
+    return wanted[0].unionByName(wanted[1])
+
+
 @register("historical_snapshots")
 def _(spark, sf_dir):
     return snapshot_ops.history_in_order(_history(spark, sf_dir))
@@ -353,7 +362,7 @@ def _expirable(spark: SparkSession, sf_dir: str, protect: bool = False) -> DataF
 
 
 def _plain(expirable: DataFrame) -> DataFrame:
-    return expirable.drop("summary").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    return expirable.drop("summary").withColumn("timestamp", utc_text(utc_micros("timestamp")).cast("timestamp_ntz"))
 
 
 @register("expirable_snapshots")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from metagauge.functions import utc_micros
 from metagauge.plans.lineage import stored
 from metagauge.plans.running import running_totals
 from metagauge.schemas import CHANGE_COLUMNS, CHANGE_KEYS, STATUS_DELETED, TOTAL_COLUMNS, TOTAL_KEYS
@@ -20,8 +21,6 @@ _ID_SLICE = 1 << 20
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Results hold epoch milliseconds and time texts, which follow the session's zone.
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -104,7 +103,7 @@ def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
         _table("o_custkey").alias("table_name"),
         F.col("o_orderkey").alias("snapshot_id"),
         F.col("o_orderdate").alias("committed_at"),
-        F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("timestamp_ms"),
+        F.floor(utc_micros("o_orderdate") / 1000).alias("timestamp_ms"),
         operation.alias("operation"),
         F.concat(F.lit("metadata/snap-"), F.col("o_orderkey"), F.lit(".avro")).alias("manifest_list"),
     )
