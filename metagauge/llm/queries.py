@@ -113,6 +113,8 @@ def _escaped_in_sql(column: str) -> str:
     return out
 
 
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 SQL: dict[str, str] = {
     "op1_chat_format": rf"""
         WITH said AS (
@@ -131,4 +133,49 @@ SQL: dict[str, str] = {
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
             sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
         FROM whole""",
+    "op9_decontamination": rf"""
+        WITH docs AS (
+            SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), items AS (
+            SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+                regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), windows AS (
+            SELECT DISTINCT item, least(10, len(w)) AS n, list_slice(w, p, p + least(10, len(w)) - 1) AS win
+            FROM (SELECT *, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS p FROM items WHERE len(w) > 0)
+        ), places AS (
+            SELECT doc_id, n, p, list_slice(w, p, p + n - 1) AS win
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p
+                  FROM docs JOIN (SELECT DISTINCT n FROM windows) ON len(w) >= n)
+        ), hits AS (SELECT doc_id, p, places.n, item FROM places JOIN windows USING (n, win)),
+        hit_words AS (
+            SELECT doc_id, count(DISTINCT q) AS n_hit
+            FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id
+        ), hit_items AS (
+            SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names
+            FROM hits GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+            CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)""",
+    "op10_near_dedup": rf"""
+        WITH RECURSIVE docs AS (
+            SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[p] || ' ' || w[p + 1] END AS shingle
+            FROM (SELECT *, unnest(range(1, greatest(len(w), 2))) AS p FROM docs WHERE len(w) > 0)
+        ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        shared AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+            FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+            WHERE 100 * common >= 80 * (p.n + q.n - common)
+        ), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reached AS (
+            SELECT doc_id, doc_id AS other FROM docs
+            UNION SELECT doc_id, b FROM reached JOIN ways ON other = a
+        )
+        SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+        FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id""",
 }
