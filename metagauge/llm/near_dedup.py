@@ -28,7 +28,7 @@ ROWS, BANDS = 5, 32
 #: Signature values of one step of the sequential comparison.
 BATCH = 32
 #: Shingles of the members of a band that one task compares with as many others; a member counts for LEAST at least.
-BLOCK, LEAST = 512_000, 2_000
+BLOCK, LEAST = 2_048_000, 2_000
 #: Shingles whose occurrences in a block are counted at once.
 _COLUMNS = 8192
 _N = ROWS * BANDS
