@@ -120,13 +120,24 @@ QUANTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 _SLICE_MB = 655.36
 
 
-def partition_size_describe(metrics: DataFrame) -> DataFrame:
+def partition_size_describe(metrics: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum of the partition sizes in rounded MB.
 
     Quartiles interpolate linearly. They are exact: equal sizes are counted first, then the counts are accumulated along
-    the sizes in bounded slices, so a table with any number of partitions is never gathered in one task.
+    the sizes in bounded slices, so a table with any number of partitions is never gathered in one task. With ``accuracy``
+    they are sizes whose ranks are off by at most one part in that many, from a single aggregate.
     """
     sizes = metrics.select("table_name", bytes_to_mb("total_data_file_size").alias("mb"))
+    if accuracy is not None:
+        quartiles = [F.percentile_approx("mb", q, accuracy).alias(name) for name, q in QUANTILES.items()]
+        return sizes.groupBy("table_name").agg(
+            F.count("mb").alias("count"),
+            F.avg("mb").alias("mean"),
+            F.stddev_samp("mb").alias("std"),
+            F.min("mb").alias("min"),
+            *quartiles,
+            F.max("mb").alias("max"),
+        )
     moments = sizes.groupBy("table_name").agg(
         F.count("mb").alias("count"),
         F.avg("mb").alias("mean"),

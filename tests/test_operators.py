@@ -159,6 +159,16 @@ def test_describe_is_the_exact_one(spark, seed, n, scale):
     assert got["std"] is None if n == 1 else got["std"] == pytest.approx(expected["std"], rel=1e-9)
 
 
+def test_approximate_quartiles_are_near_in_rank(spark):
+    rng = random.Random(8)
+    sizes = [rng.randrange(10**12) for _ in range(2000)]
+    got = one(partition_ops.partition_size_describe(metrics(spark, sizes), accuracy=100))
+    ordered = sorted(round(s / 1048576, 2) for s in sizes)
+    for name, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
+        assert abs(ordered.index(got[name]) / len(ordered) - q) <= 0.02
+    assert (got["count"], got["min"], got["max"]) == (2000, ordered[0], ordered[-1])
+
+
 def test_distribution_matches_plain_statistics(spark):
     f = files(spark, ("a", 0, 10, 1), ("a", 0, 20, 1), ("b", 0, 5, 1), ("c", 0, 40, 1))
     got = one(partition_ops.partition_distribution(partition_ops.partition_stats(f)))

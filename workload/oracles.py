@@ -210,6 +210,17 @@ _BODIES = {
         SELECT table_name, {_DOCUMENT} AS metadata_location FROM fx_metrics WHERE no_metrics""",
     "src_partitions": "SELECT * FROM fx_partitions",
     "src_referenced_files": "SELECT file_path FROM fx_referenced",
+    "fleet_newest_metrics": """
+        SELECT table_name, added_data_files, deleted_data_files, added_delete_files, removed_delete_files, added_records,
+               deleted_records, changed_partition_count, operation
+        FROM fx_metrics m WHERE NOT no_metrics
+          AND snapshot_id = (SELECT max(snapshot_id) FROM fx_metrics s WHERE s.table_name = m.table_name)""",
+    "src_shared_manifests": """
+        SELECT concat(prefix, e.table_name) AS table_name, spec_id, count(*) AS entry_count,
+               CAST(sum(record_count) AS BIGINT) AS record_count
+        FROM fx_entries e JOIN fx_tables t ON t.table_name = e.table_name AND current_snapshot_id IS NOT NULL
+        CROSS JOIN (SELECT '' AS prefix, 0 AS spec_id UNION ALL SELECT 'copy_of_', 1)
+        GROUP BY ALL""",
     "src_storage_listing": "SELECT file_path, file_size_in_bytes AS length FROM fx_storage",
     "current_snapshot": """
         SELECT t.table_name, current_snapshot_id, s.snapshot_id, s.committed_at, s.operation, s.manifest_list

@@ -75,6 +75,25 @@ def _(spark, sf_dir):
     return catalog.newest_metadata(rel.metadata_paths(spark, sf_dir))
 
 
+@register("fleet_newest_metrics")
+def _(spark, sf_dir):
+    """Change metrics of the newest version of each table, among documents of all versions."""
+    newest = catalog.newest_metadata(rel.metadata_paths(spark, sf_dir)).select("metadata_location")
+    parsed = metadata.parse_documents(rel.documents(spark, sf_dir).join(newest, "metadata_location"))
+    return snapshot_ops.latest_snapshot_metrics(metadata.tables(parsed), metadata.snapshots(parsed))
+
+
+@register("src_shared_manifests")
+def _(spark, sf_dir):
+    """Files of tables that are registered under two names with different specs over the same manifests."""
+    own = rel.manifests(spark, sf_dir)
+    second = own.withColumns({"table_name": F.concat(F.lit("copy_of_"), F.col("table_name")), "spec_id": F.lit(1)})
+    entries = manifests.parse_entries(rel.manifest_records(spark, sf_dir), own.unionByName(second))
+    return entries.groupBy("table_name", "spec_id").agg(
+        F.count(F.lit(1)).alias("entry_count"), F.sum("record_count").alias("record_count")
+    )
+
+
 @register("catalog_inventory")
 def _(spark, sf_dir):
     inventory = metadata.catalog_inventory(rel.documents(spark, sf_dir))
