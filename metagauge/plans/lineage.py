@@ -34,6 +34,9 @@ class Kept:
         path = f"{folder}/stored-{uuid.uuid4()}"
         df.write.parquet(path)
         self._folders.append((spark, path))
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        # For results that nobody releases.
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
         return spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:
