@@ -38,9 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the ids of every text, and keeps as the text what they decode to."""
-    model = vocabulary("piece_bpe_32k.model")
-    encoded = pieces.encode(docs, model)
-    return pieces.decode(encoded, model, name="text").select(*[f"`{c}`" for c in docs.columns], "piece_ids")
+    return pieces.encode_and_decode(docs, vocabulary("piece_bpe_32k.model"))
 
 
 STAGES = [

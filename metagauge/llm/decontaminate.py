@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metagauge.llm.tables import stored, whole_row
-from metagauge.llm.words import FOLD, LETTERS_DIGITS, hashes, mix, spans, steps, text_bytes, without
+from metagauge.llm.words import FOLD, LETTERS_DIGITS, hashes, mix, spans, steps, text_bytes, with_texts, without
 
 #: Bytes of item texts in one automaton; more items are searched for slice by slice, each slice in a pass of its own.
 SLICE_BYTES = 4_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+Batches = Iterator[pa.RecordBatch]
 _HITS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
@@ -174,8 +175,10 @@ def _slices(items: DataFrame, slice_bytes: int) -> list[DataFrame]:
     return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
 
 
-def _searched(rows: DataFrame, items: DataFrame, window: int, slice_bytes: int) -> DataFrame:
-    """``row, n_words, hits, items``: one pass over the rows for each slice of the items."""
+def _searched(
+    rows: DataFrame, items: DataFrame, window: int, slice_bytes: int, last: Callable[[Batches], Batches] | None = None
+) -> DataFrame:
+    """``row, n_words, hits, items``: one pass over the rows for each slice of the items; the last pass also does ``last``."""
     spark = rows.sparkSession
     found = rows.select(
         "row",
@@ -183,14 +186,16 @@ def _searched(rows: DataFrame, items: DataFrame, window: int, slice_bytes: int)
         F.expr("cast(array() as array<struct<first: bigint, last: bigint>>)").alias("hits"),
         F.expr("cast(array() as array<string>)").alias("items"),
     )
-    for i, part in enumerate(_slices(items.select("item_id", "text"), slice_bytes)):
+    parts = _slices(items.select("item_id", "text"), slice_bytes)
+    for i, part in enumerate(parts):
         given = part.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text").collect()
         words, _, _, first = _word_hashes(pa.array([r.text for r in given], pa.string()))
         automaton = Automaton([(r.name, words[a:b]) for r, a, b in zip(given, first, first[1:], strict=False)], window)
         shared = spark.sparkContext.broadcast(automaton)
         if i:
             found = stored(found)
-        found = found.mapInArrow(lambda batches, shared=shared: _pass(batches, shared.value), found.schema)
+        end = last if last and i == len(parts) - 1 else iter
+        found = found.mapInArrow(lambda batches, shared=shared, end=end: end(_pass(batches, shared.value)), found.schema)
     return found
 
 
@@ -249,26 +254,25 @@ def remove_items(
     What stands before and after a removed span keeps its own spelling. ``n_chars``, where there is one, follows the text. A
     document without hits is unchanged, and so is one with a null text; see :func:`find_items` for other cases.
     """
-    found = _searched(docs.select(whole_row(docs).alias("row")), items, window, slice_bytes)
-    found = found.filter(hit_words() <= max_coverage * F.col("n_words"))
-    clean = found.select("row", "hits").mapInArrow(_without_hits, found.select("row", "hits").schema).select("row.*")
+    rows = docs.select(whole_row(docs).alias("row"))
+    clean = _searched(rows, items, window, slice_bytes, lambda batches: _without_hits(batches, max_coverage)).select("row.*")
     if "n_chars" in docs.columns:
         own = F.length("text").cast(docs.schema["n_chars"].dataType)
         clean = clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(own))
     return clean
 
 
-def _without_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _without_hits(batches: Batches, max_coverage: float) -> Batches:
     for batch in batches:
-        row, hits = batch.column("row"), batch.column("hits")
+        row, hits, n_words = batch.column("row"), batch.column("hits"), batch.column("n_words").to_numpy()
         cut = np.flatnonzero(np.diff(hits.offsets.to_numpy())).tolist()
         if cut:
-            texts = row.field("text").to_pylist()
+            texts, keep = row.field("text").to_pylist(), np.ones(len(row), bool)
             for i in cut:
+                own = [(h["first"], h["last"]) for h in hits[i].as_py()]
+                keep[i] = sum(b - a for a, b in own) <= max_coverage * n_words[i]
                 _, starts, ends, _ = _word_hashes(pa.array([texts[i]], pa.string()))
-                texts[i] = without(texts[i], [(starts[h["first"]], ends[h["last"] - 1]) for h in hits[i].as_py()])
-            at = row.type.get_field_index("text")
-            fields = [row.field(j) for j in range(row.type.num_fields)]
-            fields[at] = pa.array(texts, row.type.field(at).type)
-            row = pa.StructArray.from_arrays(fields, fields=list(row.type))
-        yield pa.RecordBatch.from_arrays([row, hits], names=["row", "hits"])
+                texts[i] = without(texts[i], [(starts[a], ends[b - 1]) for a, b in own])
+            columns = [with_texts(row, texts), *batch.columns[1:]]
+            batch = pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep))
+        yield batch

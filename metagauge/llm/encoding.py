@@ -16,7 +16,7 @@ import numpy as np
 from metagauge.llm.words import hashes, spans
 
 #: Pieces that a worker remembers; beyond, it begins anew. Bounds memory, never results.
-REMEMBERED = 1_500_000
+REMEMBERED = 800_000
 #: Longer words go through the whole tokenizer.
 LONG_PIECE = 200
 _SPACE = 0x20

@@ -24,7 +24,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from metagauge.llm.encoding import PieceTable, sums
 from metagauge.llm.tables import whole_row
-from metagauge.llm.words import mix, powers, runs, steps
+from metagauge.llm.words import mix, powers, runs, steps, with_texts
 
 SPACE = "▁"
 #: Words of one length that advance together.
@@ -329,6 +329,23 @@ def decode(encoded: DataFrame, model: str, ids: str = "piece_ids", name: str = "
     return rows.mapInArrow(decoded, schema).select("row.*", name)
 
 
+def encode_and_decode(docs: DataFrame, model: str, name: str = "piece_ids") -> DataFrame:
+    """:func:`encode`, with the texts that the ids spell in place of the texts, null texts empty, in one pass."""
+    rows = docs.select(whole_row(docs, name).alias("row"))
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, table = _loaded(model)
+        for batch in batches:
+            for part in steps(batch, batch.column("row").field("text")):
+                row = part.column("row")
+                ids, first = pieces.encode([t or "" for t in row.field("text").to_pylist()], table)
+                found = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([with_texts(row, pieces.decode(ids, first)), found], names=["row", name])
+
+    schema = StructType([*rows.schema, StructField(name, ArrayType(IntegerType()))])
+    return rows.mapInArrow(both, schema).select("row.*", name)
+
+
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id, n_tokens, ids_crc32, decoded_sha256, same``: every whole text encoded, and decoded again from its ids.
 

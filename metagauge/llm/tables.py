@@ -51,10 +51,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back: computed once, and kept when an executor is lost."""
-    path = shared_folder(df.sparkSession)
+    """Writes the rows to the shared folder and reads them back: computed once, and kept when an executor is lost. The files
+    go when the application ends."""
+    spark = df.sparkSession
+    path = shared_folder(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

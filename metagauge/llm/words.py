@@ -16,7 +16,7 @@ MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes of text that one step of the numpy work takes; a longer text is a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -52,7 +52,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse."""
     global _POWER, _INVERSE
     if len(_POWER) < n:
-        _POWER, _INVERSE = _powers(_BASE, 2 * n), _powers(pow(_BASE, -1, 1 << 64), 2 * n)
+        _POWER, _INVERSE = _powers(_BASE, n + n // 4), _powers(pow(_BASE, -1, 1 << 64), n + n // 4)
     return _POWER, _INVERSE
 
 
@@ -79,6 +79,7 @@ def steps(batch: pa.RecordBatch, column: str | pa.Array, limit: int = STEP_BYTES
         end = max(at + 1, int(np.searchsorted(borders, borders[at] + limit, "right")) - 1)
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()  # workers live on between stages
 
 
 def spans(data: np.ndarray, borders: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,6 +138,14 @@ def shingles(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray,
     return out, out_first
 
 
+def with_texts(row: pa.StructArray, texts: list[str | None]) -> pa.StructArray:
+    """Rows with other texts."""
+    at = row.type.get_field_index("text")
+    fields = [row.field(j) for j in range(row.type.num_fields)]
+    fields[at] = pa.array(texts, row.type.field(at).type)
+    return pa.StructArray.from_arrays(fields, fields=list(row.type))
+
+
 def without(text: str, cuts: list[tuple[int, int]]) -> str:
     """The text without these spans of its UTF-8 bytes, which ascend and don't overlap; white space at the ends goes too."""
     data, at, kept = text.encode(), 0, []
