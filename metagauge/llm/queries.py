@@ -14,7 +14,7 @@ from metagauge.llm.fingerprints import compare_with_edits
 from metagauge.llm.near_dedup import near_duplicates
 from metagauge.llm.pieces import round_trip
 from metagauge.llm.quality import judge
-from metagauge.llm.repeats import as_id, find_repeats, words_in
+from metagauge.llm.repeats import cut_repeats, words_in
 from metagauge.llm.sharding import shard_by_bytes
 from metagauge.llm.tables import shared_folder, table
 from metagauge.llm.token_counts import count_tokens
@@ -46,9 +46,9 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_repeats(table(spark, sf_dir, "documents"))
+    cut = cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = F.size("spans").cast("long").alias("n_spans")
-    return found.select(as_id().alias("doc_id"), "n_words", words_in().alias("n_removed"), n, "spans")
+    return cut.select("row.doc_id", "n_words", words_in().alias("n_removed"), n, "spans", "row.text")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from metagauge.llm.tables import FIRST_KEY, order_key, stored, whole_row
-from metagauge.llm.words import NOT_SPACE, hashes, runs, spans, steps, text_bytes, without
+from metagauge.llm.tables import order_key, stored, whole_row
+from metagauge.llm.words import NOT_SPACE, hashes, runs, spans, steps, text_bytes, with_texts, without
 
 #: Words of a suffix that its key covers.
 KEY_WORDS = 16
@@ -104,7 +105,7 @@ def _retained(rows: DataFrame, min_words: int, key_words: int) -> DataFrame:
 
 
 def _extended(rows: DataFrame, min_words: int, key_words: int) -> DataFrame:
-    """``window, id, at``: every window of the given suffixes of each text."""
+    """``window, id, at, again``: every window of the given suffixes of each text; ``again`` if the text has it before."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,13 +122,17 @@ def _extended(rows: DataFrame, min_words: int, key_words: int) -> DataFrame:
                     right[own] &= np.isin(w.suffix[own], wanted[at[i] : at[i + 1]])
                 picked = np.flatnonzero(right)
                 if len(picked):
-                    place = w.at[picked] - w.first[w.text[picked]]
+                    text, hashed = w.text[picked], w.hashed(picked)
+                    order = np.lexsort((hashed, text))
+                    again = np.zeros(len(picked), bool)
+                    again[order[1:]] = (np.diff(hashed[order]) == 0) & (np.diff(text[order]) == 0)
+                    place = (w.at[picked] - w.first[text]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(w.hashed(picked)), pa.array(ids[w.text[picked]]), pa.array(place.astype(np.int32))],
-                        names=["window", "id", "at"],
+                        [pa.array(hashed), pa.array(ids[text]), pa.array(place), pa.array(again)],
+                        names=["window", "id", "at", "again"],
                     )
 
-    return rows.mapInArrow(extend, "window long, id long, at int")
+    return rows.mapInArrow(extend, "window long, id long, at int, again boolean")
 
 
 def _spans(rows: DataFrame, min_words: int) -> DataFrame:
@@ -170,10 +175,11 @@ def find_repeats(docs: DataFrame, min_words: int = 50, key_words: int = KEY_WORD
     wanted = wanted.groupBy("id").agg(F.collect_set("suffix").alias("suffixes")).join(least, "id")
     windows = stored(_extended(rows.join(wanted, "key").select("id", "text", "suffixes"), min_words, key_words))
 
-    place = F.struct("id", "at")
-    first = windows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = first.filter("first <> last").select("window", "first")
-    again = windows.join(first, "window").filter(place != F.col("first"))
+    once = windows.filter("not again").select("window", "id", "at")
+    first = once.groupBy("window").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x <> y")
+    first = stored(first.select("window", F.col("x").alias("keeps")))  # both sides of the join are dealt anew: a hot key is split
+    again = once.join(first, "window").filter("id <> keeps").select("id", "at")
+    again = again.unionByName(windows.filter("again").select("id", "at"))
     found = _spans(again.groupBy("id").agg(F.collect_set("at").alias("ats")), min_words)
 
     every = retained.select("key", "id", "n_words").join(found, "id", "left")
@@ -189,40 +195,43 @@ def words_in(spans: str = "spans"):
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
 
 
-def remove_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """The documents with all their columns, without the spans that :func:`find_repeats` finds.
+def cut_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
+    """``row, n_words, spans``: each document as a struct of all its columns, its text without the spans that
+    :func:`find_repeats` finds, and what the text had.
 
-    What stands before and after a span keeps its own spelling; a text that is a repeat as a whole becomes empty. ``n_chars``,
-    where there is one, follows the text. Documents without spans are unchanged.
+    What stands before and after a span keeps its own spelling; a text that is a repeat as a whole becomes empty. Documents
+    without spans are unchanged.
     """
-    found = find_repeats(docs, min_words).filter(F.size("spans") > 0)
-    found = found.groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("id", "spans")).alias("found"))
-    rows = docs.select(order_key().alias("_key"), whole_row(docs).alias("row"))
-    rows = rows.join(found, "_key", "left").select("row", "found")
+    found = find_repeats(docs, min_words)
+    found = found.groupBy("key").agg(F.collect_set(F.struct("id", "n_words", "spans")).alias("found"))
+    rows = docs.select(order_key().alias("key"), whole_row(docs).alias("row")).join(found, "key").select("row", "found")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, found = batch.column("row"), batch.column("found")
-            hit = np.flatnonzero(np.asarray(found.is_valid())).tolist()
-            if hit:
-                texts = row.field("text").to_pylist()
-                for i in hit:
+            row, found = batch.column("row"), batch.column("found").to_pylist()
+            texts, n_words, spans = row.field("text").to_pylist(), [], []
+            for i, own in enumerate(found):
+                w = None
+                if len(own) > 1 or own[0]["spans"]:
                     w = _Windows(pa.array([texts[i]], pa.string()), min_words, KEY_WORDS)
-                    own = [f["spans"] for f in found[i].as_py() if f["id"] == w.ids()[0]]
-                    if own:
-                        texts[i] = without(texts[i], [(w.starts[s["first"]], w.ends[s["last"] - 1]) for s in own[0]])
-                at = row.type.get_field_index("text")
-                fields = [row.field(j) for j in range(row.type.num_fields)]
-                fields[at] = pa.array(texts, row.type.field(at).type)
-                row = pa.StructArray.from_arrays(fields, fields=list(row.type))
-            yield pa.RecordBatch.from_arrays([row, found], names=["row", "found"])
-
-    clean = rows.mapInArrow(cut, rows.schema).select("row.*")
+                    # Rows of one id may have other words.
+                    own = [f for f in own if f["id"] == w.ids()[0] and f["n_words"] == len(w.words)]
+                n_words.append(own[0]["n_words"])
+                spans.append(own[0]["spans"])
+                if own[0]["spans"]:
+                    texts[i] = without(texts[i], [(w.starts[s["first"]], w.ends[s["last"] - 1]) for s in spans[-1]])
+            columns = [with_texts(row, texts), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS)]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "n_words", "spans"])
+
+    kinds = found.schema["found"].dataType.elementType
+    return rows.mapInArrow(cut, StructType([rows.schema["row"], kinds["n_words"], kinds["spans"]]))
+
+
+def remove_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
+    """The documents with all their columns as :func:`cut_repeats` leaves them; ``n_chars``, where there is one, follows the
+    text."""
+    clean = cut_repeats(docs, min_words).select("row.*")
     if "n_chars" in docs.columns:
         size = F.length("text").cast(docs.schema["n_chars"].dataType)
         clean = clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(size))
     return clean
-
-
-def as_id(key: str = "key"):
-    return F.when(F.col(key) != FIRST_KEY, F.col(key))
