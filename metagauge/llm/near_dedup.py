@@ -83,8 +83,8 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _signed(docs: DataFrame, n: int) -> DataFrame:
-    """``key, n_shingles, node, signature, bands`` of every row; null from node on if it has no shingles."""
+def _signed(docs: DataFrame, n: int, *carried: str) -> DataFrame:
+    """``key, n_shingles, node, signature, bands`` of every row and the numbers that it carries; no node without shingles."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,12 +108,14 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
                         pa.array(node, mask=none),
                         pa.BinaryArray.from_buffers(pa.binary(), len(count), [None, at, raw]),
                         pa.ListArray.from_arrays(offsets, pa.array(bands.reshape(-1))),
+                        *[part.column(c) for c in carried],
                     ],
-                    names=["key", "n_shingles", "node", "signature", "bands"],
+                    names=["key", "n_shingles", "node", "signature", "bands", *carried],
                 )
 
-    rows = docs.select(order_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(sign, "key long, n_shingles long, node long, signature binary, bands array<long>")
+    rows = docs.select(order_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"), *carried)
+    schema = ["key long, n_shingles long, node long, signature binary, bands array<long>", *[f"{c} long" for c in carried]]
+    return rows.mapInArrow(sign, ", ".join(schema))
 
 
 def least_matches(similarity: float, miss: float) -> list[int]:
@@ -314,21 +316,10 @@ def _links_apart(members: DataFrame, least: list[int], percent: int) -> DataFram
     return members.mapInArrow(link, "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, shingle_words: int = 5, percent: int = 80, miss: float = 1e-6, block: int = BLOCK
-) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every document.
-
-    Two documents are linked if 100 * shared >= percent * all of their distinct shingles of ``shingle_words`` words, runs of
-    anything but ASCII white space with A-Z lower-cased; fewer words are one shingle. The component is the least id reachable
-    over links; the document of that id is kept. ``miss`` is the chance that signatures rule out a true link.
-
-    Null and empty texts have no shingles and no links; rows that share an id count as one document; null ids are one id,
-    the least; other columns are not read; an empty table gives no rows.
-    """
+def _rooted(docs: DataFrame, signed: DataFrame, shingle_words: int, percent: int, miss: float, block: int) -> DataFrame:
+    """The rows of ``signed`` with ``root``, the least node reachable over links; null for a row without shingles."""
     spark = docs.sparkSession
     least = least_matches(percent / 100, miss)
-    signed = stored(_signed(docs, shingle_words))
     nodes = signed.filter("node is not null")
     first = nodes.groupBy("node").agg(F.min("key").alias("key"))
 
@@ -374,8 +365,23 @@ def near_duplicates(
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
-    rooted = signed.select("key", "n_shingles", "node").join(roots, "node", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "node"))
+    return signed.drop("signature", "bands").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def near_duplicates(
+    docs: DataFrame, shingle_words: int = 5, percent: int = 80, miss: float = 1e-6, block: int = BLOCK
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every document.
+
+    Two documents are linked if 100 * shared >= percent * all of their distinct shingles of ``shingle_words`` words, runs of
+    anything but ASCII white space with A-Z lower-cased; fewer words are one shingle. The component is the least id reachable
+    over links; the document of that id is kept. ``miss`` is the chance that signatures rule out a true link.
+
+    Null and empty texts have no shingles and no links; rows that share an id count as one document; null ids are one id,
+    the least; other columns are not read; an empty table gives no rows.
+    """
+    signed = stored(_signed(docs, shingle_words))
+    rooted = _rooted(docs, signed, shingle_words, percent, miss, block)
     smallest = rooted.filter("root is not null").groupBy("root").agg(F.min("key").alias("component"))
     result = rooted.join(smallest, "root", "left").withColumn("component", F.coalesce("component", "key"))
     as_id = lambda c: F.when(F.col(c) != FIRST_KEY, F.col(c))
@@ -387,8 +393,19 @@ def near_duplicates(
     )
 
 
-def keep_one_of_each(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with all their columns, without those that :func:`near_duplicates` does not keep."""
-    found = near_duplicates(docs, shingle_words, percent).filter("not kept")
-    gone = found.select(F.coalesce("doc_id", F.lit(FIRST_KEY)).alias("key")).distinct()
-    return docs.select(order_key().alias("key"), whole_row(docs).alias("row")).join(gone, "key", "left_anti").select("row.*")
+def keep_one_of_each(docs: DataFrame, shingle_words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+    """The documents with all their columns, one row of each component of :func:`near_duplicates`.
+
+    Rows are decided one by one, whatever ids they share: the row of the least id stays, null being the least, then the one
+    of the least hashes; of rows equal in all any one. Rows without shingles are alike to none and stay.
+    """
+    at = F.monotonically_increasing_id()
+    rows = stored(docs.select(at.alias("at"), whole_row(docs).alias("row")))
+    columns = [F.col(f"row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind]  # maps have no hash
+    texts = rows.select("row.doc_id", "row.text", "at", F.xxhash64(*columns).alias("hashed"))
+    signed = stored(_signed(texts, shingle_words, "at", "hashed"))
+    rooted = _rooted(texts, signed, shingle_words, percent, miss, BLOCK).filter("root is not null")
+    one = rooted.groupBy("root").agg(F.min(F.struct("key", "node", "hashed", "at")).alias("one"))
+    one = stored(one)  # both sides of the join are dealt anew: a hot root is split
+    gone = rooted.join(one, "root").filter("at <> one.at").select("at")
+    return rows.join(gone, "at", "left_anti").select("row.*")

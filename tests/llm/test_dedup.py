@@ -100,6 +100,23 @@ def test_keep_one_of_each(docs, no_docs, texts):
     assert twice.count() == 2 * len(texts) and as_rows(twice) == brute_components(texts, 5)
 
 
+def test_keep_one_row_of_each_whatever_its_id(spark):
+    """Copies under null ids, repeated rows, and an id on two texts."""
+    shared, repeated, own, many = (prose(400 + i, 60) for i in range(4))
+    near = many.split(" ")
+    near[30] = "changed"
+    rows = [(1, shared, "a"), (2, shared, "b"), (2, own, "c"), (3, repeated, "d"), (3, repeated, "d"), (3, repeated, "d")]
+    rows += [(None, many, "e"), (None, many, "f"), (None, many, "f"), (None, " ".join(near), "g"), (9, many, "h")]
+    rows += [(None, None, "i"), (4, "", "j"), (5, own + " end of another text " + prose(410, 60), "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    found = [tuple(r) for r in nd.keep_one_of_each(df, 5).collect()]
+    of_many = [r for r in found if r[2] in "efgh"]
+    assert len(of_many) == 1 and of_many[0] in rows and of_many[0][0] is None
+    expected = [rows[0], rows[2], rows[3], *rows[-3:]]
+    assert sorted(map(str, found)) == sorted(map(str, expected + of_many))
+    assert of_many == [tuple(r) for r in nd.keep_one_of_each(df.repartition(2), 5).collect() if r.lang in "efgh"]
+
+
 def test_query_on_the_given_documents(spark):
     given = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
     assert as_rows(QUERIES["op10_near_dedup"](spark, SF_DIR)) == brute_components(given, 2)
