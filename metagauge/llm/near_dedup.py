@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metagauge.llm.components import components
-from metagauge.llm.tables import FIRST_KEY, order_key, partitions, stored, whole_row
+from metagauge.llm.tables import FIRST_KEY, order_key, partitions, stored, text_digest, whole_row
 from metagauge.llm.words import FOLD, NOT_SPACE, hashes, mix, shingles, spans, steps, text_bytes
 
 #: Rows of a band and bands. A link at similarity 0.8 shares no band with chance (1 - 0.8**5)**32, three in a million.
@@ -84,7 +84,8 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, n: int, *carried: str) -> DataFrame:
-    """``key, n_shingles, node, signature, bands`` of every row and the numbers that it carries; no node without shingles."""
+    """``key, digest, n_shingles, node, signature, bands`` of every row and the numbers that it carries; no node without
+    shingles."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,18 +105,20 @@ def _signed(docs: DataFrame, n: int, *carried: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("key"),
+                        part.column("digest"),
                         pa.array(count),
                         pa.array(node, mask=none),
                         pa.BinaryArray.from_buffers(pa.binary(), len(count), [None, at, raw]),
                         pa.ListArray.from_arrays(offsets, pa.array(bands.reshape(-1))),
                         *[part.column(c) for c in carried],
                     ],
-                    names=["key", "n_shingles", "node", "signature", "bands", *carried],
+                    names=["key", "digest", "n_shingles", "node", "signature", "bands", *carried],
                 )
 
-    rows = docs.select(order_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"), *carried)
-    schema = ["key long, n_shingles long, node long, signature binary, bands array<long>", *[f"{c} long" for c in carried]]
-    return rows.mapInArrow(sign, ", ".join(schema))
+    text = F.coalesce("text", F.lit("")).alias("text")
+    rows = docs.select(order_key().alias("key"), text_digest().alias("digest"), text, *carried)
+    schema = "key long, digest long, n_shingles long, node long, signature binary, bands array<long>"
+    return rows.mapInArrow(sign, ", ".join([schema, *[f"{c} long" for c in carried]]))
 
 
 def least_matches(similarity: float, miss: float) -> list[int]:
@@ -191,8 +194,12 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "xa", "xb").mapInArrow(verify, "a long, b long")
 
 
-def _full_sets(docs: DataFrame, first: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """``node, members``: the shingles of the nodes, from the text of the first row of each."""
+def _full_sets(docs: DataFrame, signed: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """``node, members``: the shingles of the nodes, from the text of the first row of each.
+
+    A row is found again by its id and the digest of its text, so it meets its own node only, however many share the id. Of
+    rows equal in both, those that do not come one after the other are told apart at the end.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -209,14 +216,17 @@ def _full_sets(docs: DataFrame, first: DataFrame, nodes: DataFrame, n: int) -> D
                 if not len(same):
                     continue
                 last = node[same[-1]]
-                members = [found[at[i] : at[i + 1]].tobytes() for i in same.tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("node").take(pa.array(same)), pa.array(members, pa.binary())], names=["node", "members"]
-                )
+                members = pa.array([found[at[i] : at[i + 1]].tobytes() for i in same.tolist()], pa.binary())
+                node, several = (part.column(c).take(pa.array(same)) for c in ("node", "several"))
+                yield pa.RecordBatch.from_arrays([node, several, members], names=["node", "several", "members"])
 
-    wanted = nodes.join(first, "node")
-    rows = docs.select(order_key().alias("key"), "text").join(wanted, "key").select("node", "text")
-    return rows.mapInArrow(build, "node long, members binary")
+    texts = signed.filter("node is not null").groupBy("node", "key", "digest").agg((F.count(F.lit(1)) > 1).alias("several"))
+    first = texts.groupBy("node").agg(F.min(F.struct("key", "digest", "several")).alias("first"))
+    wanted = first.join(nodes, "node").select("node", "first.*")
+    rows = docs.select(order_key().alias("key"), text_digest().alias("digest"), "text").join(wanted, ["key", "digest"])
+    found = stored(rows.select("node", "several", "text").mapInArrow(build, "node long, several boolean, members binary"))
+    again = stored(found.filter("several").dropDuplicates(["node"]))
+    return found.filter("not several").unionByName(again).select("node", "members")
 
 
 def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -321,7 +331,6 @@ def _rooted(docs: DataFrame, signed: DataFrame, shingle_words: int, percent: int
     spark = docs.sparkSession
     least = least_matches(percent / 100, miss)
     nodes = signed.filter("node is not null")
-    first = nodes.groupBy("node").agg(F.min("key").alias("key"))
 
     bands = nodes.select(F.posexplode("bands").alias("slot", "band"), "node")
     several = bands.groupBy("band").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("band")
@@ -334,7 +343,7 @@ def _rooted(docs: DataFrame, signed: DataFrame, shingle_words: int, percent: int
     candidates = met.select("node")
     one_each = nodes.select("node", "n_shingles", "signature").join(candidates, "node", "left_semi")
     one_each = stored(one_each.dropDuplicates(["node"]))
-    full = stored(_full_sets(docs, first, candidates, shingle_words))
+    full = _full_sets(docs, signed, candidates, shingle_words)
     tested = spokes.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     links = stored(_verified(_compared(tested, one_each, percent, least), full, percent))
     roots = components(links)

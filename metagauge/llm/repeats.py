@@ -15,9 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from metagauge.llm.tables import order_key, stored, whole_row
+from metagauge.llm.tables import order_key, stored, text_digest, whole_row
 from metagauge.llm.words import NOT_SPACE, hashes, runs, spans, steps, text_bytes, with_texts, without
 
 #: Words of a suffix that its key covers.
@@ -82,7 +81,7 @@ def _lists(text: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
 
 
 def _retained(rows: DataFrame, min_words: int, key_words: int) -> DataFrame:
-    """``key, id, n_words, suffixes, own`` of every row; ``own`` are the suffixes that it has in several places."""
+    """``key, digest, id, n_words, suffixes, own`` of every row; ``own`` are the suffixes that it has in several places."""
 
     def retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,26 +92,31 @@ def _retained(rows: DataFrame, min_words: int, key_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("key"),
+                        part.column("digest"),
                         pa.array(w.ids()),
                         pa.array(w.count),
                         _lists(text, key, n),
                         _lists(text[several], key[several], n),
                     ],
-                    names=["key", "id", "n_words", "suffixes", "own"],
+                    names=["key", "digest", "id", "n_words", "suffixes", "own"],
                 )
 
-    return rows.mapInArrow(retain, "key long, id long, n_words long, suffixes array<long>, own array<long>")
+    schema = "key long, digest long, id long, n_words long, suffixes array<long>, own array<long>"
+    return rows.mapInArrow(retain, schema)
 
 
 def _extended(rows: DataFrame, min_words: int, key_words: int) -> DataFrame:
     """``window, id, at, again``: every window of the given suffixes of each text; ``again`` if the text has it before."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = 0
         for batch in batches:
             for part in steps(batch, "text", 1_000_000):
                 w = _Windows(part.column("text"), min_words, key_words)
                 ids = part.column("id").to_numpy()
-                right = (w.ids() == ids)[w.text]
+                new = ids != np.concatenate([[last], ids[:-1]])  # a row that is repeated comes again at once
+                last = ids[-1]
+                right = (new & (w.ids() == ids))[w.text]
                 suffixes = part.column("suffixes")
                 at, wanted = suffixes.offsets.to_numpy(), suffixes.flatten().to_numpy().view(np.uint64)
                 at = at - at[0]
@@ -152,28 +156,30 @@ def _spans(rows: DataFrame, min_words: int) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame, min_words: int = 50, key_words: int = KEY_WORDS) -> DataFrame:
-    """``key, id, n_words, spans``: of every document the spans of words, counted from 0, that repeat an earlier passage.
+    """``key, digest, id, n_words, spans``: of every document the spans of words, counted from 0, that repeat an earlier passage.
 
     Words stand between ASCII white space and are compared as they are. A window of ``min_words`` words that stands in several
     places stays where it comes first, in the order of a hash of the texts and then of the places; elsewhere its words are
     in a span. Of documents with equal words the one with the least id stays, if they have ``min_words`` words; the others
     are one span as a whole.
 
-    ``key`` is the id, the least number for null, and ``id`` a hash of the words, 0 for fewer than ``min_words``. Null, empty
+    ``key`` is the id, the least number for null, ``digest`` the text's, and ``id`` a hash of the words, 0 for fewer than
+    ``min_words``. Texts are found again by key and digest, so an id may have any share of the rows. Null, empty
     and short texts have no spans; rows equal in id and words are one document; other columns are not read; an empty table
     gives no rows.
     """
-    rows = docs.select(order_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit("")).alias("text")
+    rows = docs.select(order_key().alias("key"), text_digest().alias("digest"), text)
     retained = stored(_retained(rows, min_words, key_words))
     long = retained.filter("id <> 0")
-    least = long.groupBy("id").agg(F.min("key").alias("key"))
+    least = stored(long.groupBy("id").agg(F.min(F.struct("key", "digest")).alias("least")).select("id", "least.*"))
 
     suffixes = long.select(F.explode("suffixes").alias("suffix"), "id")
     shared = suffixes.groupBy("suffix").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x <> y").select("suffix")
     own = long.select(F.explode("own").alias("suffix"), "id")
     wanted = suffixes.join(shared, "suffix").select("suffix", "id").unionByName(own)
     wanted = wanted.groupBy("id").agg(F.collect_set("suffix").alias("suffixes")).join(least, "id")
-    windows = stored(_extended(rows.join(wanted, "key").select("id", "text", "suffixes"), min_words, key_words))
+    windows = stored(_extended(rows.join(wanted, ["key", "digest"]).select("id", "text", "suffixes"), min_words, key_words))
 
     once = windows.filter("not again").select("window", "id", "at")
     first = once.groupBy("window").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x <> y")
@@ -182,12 +188,12 @@ def find_repeats(docs: DataFrame, min_words: int = 50, key_words: int = KEY_WORD
     again = again.unionByName(windows.filter("again").select("id", "at"))
     found = _spans(again.groupBy("id").agg(F.collect_set("at").alias("ats")), min_words)
 
-    every = retained.select("key", "id", "n_words").join(found, "id", "left")
+    every = retained.select("key", "digest", "id", "n_words").join(found, "id", "left")
     every = every.join(least.select("id", F.col("key").alias("kept")), "id", "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_words").alias("last")))
     none = F.expr("cast(array() as array<struct<first: bigint, last: bigint>>)")
     own_spans = F.when(F.col("kept") < F.col("key"), whole).otherwise(F.coalesce("spans", none))
-    return every.select("key", "id", "n_words", own_spans.alias("spans"))
+    return every.select("key", "digest", "id", "n_words", own_spans.alias("spans"))
 
 
 def words_in(spans: str = "spans"):
@@ -202,29 +208,21 @@ def cut_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     What stands before and after a span keeps its own spelling; a text that is a repeat as a whole becomes empty. Documents
     without spans are unchanged.
     """
-    found = find_repeats(docs, min_words)
-    found = found.groupBy("key").agg(F.collect_set(F.struct("id", "n_words", "spans")).alias("found"))
-    rows = docs.select(order_key().alias("key"), whole_row(docs).alias("row")).join(found, "key").select("row", "found")
+    found = find_repeats(docs, min_words).dropDuplicates(["key", "digest"])
+    rows = docs.select(order_key().alias("key"), text_digest().alias("digest"), whole_row(docs).alias("row"))
+    rows = rows.join(found, ["key", "digest"]).select("row", "n_words", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, found = batch.column("row"), batch.column("found").to_pylist()
-            texts, n_words, spans = row.field("text").to_pylist(), [], []
-            for i, own in enumerate(found):
-                w = None
-                if len(own) > 1 or own[0]["spans"]:
-                    w = _Windows(pa.array([texts[i]], pa.string()), min_words, KEY_WORDS)
-                    # Rows of one id may have other words.
-                    own = [f for f in own if f["id"] == w.ids()[0] and f["n_words"] == len(w.words)]
-                n_words.append(own[0]["n_words"])
-                spans.append(own[0]["spans"])
-                if own[0]["spans"]:
-                    texts[i] = without(texts[i], [(w.starts[s["first"]], w.ends[s["last"] - 1]) for s in spans[-1]])
-            columns = [with_texts(row, texts), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS)]
+            row, texts = batch.column("row"), batch.column("row").field("text").to_pylist()
+            for i, own in enumerate(batch.column("spans").to_pylist()):
+                if own:
+                    starts, ends, _ = spans(*text_bytes(pa.array([texts[i]], pa.string())), NOT_SPACE)
+                    texts[i] = without(texts[i], [(starts[s["first"]], ends[s["last"] - 1]) for s in own])
+            columns = [with_texts(row, texts), batch.column("n_words"), batch.column("spans")]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "n_words", "spans"])
 
-    kinds = found.schema["found"].dataType.elementType
-    return rows.mapInArrow(cut, StructType([rows.schema["row"], kinds["n_words"], kinds["spans"]]))
+    return rows.mapInArrow(cut, rows.schema)
 
 
 def remove_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:

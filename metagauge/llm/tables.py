@@ -75,6 +75,11 @@ def order_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(FIRST_KEY))
 
 
+def text_digest() -> Column:
+    """A number for ``text``, the same wherever it is computed; with the key it tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def range_of(df: DataFrame, key: str, parts: int) -> Column:
     """The number of the key's range, from 0 on in ascending order, with about as many rows in each of ``parts`` ranges.
 

@@ -6,12 +6,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from metagauge.llm import near_dedup as nd
 from metagauge.llm.components import components
 from metagauge.llm.queries import QUERIES
-from metagauge.llm.repeats import find_repeats, remove_repeats
+from metagauge.llm.repeats import KEY_WORDS, _Windows, find_repeats, remove_repeats
 from tests.llm.conftest import prose
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -191,6 +192,35 @@ def test_what_a_neighbour_alone_would_miss(spark):
     check_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts, 15)
 
 
+def test_rows_of_one_id_are_not_paired(spark, monkeypatch):
+    texts = [prose(500 + i, 80) for i in range(40)]
+    texts += [f"{t} {prose(600 + i, 40)}" for i, t in enumerate(texts[:20])] + [t + " end" for t in texts[20:30]]
+    given = texts + texts[-15:]
+    rows = [(None, t) for t in given] + [(7, texts[0]), (8, texts[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    read, real = [], type(df).mapInArrow
+
+    def watched(self, *more, **named):
+        if {"text", "row"} & set(self.columns):
+            read.append(self)
+        return real(self, *more, **named)
+
+    monkeypatch.setattr(type(df), "mapInArrow", watched)
+    near = nd.near_duplicates(df, 2).collect()
+    brute = brute_components(dict(enumerate(texts)), 2)
+    size = {t: brute[i][0] for i, t in enumerate(texts)}
+    assert sorted(r.n_shingles for r in near if r.doc_id is None) == sorted(size[t] for t in given)
+    assert [(r.component_id, r.kept) for r in near if r.doc_id] == [(None, False)] * 2
+
+    found = remove_repeats(df, 50).collect()
+    ids = _Windows(pa.array(texts), 50, KEY_WORDS).ids()
+    marks = brute_repeats(dict(enumerate(texts)), lambda i: ids[i], 50)
+    left = {t: " ".join(w for w, m in zip(words(t), marks[i], strict=True) if not m) for i, t in enumerate(texts)}
+    assert sorted(" ".join(words(r.text)) for r in found if r.doc_id is None) == sorted(left[t] for t in given)
+    assert [r.text for r in found if r.doc_id] == ["", ""]
+    assert len(read) >= 5 and all(frame.count() <= len(rows) for frame in read)
+
+
 def test_remove_repeats(docs, no_docs, texts):
     found = remove_repeats(docs, 50)
     rows = {r.doc_id: r for r in found.collect()}
