@@ -1,10 +1,10 @@
-"""Suffix-array dedup: passages that stand in several places, found from suffixes at content-selected positions.
+"""Suffix dedup without a suffix array: passages that stand in several places, found from suffixes at minimisers.
 
 A passage of ``min_words`` words or more that stands twice has the same minimisers in both places, so only the suffixes at
-minimisers are retained, each under a hash of its first words. Suffixes whose beginning is unique go. What is left is sorted by
-content and each suffix is extended to the left and to the right: over every window of ``min_words`` words whose minimiser it
-is, hashed, so that windows meet their equals in the sort. Comparing a suffix with its two neighbours alone would lose
-passages: of three suffixes that begin alike, the first and the last may share what precedes them, and the middle one not.
+minimisers are retained, each under a hash of its first words. Suffixes whose hash is unique go. No suffixes are sorted and no
+neighbours compared: every window of ``min_words`` words whose minimiser is a suffix that is left is hashed, and windows are
+grouped by their hashes. Comparing a suffix with its two neighbours alone would lose passages: of three suffixes that begin
+alike, the first and the last may share what precedes them, and the middle one not.
 """
 
 from __future__ import annotations
