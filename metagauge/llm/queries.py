@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +14,17 @@ from metagauge.llm import chat
 from metagauge.llm.decontaminate import find_items, hit_words
 from metagauge.llm.fingerprints import compare_with_edits
 from metagauge.llm.near_dedup import near_duplicates
+from metagauge.llm.neighbours import nearest
 from metagauge.llm.pieces import round_trip
 from metagauge.llm.quality import judge
 from metagauge.llm.repeats import cut_repeats, words_in
+from metagauge.llm.runs import find_runs
 from metagauge.llm.sharding import shard_by_bytes
 from metagauge.llm.tables import shared_folder, table
 from metagauge.llm.token_counts import count_tokens
 from metagauge.llm.token_files import read_token_files, write_token_files
+from metagauge.llm.vectors import finite
+from metagauge.llm.whitening import whiten
 
 
 def vocabulary(name: str) -> str:
@@ -93,6 +99,41 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def echoed(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Which word is read at each place: in a tenth of the documents a stretch is read again and again to the end."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    places = np.arange(n)
+    places[a:] = a + (places[a:] - a) % p
+    return places
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), reading=echoed)
+    digests = "runs_sha256", "collapsed_sha256"
+    return found.select("row.doc_id", "n_runs", "start", "length", "period", "exponent_milli", *digests)
+
+
+def whole_numbers(vectors: DataFrame) -> DataFrame:
+    """Each entry in 64ths, rounded down, plus a million; beyond 2**62 such numbers stay at it."""
+    in_64ths = lambda c: F.greatest(F.least(c.cast("double") * 64, F.lit(2.0**62)), F.lit(-(2.0**62)))
+    return vectors.withColumn("x", F.transform("embedding", lambda c: F.floor(in_64ths(c)) + 1_000_000))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").where(finite("embedding"))
+    return whiten(whole_numbers(vectors).select("vec_id", "x"), components=16, weight="one")
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -104,6 +145,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontamination": op9_decontamination,
     "op10_near_dedup": op10_near_dedup,
+    "op11_runs": op11_runs,
+    "op12_whitening": op12_whitening,
+    "op13_neighbours": op13_neighbours,
 }
 
 def _escaped_in_sql(column: str) -> str:
