@@ -57,7 +57,8 @@ class TableAnalyzer:
 
     @classmethod
     def of_relations(cls, spark: SparkSession, relations: dict[str, DataFrame], strict: bool = True) -> TableAnalyzer:
-        """Over relations from elsewhere: ``tables``, ``snapshots``, ``files``, and for orphans ``referenced`` paths."""
+        """Over relations from elsewhere: ``tables``, ``snapshots``, ``files``, and for orphans ``referenced`` paths.
+        Tables that have a ``location`` can be listed."""
         own = cls.__new__(cls)
         own.spark, own.strict, own._kept, own._parsed = spark, strict, Kept(), None
         given = dict(relations)
@@ -87,66 +88,79 @@ class TableAnalyzer:
 
     @cached_property
     def errors(self) -> DataFrame:
-        """What could not be read: documents, and unless strict, manifest lists and manifests."""
+        """What could not be read: documents, and unless strict, manifest lists and manifests. Known from the reading itself,
+        which this starts if nothing has before."""
+        if self._parsed is None:  # whoever made the relations has read the files
+            return self.spark.createDataFrame([], metadata.ERRORS_SCHEMA)
         broken = metadata.fleet_errors(self._parsed)
         if self.strict:
             return broken
         documents = self.tables.select("table_name", "metadata_location")
-        lost = self._current[1].unionByName(self._history[1]).distinct()
-        told = lost.select("table_name", F.concat("error", F.lit(": "), "path").alias("error"))
+        told = self._lost.select("table_name", F.concat("error", F.lit(": "), "path").alias("error"))
         return broken.unionByName(told.join(documents, "table_name").select(*broken.columns))
 
     @cached_property
     def snapshots(self) -> DataFrame:
         return metadata.snapshots(self._parsed)
 
-    def _manifests(self, snapshots: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-        """Manifests of the snapshots, and what of them and of their lists can't be read; in strict mode nobody looks."""
-        if self.strict:
-            return manifests.manifest_files(snapshots, self._kept), None
-        unknown = F.lit(None).cast("bigint").alias("length")
-        lists = self._kept.stored(
-            storage.unreadable_files(snapshots.select("table_name", F.col("manifest_list").alias("path"), unknown))
-        )
-        gone = lists.select("table_name", F.col("path").alias("manifest_list"))
-        found = manifests.manifest_files(snapshots.join(gone, ["table_name", "manifest_list"], "left_anti"), self._kept)
-        paths = found.select("table_name", F.col("manifest_path").alias("path"), F.col("manifest_length").alias("length"))
-        lost = self._kept.stored(storage.unreadable_files(paths))
-        gone = lost.select("table_name", F.col("path").alias("manifest_path"))
-        return found.join(gone, ["table_name", "manifest_path"], "left_anti"), lists.unionByName(lost)
+    def _manifests(self, snapshots: DataFrame) -> manifests.Read:
+        return manifests.manifest_files(snapshots, self._kept, self.strict)
+
+    @cached_property
+    def _current(self) -> manifests.Read:
+        """Manifests of the current snapshots."""
+        return self._manifests(snapshot_ops.current_snapshot(self.tables, self.snapshots).where("snapshot_id IS NOT NULL"))
 
     @cached_property
-    def _current(self) -> tuple[DataFrame, DataFrame | None]:
-        current = snapshot_ops.current_snapshot(self.tables, self.snapshots).where("snapshot_id IS NOT NULL")
-        return self._manifests(current)
+    def _current_entries(self) -> manifests.Read:
+        return manifests.read_entries(self._current.rows, self.tables, self._kept, self.strict)
 
     @cached_property
-    def _history(self) -> tuple[DataFrame, DataFrame | None]:
+    def _history(self) -> manifests.Read:
+        """Manifests of all snapshots."""
         return self._manifests(self.snapshots)
 
+    @cached_property
+    def _older_entries(self) -> manifests.Read:
+        """Entries of the manifests that no current snapshot has, so that each manifest is read once."""
+        keys = ["table_name", "manifest_path"]
+        older = self._history.rows.join(self._current.rows.select(*keys).distinct(), keys, "left_anti")
+        return manifests.read_entries(older, self.tables, self._kept, self.strict)
+
+    @cached_property
+    def _lost_now(self) -> DataFrame:
+        """Files of current snapshots that could not be read."""
+        return self._current.lost.unionByName(self._current_entries.lost)
+
+    @cached_property
+    def _lost(self) -> DataFrame:
+        """Files of any snapshot that could not be read."""
+        lost = self._lost_now.unionByName(self._history.lost).unionByName(self._older_entries.lost)
+        return lost.groupBy("table_name", "path").agg(F.min("error").alias("error"))
+
+    def _without(self, rows: DataFrame, lost: DataFrame) -> DataFrame:
+        return rows.join(lost.select("table_name").distinct(), "table_name", "left_anti")
+
     @cached_property
     def files(self) -> DataFrame:
         """Live files: only the manifests of current snapshots are opened."""
-        found, lost = self._current
-        if lost is not None:
-            found = found.join(lost.select("table_name").distinct(), "table_name", "left_anti")
-        return manifests.live_files(manifests.read_entries(found, self.tables, self._kept))
+        found = manifests.live_files(self._current_entries.rows)
+        return found if self.strict else self._without(found, self._lost_now)
 
     @cached_property
     def _with_files(self) -> DataFrame:
         """The tables whose live files are known."""
-        lost = None if self._parsed is None else self._current[1]
-        return self.tables if lost is None else self.tables.join(lost.select("table_name").distinct(), "table_name", "left_anti")
+        return self.tables if self.strict or self._parsed is None else self._without(self.tables, self._lost_now)
 
     @cached_property
     def entries(self) -> DataFrame:
         """Entries of every manifest that any snapshot reaches."""
-        return manifests.read_entries(self._history[0], self.tables, self._kept)
+        return self._current_entries.rows.unionByName(self._older_entries.rows)
 
     @cached_property
     def references(self) -> DataFrame:
         """Every file that the tables know, ``table_name, file_path``: data, manifests, lists, documents, statistics."""
-        own = self._history[0].select("table_name", F.col("manifest_path").alias("file_path"))
+        own = self._history.rows.select("table_name", F.col("manifest_path").alias("file_path"))
         return self.entries.select("table_name", "file_path").union(own).union(metadata.metadata_files(self._parsed))
 
     @cached_property
@@ -155,6 +169,8 @@ class TableAnalyzer:
 
     def storage(self, location: str | None = None) -> DataFrame:
         """What lies in the tables' locations, or in those below ``location``, each file with its table."""
+        if "location" not in self.tables.columns:
+            raise ValueError("the locations of these tables are not known; make a listing with sources.storage")
         at = self.tables.select("table_name", "location")
         if location is not None:
             given = F.rtrim(normal_path(F.lit(location)), F.lit("/"))
@@ -195,9 +211,8 @@ class TableAnalyzer:
     def orphan_files(self, listing: DataFrame, older_than: dt.datetime | None = None) -> DataFrame:
         """Listed files that nothing references. Where not all manifests could be read (see ``errors``) nobody knows, and a
         table has no orphans."""
-        lost = None if self._parsed is None else self._history[1]
-        if lost is not None:
-            listing = listing.join(lost.select("table_name").distinct(), "table_name", "left_anti")
+        if not self.strict and self._parsed is not None:
+            listing = self._without(listing, self._lost)
         return orphan_ops.orphan_files(listing, self.references, older_than)
 
     def expirable_snapshots(

@@ -9,7 +9,9 @@ from .partitions import population_skew
 
 
 def _count_per_table(df: DataFrame, name: str) -> DataFrame:
-    return df.groupBy("table_name").agg(F.count(F.lit(1)).alias(name))
+    """Rows of each table; a row without one is refused when it is counted."""
+    known = F.coalesce("table_name", F.raise_error(F.lit("the listing must tell the table of each file")))
+    return df.groupBy(known.alias("table_name")).agg(F.count(F.lit(1)).alias(name))
 
 
 def health_summary(
@@ -19,10 +21,8 @@ def health_summary(
 
     Sizes and counts cover data files, so they agree with the partition metrics. Lists and per-partition maps stay
     DataFrames of their own (orphans, expirable snapshots and the two functions below): packed into one row they would
-    have to fit one task. Orphans of unknown tables are refused, as they would count for none.
+    have to fit one task. Orphans of unknown tables are refused when the summary is computed, as they would count for none.
     """
-    if not orphans.where("table_name IS NULL").isEmpty():
-        raise ValueError("the listing must tell the table of each file")
     totals = partition_metrics.groupBy("table_name").agg(
         F.sum("total_data_file_size").alias("total_size_bytes"),
         F.sum("data_file_count").alias("total_files"),

@@ -20,6 +20,11 @@ class Kept:
         self._frames: list[DataFrame] = []
         self._folders: list[tuple[SparkSession, str]] = []
 
+    def cached(self, df: DataFrame) -> DataFrame:
+        """``df`` cached when it is first computed; for small results that plans made before any job are built on."""
+        self._frames.append(df.persist())
+        return df
+
     def stored(self, df: DataFrame) -> DataFrame:
         """``df`` computed once for everything built on it.
 
@@ -29,8 +34,7 @@ class Kept:
         spark = df.sparkSession
         folder = shared_folder(spark)
         if folder is None:
-            self._frames.append(df.persist())
-            return df
+            return self.cached(df)
         path = f"{folder}/stored-{uuid.uuid4()}"
         df.write.parquet(path)
         self._folders.append((spark, path))

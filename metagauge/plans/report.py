@@ -10,6 +10,7 @@ from ..operators.files import file_metrics, live_table_metrics
 from ..operators.partitions import in_report_order, partition_metrics, partition_stats
 from ..operators.snapshots import historical_snapshots, history_in_order, latest_snapshot_metrics
 from .file_stats import file_stats
+from .lineage import Kept
 
 
 @dataclass
@@ -51,14 +52,20 @@ def table_report(
 
 
 def table_report_row(
-    tables: DataFrame, snapshots: DataFrame, files: DataFrame, history: int = 20, strict: bool = True
+    tables: DataFrame,
+    snapshots: DataFrame,
+    files: DataFrame,
+    history: int = 20,
+    strict: bool = True,
+    kept: Kept | None = None,
 ) -> DataFrame:
     """One flat row per table: live metrics, latest change, and the sizes of the report's lists.
 
     The aggregate is cached, when the row is first asked for, as three roll-ups read it: each needs other columns of it, so
-    Spark would not share its shuffle between them and derive the files three times.
+    Spark would not share its shuffle between them and derive the files three times. ``kept`` takes it over and can release
+    it; without, it stays until the session ends.
     """
-    stats = file_stats(files).persist()
+    stats = (kept or Kept()).cached(file_stats(files))
     live = live_table_metrics(stats)
     lists = (
         partition_metrics(partition_stats(stats))

@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import normal_path
 from ..plans.lineage import Kept
 from ..plans.pathscan import scan_paths
-from .metadata import DOCUMENT_SCHEMA, database_of, read_documents, table_name_of
+from .metadata import (
+    DOCUMENT_SCHEMA,
+    database_of,
+    metadata_files,
+    parse_documents,
+    read_documents,
+    table_name_of,
+)
 
 
 def split_name(name: str, database: str = "default") -> tuple[str, str]:
@@ -96,14 +105,15 @@ INVENTORY_SCHEMA = (
 )
 
 
-def session_inventory(spark: SparkSession, database: str) -> DataFrame:
-    """The same inventory for the tables of a database that the session's catalog knows."""
-    rows = []
-    for t in spark.catalog.listTables(database):
-        if t.isTemporary or t.tableType == "VIEW":
-            continue
+def session_inventory(spark: SparkSession, database: str, calls: int = 16) -> DataFrame:
+    """The same inventory for the tables of a database that the session's catalog knows.
+
+    The catalog answers for one table at a time; ``calls`` of these questions are under way at once.
+    """
+
+    def describe(t) -> tuple:
         name = ".".join(f"`{part}`" for part in [*([t.catalog] if t.catalog else []), *t.namespace, t.name])
-        # The catalog answers for one table at a time; one description holds columns, location and partition fields.
+        # One description holds columns, location and partition fields.
         described = [(r.col_name, r.data_type) for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()]
         heads = [i for i, (c, _) in enumerate(described) if not c or c.startswith("#")] or [len(described)]
         parts = [i for i, (c, _) in enumerate(described) if c == "# col_name"]
@@ -113,16 +123,12 @@ def session_inventory(spark: SparkSession, database: str) -> DataFrame:
                 break
             keys.append(c)
         properties = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
-        rows.append(
-            (
-                t.namespace[-1],
-                t.name,
-                dict(described[heads[0] :]).get("Location"),
-                properties,
-                keys,
-                dict(described[: heads[0]]),
-            )
-        )
+        location = dict(described[heads[0] :]).get("Location")
+        return t.namespace[-1], t.name, location, properties, keys, dict(described[: heads[0]])
+
+    named = [t for t in spark.catalog.listTables(database) if not t.isTemporary and t.tableType != "VIEW"]
+    with ThreadPoolExecutor(calls) as pool:
+        rows = list(pool.map(describe, named))
     return spark.createDataFrame(rows, INVENTORY_SCHEMA)
 
 
@@ -142,12 +148,30 @@ def table_properties(inventory: DataFrame, database: str, table: str) -> DataFra
     return inventory.where((F.col("database") == database) & (F.col("name") == table)).select("properties")
 
 
+def _described_location(spark: SparkSession, name: str) -> str | None:
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").first()
+    return described.data_type if described else None
+
+
 def session_relations(
-    spark: SparkSession, name: str, read: Callable[[str], DataFrame] | None = None
+    spark: SparkSession,
+    name: str,
+    read: Callable[[str], DataFrame] | None = None,
+    location: str | None = None,
+    open_document: bool = True,
 ) -> dict[str, DataFrame]:
-    """The relations of a table in an Iceberg catalog of the session, from its metadata tables."""
-    read = read or (lambda part: spark.table(f"{name}.{part}"))
-    label = F.lit(".".join(name.split(".")[-2:])).alias("table_name")
+    """The relations of a table in an Iceberg catalog of the session, from its metadata tables.
+
+    ``referenced`` is everything that the table reaches: data and delete files of all snapshots, their manifests and manifest
+    lists, the documents in its log, and what the newest document itself names (statistics). That document is the one file
+    that is opened; without ``open_document`` none is, and statistics files are not known. ``location`` is the catalog's
+    unless given, or else the folder above that of the newest document.
+    """
+    if read is None:
+        location = location or _described_location(spark, name)
+        read = lambda part: spark.table(f"{name}.{part}")
+    text = ".".join(name.split(".")[-2:])
+    label = F.lit(text).alias("table_name")
     snapshots = read("snapshots").select(
         label,
         "snapshot_id",
@@ -166,14 +190,34 @@ def session_relations(
             label, "content", "file_path", "file_format", "spec_id", partition, "record_count", "file_size_in_bytes"
         )
 
+    log = read("metadata_log_entries")
+    newest = log.agg(F.max_by("file", "timestamp").alias("metadata_location"))
+    # The folder of the documents lies in that of the table.
+    above = F.regexp_extract("metadata_location", r"^(.*)/[^/]*/[^/]*$", 1)
+    at = F.lit(location) if location else above
     # One row in any case, also for a table without snapshots. A table has a handful of branches and tags.
-    tables = read("refs").agg(
+    refs = read("refs").agg(
         F.max(F.when(F.col("name") == "main", F.col("snapshot_id"))).alias("current_snapshot_id"),
         F.collect_list("snapshot_id").alias("ref_snapshot_ids"),
     )
+    one = F.lit(1)
+    tables = refs.withColumn("__one", one).join(newest.withColumn("__one", one), "__one")
+    reached = [
+        files("all_files").select("file_path"),
+        read("all_manifests").select(F.col("path").alias("file_path")),
+        snapshots.select(F.col("manifest_list").alias("file_path")),
+        log.select(F.col("file").alias("file_path")),
+    ]
+    document = newest.first().metadata_location if open_document else None
+    if document:
+        named = metadata_files(parse_documents(read_documents(spark, [document])))
+        reached.append(named.select("file_path"))
+    paths = reduce(DataFrame.union, reached).where("file_path IS NOT NULL")
     return {
-        "tables": tables.select(label, "current_snapshot_id", "ref_snapshot_ids"),
+        "tables": tables.select(
+            label, "metadata_location", at.alias("location"), "current_snapshot_id", "ref_snapshot_ids"
+        ),
         "snapshots": snapshots,
         "files": files("files"),
-        "referenced": files("all_files").select("table_name", "file_path"),
+        "referenced": paths.select(label, "file_path"),
     }

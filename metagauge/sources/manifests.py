@@ -1,97 +1,124 @@
 """Manifest lists and manifests: Avro files naming the data and delete files of a snapshot.
 
-PySpark bundles the Avro input format that renders each record as JSON text. Records go from that input format straight
-into a Dataset, so they never pass through a Python worker, and ``from_json`` with a short schema drops column bounds
-and sizes before anything is shuffled. Each manifest is at least one input split.
+Files are opened by tasks, with Avro's own reader in the JVM and the session's Hadoop settings; their paths are rows like any
+others and never come to the driver. Small files are packed into few tasks, large ones cut into pieces at block borders. Records
+become JSON text, so that ``from_json`` with a short schema drops column bounds and sizes before anything is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import normal_path, utc_text
+from ..functions import utc_text
+from ..jvm import map_partitions
 from ..plans.lineage import Kept
-from ..plans.pathscan import scan_paths
 from ..schemas import ENTRY_SCHEMA, MANIFEST_LIST_SCHEMA, STATUS_DELETED
-from .metadata import literal_path
 
 ENTRIES_SCHEMA = (
     "table_name STRING, snapshot_id BIGINT, status INT, content INT, file_path STRING, file_format STRING, "
     "spec_id INT, partition ARRAY<STRUCT<name: STRING, value: STRING>>, record_count BIGINT, "
     "file_size_in_bytes BIGINT, manifest_path STRING"
 )
-_INPUT_DIR = "mapreduce.input.fileinputformat.inputdir"
-
-
-def _input_path(path: str) -> str:
-    return literal_path(path).replace("\\", "\\\\").replace(",", "\\,")
-
-
-def avro_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Records of Avro files as JSON text, with the file each came from."""
-    jvm, jsc = spark._jvm, spark.sparkContext._jsc
-    loader = jvm.java.lang.Thread.currentThread().getContextClassLoader()
-    text = loader.loadClass("org.apache.hadoop.io.Text")
-    input_format = loader.loadClass("org.apache.avro.mapred.AvroAsTextInputFormat")
-    conf = jvm.org.apache.hadoop.mapred.JobConf(jsc.hadoopConfiguration())
-    conf.set(_INPUT_DIR, ",".join(_input_path(p) for p in paths))
-    # Each path is looked up while the scan is planned.
-    conf.setInt("mapreduce.input.fileinputformat.list-status.num-threads", 16)
-    # Snapshot and manifest names are taken as given, with or without the usual suffix.
-    conf.setBoolean("avro.mapred.ignore.inputs.without.extension", False)
-    records = jsc.hadoopRDD(conf, input_format, text, text, 1).keys()
-    rows = spark._jsparkSession.createDataset(records.rdd(), jvm.org.apache.spark.sql.Encoders.bean(text))
-    # A Text is a buffer and the length that counts in it.
-    return DataFrame(rows.toDF(), spark).select(
-        F.input_file_name().alias("source_path"),
-        F.expr("CAST(substring(bytes, 1, length) AS STRING)").alias("record"),
-    )
+#: Bytes of files that a task reads, and of the pieces into which larger files are cut.
+TASK_BYTES, PIECE_BYTES = 64 * 1024 * 1024, 32 * 1024 * 1024
+#: What a file of unknown length counts for; such files are not cut.
+USUAL_BYTES = 1024 * 1024
+_NO_END = 1 << 62
+
+
+def avro_records(files: DataFrame, owner: str, strict: bool = True) -> DataFrame:
+    """``owner, record, error``: the records of the Avro files in ``path, length`` rows as JSON text, each with the column
+    ``owner`` of its file.
+
+    Each row is read, so paths should not repeat; ``length`` may be null. Files are dealt out over as many tasks as their bytes
+    need, at least one for each core, so that a scan of many small files has few tasks. Unless strict, a file that can't be
+    opened, is shorter than its known length, or in which a block can't be read, ends there with a row that has an ``error``
+    and no record.
+
+    Looks at all rows once to see how many bytes there are.
+    """
+    spark = files.sparkSession
+    row = files.agg(F.sum(F.coalesce("length", F.lit(USUAL_BYTES))).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    n_pieces = row.n + (row.bytes or 0) // PIECE_BYTES
+    tasks = max(min(n_pieces, spark.sparkContext.defaultParallelism), -(-(row.bytes or 0) // TASK_BYTES), 1)
+    last = F.greatest(F.coalesce("length", F.lit(0)) - 1, F.lit(0)).cast("bigint")
+    starts = F.sequence(F.lit(0).cast("bigint"), last, F.lit(PIECE_BYTES).cast("bigint"))
+    pieces = files.select("path", F.explode(starts).alias("start"), F.coalesce("length", F.lit(0)).cast("bigint").alias("length"), owner)
+    end = F.when(F.col("start") + PIECE_BYTES < F.col("length"), F.col("start") + PIECE_BYTES).otherwise(F.lit(_NO_END))
+    columns = "path", "start", end.cast("bigint").alias("end"), "length", F.col(owner).alias("owner")
+    dealt = pieces.select(*columns).repartition(tasks)
+    kind = files.schema[owner].dataType.simpleString()
+    return map_partitions(dealt, "AvroRecords", f"owner {kind}, record STRING, error STRING", strict)
 
 
 def _parsed(records: DataFrame, schema: str) -> DataFrame:
-    """Records as the columns of ``schema``, by source path. Generated, so that each record is parsed once however many
-    expressions read it."""
-    record = F.array(F.from_json("record", schema))
-    return records.select(normal_path("source_path").alias("__path"), F.inline(record))
+    """``owner``, ``error`` and the record as the columns of ``schema``. Generated, so that each record is parsed once however
+    many expressions read it; an error is a row without values."""
+    return records.select("owner", "error", F.inline(F.array(F.from_json("record", schema))))
 
 
 MANIFEST_SCHEMA = (
     "table_name STRING, snapshot_id BIGINT, manifest_path STRING, manifest_length BIGINT, spec_id INT, "
     "added_snapshot_id BIGINT"
 )
+LOST_SCHEMA = "table_name STRING, path STRING, error STRING"
+
 
+@dataclass
+class Read:
+    """Rows that could be read, and ``table_name, path, error`` of the files that could not; strictly, there are none."""
 
-def manifest_files(snapshots: DataFrame, kept: Kept | None = None) -> DataFrame:
+    rows: DataFrame
+    lost: DataFrame
+
+
+def _once(read: DataFrame, kept: Kept | None, path: str) -> tuple[DataFrame, DataFrame]:
+    """What was read, stored so that rows and errors come from one reading."""
+    whole = (kept or Kept()).stored(read)
+    lost = whole.where("error IS NOT NULL").select("table_name", F.col(path).alias("path"), "error").distinct()
+    return whole.where("error IS NULL").drop("error"), lost
+
+
+def manifest_files(snapshots: DataFrame, kept: Kept | None = None, strict: bool = True) -> Read:
     """Manifests of the given snapshots: those in their manifest lists, or named in the metadata itself (early format).
 
     A list that several tables share, say one table under two names, is read once and its manifests belong to each.
     """
-    lists = snapshots.where("manifest_list IS NOT NULL").groupBy("manifest_list", "table_name").agg(
-        F.min("snapshot_id").alias("snapshot_id")
+    lists = (
+        snapshots.where("manifest_list IS NOT NULL")
+        .groupBy("manifest_list", "table_name")
+        .agg(F.min("snapshot_id").alias("snapshot_id"))
+        .groupBy("manifest_list")
+        .agg(F.collect_list(F.struct("table_name", "snapshot_id")).alias("tables"))
     )
-
-    def read(spark: SparkSession, paths: Sequence[str], known: DataFrame) -> DataFrame:
-        owners = known.select("table_name", F.col("snapshot_id").alias("owner"), normal_path("manifest_list").alias("__path"))
-        return (
-            _parsed(avro_records(spark, paths), MANIFEST_LIST_SCHEMA)
-            .join(F.broadcast(owners), "__path")
-            .select(
-                "table_name",
-                F.col("owner").alias("snapshot_id"),
-                "manifest_path",
-                "manifest_length",
-                F.coalesce("partition_spec_id", F.lit(0)).alias("spec_id"),
-                F.coalesce("added_snapshot_id", "owner").alias("added_snapshot_id"),
-            )
+    files = (kept or Kept()).stored(
+        lists.select(
+            F.col("manifest_list").alias("path"),
+            F.lit(None).cast("bigint").alias("length"),
+            F.struct(F.col("manifest_list").alias("path"), "tables").alias("owner"),
         )
-
-    listed = scan_paths(lists, "manifest_list", read, kept=kept)
-    if listed is None:
-        listed = snapshots.sparkSession.createDataFrame([], MANIFEST_SCHEMA)
+    )
+    records = _parsed(avro_records(files, "owner", strict), MANIFEST_LIST_SCHEMA)
+    owned = records.select("*", F.col("owner.path").alias("list_path"), F.explode("owner.tables").alias("of"))
+    listed, lost = _once(
+        owned.select(
+            "of.table_name",
+            "of.snapshot_id",
+            "manifest_path",
+            "manifest_length",
+            F.coalesce("partition_spec_id", F.lit(0)).alias("spec_id"),
+            F.coalesce("added_snapshot_id", F.col("of.snapshot_id")).alias("added_snapshot_id"),
+            "list_path",
+            "error",
+        ),
+        kept,
+        "list_path",
+    )
+    listed = listed.drop("list_path")
     if "manifests" not in snapshots.columns:
-        return listed
+        return Read(listed, lost)
     embedded = snapshots.where("manifest_list IS NULL").select(
         "table_name",
         "snapshot_id",
@@ -100,7 +127,7 @@ def manifest_files(snapshots: DataFrame, kept: Kept | None = None) -> DataFrame:
         F.lit(0).alias("spec_id"),
         F.col("snapshot_id").alias("added_snapshot_id"),
     )
-    return listed.unionByName(embedded)
+    return Read(listed.unionByName(embedded), lost)
 
 
 def _bytes_of(value: Column) -> Column:
@@ -186,24 +213,12 @@ def spec_kinds(tables: DataFrame) -> DataFrame:
     )
 
 
-def parse_entries(records: DataFrame, manifests: DataFrame) -> DataFrame:
-    """Manifest records as entries.
+def _entry_columns(owner: str) -> list[Column]:
+    """A parsed manifest record as an entry of the table that ``owner`` tells.
 
-    ``manifests`` has one row per (table, manifest) with ``spec_id``, ``added_snapshot_id`` and the partition field
-    ``kinds``. Entries without a snapshot id inherit the manifest's; the early format has no ``content`` and knows data
-    files only.
+    Entries without a snapshot id inherit the manifest's; the early format has no ``content`` and knows data files only.
     """
-    e = _parsed(records, ENTRY_SCHEMA)
-    named = manifests.select(
-        "table_name",
-        "spec_id",
-        "added_snapshot_id",
-        "kinds",
-        F.col("manifest_path"),
-        normal_path("manifest_path").alias("__path"),
-    )
-    joined = e.join(named, "__path")
-    kinds = F.col("kinds")
+    kinds = F.col(f"{owner}.kinds")
     # A list of fields rather than a map: grouping by a map would sort its keys, and the order of the spec would be lost.
     shown = F.transform(
         F.map_entries("data_file.partition"),
@@ -213,34 +228,56 @@ def parse_entries(records: DataFrame, manifests: DataFrame) -> DataFrame:
         ),
     )
     partition = F.coalesce(shown, F.array().cast("array<struct<name:string,value:string>>"))
-    return joined.select(
-        "table_name",
-        F.coalesce("snapshot_id", "added_snapshot_id").alias("snapshot_id"),
-        "status",
+    return [
+        F.col(f"{owner}.table_name"),
+        F.coalesce("snapshot_id", f"{owner}.added_snapshot_id").alias("snapshot_id"),
+        F.col("status"),
         F.coalesce("data_file.content", F.lit(0)).alias("content"),
-        "data_file.file_path",
-        "data_file.file_format",
-        "spec_id",
+        F.col("data_file.file_path"),
+        F.col("data_file.file_format"),
+        F.col(f"{owner}.spec_id"),
         partition.alias("partition"),
-        "data_file.record_count",
-        "data_file.file_size_in_bytes",
-        "manifest_path",
-    )
+        F.col("data_file.record_count"),
+        F.col("data_file.file_size_in_bytes"),
+    ]
 
 
-def read_entries(manifest_rows: DataFrame, tables: DataFrame, kept: Kept | None = None) -> DataFrame:
-    """Entries of all given manifests, for every table that has them; one shared by many snapshots is read once."""
+def owned_manifests(manifest_rows: DataFrame, tables: DataFrame) -> DataFrame:
+    """``path, length, owner`` of each manifest once; its owner tells the tables that have it, and how each of them writes
+    the values of its partition fields."""
     distinct = manifest_rows.groupBy("manifest_path", "table_name").agg(
         F.min("spec_id").alias("spec_id"),
         F.min("added_snapshot_id").alias("added_snapshot_id"),
+        F.max("manifest_length").alias("length"),
+    )
+    known = distinct.join(spec_kinds(tables), ["table_name", "spec_id"], "left")
+    return (
+        known.groupBy("manifest_path")
+        .agg(
+            F.max("length").alias("length"),
+            F.collect_list(F.struct("table_name", "spec_id", "added_snapshot_id", "kinds")).alias("tables"),
+        )
+        .select(
+            F.col("manifest_path").alias("path"),
+            "length",
+            F.struct(F.col("manifest_path").alias("path"), "tables").alias("owner"),
+        )
     )
-    with_kinds = distinct.join(spec_kinds(tables), ["table_name", "spec_id"], "left")
 
-    def read(spark: SparkSession, paths: Sequence[str], known: DataFrame) -> DataFrame:
-        return parse_entries(avro_records(spark, paths), F.broadcast(known))
 
-    entries = scan_paths(with_kinds, "manifest_path", read, kept=kept)
-    return manifest_rows.sparkSession.createDataFrame([], ENTRIES_SCHEMA) if entries is None else entries
+def parse_entries(records: DataFrame) -> DataFrame:
+    """Manifest records with their ``owner`` and ``error`` as entries, one for each table that has the manifest."""
+    each = _parsed(records, ENTRY_SCHEMA).select("*", F.explode("owner.tables").alias("of"))
+    return each.select(*_entry_columns("of"), F.col("owner.path").alias("manifest_path"), "error")
+
+
+def read_entries(
+    manifest_rows: DataFrame, tables: DataFrame, kept: Kept | None = None, strict: bool = True
+) -> Read:
+    """Entries of all given manifests, for every table that has them; one shared by many snapshots is read once."""
+    files = (kept or Kept()).stored(owned_manifests(manifest_rows, tables))
+    entries, lost = _once(parse_entries(avro_records(files, "owner", strict)), kept, "manifest_path")
+    return Read(entries, lost)
 
 
 def live_files(entries: DataFrame) -> DataFrame:

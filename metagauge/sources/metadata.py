@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..schemas import METADATA_SCHEMA
 
 DOCUMENT_SCHEMA = "metadata_location STRING, document STRING"
+ERRORS_SCHEMA = "table_name STRING, metadata_location STRING, error STRING"
 
 
 def _raw_path(uri: Column) -> Column:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..jvm import map_partitions
 from ..plans.lineage import Kept
 
 _LEVEL_SCHEMA = "table_name STRING, file_path STRING, is_folder BOOLEAN, length BIGINT, modified TIMESTAMP"
@@ -23,9 +22,11 @@ def fleet_listing(locations: DataFrame, kept: Kept | None = None) -> DataFrame:
     """All files below the locations of ``table_name, location`` rows, each with its table.
 
     Folders are listed by tasks, one level of all trees per job, and each level is stored, so the driver never holds the
-    listing. Empty files and names starting with ``_`` or ``.`` are included, which a Spark file scan leaves out; failed
-    writes often leave just those. A location that is not there has no files. Any DataFrame with these columns, say a
-    storage inventory, can stand in for this.
+    listing. A task goes through a folder page by page, as its file system hands it out under the session's Hadoop settings,
+    and passes rows on as they come: a folder with any number of files needs the memory of a page. One folder is one task's.
+    Empty files and names starting with ``_`` or ``.`` are included, which a Spark file scan leaves out; failed writes often
+    leave just those. A location that is not there, or is a file, has no files. Any DataFrame with these columns, say a storage
+    inventory, can stand in for this.
     """
     kept = kept or Kept()
     tasks = locations.sparkSession.sparkContext.defaultParallelism
@@ -33,7 +34,7 @@ def fleet_listing(locations: DataFrame, kept: Kept | None = None) -> DataFrame:
     folders = at.select("table_name", F.rtrim(F.col("location"), F.lit("/")).alias("folder"))
     files = None
     while True:
-        level = kept.stored(folders.repartition(tasks, "folder").mapInArrow(_folder_lister(), _LEVEL_SCHEMA))
+        level = kept.stored(map_partitions(folders.repartition(tasks, "folder"), "FolderPages", _LEVEL_SCHEMA))
         found = level.where("NOT is_folder").drop("is_folder")
         files = found if files is None else files.unionByName(found)
         folders = level.where("is_folder").select("table_name", F.col("file_path").alias("folder"))
@@ -43,10 +44,8 @@ def fleet_listing(locations: DataFrame, kept: Kept | None = None) -> DataFrame:
 
 
 def indexed_listing(spark: SparkSession, location: str, table_name: str | None = None) -> DataFrame:
-    """The same through Spark's file index, for file systems that only Hadoop's configuration can open.
-
-    The index stays on the driver, and empty and hidden files are left out. Contents are never read.
-    """
+    """The same through Spark's file index. The index stays on the driver, and empty and hidden files are left out. Contents are
+    never read."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(location)
     return listing.select(
         _name(table_name), F.col("path").alias("file_path"), "length", F.col("modificationTime").alias("modified")
@@ -73,100 +72,3 @@ def inventory_listing(
 
 def _name(table_name: str | None):
     return (F.lit(table_name) if table_name else F.lit(None).cast("string")).alias("table_name")
-
-
-def unreadable_files(rows: DataFrame) -> DataFrame:
-    """``table_name, path, error`` of the Avro files in ``table_name, path, length`` rows that can't be read: not there, no
-    Avro, or shorter than the length that is known of them. Tasks look at each path once; the driver sees none."""
-    tasks = rows.sparkSession.sparkContext.defaultParallelism
-    paths = rows.where("path IS NOT NULL").groupBy("path").agg(F.max("length").alias("length"))
-    bad = paths.repartition(tasks, "path").mapInArrow(_avro_prober(), "path STRING, error STRING")
-    return rows.select("table_name", "path").distinct().join(bad, "path").select("table_name", "path", "error")
-
-
-# The functions below travel to the tasks by value, with everything they use nested inside.
-
-
-def _resolver():
-    clients: dict = {}
-
-    def resolve(location: str):
-        import re
-
-        from pyarrow import fs
-
-        uri = re.fullmatch(r"(\w+)://([^/]*)/?(.*)", location)
-        if uri is None or uri[1] == "file":
-            if "file" not in clients:
-                clients["file"] = fs.LocalFileSystem()
-            return clients["file"], re.sub(r"^file:/+", "/", location)
-        scheme = "s3" if uri[1] in ("s3a", "s3n") else uri[1]
-        root = f"{scheme}://{uri[2]}"
-        if root not in clients:
-            clients[root] = fs.FileSystem.from_uri(root)
-        filesystem, base = clients[root]
-        return filesystem, f"{base.rstrip('/')}/{uri[3]}"
-
-    return resolve
-
-
-def _folder_lister():
-    resolve = _resolver()
-
-    def list_folders(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        from pyarrow import fs
-
-        rows_per_batch = 10_000
-        schema = pa.schema(
-            [
-                ("table_name", pa.string()),
-                ("file_path", pa.string()),
-                ("is_folder", pa.bool_()),
-                ("length", pa.int64()),
-                ("modified", pa.timestamp("us", "UTC")),
-            ]
-        )
-        for batch in batches:
-            for table_name, folder in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                filesystem, path = resolve(folder)
-                infos = filesystem.get_file_info(fs.FileSelector(path, allow_not_found=True))
-                for start in range(0, len(infos), rows_per_batch):
-                    part = infos[start : start + rows_per_batch]
-                    columns = [
-                        [table_name] * len(part),
-                        [f"{folder}/{i.base_name}" for i in part],
-                        [i.type == fs.FileType.Directory for i in part],
-                        [i.size for i in part],
-                        [None if i.mtime_ns is None else i.mtime_ns // 1000 for i in part],
-                    ]
-                    arrays = [pa.array(c, t) for c, t in zip(columns, schema.types)]
-                    yield pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-    return list_folders
-
-
-def _avro_prober():
-    resolve = _resolver()
-
-    def probe(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        from pyarrow import fs
-
-        def error_of(location: str, length: int | None) -> str | None:
-            filesystem, path = resolve(location)
-            info = filesystem.get_file_info(path)
-            if info.type == fs.FileType.NotFound:
-                return "missing file"
-            if length is not None and info.size < length:
-                return "cut off file"
-            with filesystem.open_input_stream(path) as stream:
-                return None if stream.read(4) == b"Obj\x01" else "no Avro file"
-
-        for batch in batches:
-            rows = zip(*[c.to_pylist() for c in batch.columns], strict=True)
-            bad = [(path, error) for path, length in rows if (error := error_of(path, length))]
-            columns = [pa.array([b[i] for b in bad], pa.string()) for i in range(2)]
-            yield pa.RecordBatch.from_arrays(columns, names=["path", "error"])
-
-    return probe

@@ -7,6 +7,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from metagauge import TableAnalyzer
 from metagauge.functions import partition_label
@@ -15,6 +16,10 @@ from metagauge.plans import pathscan
 from metagauge.sources import catalog, manifests, metadata, storage
 
 
+#: Some hundred kilobytes of names, so that a manifest of them has several blocks.
+LONG = [f"data/{'x' * 150}{i}.parquet" for i in range(600)]
+
+
 def rows(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
 
@@ -100,7 +105,7 @@ def test_missing_manifests_leave_out_their_table_only(spark, tmp_path):
     errors = {r.table_name: r.error.rsplit("/", 1)[1] for r in fleet.errors.collect()}
     assert errors == {"db.no_list": "snap-1.avro", "db.no_manifest": "00000-m0.avro"}
     assert fleet.snapshot_metrics().count() == 3  # snapshots are known from the documents
-    with pytest.raises(Exception, match="(?i)input path does not exist"):
+    with pytest.raises(Exception, match="(?i)does not exist"):
         TableAnalyzer(spark, warehouse=str(tmp_path), database="db").live_table_metrics().collect()
 
 
@@ -166,6 +171,12 @@ def test_compressed_metadata(spark, tmp_path):
     assert TableAnalyzer(spark, str(path.parent)).errors.count() == 1
 
 
+def manifests_of(known):
+    """One owner for all records, with the tables of these manifests."""
+    tables = F.collect_list(F.struct("table_name", "spec_id", "added_snapshot_id", "kinds")).alias("tables")
+    return known.groupBy("manifest_path").agg(tables).select(F.struct(F.col("manifest_path").alias("path"), "tables").alias("owner"))
+
+
 def test_partition_values_of_every_type(spark):
     kinds = {"d": "decimal(9, 2)", "n": "decimal(9, 2)", "b": "binary", "u": "uuid", "t": "time", "h": "hour", "x": "int"}
     uuid = [18, 52, -85, -51, *range(12)]
@@ -174,11 +185,13 @@ def test_partition_values_of_every_type(spark):
     record = json.dumps({"status": 1, "data_file": {"file_path": "f", "partition": partition, "record_count": 1}})
     manifest = "table_name STRING, spec_id INT, added_snapshot_id BIGINT, kinds MAP<STRING,STRING>, manifest_path STRING"
     known = spark.createDataFrame([("t", 0, 1, kinds, "/m")], manifest)
-    records = spark.createDataFrame([("file:/m", record)], "source_path STRING, record STRING")
+    records = spark.createDataFrame([(record, None)], "record STRING, error STRING")
     zone = spark.conf.get("spark.sql.session.timeZone")
     try:
         spark.conf.set("spark.sql.session.timeZone", "America/New_York")
-        got = {f.name: f.value for f in manifests.parse_entries(records, known).collect()[0].partition}
+        owned = manifests_of(known)
+        entries = manifests.parse_entries(records.join(owned)).collect()
+        got = {f.name: f.value for f in entries[0].partition}
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert got == {
@@ -299,8 +312,8 @@ def test_health_summary_of_one_table(mor, trees):
     listing = mor.storage(f"file://{trees}/sales/v2_mor")
     with pytest.raises(ValueError):
         mor.health_summary(listing.drop("table_name"), as_of=1)
-    with pytest.raises(ValueError):
-        mor.health_summary(storage.storage_listing(mor.spark, f"{trees}/sales/v2_mor"), as_of=1)
+    with pytest.raises(Exception, match="must tell the table"):
+        mor.health_summary(storage.storage_listing(mor.spark, f"{trees}/sales/v2_mor"), as_of=1).collect()
     row = mor.health_summary(listing, as_of=1_800_000_000_000).collect()[0]
     assert (row.total_size_bytes, row.total_files, row.total_partitions) == (3500, 3, 3)
     assert (row.orphan_file_count, row.expirable_snapshot_count) == (1, 3)
@@ -374,14 +387,86 @@ def test_long_path_lists_are_scanned_in_slices(spark, trees):
     assert rows(sliced, "metadata_location") == rows(whole, "metadata_location")
 
 
-def test_entries_in_slices_equal_entries_at_once(spark, trees, fleet, monkeypatch):
-    def entries():
-        return rows(manifests.read_entries(manifests.manifest_files(fleet.snapshots), fleet.tables), "*")
+def test_entries_in_pieces_equal_entries_at_once(spark, tmp_path, monkeypatch):
+    t = _plain(spark, tmp_path, "db", "long", files=LONG)
+    t.metadata(1)
+    path = tmp_path / "db/long/metadata/00000-m0.avro"
+    size = path.stat().st_size
+    files = spark.createDataFrame([(str(path), size, 7)], "path STRING, length BIGINT, own INT")
+    whole = rows(manifests.avro_records(files, "own"), "*")
+    assert len(whole) == len(LONG) and {r[0] for r in whole} == {7}
+    for piece in (size // 4, 1000):
+        monkeypatch.setattr(manifests, "PIECE_BYTES", piece)
+        cut = manifests.avro_records(files, "own")
+        assert rows(cut, "*") == whole
+        each = cut.groupBy(F.spark_partition_id()).count().collect()
+        assert len(each) > 1
+
+
+def test_small_files_are_packed_into_few_tasks(spark, tmp_path):
+    from tests.trees import MANIFEST_LIST, write_avro
+
+    record = {"manifest_path": "x", "manifest_length": 1, "partition_spec_id": 0, "content": 0, "added_snapshot_id": 5}
+    path = tmp_path / "m.avro"
+    write_avro(spark, path, MANIFEST_LIST, [record])
+    for i in range(3000):
+        (tmp_path / f"m{i}.avro").hardlink_to(path)
+    given = spark.range(3000).selectExpr(f"concat('{tmp_path}/m', id, '.avro') path", "CAST(900 AS BIGINT) length", "id")
+    found = manifests.avro_records(given.withColumn("length", F.lit(None).cast("bigint")), "id")
+    assert found.select("owner").distinct().count() == 3000
+    assert manifests.avro_records(given, "id", strict=False).rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    # All are shorter than these lengths say.
+    lost = manifests.avro_records(given.withColumn("length", F.lit(10**6)), "id", strict=False)
+    assert lost.where("error LIKE '%cut off%' AND record IS NULL").count() == 3000
+
+
+def test_a_broken_block_ends_its_file_only(spark, tmp_path):
+    for name in ("whole", "broken"):
+        t = _plain(spark, tmp_path, "db", name, files=LONG)
+        t.snapshot(2, 2000, "append", [t.manifest(2, [], [{"path": "data/b.parquet"}])])
+        t.metadata(1)
+    bad = tmp_path / "db/broken/metadata/00001-m0.avro"
+    late = tmp_path / "db/broken/metadata/00000-m0.avro"
+    data = bytearray(late.read_bytes())
+    data[-40:] = bytes(b ^ 255 for b in data[-40:])
+    late.write_bytes(bytes(data))
+
+    fleet = TableAnalyzer(spark, warehouse=str(tmp_path), database="db", strict=False)
+    # Its current snapshot does not need the broken manifest.
+    assert rows(fleet.live_table_metrics(), "table_name", "total_data_files") == [("db.broken", 1), ("db.whole", 1)]
+    errors = fleet.errors.collect()
+    assert [(r.table_name, r.error.rsplit("/", 1)[1]) for r in errors] == [("db.broken", late.name)]
+    assert fleet.entries.where("table_name = 'db.whole'").count() == len(LONG) + 1
+    assert {r.table_name for r in fleet.orphan_files(fleet.storage()).collect()} <= {"db.whole"}
+    fleet.release()
+    with pytest.raises(Exception, match="can't be read"):
+        TableAnalyzer(spark, warehouse=str(tmp_path), database="db").entries.count()
+
+    bad.write_bytes(late.read_bytes())
+    fleet = TableAnalyzer(spark, warehouse=str(tmp_path), database="db", strict=False)
+    assert rows(fleet.live_table_metrics(), "table_name", "total_data_files") == [("db.whole", 1)]
+    assert fleet.errors.count() == 2
+    fleet.release()
 
-    whole = entries()
-    scan = pathscan.scan_paths
-    monkeypatch.setattr(manifests, "scan_paths", lambda r, c, s, kept: scan(r, c, s, 2, kept))
-    assert entries() == whole and len(whole) > 10
+
+def test_each_manifest_is_opened_once(spark, tmp_path, monkeypatch):
+    t = _plain(spark, tmp_path, "db", "many")
+    for i in range(2, 7):
+        t.snapshot(i, 1000 * i, "append", [t.manifest(i, [], [{"path": f"data/{i}.parquet"}])])
+    t.metadata(1)
+    opened, real = [], manifests.avro_records
+
+    def seen(files, owner, strict=True):
+        opened.extend(r.path for r in files.select("path").collect())
+        return real(files, owner, strict)
+
+    monkeypatch.setattr(manifests, "avro_records", seen)
+    fleet = TableAnalyzer(spark, warehouse=str(tmp_path), database="db", strict=False)
+    assert (fleet.files.count(), fleet.errors.count(), fleet.entries.count()) == (1, 0, 6)
+    fleet.references.count()
+    read = [p for p in opened if "-m0" in p]
+    assert len(read) == len(set(read)) == 6
+    fleet.release()
 
 
 def test_entries_are_read_once(spark, mor):
@@ -433,7 +518,8 @@ def test_paths_with_special_characters_are_read(spark, tmp_path):
         path = folder / f"m,{i}.avro"
         write_avro(spark, path, MANIFEST_LIST, [record] * (i + 1))
         paths.append(str(path))
-    assert manifests.avro_records(spark, paths).count() == 3
+    files = spark.createDataFrame([(p, None, i) for i, p in enumerate(paths)], "path STRING, length BIGINT, own INT")
+    assert rows(manifests.avro_records(files, "own"), "owner") == [(0,), (1,), (1,)]
 
 
 def test_listing_finds_empty_and_hidden_files(spark, tmp_path):
@@ -452,6 +538,28 @@ def test_listing_finds_empty_and_hidden_files(spark, tmp_path):
         assert all(r.modified > before for r in listing)
 
 
+def test_listing_of_a_large_flat_folder(spark, tmp_path):
+    for i in range(25_000):
+        (tmp_path / f"{'_' if i % 3 else ''}{i}").touch()
+    got = storage.storage_listing(spark, str(tmp_path), "t")
+    assert got.count() == 25_000 and got.where("length = 0").count() == 25_000
+    assert got.select("file_path").distinct().count() == 25_000
+
+
+def test_listing_of_a_store_that_only_hadoop_opens(spark, tmp_path):
+    (tmp_path / "lake/a/_b").mkdir(parents=True)
+    (tmp_path / "lake/a/_b/.c d%20").write_text("xyz")
+    (tmp_path / "lake/e").touch()
+    spark.conf.set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
+    listing = storage.storage_listing(spark, "viewfs://store/in/lake/", "t")
+    assert rows(listing.where("file_path NOT LIKE '%.crc'"), "file_path", "length") == [
+        ("viewfs://store/in/lake/a/_b/.c d%20", 3),
+        ("viewfs://store/in/lake/e", 0),
+    ]
+    nothing = storage.storage_listing(spark, "viewfs://store/in/no such folder", "t")
+    assert nothing.count() == 0 and storage.storage_listing(spark, str(tmp_path / "lake/e"), "t").count() == 0
+
+
 def test_indexed_listing_reads_no_contents(spark, trees):
     listing = storage.indexed_listing(spark, f"{trees}/sales").select("file_path", "length")
     assert listing.where("length > 0").count() > 0
@@ -459,21 +567,68 @@ def test_indexed_listing_reads_no_contents(spark, trees):
     assert "ReadSchema: struct<path:string,length:bigint>" in plan
 
 
-def test_session_catalog_relations(spark, mor):
+@pytest.fixture
+def session_parts(spark, mor, trees):
     """Metadata tables of a session catalog, stood in for by views of the same columns."""
-    parts = {
+    log = [(i, f"{trees}/sales/v2_mor/metadata/v{v}.metadata.json") for i, v in enumerate((1, 2, 10))]
+    paths = mor._history.rows.select(F.col("manifest_path").alias("path"), F.col("manifest_length").alias("length"))
+    return {
         "snapshots": mor.snapshots.drop("table_name", "timestamp_ms"),
         "files": mor.files.drop("table_name"),
         "all_files": mor.entries.drop("table_name"),
+        "all_manifests": paths,
+        "metadata_log_entries": spark.createDataFrame(log, "timestamp BIGINT, file STRING"),
         "refs": spark.createDataFrame([("main", 13), ("keep", 11)], "name STRING, snapshot_id BIGINT"),
     }
+
+
+def test_session_catalog_relations(spark, mor, session_parts):
+    parts = session_parts
     relations = catalog.session_relations(spark, "cat.sales.v2_mor", parts.__getitem__)
     assert rows(relations["tables"], "table_name", "current_snapshot_id") == [("sales.v2_mor", 13)]
     assert relations["snapshots"].where("timestamp_ms = 1700000000123").count() == 1
     stats = partition_ops.partition_stats(relations["files"])
     assert stats.count() == 3
-    assert relations["referenced"].count() == mor.entries.count()
 
     parts["refs"] = parts["refs"].limit(0)
     nothing = catalog.session_relations(spark, "cat.sales.v2_mor", parts.__getitem__)["tables"]
     assert rows(nothing, "table_name", "current_snapshot_id") == [("sales.v2_mor", None)]
+
+
+@pytest.mark.parametrize("open_document", [True, False])
+def test_session_table_answers_as_by_path(spark, mor, trees, session_parts, open_document):
+    location = f"file://{trees}/sales/v2_mor"
+    relations = catalog.session_relations(
+        spark, "cat.sales.v2_mor", session_parts.__getitem__, open_document=open_document
+    )
+    assert rows(relations["tables"], "location") == [(f"{trees}/sales/v2_mor",)]
+    for strict in (True, False):
+        own = TableAnalyzer.of_relations(spark, relations, strict)
+        assert own.errors.count() == 0 and own.errors.columns == mor.errors.columns
+        listing, by_path = own.storage(), mor.storage(location)
+        assert rows(listing, F.regexp_extract("file_path", "[^/]*$", 0), "length") == rows(
+            by_path, F.regexp_extract("file_path", "[^/]*$", 0), "length"
+        )
+        expected = {r.file_path.rsplit("/", 1)[1] for r in mor.orphan_files(by_path).collect()}
+        assert expected and {r.file_path.rsplit("/", 1)[1] for r in own.orphan_files(listing).collect()} == expected
+        summary = own.health_summary(listing, as_of=1_800_000_000_000).collect()[0]
+        assert (summary.orphan_file_count, summary.total_files) == (1, 3)
+        own.release()
+    bare = TableAnalyzer.of_relations(spark, relations | {"tables": relations["tables"].drop("location")})
+    with pytest.raises(ValueError, match="locations"):
+        bare.storage()
+
+
+def test_statistics_of_a_session_table_are_no_orphans(spark, mor, trees, session_parts, tmp_path):
+    document = json.loads((trees / "sales/v2_mor/metadata/v10.metadata.json").read_text())
+    document["statistics"] = [{"snapshot-id": 13, "statistics-path": f"{tmp_path}/t/metadata/1.stats"}]
+    newest = tmp_path / "t/metadata/v11.metadata.json"
+    newest.parent.mkdir(parents=True)
+    newest.write_text(json.dumps(document))
+    (tmp_path / "t/metadata/1.stats").touch()
+    (tmp_path / "t/metadata/2.stats").touch()
+    log = spark.createDataFrame([(9, str(newest))], "timestamp BIGINT, file STRING")
+    session_parts["metadata_log_entries"] = session_parts["metadata_log_entries"].union(log)
+    own = TableAnalyzer.of_relations(spark, catalog.session_relations(spark, "v2_mor", session_parts.__getitem__))
+    assert [r.file_path.rsplit("/", 1)[1] for r in own.orphan_files(own.storage()).collect()] == ["2.stats"]
+    own.release()

@@ -17,6 +17,12 @@ RELATIONS = {
                CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS file_size_in_bytes
         FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     "fx_files": "SELECT * FROM fx_entries WHERE status <> 2",
+    "fx_lake": """
+        SELECT *, concat('db', CAST(number % 4 AS VARCHAR), '.t', CAST(number AS VARCHAR)) AS table_name,
+               concat(line_status, '-', CAST(year AS VARCHAR), '.parquet') AS file_name, number % 7 = 3 AS broken,
+               year >= 1996 AND year <> 2000 AS live, record_count % 97 + 1 AS length
+        FROM (SELECT l_orderkey % 20 AS number, l_linestatus AS line_status,
+                     year(l_shipdate) AS year, count(*) AS record_count FROM lineitem GROUP BY ALL)""",
     "fx_partitions": """
         SELECT table_name, part_status, part_month,
                count(*) FILTER (WHERE content = 0) AS file_count,
@@ -235,6 +241,23 @@ _BODIES = {
                coalesce(total_equality_delete_files, 0) AS total_equality_delete_files,
                coalesce(equality_delete_file_size, 0) AS equality_delete_file_size
         FROM fx_tables LEFT JOIN fx_live USING (table_name)""",
+    "lake_live_metrics": """
+        SELECT table_name, count(*) FILTER (WHERE live) AS total_data_files, CAST(0 AS BIGINT) AS total_delete_files,
+               CAST(coalesce(sum(length) FILTER (WHERE live), 0) AS BIGINT) AS total_files_size,
+               CAST(coalesce(sum(length) FILTER (WHERE live), 0) AS BIGINT) AS data_file_size,
+               CAST(0 AS BIGINT) AS delete_file_size,
+               CAST(coalesce(sum(record_count) FILTER (WHERE live), 0) AS BIGINT) AS record_count,
+               CAST(0 AS BIGINT) AS total_equality_delete_files, CAST(0 AS BIGINT) AS equality_delete_file_size
+        FROM fx_lake WHERE NOT broken GROUP BY table_name
+        UNION ALL SELECT 'db0.t_empty', 0, 0, 0, 0, 0, 0, 0, 0""",
+    "lake_partition_metrics": """
+        SELECT table_name, concat('line_status=', line_status, ', shipped_year=', CAST(year AS VARCHAR))
+                   AS partition_label,
+               CAST(1 AS BIGINT) AS data_file_count, length AS total_data_file_size
+        FROM fx_lake WHERE live AND NOT broken""",
+    "lake_listing": "SELECT table_name, file_name, length FROM fx_lake",
+    "lake_orphans": "SELECT table_name, file_name, length FROM fx_lake WHERE year = 2000 AND NOT broken",
+    "lake_errors": "SELECT DISTINCT table_name, 'm2.avro' AS file_name FROM fx_lake WHERE broken",
     "live_size_mb": f"""
         SELECT table_name, total_files_size / {MB} AS total_files_mb, data_file_size / {MB} AS data_file_mb,
                delete_file_size / {MB} AS delete_file_mb FROM fx_live""",

@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from metagauge.functions import bytes_to_mb, format_bytes, short_table_name, utc_micros, utc_text
+from metagauge import TableAnalyzer
+from metagauge.functions import bytes_to_mb, format_bytes, partition_label, short_table_name, utc_micros, utc_text
 from metagauge.operators import files as file_ops
 from metagauge.operators import health as health_ops
 from metagauge.operators import orphans as orphan_ops
@@ -17,6 +18,7 @@ from metagauge.plans.report import table_report_row
 from metagauge.sources import catalog, manifests, metadata, storage
 
 from . import relations as rel
+from .lake import lake
 
 AS_OF = dt.datetime.fromisoformat(rel.AS_OF)
 
@@ -88,7 +90,7 @@ def _(spark, sf_dir):
     """Files of tables that are registered under two names with different specs over the same manifests."""
     own = rel.manifests(spark, sf_dir)
     second = own.withColumns({"table_name": F.concat(F.lit("copy_of_"), F.col("table_name")), "spec_id": F.lit(1)})
-    entries = manifests.parse_entries(rel.manifest_records(spark, sf_dir), own.unionByName(second))
+    entries = manifests.parse_entries(rel.owned_records(spark, sf_dir, own.unionByName(second)))
     return entries.groupBy("table_name", "spec_id").agg(
         F.count(F.lit(1)).alias("entry_count"), F.sum("record_count").alias("record_count")
     )
@@ -132,7 +134,7 @@ def _(spark, sf_dir):
 
 @register("src_files_live")
 def _(spark, sf_dir):
-    entries = manifests.parse_entries(rel.manifest_records(spark, sf_dir), rel.manifests(spark, sf_dir))
+    entries = manifests.parse_entries(rel.owned_records(spark, sf_dir, rel.manifests(spark, sf_dir))).drop("error")
     live = manifests.live_files(entries)
     names = ("part_status", "part_month")
     return live.select(
@@ -141,6 +143,46 @@ def _(spark, sf_dir):
     )
 
 
+# Through the readers themselves, over files that are written for it.
+
+
+def _lake(spark, sf_dir):
+    return TableAnalyzer(spark, warehouse=lake(spark, sf_dir), database="*", strict=False)
+
+
+def _name(path: str):
+    return F.regexp_extract(path, "[^/]*$", 0).alias("file_name")
+
+
+@register("lake_live_metrics")
+def _(spark, sf_dir):
+    return _lake(spark, sf_dir).live_table_metrics()
+
+
+@register("lake_partition_metrics")
+def _(spark, sf_dir):
+    found = _lake(spark, sf_dir).partition_metrics()
+    label = partition_label(found).alias("partition_label")
+    return found.select("table_name", label, "data_file_count", "total_data_file_size")
+
+
+@register("lake_listing")
+def _(spark, sf_dir):
+    listing = _lake(spark, sf_dir).storage()
+    return listing.where("file_path LIKE '%.parquet'").select("table_name", _name("file_path"), "length")
+
+
+@register("lake_orphans")
+def _(spark, sf_dir):
+    own = _lake(spark, sf_dir)
+    return own.orphan_files(own.storage()).select("table_name", _name("file_path"), "length")
+
+
+@register("lake_errors")
+def _(spark, sf_dir):
+    return _lake(spark, sf_dir).errors.select("table_name", _name("error"))
+
+
 @register("src_partitions")
 def _(spark, sf_dir):
     return _flat_partition(partition_ops.partition_stats(rel.files(spark, sf_dir))).drop("spec_id")

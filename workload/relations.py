@@ -269,8 +269,18 @@ def manifest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("data_file"),
         )
     )
-    source = F.concat(F.lit("file:/lake/"), F.col("table_name"), F.lit("/metadata/m-"), F.col("table_name"), F.lit(".avro"))
-    return entries(spark, sf_dir).select(source.alias("source_path"), record.alias("record"))
+    source = F.concat(F.lit("file:///lake/"), F.col("table_name"), F.lit("/metadata/m-"), F.col("table_name"), F.lit(".avro"))
+    return entries(spark, sf_dir).select(source.alias("manifest_path"), record.alias("record"))
+
+
+def owned_records(spark: SparkSession, sf_dir: str, manifests: DataFrame) -> DataFrame:
+    """Records with the owners of their manifests, as a scan gives them."""
+    owners = manifests.groupBy("manifest_path").agg(
+        F.collect_list(F.struct("table_name", "spec_id", "added_snapshot_id", "kinds")).alias("tables")
+    )
+    joined = manifest_records(spark, sf_dir).join(owners, "manifest_path")
+    owner = F.struct(F.col("manifest_path").alias("path"), "tables").alias("owner")
+    return joined.select(owner, "record", F.lit(None).cast("string").alias("error"))
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
