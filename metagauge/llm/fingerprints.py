@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metagauge.llm.tables import order_key, partitions, range_of
-from metagauge.llm.words import hashes, steps, text_bytes
+from metagauge.llm.words import steps, substring_hashes, text_bytes
 
 #: Bytes of a shingle, and the share of all hashes that a sketch keeps: one in 2**KEPT_BITS.
 SHINGLE_BYTES = 12
@@ -31,7 +31,7 @@ def sketch_keys(column: pa.Array, width: int = SHINGLE_BYTES) -> np.ndarray:
     count = np.where(lengths >= width, lengths - width + 1, lengths > 0)
     text = np.repeat(np.arange(len(lengths)), count)
     starts = borders[text] + np.arange(len(text)) - (np.cumsum(count) - count)[text]
-    value = hashes(data, starts, np.minimum(starts + width, borders[text + 1])) >> np.uint64(32)
+    value = substring_hashes(data, starts, np.minimum(starts + width, borders[text + 1])) >> np.uint64(32)
     kept = value < np.uint64(1 << _HASH_BITS)
     has = np.zeros(len(lengths), bool)
     has[text[kept]] = True

@@ -24,7 +24,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from metagauge.llm.encoding import PieceTable, sums
 from metagauge.llm.tables import whole_row
-from metagauge.llm.words import mix, powers, runs, steps, with_texts
+from metagauge.llm.words import mix, powers, runs, sequence_hashes, steps, with_texts
 
 SPACE = "▁"
 #: Words of one length that advance together.
@@ -273,7 +273,7 @@ class Model:
                         out[i] = ids
             return out
 
-        at, n = table.find(runs(_values(points), starts, ends), new)
+        at, n = table.find(sequence_hashes(_values(points), starts, ends), new)
         per_text = sums(n, np.searchsorted(starts, borders))
         return table.gather(at, n), np.concatenate([[0], np.cumsum(per_text)])
 

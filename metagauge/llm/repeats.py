@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metagauge.llm.tables import order_key, stored, text_digest, whole_row
-from metagauge.llm.words import NOT_SPACE, hashes, runs, spans, steps, text_bytes, with_texts, without
+from metagauge.llm.words import NOT_SPACE, hashes, runs, sequence_hashes, spans, steps, text_bytes, with_texts, without
 
 #: Words of a suffix that its key covers.
 KEY_WORDS = 16
@@ -55,7 +55,7 @@ class _Windows:
         """A number for each text's words in their order; 0 for a text without a window."""
         out = np.zeros(len(self.count), np.uint64)
         has = np.flatnonzero(self.count >= self.min_words)
-        out[has] = runs(self.words, self.first[has], self.first[has + 1])
+        out[has] = sequence_hashes(self.words, self.first[has], self.first[has + 1])
         return out.view(np.int64)
 
     def suffixes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,8 +1,9 @@
 """Words and their hashes over whole Arrow batches of text, in numpy.
 
 Texts lie end to end as UTF-8 bytes. A word is a run of word bytes; every byte from 0x80 on is one, so no character is cut.
-A word's hash is a polynomial of its bytes modulo 2**64, taken from running sums, then mixed; equal words have equal hashes
-wherever they stand.
+Equal words have equal hashes wherever they stand. A word's hash adds up a random number for each of its bytes at its place in
+the word, from running sums. Substrings that overlap have no place of their own and get a polynomial modulo 2**64 instead, for
+which long texts exist that collide whatever the base; it is for spans of a few values only.
 """
 
 from __future__ import annotations
@@ -100,13 +101,47 @@ def spans(data: np.ndarray, borders: np.ndarray, is_word: np.ndarray) -> tuple[n
     return starts, ends, np.searchsorted(starts, borders)
 
 
+_PLACES = 64
+_PLACED = mix(mix(np.arange(_PLACES, dtype=np.uint64) * _STEP)[:, None] + _VALUE).reshape(-1)
+
+
+def _places(n: int, starts: np.ndarray) -> np.ndarray:
+    """How far each value is from the start of its span; spans ascend and don't overlap."""
+    origin = np.zeros(n, dtype=np.int64)
+    own = starts[starts < n]
+    origin[own] = own
+    return np.arange(n) - np.maximum.accumulate(origin)
+
+
+def _added(placed: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    running = np.zeros(len(placed) + 1, dtype=np.uint64)
+    np.cumsum(placed, out=running[1:])
+    return mix(running[ends] - running[starts] + (ends - starts).astype(np.uint64))
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each span."""
+    """A hash of the bytes of each span; spans ascend and don't overlap."""
+    place = _places(len(data), starts)
+    placed = _PLACED[((place & (_PLACES - 1)) << 8) + data]
+    late = np.flatnonzero(place >= _PLACES)
+    if len(late):
+        placed[late] = mix(placed[late] + (place[late] >> 6).astype(np.uint64) * _STEP)
+    return _added(placed, starts, ends)
+
+
+def sequence_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the numbers of each span; spans ascend and don't overlap."""
+    place = _places(len(values), starts).astype(np.uint64)
+    return _added(mix(values + place * _STEP), starts, ends)
+
+
+def substring_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span, of some hundred bytes at most; spans may overlap."""
     return runs(_VALUE[data], starts, ends)
 
 
 def runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the values of each span."""
+    """A hash of the values of each span, of some hundred values at most; spans may overlap."""
     power, inverse = powers(len(values) + 1)
     running = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(values * power[: len(values)], out=running[1:])
