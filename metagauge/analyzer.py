@@ -16,6 +16,7 @@ from .functions import normal_path
 from .plans.lineage import Kept
 from .plans.report import TableReport, table_report
 from .sources import catalog, manifests, metadata, storage
+from .sources.parsed import ManifestStore
 
 
 class TableAnalyzer:
@@ -26,7 +27,8 @@ class TableAnalyzer:
     the rest: a table whose current manifests can't be read has no file metrics, one whose older manifests can't be read has no
     orphans, all such files are listed in ``errors``, and malformed summary numbers count as 0.
 
-    Manifests are read once, when a relation is first asked for, and kept until :meth:`release`.
+    Manifests are read once, when a relation is first asked for, and kept until :meth:`release`. With ``manifest_store``, a
+    folder, they are kept for later runs too, which then open only those that are new.
     """
 
     def __init__(
@@ -38,9 +40,11 @@ class TableAnalyzer:
         database: str = "default",
         table_name: str = "",
         strict: bool = True,
+        manifest_store: str | None = None,
     ):
         self.spark = spark
         self.strict = strict
+        self._store = ManifestStore(spark, manifest_store) if manifest_store else manifests
         self._kept = Kept()
         if metadata_path:
             documents = catalog.documents_at(spark, metadata_path, self._kept)
@@ -113,7 +117,7 @@ class TableAnalyzer:
 
     @cached_property
     def _current_entries(self) -> manifests.Read:
-        return manifests.read_entries(self._current.rows, self.tables, self._kept, self.strict)
+        return self._store.read_entries(self._current.rows, self.tables, self._kept, self.strict)
 
     @cached_property
     def _history(self) -> manifests.Read:
@@ -125,7 +129,7 @@ class TableAnalyzer:
         """Entries of the manifests that no current snapshot has, so that each manifest is read once."""
         keys = ["table_name", "manifest_path"]
         older = self._history.rows.join(self._current.rows.select(*keys).distinct(), keys, "left_anti")
-        return manifests.read_entries(older, self.tables, self._kept, self.strict)
+        return self._store.read_entries(older, self.tables, self._kept, self.strict)
 
     @cached_property
     def _lost_now(self) -> DataFrame:
@@ -221,6 +225,10 @@ class TableAnalyzer:
         protected = snapshot_ops.protected_snapshots(self.tables) if protect_current else None
         return snapshot_ops.expirable_snapshots(self.snapshots, as_of, days, protected)
 
+    def expirable_by_ancestry(self, as_of: dt.datetime | int, days: int = 30, keep: int = 1) -> DataFrame:
+        """As :meth:`expirable_snapshots`, but what the branches keep of their lines and what tags name stays."""
+        return snapshot_ops.expirable_by_ancestry(self.snapshots, self.tables, as_of, days, keep, self._kept)
+
     def health_summary(self, listing: DataFrame, as_of: dt.datetime | int, days: int = 30) -> DataFrame:
         """Totals, skew, orphan and expiry counts; ``listing`` carries the table each file belongs to, as :meth:`storage`'s
         does."""

@@ -17,6 +17,7 @@ from ..functions import (
     summary_metrics,
     title_words,
 )
+from ..plans.lineage import Kept
 from ..plans.top import top_per_group
 from ..schemas import (
     CHANGE_COLUMNS,
@@ -236,3 +237,51 @@ def protected_snapshots(tables: DataFrame) -> DataFrame:
         refs = tables.select("table_name", F.explode("ref_snapshot_ids").alias("snapshot_id"))
         current = current.unionByName(refs)
     return current.where("snapshot_id IS NOT NULL").distinct()
+
+
+def branch_heads(tables: DataFrame, keep: int = 1) -> DataFrame:
+    """``table_name, snapshot_id, keep`` of every branch: how many snapshots of its line stay, ``keep`` where it doesn't say."""
+    each = tables.select("table_name", F.explode("branches").alias("b"))
+    kept = F.greatest(F.coalesce("b.keep", F.lit(keep)), F.lit(1)).cast("int")
+    return each.select("table_name", "b.snapshot_id", kept.alias("keep")).where("snapshot_id IS NOT NULL")
+
+
+def ancestors_within(snapshots: DataFrame, heads: DataFrame, kept: Kept | None = None) -> DataFrame:
+    """``table_name, snapshot_id`` of the first ``keep`` snapshots on the way from each head to its ancestors, itself included.
+
+    Every snapshot points to its parent, then to its second, fourth, eighth ancestor: with each doubling the lines known reach
+    twice as far, so a line of any length takes as many rounds as its logarithm. Of lines that meet, the one that reaches
+    further counts. A parent that is not there ends its line. Rounds are stored, as each is read twice.
+    """
+    kept = kept or Kept()
+    own = ["table_name", "snapshot_id"]
+    longest = heads.agg(F.max("keep")).first()[0] or 0
+    links = snapshots.select(*own, "parent_id").where("parent_id IS NOT NULL").distinct()
+    # How many more snapshots of the line from here stay, this one included.
+    reached = heads.groupBy(*own).agg(F.max("keep").alias("left"))
+    step = 1
+    while step < longest:
+        links = kept.stored(links)
+        if links.isEmpty():
+            break
+        further = reached.join(links, own).select("table_name", F.col("parent_id").alias("snapshot_id"), F.col("left") - step)
+        further = further.toDF(*own, "left").where("left > 0")
+        reached = kept.stored(reached.unionByName(further).groupBy(*own).agg(F.max("left").alias("left")))
+        ahead = links.select("table_name", F.col("snapshot_id").alias("parent_id"), F.col("parent_id").alias("next"))
+        links = links.join(ahead, ["table_name", "parent_id"]).select(*own, F.col("next").alias("parent_id"))
+        step *= 2
+    return reached.join(snapshots.select(*own).distinct(), own, "left_semi").select(*own)
+
+
+def expirable_by_ancestry(
+    snapshots: DataFrame,
+    tables: DataFrame,
+    as_of: dt.datetime | int,
+    days: int = 30,
+    keep: int = 1,
+    kept: Kept | None = None,
+) -> DataFrame:
+    """Snapshots old enough to go that no branch or tag holds: of each branch the newest ``keep`` of its line stay (or as many
+    as the branch says), whatever their age, and so does what a tag names. See :func:`expirable_snapshots`."""
+    held = ancestors_within(snapshots, branch_heads(tables, keep), kept).unionByName(protected_snapshots(tables))
+    return expirable_snapshots(snapshots, as_of, days, held.distinct())

@@ -22,7 +22,7 @@ METADATA_SCHEMA = (
     f"`partition-specs` ARRAY<STRUCT<`spec-id`: INT, `fields`: {SPEC_FIELDS}>>, "
     f"`partition-spec` {SPEC_FIELDS}, "
     "`properties` MAP<STRING, STRING>, "
-    "`refs` MAP<STRING, STRUCT<`snapshot-id`: BIGINT>>, "
+    "`refs` MAP<STRING, STRUCT<`snapshot-id`: BIGINT, `type`: STRING, `min-snapshots-to-keep`: INT>>, "
     f"`snapshots` ARRAY<STRUCT<{SNAPSHOT_FIELDS.replace('` ', '`: ')}>>, "
     "`metadata-log` ARRAY<STRUCT<`metadata-file`: STRING>>, "
     "`statistics` ARRAY<STRUCT<`statistics-path`: STRING>>, "

@@ -196,9 +196,14 @@ def session_relations(
     above = F.regexp_extract("metadata_location", r"^(.*)/[^/]*/[^/]*$", 1)
     at = F.lit(location) if location else above
     # One row in any case, also for a table without snapshots. A table has a handful of branches and tags.
-    refs = read("refs").agg(
+    named = read("refs")
+    kind = F.lower("type") if "type" in named.columns else F.lit("branch")
+    keep = F.col("min_snapshots_to_keep") if "min_snapshots_to_keep" in named.columns else F.lit(None)
+    branch = F.struct("name", "snapshot_id", keep.cast("int").alias("keep"))
+    refs = named.agg(
         F.max(F.when(F.col("name") == "main", F.col("snapshot_id"))).alias("current_snapshot_id"),
         F.collect_list("snapshot_id").alias("ref_snapshot_ids"),
+        F.collect_list(F.when(kind == "branch", branch)).alias("branches"),
     )
     one = F.lit(1)
     tables = refs.withColumn("__one", one).join(newest.withColumn("__one", one), "__one")
@@ -215,7 +220,7 @@ def session_relations(
     paths = reduce(DataFrame.union, reached).where("file_path IS NOT NULL")
     return {
         "tables": tables.select(
-            label, "metadata_location", at.alias("location"), "current_snapshot_id", "ref_snapshot_ids"
+            label, "metadata_location", at.alias("location"), "current_snapshot_id", "ref_snapshot_ids", "branches"
         ),
         "snapshots": snapshots,
         "files": files("files"),

@@ -267,8 +267,14 @@ def owned_manifests(manifest_rows: DataFrame, tables: DataFrame) -> DataFrame:
 
 def parse_entries(records: DataFrame) -> DataFrame:
     """Manifest records with their ``owner`` and ``error`` as entries, one for each table that has the manifest."""
-    each = _parsed(records, ENTRY_SCHEMA).select("*", F.explode("owner.tables").alias("of"))
-    return each.select(*_entry_columns("of"), F.col("owner.path").alias("manifest_path"), "error")
+    return entries_of(_parsed(records, ENTRY_SCHEMA))
+
+
+def entries_of(parsed: DataFrame) -> DataFrame:
+    """The same of records that are parsed already; ``error`` may be missing."""
+    each = parsed.select("*", F.explode("owner.tables").alias("of"))
+    error = F.col("error") if "error" in parsed.columns else F.lit(None).cast("string").alias("error")
+    return each.select(*_entry_columns("of"), F.col("owner.path").alias("manifest_path"), error)
 
 
 def read_entries(

@@ -144,9 +144,27 @@ def tables(parsed: DataFrame) -> DataFrame:
         _schemas().alias("schemas"),
         F.col("m.properties").alias("properties"),
         F.transform(F.map_values("m.refs"), lambda r: r["snapshot-id"]).alias("ref_snapshot_ids"),
+        _branches().alias("branches"),
     )
 
 
+def _branches() -> Column:
+    """Branches with the snapshot they end in and how many of its line they keep, if they say so; without any, the current
+    snapshot is the end of one."""
+    own = F.try_element_at("m.properties", F.lit("history.expire.min-snapshots-to-keep")).try_cast("int")
+    branch = F.filter(F.map_entries("m.refs"), lambda e: F.coalesce(e["value"]["type"], F.lit("branch")) == "branch")
+    named = F.transform(
+        branch,
+        lambda e: F.struct(
+            e["key"].alias("name"),
+            e["value"]["snapshot-id"].alias("snapshot_id"),
+            F.coalesce(e["value"]["min-snapshots-to-keep"], own).alias("keep"),
+        ),
+    )
+    only = F.array(F.struct(F.lit("main").alias("name"), F.col("m.current-snapshot-id").alias("snapshot_id"), own.alias("keep")))
+    return F.when(F.size(named) > 0, named).otherwise(F.when(F.col("m.current-snapshot-id") >= 0, only))
+
+
 def snapshots(parsed: DataFrame) -> DataFrame:
     """One row per snapshot, the operation taken out of its summary."""
     s = parsed.where("error IS NULL").select("table_name", F.explode("m.snapshots").alias("s"))

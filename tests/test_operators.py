@@ -423,3 +423,38 @@ def test_scans_read_only_needed_columns(spark):
     plan = plan_of(QUERIES["live_table_metrics"](spark, "/root/testdata/sf0.001"))
     read = plan.split("ReadSchema: ", 1)[1].split(">", 1)[0]
     assert "l_quantity" in read and "l_tax" not in read and "l_linestatus" not in read
+
+
+def test_ancestry_protects_what_branches_keep(spark):
+    import random
+
+    from metagauge.operators import snapshots as ops
+
+    rnd = random.Random(3)
+    parents = {}
+    for t in range(4):
+        for i in range(1, 120):
+            # A tree: mostly a line, with forks, several roots, and parents that are gone.
+            parents[t, i] = None if i % 50 == 1 else (999 if i % 47 == 0 else max(1, i - rnd.choice([1, 1, 1, 2, 9])))
+    heads = [(t, rnd.randrange(60, 120), rnd.choice([1, 2, 7, 8, 33, 500])) for t in range(4) for _ in range(3)] + [(0, 777, 5)]
+    expected = set()
+    for t, head, keep in heads:
+        at = head
+        while keep and (t, at) in parents:
+            expected.add((f"t{t}", at))
+            at, keep = parents[t, at], keep - 1
+    chain = spark.createDataFrame(
+        [(f"t{t}", i, p) for (t, i), p in parents.items()], "table_name STRING, snapshot_id BIGINT, parent_id BIGINT"
+    )
+    ends = spark.createDataFrame([(f"t{t}", h, k) for t, h, k in heads], "table_name STRING, snapshot_id BIGINT, keep INT")
+    found = [tuple(r) for r in ops.ancestors_within(chain, ends).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+    assert ops.ancestors_within(chain, ends.limit(0)).count() == 0
+
+
+def test_a_branch_without_a_number_keeps_the_default(spark):
+    from metagauge.operators import snapshots as ops
+
+    branches = "table_name STRING, branches ARRAY<STRUCT<name: STRING, snapshot_id: BIGINT, keep: INT>>"
+    tables = spark.createDataFrame([("a", [("main", 3, None), ("dev", 2, 9), ("gone", None, 4)]), ("b", None)], branches)
+    assert sorted(tuple(r) for r in ops.branch_heads(tables, 5).collect()) == [("a", 2, 9), ("a", 3, 5)]

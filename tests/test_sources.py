@@ -632,3 +632,39 @@ def test_statistics_of_a_session_table_are_no_orphans(spark, mor, trees, session
     own = TableAnalyzer.of_relations(spark, catalog.session_relations(spark, "v2_mor", session_parts.__getitem__))
     assert [r.file_path.rsplit("/", 1)[1] for r in own.orphan_files(own.storage()).collect()] == ["2.stats"]
     own.release()
+
+
+def test_a_store_of_manifests_opens_new_ones_only(spark, tmp_path, monkeypatch):
+    from metagauge.sources import parsed
+
+    opened, real = [], manifests.avro_records
+
+    def seen(files, owner, strict=True):
+        opened.extend(r.path.rsplit("/", 1)[1] for r in files.select("path").collect())
+        return real(files, owner, strict)
+
+    monkeypatch.setattr(parsed, "avro_records", seen)
+    t = _plain(spark, tmp_path, "db", "kept", files=["data/a.parquet", "data/b.parquet"])
+    t.snapshot(2, 2000, "append", [t.manifest(2, [], [{"path": "data/c.parquet"}])])
+    t.metadata(1)
+    names = "snapshot_id", "status", "file_path", "partition", "record_count", "manifest_path"
+
+    def answers(store):
+        own = TableAnalyzer(spark, str(tmp_path / "db/kept/metadata"), strict=False, manifest_store=store)
+        out = rows(own.entries, *names), rows(own.live_table_metrics(), "*"), own.errors.count()
+        own.release()
+        return out
+
+    store = str(tmp_path / "store")
+    assert answers(store) == answers(None) and sorted(opened) == ["00000-m0.avro", "00001-m0.avro"]
+    opened.clear()
+    assert answers(store) == answers(None) and opened == []
+    t.snapshot(3, 3000, "append", [t.manifest(3, [], [{"path": "data/d.parquet"}])])
+    t.metadata(2)
+    bad = tmp_path / "db/kept/metadata/00002-m0.avro"
+    whole = bad.read_bytes()
+    bad.write_bytes(whole[:-20])
+    assert answers(store) == answers(None) and answers(store)[2] == 1  # not kept, so looked at again
+    bad.write_bytes(whole)
+    opened.clear()
+    assert answers(store) == answers(None) and opened == ["00002-m0.avro"]

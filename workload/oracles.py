@@ -111,6 +111,10 @@ RELATIONS = {
                CAST(avg(file_size_in_bytes) AS BIGINT) AS avg_file_size,
                max(file_size_in_bytes) AS max_file_size, min(file_size_in_bytes) AS min_file_size
         FROM fx_files GROUP BY table_name, content""",
+    "fx_placed": """
+        SELECT table_name, snapshot_id,
+               row_number() OVER (PARTITION BY table_name ORDER BY committed_at, snapshot_id) AS place
+        FROM fx_snapshots""",
     "fx_expirable": """
         SELECT table_name, snapshot_id, epoch_ms(committed_at) AS timestamp_ms, committed_at, manifest_list
         FROM fx_snapshots
@@ -416,6 +420,14 @@ _BODIES = {
     "expirable_unprotected_snapshots": """
         SELECT table_name, snapshot_id, timestamp_ms, committed_at AS timestamp, manifest_list FROM fx_expirable
         WHERE snapshot_id NOT IN (SELECT current_snapshot_id FROM fx_tables WHERE current_snapshot_id IS NOT NULL)""",
+    "expirable_by_ancestry": """
+        SELECT table_name, snapshot_id, timestamp_ms, manifest_list FROM fx_expirable
+        WHERE snapshot_id NOT IN (
+            SELECT p.snapshot_id FROM fx_placed p JOIN (
+                SELECT table_name, place, 5 AS keep FROM fx_placed WHERE snapshot_id % 500 = 0
+                UNION ALL SELECT p.table_name, place, 20
+                FROM fx_placed p JOIN fx_tables t ON t.table_name = p.table_name AND current_snapshot_id = snapshot_id
+            ) h ON p.table_name = h.table_name AND p.place <= h.place AND p.place > h.place - h.keep)""",
     "short_table_name": """
         SELECT c_custkey, string_split(concat('lake.', lower(c_mktsegment), '.', c_name), '.')[-1] AS short_name
         FROM customer""",

@@ -14,6 +14,7 @@ from metagauge.operators import health as health_ops
 from metagauge.operators import orphans as orphan_ops
 from metagauge.operators import partitions as partition_ops
 from metagauge.operators import snapshots as snapshot_ops
+from metagauge.plans.lineage import stored
 from metagauge.plans.report import table_report_row
 from metagauge.sources import catalog, manifests, metadata, storage
 
@@ -436,6 +437,14 @@ def _(spark, sf_dir):
     return _plain(_expirable(spark, sf_dir, protect=True))
 
 
+@register("expirable_by_ancestry")
+def _(spark, sf_dir):
+    """Old snapshots that are not among the last of any branch."""
+    chain = stored(rel.snapshots(spark, sf_dir).drop("committed_at"))
+    found = snapshot_ops.expirable_by_ancestry(chain, rel.branched_tables(spark, sf_dir), AS_OF, 30)
+    return found.select("table_name", "snapshot_id", "timestamp_ms", "manifest_list")
+
+
 @register("short_table_name")
 def _(spark, sf_dir):
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet")

@@ -171,6 +171,19 @@ def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current.union(empty)
 
 
+def branched_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables with branches: the current snapshot ends one that keeps twenty, each five hundredth order one that keeps five."""
+    branch = lambda name, keep: F.struct(
+        name.alias("name"), F.col("snapshot_id"), F.lit(keep).alias("keep")
+    )
+    ids = _read(spark, sf_dir, "orders").select(_table("o_custkey").alias("table_name"), F.col("o_orderkey").alias("snapshot_id"))
+    others = ids.where("snapshot_id % 500 = 0").select("table_name", branch(F.col("snapshot_id").cast("string"), 5).alias("b"))
+    current = tables(spark, sf_dir).withColumn("snapshot_id", F.col("current_snapshot_id"))
+    main = current.select("table_name", branch(F.lit("main"), 20).alias("b"))
+    branches = main.unionByName(others).groupBy("table_name").agg(F.collect_list("b").alias("branches"))
+    return tables(spark, sf_dir).join(branches, "table_name", "left")
+
+
 def storage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing: every entry's file, and a stray one per customer."""
     strays = _read(spark, sf_dir, "customer")
