@@ -82,18 +82,28 @@ def sketches(docs: DataFrame, name: str = "sketch") -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(made, f"doc_id long, {name} array<long>")
 
 
+def _regular(sketch: str | Column) -> Column:
+    """The hashes below the threshold, without the one that stands in where there is none."""
+    return F.filter(sketch, lambda h: h < (1 << _HASH_BITS))
+
+
 def merged(a: str, b: str) -> Column:
-    """The sketch of both texts' shingles together; exact, as the threshold is the same for all."""
-    return F.array_sort(F.array_union(a, b))
+    """The sketch of both texts' shingles together, exactly: the threshold is the same for all, and where no hash lies below
+    it, the least of all is kept again."""
+    both = F.array_sort(F.array_union(a, b))
+    return F.when(F.size(_regular(both)) > 0, _regular(both)).otherwise(F.slice(both, 1, 1))
 
 
 def containment(a: str, b: str) -> Column:
-    """The share of a's shingles that b has, unbiased however unequal the two are; null if a is empty."""
-    return F.size(F.array_intersect(a, b)) / F.nullif(F.size(a), F.lit(0))
+    """The share of a's shingles that b has, unbiased however unequal the two are; null where a has no hash below the
+    threshold, as nothing is known then: of texts of 30 bytes about 3 in 10, of 60 bytes 1 in 25."""
+    own = _regular(a)
+    return F.size(F.array_intersect(own, b)) / F.nullif(F.size(own), F.lit(0))
 
 
 def resemblance(a: str, b: str) -> Column:
-    """Shared over all shingles; 1 for two empty sketches."""
+    """Shared over all shingles; 1 for two empty sketches. Of texts without a hash below the threshold only the least hashes
+    are compared, which tells equal ones and little else."""
     shared = F.size(F.array_intersect(a, b))
     total = F.size(F.array_union(a, b))
     return F.when(total == 0, F.lit(1.0)).otherwise(shared / total)

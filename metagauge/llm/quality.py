@@ -120,7 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Neighbours:
     """Learns from at most ``sample`` rows of each label, those whose ids have the least hashes.
 
     ``labels`` holds ``doc_id, quality``; which of them may be learned from is the caller's choice. Rows without a label or an
-    id are not learned from. The driver gets one row of shares for each sampled text, never the text.
+    id are not learned from. Of an id that stands on several rows one is learned from, the one with the least row of shares.
+    The driver gets that row of each sampled id, never a text.
     """
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = None
@@ -143,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Neighbours:
     sampled = F.broadcast(spark.createDataFrame(ids, "doc_id long, quality int"))  # at most twice the sample
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sampled, "doc_id")
     texts = texts.select("doc_id", "quality", "text")
-    found = sorted(texts.mapInArrow(rows_of, "doc_id long, quality int, row binary").collect())
+    each = texts.mapInArrow(rows_of, "doc_id long, quality int, row binary")
+    found = sorted(each.groupBy("doc_id", "quality").agg(F.min("row").alias("row")).collect())
     rows = np.array([np.frombuffer(r.row, np.float16) for r in found], np.float32).reshape(len(found), BUCKETS)
     return _model(rows, np.array([r.quality for r in found]))
 

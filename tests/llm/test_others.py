@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from metagauge.llm import quality, sharding
@@ -310,3 +311,38 @@ def test_queries_match_their_twins(spark, name):
     names, expected = [d[0] for d in result.description], sorted(result.fetchall())
     df = QUERIES[name](spark, SF_DIR)
     assert df.columns == names and sorted(map(tuple, df.collect())) == expected
+
+
+def test_an_id_on_many_rows_is_learned_from_once(spark, monkeypatch):
+    texts = [(i, f"{'good words here ' if i % 2 else 'x7 #9 '}{i}") for i in range(40)]
+    hot = [(3, f"text number {i} of one id") for i in range(300)]
+    df = spark.createDataFrame(texts + hot, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen, real = [], quality._model
+    monkeypatch.setattr(quality, "_model", lambda rows, own: seen.append((len(rows), own.sum())) or real(rows, own))
+    model = quality.fit(df, labels)
+    assert seen == [(40, 20)] and len(model.vectors) == 40
+
+
+def test_sketches_of_short_texts(spark):
+    """Of texts of some ten bytes many have no hash below the threshold."""
+    rnd = random.Random(11)
+    long = "".join(rnd.choices("abcdefgh ", k=3000))
+    pairs = []
+    for n in range(12, 64, 2):
+        for at in rnd.sample(range(2000), 6):
+            pairs.append((len(pairs), long[at : at + n], "".join(rnd.choices("xyz", k=n))))
+    ids = spark.createDataFrame(pairs, "doc_id long, a string, b string")
+    sketch = lambda text, name: sketches(ids.selectExpr("doc_id", f"{text} text"), name)
+    joined = sketch("a", "a").join(sketch("b", "b"), "doc_id").join(sketch("concat(a, b)", "ab"), "doc_id")
+    whole = sketches(spark.createDataFrame([(0, long)], "doc_id long, text string"), "w").select("w").first().w
+    joined = joined.withColumn("w", F.array(*map(F.lit, whole)))
+    rows = joined.select("a", "b", containment("a", "w").alias("c"), merged("a", "b").alias("m")).collect()
+    limit, bare = 1 << 28, 0
+    for r in rows:
+        own = [h for h in r.a if h < limit]
+        bare += not own
+        assert r.c == (1.0 if own else None)
+        both = sorted(set(r.a) | set(r.b))
+        assert r.m == ([h for h in both if h < limit] or both[:1])
+    assert 10 < bare < len(rows) - 10
