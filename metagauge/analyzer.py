@@ -47,17 +47,17 @@ class TableAnalyzer:
         self._store = ManifestStore(spark, manifest_store) if manifest_store else manifests
         self._kept = Kept()
         if metadata_path:
-            documents = catalog.documents_at(spark, metadata_path, self._kept)
-            name = F.col("table_name")
+            documents = catalog.newest_at(spark, metadata_path)
         elif warehouse:
             if table_name:
                 database, table_name = catalog.split_name(table_name, database)
-            documents = catalog.warehouse_documents(spark, warehouse, database, table_name or "*")
-            name = metadata.qualified_name_of("metadata_location")
+            documents = catalog.newest_in(spark, warehouse, database, table_name or "*")
         else:
             raise ValueError("a metadata path or a warehouse is needed")
-        # Tables, snapshots and errors all read the parsed documents.
-        self._parsed = metadata.parse_documents(documents, name).persist()
+        read = self._kept.stored(metadata.read_tables(documents, strict))
+        # Tables, snapshots and errors all read what was parsed.
+        self._parsed = self._kept.cached(metadata.parse_tables(read))
+        self._parsed_snapshots = self._kept.cached(metadata.parse_snapshots(read))
 
     @classmethod
     def of_relations(cls, spark: SparkSession, relations: dict[str, DataFrame], strict: bool = True) -> TableAnalyzer:
@@ -80,8 +80,6 @@ class TableAnalyzer:
 
     def release(self) -> None:
         """Drops what is cached and what was stored; the relations can't be used any more."""
-        if self._parsed is not None:
-            self._parsed.unpersist()
         self._kept.release()
 
     # -- relations -----------------------------------------------------------------------------------------------------
@@ -96,7 +94,7 @@ class TableAnalyzer:
         which this starts if nothing has before."""
         if self._parsed is None:  # whoever made the relations has read the files
             return self.spark.createDataFrame([], metadata.ERRORS_SCHEMA)
-        broken = metadata.fleet_errors(self._parsed)
+        broken = metadata.fleet_errors(self._parsed).unionByName(metadata.fleet_errors(self._parsed_snapshots))
         if self.strict:
             return broken
         documents = self.tables.select("table_name", "metadata_location")
@@ -105,7 +103,7 @@ class TableAnalyzer:
 
     @cached_property
     def snapshots(self) -> DataFrame:
-        return metadata.snapshots(self._parsed)
+        return metadata.snapshots(self._parsed_snapshots)
 
     def _manifests(self, snapshots: DataFrame) -> manifests.Read:
         return manifests.manifest_files(snapshots, self._kept, self.strict)
@@ -165,7 +163,9 @@ class TableAnalyzer:
     def references(self) -> DataFrame:
         """Every file that the tables know, ``table_name, file_path``: data, manifests, lists, documents, statistics."""
         own = self._history.rows.select("table_name", F.col("manifest_path").alias("file_path"))
-        return self.entries.select("table_name", "file_path").union(own).union(metadata.metadata_files(self._parsed))
+        lists = self.snapshots.where("manifest_list IS NOT NULL").select("table_name", F.col("manifest_list").alias("file_path"))
+        named = own.union(lists).union(metadata.metadata_files(self._parsed))
+        return self.entries.select("table_name", "file_path").union(named)
 
     @cached_property
     def partitions(self) -> DataFrame:

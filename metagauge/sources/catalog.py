@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import normal_path
-from ..plans.lineage import Kept
-from ..plans.pathscan import scan_paths
-from .metadata import (
-    DOCUMENT_SCHEMA,
-    database_of,
-    metadata_files,
-    parse_documents,
-    read_documents,
-    table_name_of,
-)
+from ..jvm import map_partitions
+from . import storage
+from .metadata import database_of, metadata_files, parse_tables, read_tables, table_name_of
 
 
 def split_name(name: str, database: str = "default") -> tuple[str, str]:
@@ -33,11 +26,44 @@ def list_metadata(spark: SparkSession, warehouse: str, database: str = "*", tabl
 
 
 def metadata_at(spark: SparkSession, pattern: str) -> DataFrame:
-    """Paths of the metadata files that a path or glob names, or that lie in the folders it names."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.metadata.json*").load(pattern)
-    return files.select(F.col("path").alias("metadata_location")).where(
-        F.col("metadata_location").rlike(r"\.metadata\.json(\.gz)?$")
-    )
+    """Paths of the metadata files that a path or glob names, or that lie in the folders it names.
+
+    Tasks list folders, one level of the pattern after the other, so the driver holds no index of files. A path without a
+    wildcard that names a document is taken at its word.
+    """
+    parts = [_paths(spark, p) for p in spark._jvm.org.apache.hadoop.fs.GlobExpander.expand(pattern)]
+    return reduce(DataFrame.union, parts).distinct()
+
+
+_DOCUMENT = r"\.metadata\.json(\.gz)?$"
+
+
+def _paths(spark: SparkSession, pattern: str) -> DataFrame:
+    parts = pattern.rstrip("/").split("/")
+    wild = [i for i, part in enumerate(parts) if re.search(r"[*?\[\]{}\\]", part)]
+    last = len(parts) - 1
+    if not wild and re.search(_DOCUMENT, parts[last]):
+        return spark.range(1).select(F.lit(pattern).alias("metadata_location"))
+    start = wild[0] if wild else last + 1
+    at = spark.range(1).select(F.lit("").alias("table_name"), F.lit("/".join(parts[:start]) or "/").alias("folder"))
+    tasks = spark.sparkContext.defaultParallelism
+
+    def listed(folders: DataFrame) -> DataFrame:
+        return map_partitions(folders.repartition(tasks, "folder"), "FolderPages", storage.LEVEL_SCHEMA)
+
+    files = listed(at).where("NOT is_folder") if not wild else None
+    for i in range(start, last + 1):
+        if i != last and i not in wild:  # only lists what it must
+            at = at.select("table_name", F.concat("folder", F.lit(f"/{parts[i]}")).alias("folder"))
+            continue
+        regex = spark._jvm.org.apache.hadoop.fs.GlobPattern(parts[i]).compiled().pattern()
+        name = F.regexp_extract("file_path", "[^/]*$", 0)
+        matched = listed(at).where(name.rlike(f"^(?:{regex})$"))
+        at = matched.where("is_folder").select("table_name", F.col("file_path").alias("folder"))
+        if i == last:
+            files = matched.where("NOT is_folder").unionByName(listed(at).where("NOT is_folder"))
+    found = files.select(F.col("file_path").alias("metadata_location"))
+    return found.where(F.col("metadata_location").rlike(_DOCUMENT))
 
 
 def newest_metadata(paths: DataFrame) -> DataFrame:
@@ -59,13 +85,21 @@ def newest_metadata(paths: DataFrame) -> DataFrame:
     )
 
 
+def newest_in(spark: SparkSession, warehouse: str, database: str = "*", table: str = "*") -> DataFrame:
+    """``table_name, metadata_location`` of the newest document of each matching table, named ``database.table``."""
+    newest = newest_metadata(list_metadata(spark, warehouse, database, table))
+    return newest.select(F.concat_ws(".", "database", "name").alias("table_name"), "metadata_location")
+
+
 def warehouse_documents(spark: SparkSession, warehouse: str, database: str = "*", table: str = "*") -> DataFrame:
-    """Newest document of each matching table; older versions are never opened."""
-    return _documents(newest_metadata(list_metadata(spark, warehouse, database, table)), Kept())
+    """Newest document of each matching table, without its snapshots; older versions are never opened."""
+    read = read_tables(newest_in(spark, warehouse, database, table), strict=False).where("kind <> 'snapshot'")
+    text = F.when(F.col("kind") == "table", F.col("text")).otherwise(F.lit(""))
+    return read.select("metadata_location", text.alias("document"))
 
 
-def documents_at(spark: SparkSession, pattern: str, kept: Kept | None = None) -> DataFrame:
-    """Newest document of each table among the files a path or glob names, with a ``table_name`` of its own.
+def newest_at(spark: SparkSession, pattern: str) -> DataFrame:
+    """``table_name, metadata_location`` of the newest document of each table among the files a path or glob names.
 
     A table is named after its folder; tables of one name are ``database.table``, or else told apart by their whole folder.
     """
@@ -78,25 +112,7 @@ def documents_at(spark: SparkSession, pattern: str, kept: Kept | None = None) ->
     alone = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c)) == 1
     named = newest.withColumns({"one": alone("name"), "one_qualified": alone("qualified")})
     name = F.when(F.col("one"), F.col("name")).when(F.col("one_qualified"), F.col("qualified")).otherwise(F.col("folder"))
-    return _documents(named.select("metadata_location", name.alias("table_name")), kept or Kept())
-
-
-def _documents(newest: DataFrame, kept: Kept) -> DataFrame:
-    spark = newest.sparkSession
-
-    def read(s: SparkSession, paths: Sequence[str], known: DataFrame) -> DataFrame:
-        documents = read_documents(s, paths)
-        if "table_name" not in known.columns:
-            return documents
-        names = known.select("table_name", normal_path("metadata_location").alias("__path"))
-        keyed = documents.withColumn("__path", normal_path("metadata_location"))
-        return keyed.join(F.broadcast(names), "__path").drop("__path")  # at most a slice of paths
-
-    documents = scan_paths(newest, "metadata_location", read, kept=kept)
-    if documents is not None:
-        return documents
-    named = "table_name STRING, " if "table_name" in newest.columns else ""
-    return spark.createDataFrame([], named + DOCUMENT_SCHEMA)
+    return named.select(name.alias("table_name"), "metadata_location")
 
 
 INVENTORY_SCHEMA = (
@@ -215,8 +231,8 @@ def session_relations(
     ]
     document = newest.first().metadata_location if open_document else None
     if document:
-        named = metadata_files(parse_documents(read_documents(spark, [document])))
-        reached.append(named.select("file_path"))
+        file = spark.createDataFrame([(text, document)], "table_name STRING, metadata_location STRING")
+        reached.append(metadata_files(parse_tables(read_tables(file))).select("file_path"))
     paths = reduce(DataFrame.union, reached).where("file_path IS NOT NULL")
     return {
         "tables": tables.select(

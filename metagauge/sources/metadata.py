@@ -2,64 +2,14 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Sequence
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from ..jvm import map_partitions
+from ..schemas import METADATA_SCHEMA, SNAPSHOT_FIELDS
 
-from ..schemas import METADATA_SCHEMA
-
-DOCUMENT_SCHEMA = "metadata_location STRING, document STRING"
 ERRORS_SCHEMA = "table_name STRING, metadata_location STRING, error STRING"
 
 
-def _raw_path(uri: Column) -> Column:
-    # Spark reports file names URL-encoded; a plus sign in a name is a plus sign.
-    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
-
-
-# Written whole through gzip, but with a name from which no reader can tell.
-_PACKED = ".gz.metadata.json"
-
-
-def literal_path(path: str) -> str:
-    """A path in which no character stands for others."""
-    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
-
-
-def _unpacker():
-    def unpack(batches: Iterator) -> Iterator:
-        import gzip
-
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = []
-            for content in batch.column("content").to_pylist():
-                try:
-                    texts.append(gzip.decompress(content).decode())
-                except (OSError, EOFError, UnicodeDecodeError):
-                    texts.append("")
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(texts)], names=["path", "document"])
-
-    return unpack
-
-
-def read_documents(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Whole metadata files as text, whether compressed or not; a file that can't be unpacked is an empty document."""
-    packed = [literal_path(p) for p in paths if p.endswith(_PACKED)]
-    plain = [literal_path(p) for p in paths if not p.endswith(_PACKED)]
-    parts = []
-    if plain:
-        location = _raw_path(F.col("_metadata.file_path")).alias("metadata_location")
-        parts.append(spark.read.text(plain, wholetext=True).select(location, F.col("value").alias("document")))
-    if packed:
-        files = spark.read.format("binaryFile").load(packed).select("path", "content")
-        unpacked = files.mapInArrow(_unpacker(), "path STRING, document STRING")
-        parts.append(unpacked.select(F.col("path").alias("metadata_location"), "document"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
 def table_name_of(metadata_location: Column | str) -> Column:
     """Name of the directory above ``metadata/``."""
     return F.element_at(F.split(metadata_location, "/"), -3)
@@ -74,20 +24,53 @@ def qualified_name_of(metadata_location: Column | str) -> Column:
     return F.concat_ws(".", database_of(metadata_location), table_name_of(metadata_location))
 
 
+_PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+
+
 def parse_documents(documents: DataFrame, table_name: Column | None = None) -> DataFrame:
     """Documents with their fields under ``m``; a malformed one has ``error`` set to its text and fails no other."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = F.from_json("document", METADATA_SCHEMA + ", `_corrupt` STRING", options)
     name = table_name if table_name is not None else table_name_of("metadata_location")
+    return _parsed(documents.select(name.alias("table_name"), "metadata_location", "document", F.lit(None).alias("lost")))
+
+
+def _parsed(documents: DataFrame) -> DataFrame:
+    parsed = F.from_json("document", METADATA_SCHEMA + ", `_corrupt` STRING", _PERMISSIVE)
     # A generated column: the optimizer would copy a plain parser call into every expression that reads its result.
-    m = documents.select(
-        name.alias("table_name"), "metadata_location", "document", F.explode(F.array(parsed)).alias("m")
-    )
+    m = documents.select("table_name", "metadata_location", "document", "lost", F.explode(F.array(parsed)).alias("m"))
     # Text that is JSON but no table (say, an empty object) names no location.
     broken = F.col("m").isNull() | F.col("m._corrupt").isNotNull() | F.col("m.location").isNull()
-    return m.select(
-        "table_name", "metadata_location", "m", F.when(broken, F.coalesce("document", F.lit(""))).alias("error")
-    )
+    error = F.coalesce("lost", F.when(broken, F.coalesce("document", F.lit(""))))
+    return m.select("table_name", "metadata_location", "m", error.alias("error"))
+
+
+def read_tables(files: DataFrame, strict: bool = True) -> DataFrame:
+    """``table_name, metadata_location, kind, text``: the documents in ``table_name, metadata_location`` rows, compressed or not,
+    each as a row of kind ``table`` without its snapshots and a row of kind ``snapshot`` for each of these, or as one of kind
+    ``error``.
+
+    Tasks read token by token with the session's Hadoop settings and hold one snapshot at a time, and the rows are dealt anew,
+    so that a document of any length is parsed by as many tasks as others. A file that is not there fails if ``strict``.
+    """
+    tasks = files.sparkSession.sparkContext.defaultParallelism
+    owner = F.struct("table_name", "metadata_location").alias("owner")
+    dealt = files.select(F.col("metadata_location").alias("path"), owner).repartition(tasks, "path")
+    kinds = "owner struct<table_name: string, metadata_location: string>, kind STRING, text STRING"
+    return map_partitions(dealt, "TableDocuments", kinds, strict).select("owner.*", "kind", "text").repartition(tasks)
+
+
+def parse_tables(read: DataFrame) -> DataFrame:
+    """As :func:`parse_documents`, of what :func:`read_tables` gives; snapshots are not among the fields."""
+    text = F.when(F.col("kind") == "table", F.col("text")).alias("document")
+    lost = F.when(F.col("kind") == "error", F.col("text")).alias("lost")
+    return _parsed(read.where("kind <> 'snapshot'").select("table_name", "metadata_location", text, lost))
+
+
+def parse_snapshots(read: DataFrame) -> DataFrame:
+    """``table_name, metadata_location, s, error`` of every snapshot; one that is malformed has its text as the error."""
+    parsed = F.from_json("text", SNAPSHOT_FIELDS + ", `_corrupt` STRING", _PERMISSIVE)
+    each = read.where("kind = 'snapshot'").select("table_name", "metadata_location", "text", F.explode(F.array(parsed)).alias("s"))
+    broken = F.col("s").isNull() | F.col("s._corrupt").isNotNull() | F.col("s.snapshot-id").isNull()
+    return each.select("table_name", "metadata_location", "s", F.when(broken, F.col("text")).alias("error"))
 
 
 def metadata_files(parsed: DataFrame) -> DataFrame:
@@ -166,8 +149,9 @@ def _branches() -> Column:
 
 
 def snapshots(parsed: DataFrame) -> DataFrame:
-    """One row per snapshot, the operation taken out of its summary."""
-    s = parsed.where("error IS NULL").select("table_name", F.explode("m.snapshots").alias("s"))
+    """One row per snapshot, the operation taken out of its summary; of parsed documents, or of parsed snapshots."""
+    good = parsed.where("error IS NULL")
+    s = good if "s" in parsed.columns else good.select("table_name", F.explode("m.snapshots").alias("s"))
     summary = F.coalesce(F.col("s.summary"), F.create_map().cast("map<string,string>"))
     return s.select(
         "table_name",

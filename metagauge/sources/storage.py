@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..jvm import map_partitions
 from ..plans.lineage import Kept
 
-_LEVEL_SCHEMA = "table_name STRING, file_path STRING, is_folder BOOLEAN, length BIGINT, modified TIMESTAMP"
+LEVEL_SCHEMA = "table_name STRING, file_path STRING, is_folder BOOLEAN, length BIGINT, modified TIMESTAMP"
 
 
 def storage_listing(
@@ -34,7 +34,7 @@ def fleet_listing(locations: DataFrame, kept: Kept | None = None) -> DataFrame:
     folders = at.select("table_name", F.rtrim(F.col("location"), F.lit("/")).alias("folder"))
     files = None
     while True:
-        level = kept.stored(map_partitions(folders.repartition(tasks, "folder"), "FolderPages", _LEVEL_SCHEMA))
+        level = kept.stored(map_partitions(folders.repartition(tasks, "folder"), "FolderPages", LEVEL_SCHEMA))
         found = level.where("NOT is_folder").drop("is_folder")
         files = found if files is None else files.unionByName(found)
         folders = level.where("is_folder").select("table_name", F.col("file_path").alias("folder"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from metagauge import TableAnalyzer
 from metagauge.functions import partition_label
 from metagauge.operators import partitions as partition_ops
-from metagauge.plans import pathscan
+from metagauge.plans.lineage import Kept
 from metagauge.sources import catalog, manifests, metadata, storage
 
 
@@ -377,14 +377,52 @@ def test_a_source_is_needed(spark):
         TableAnalyzer(spark)
 
 
-def test_long_path_lists_are_scanned_in_slices(spark, trees):
-    newest = catalog.newest_metadata(catalog.list_metadata(spark, str(trees)))
-    scan = lambda s, paths, known: metadata.read_documents(s, paths)
-    whole = pathscan.scan_paths(newest, "metadata_location", scan)
-    sliced = pathscan.scan_paths(newest, "metadata_location", scan, max_paths=3)
-    assert pathscan.scan_paths(newest.limit(0), "metadata_location", scan) is None
-    assert sliced.columns == whole.columns
-    assert rows(sliced, "metadata_location") == rows(whole, "metadata_location")
+def test_patterns_are_listed_level_by_level(spark, trees):
+    def found(pattern):
+        return {r[0].split("/sales/")[-1] for r in catalog.metadata_at(spark, f"{trees}/{pattern}").collect()}
+
+    v2 = {f"v2_mor/metadata/v{v}.metadata.json" for v in (1, 2, 10)}
+    assert found("sales/v2_mor/metadata") == found("sales/v2_mor/metadata/") == found("sales/v2*/metadata/*.json") == v2
+    assert found("sales/{v2_mor,empty}/metadata") == v2 | {"empty/metadata/v1.metadata.json"}
+    assert found("s[a-b]les/*/metadata/v[12].metadata.json") == {
+        "v2_mor/metadata/v1.metadata.json",
+        "v2_mor/metadata/v2.metadata.json",
+        "v1_plain/metadata/v1.metadata.json",
+        "empty/metadata/v1.metadata.json",
+    }
+    assert found("sales/v2_mor/metadata/v1.metadata.json") == {"v2_mor/metadata/v1.metadata.json"}
+    assert found("no/*/metadata") == found("sales/v2_mor/data") == set()
+
+
+def test_a_long_document_is_parsed_by_several_tasks(spark, tmp_path):
+    t = _plain(spark, tmp_path, "a", "long")
+    path = tmp_path / "a/long/metadata" / t.metadata(1).rsplit("/", 1)[1]
+    document = json.loads(path.read_text())
+    first = document["snapshots"][0]
+    many = [first | {"snapshot-id": i, "timestamp-ms": i, "parent-snapshot-id": i - 1} for i in range(1, 5001)]
+    text = json.dumps(document | {"snapshots": many, "snapshot-log": [{"timestamp-ms": 1, "snapshot-id": 1}]})
+    path.write_text(text)
+    own = TableAnalyzer(spark, str(path))
+    s = own.snapshots
+    assert s.count() == 5000 and s.where("parent_id = snapshot_id - 1 AND operation = 'append'").count() == 5000
+    assert s.select(F.spark_partition_id()).distinct().count() > 1
+    assert rows(own.tables, "current_snapshot_id", "format_version") == [(1, 2)]
+    own.release()
+
+    bad = {"cut": text[: len(text) // 2], "list": "[1, 2]", "none": "", "more": text + "}", "other": "{}"}
+    for name, content in bad.items():
+        (tmp_path / f"a/{name}/metadata").mkdir(parents=True)
+        (tmp_path / f"a/{name}/metadata/v1.metadata.json").write_text(content)
+    odd = document | {"snapshots": [first, first | {"snapshot-id": "x"}]}
+    (tmp_path / "a/odd/metadata").mkdir(parents=True)
+    (tmp_path / "a/odd/metadata/v1.metadata.json").write_text(json.dumps(odd))
+    fleet = TableAnalyzer(spark, warehouse=str(tmp_path), database="a", strict=False)
+    assert {r.table_name for r in fleet.errors.collect()} == {f"a.{n}" for n in bad} | {"a.odd"}
+    assert rows(fleet.tables, "table_name") == [("a.long",), ("a.odd",)]
+    assert fleet.snapshots.groupBy("table_name").count().where("table_name = 'a.odd'").first()["count"] == 1
+    fleet.release()
+    with pytest.raises(Exception, match="can't be read"):
+        TableAnalyzer(spark, str(tmp_path / "a/gone/metadata/v1.metadata.json"))
 
 
 def test_entries_in_pieces_equal_entries_at_once(spark, tmp_path, monkeypatch):
@@ -474,24 +512,14 @@ def test_entries_are_read_once(spark, mor):
     assert "FileScan parquet" in plan and "Exchange" not in plan
 
 
-def test_paths_are_found_once_and_what_is_stored_is_released(spark, tmp_path):
-    seen = spark.sparkContext.accumulator(0)
-
-    def counted(batches):
-        for batch in batches:
-            seen.add(batch.num_rows)
-            yield batch
-
-    found = spark.range(8).selectExpr("concat('/p', id) path").mapInArrow(counted, "path STRING")
-    for slices in (1, 4):
-        seen.value = 0
-        kept = pathscan.Kept()
-        got = pathscan.scan_paths(found, "path", lambda s, p, known: known, max_paths=16 // slices, kept=kept)
-        assert got.count() == 8 and seen.value == 8
-        folders = [path for _, path in kept._folders]
-        assert folders and all(os.path.isdir(f) for f in folders)
-        kept.release()
-        assert not any(os.path.exists(f) for f in folders)
+def test_what_is_stored_is_released(spark):
+    kept = Kept()
+    stored, cached = kept.stored(spark.range(5)), kept.cached(spark.range(3))
+    assert (stored.count(), cached.count(), cached.is_cached) == (5, 3, True)
+    folders = [path for _, path in kept._folders]
+    assert folders and all(os.path.isdir(f) for f in folders)
+    kept.release()
+    assert not any(os.path.exists(f) for f in folders) and not cached.is_cached
 
 
 def test_no_path_gives_an_empty_relation(spark, trees):
