@@ -6,8 +6,8 @@ and each byte is an index of its own: of codes within r bits of the query's, one
 of them are found by probing each index with the bytes that near. What was found is compared as a whole code, and those within r
 are ranked by their inner products in double precision.
 
-The rotation and r are learned from a sample of at most ``SAMPLE_ROWS`` and about ``SAMPLE_BYTES`` of vectors, those with the
-least hashes: r is the least radius that holds ``RECALL`` of the true neighbours of sampled vectors among the sample. Neighbours
+The rotation and r are learned from a sample of about ``SAMPLE_ROWS`` vectors, or ``SAMPLE_BYTES`` of them, those with the
+least hashes (all, if there are no more): r is the least radius that holds ``RECALL`` of the true neighbours of sampled vectors among the sample. Neighbours
 in the whole table are at least as near. Every vector is in the index, and a query that finds fewer neighbours than it should
 goes through all codes.
 """
@@ -27,7 +27,7 @@ from metagauge.llm.vectors import finite, matrix, widest
 
 BITS = 64
 BYTES = BITS // 8
-#: Bounds of the sample that the codes are learned from, and how many of it are taken as queries.
+#: The size of the sample that the codes are learned from, and how many of it are taken as queries.
 SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_QUERIES = 16_384, 16_000_000, 512
 RECALL = 0.97
 #: Vectors of a part of the index, and of a block of queries that meets it.

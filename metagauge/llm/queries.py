@@ -157,6 +157,12 @@ def _escaped_in_sql(column: str) -> str:
     return out
 
 
+#: crc32 of the decimal id, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(
+                list_prepend(CAST(4294967295 AS BIGINT),
+                             list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                lambda s, b: list_reduce(list_prepend(xor(s, b), [CAST(0 AS BIGINT) for i in range(8)]),
+                                         lambda t, u: xor(t >> 1, (t & 1) * 3988292384))))"""
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
@@ -222,4 +228,44 @@ SQL: dict[str, str] = {
         )
         SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
         FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id""",
+    # Runs are where the same five words stand q words apart again and again; the least q of a stretch is its period.
+    "op11_runs": rf"""
+        WITH given AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_CRC32} AS h FROM documents
+        ), numbered AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a FROM given),
+        docs AS (
+            SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+                THEN [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END] for i in range(n)]
+                ELSE w END AS w
+            FROM numbered
+        ), places AS (
+            SELECT doc_id, n, unnest(range(n - 4)) AS i, unnest([hash(w[j + 1 : j + 5]) for j in range(n - 4)]) AS five
+            FROM docs WHERE n >= 6
+        ), pairs AS (
+            SELECT x.doc_id, x.i, y.i - x.i AS q FROM places x JOIN places y
+                ON x.doc_id = y.doc_id AND x.five = y.five AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+        ), islands AS (
+            SELECT doc_id, q, min(i) AS start, max(i) + 5 + q - min(i) AS length
+            FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs)
+            GROUP BY doc_id, q, island
+        ), runs AS (
+            SELECT doc_id, start, length, min(q) AS period FROM islands WHERE length >= greatest(6, 4 * q)
+            GROUP BY doc_id, start, length
+        ), highest AS (
+            SELECT * FROM runs
+            QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1
+        ), told AS (
+            SELECT doc_id, count(*) AS n_runs,
+                string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines
+            FROM runs GROUP BY doc_id
+        ), dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+        left_over AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept
+            FROM (SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS word FROM docs SEMI JOIN told USING (doc_id))
+                ANTI JOIN dropped USING (doc_id, i)
+            GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+            sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, array_to_string(w, ' '))) AS collapsed_sha256
+        FROM docs LEFT JOIN highest USING (doc_id) LEFT JOIN told USING (doc_id) LEFT JOIN left_over USING (doc_id)""",
 }
