@@ -297,7 +297,7 @@ def test_stages_take_odd_documents(spark, docs, no_docs):
 
 def test_registered_names():
     numbers = [int(n[2:].split("_")[0]) for n in QUERIES]
-    assert sorted(numbers) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert sorted(numbers) == list(range(1, 14)) and set(SQL) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
