@@ -1,26 +1,43 @@
-"""Suffix dedup without a suffix array: passages that stand in several places, found from suffixes at minimisers.
+"""Suffix dedup by a sparse suffix array: passages that stand in several places, found from suffixes at minimisers.
 
 A passage of ``min_words`` words or more that stands twice has the same minimisers in both places, so only the suffixes at
-minimisers are retained, each under a hash of its first words. Suffixes whose hash is unique go. No suffixes are sorted and no
-neighbours compared: every window of ``min_words`` words whose minimiser is a suffix that is left is hashed, and windows are
-grouped by their hashes. Comparing a suffix with its two neighbours alone would lose passages: of three suffixes that begin
-alike, the first and the last may share what precedes them, and the middle one not.
+minimisers are retained. Those whose first ``key_words`` words stand nowhere else go. The others are sorted by their words
+over ranges of about equal size, neighbours are compared, and what each shares with its neighbours gives the right side of
+every match.
+
+Comparing neighbours once would lose passages: of three suffixes that begin alike, the first and the last may share what
+precedes them, and the middle one not. So the suffixes of each run that shares some number of words, and no more, are sorted
+once more by the words before them, from the nearest on, and compared with their new neighbours, which extends the matches to
+the left. Words are compared as they are; a word of more than ``LONG_WORD`` bytes by 128 bits of its SHA-256.
+
+Both sorts end with the place, so no run, however hot, has to fit one range. A run that goes on beyond the borders of a range
+is settled by what the ranges say about their first and last rows, a row a range, which the driver puts in sequence.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from metagauge.llm.tables import order_key, stored, text_digest, whole_row
+from metagauge.llm.tables import order_key, partitions, stored, text_digest, whole_row
 from metagauge.llm.words import NOT_SPACE, hashes, runs, sequence_hashes, spans, steps, text_bytes, with_texts, without
 
 #: Words of a suffix that its key covers.
 KEY_WORDS = 16
+#: Longer words are sorted by a digest.
+LONG_WORD = 32
+#: About how many suffixes one range of a sort holds.
+RANGE_ROWS = 50_000
+_DIGEST = 33
+_END = 0x20
+_NONE = (2**63 - 1, 2**31 - 1)
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
@@ -58,21 +75,21 @@ class _Windows:
         out[has] = sequence_hashes(self.words, self.first[has], self.first[has + 1])
         return out.view(np.int64)
 
-    def suffixes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text and key of the retained suffixes, once for each text, and whether the text has the key in several places."""
+    def retained(self) -> np.ndarray:
+        """The first window of each retained suffix."""
         new = np.ones(len(self.text), bool)
         new[1:] = (self.text[1:] != self.text[:-1]) | (self.chosen[1:] != self.chosen[:-1])
+        return np.flatnonzero(new)
+
+    def suffixes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text and key of the retained suffixes, once for each text, and those of its further places."""
+        new = self.retained()
         text, key = self.text[new], self.suffix[new]
         order = np.lexsort((key, text))
         text, key = text[order], key[order]
         first = np.ones(len(text), bool)
         first[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1])
-        times = np.diff(np.append(np.flatnonzero(first), len(text)))
-        return text[first], key[first].view(np.int64), times > 1
-
-    def hashed(self, picked: np.ndarray) -> np.ndarray:
-        at = self.at[picked]
-        return runs(self.words, at, at + self.min_words).view(np.int64)
+        return text[first], key[first].view(np.int64), text[~first], key[~first].view(np.int64)
 
 
 def _lists(text: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
@@ -81,13 +98,13 @@ def _lists(text: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
 
 
 def _retained(rows: DataFrame, min_words: int, key_words: int) -> DataFrame:
-    """``key, digest, id, n_words, suffixes, own`` of every row; ``own`` are the suffixes that it has in several places."""
+    """``key, digest, id, n_words, suffixes, own`` of every row; ``own`` has a suffix once for each place after its first."""
 
     def retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "text", 1_000_000):
                 w = _Windows(part.column("text"), min_words, key_words)
-                text, key, several = w.suffixes()
+                text, key, again, own = w.suffixes()
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -96,7 +113,7 @@ def _retained(rows: DataFrame, min_words: int, key_words: int) -> DataFrame:
                         pa.array(w.ids()),
                         pa.array(w.count),
                         _lists(text, key, n),
-                        _lists(text[several], key[several], n),
+                        _lists(again, own, n),
                     ],
                     names=["key", "digest", "id", "n_words", "suffixes", "own"],
                 )
@@ -105,56 +122,420 @@ def _retained(rows: DataFrame, min_words: int, key_words: int) -> DataFrame:
     return rows.mapInArrow(retain, schema)
 
 
-def _extended(rows: DataFrame, min_words: int, key_words: int) -> DataFrame:
-    """``window, id, at, again``: every window of the given suffixes of each text; ``again`` if the text has it before."""
+# --- suffixes as bytes ------------------------------------------------------------------------------------------------------
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = 0
+
+def _within(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of all spans, end to end."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words in the order given, each with an end mark, and the n + 1 borders between them."""
+    size = ends - starts
+    long = np.flatnonzero(size > LONG_WORD)
+    taken = size.copy()
+    taken[long] = _DIGEST
+    borders = np.concatenate([[0], np.cumsum(taken + 1)])
+    out = np.full(borders[-1], _END, np.uint8)
+    taken[long] = 0
+    out[_within(borders[:-1], taken)] = data[_within(starts, taken)]
+    for i in long.tolist():  # no word has a tab
+        digest = sha256(data[starts[i] : ends[i]].tobytes()).hexdigest()[: _DIGEST - 1]
+        out[borders[i] : borders[i] + _DIGEST] = np.frombuffer(f"\t{digest}".encode(), np.uint8)
+    return out, borders
+
+
+def _slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    size = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    flat = data[_within(starts, size)]
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
+
+def _flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column end to end and the n + 1 borders."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, offsets, data = column.buffers()
+    borders = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    flat = np.frombuffer(data, np.uint8)[borders[0] : borders[-1]] if data is not None else np.zeros(0, np.uint8)
+    return flat, borders - borders[0]
+
+
+def _common(column: pa.Array | pa.ChunkedArray, together: int = 2_000) -> np.ndarray:
+    """How many words each value begins with that the one before begins with too; 0 for the first."""
+    data, borders = _flat(column)
+    size = np.diff(borders)
+    out = np.zeros(len(size), np.int64)
+    for a in range(0, len(size) - 1, together):
+        b = min(a + together + 1, len(size))
+        grid = np.zeros((b - a, max(1, size[a:b].max())), np.uint8)
+        grid[np.repeat(np.arange(b - a), size[a:b]), _within(np.zeros(b - a, np.int64), size[a:b])] = data[borders[a] : borders[b]]
+        other = grid[1:] != grid[:-1]
+        differ = np.where(other.any(1), other.argmax(1), grid.shape[1])
+        out[a + 1 : b] = ((grid[1:] == _END) & (np.arange(grid.shape[1]) < differ[:, None])).sum(1)
+    return out
+
+
+def _shared(a: bytes, b: bytes) -> int:
+    return int(_common(pa.array([a, b], pa.binary()))[1])
+
+
+def _contexts(rows: DataFrame, min_words: int, key_words: int) -> DataFrame:
+    """``right, left, n_left, id, at``: the suffixes at the wanted minimisers, as far as a window from there may reach.
+
+    ``right`` holds the words from ``at`` on, ``left`` those before, the nearest first.
+    """
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "text", 1_000_000):
                 w = _Windows(part.column("text"), min_words, key_words)
                 ids = part.column("id").to_numpy()
-                new = ids != np.concatenate([[last], ids[:-1]])  # a row that is repeated comes again at once
-                last = ids[-1]
-                right = (new & (w.ids() == ids))[w.text]
+                right = w.ids() == ids
                 suffixes = part.column("suffixes")
                 at, wanted = suffixes.offsets.to_numpy(), suffixes.flatten().to_numpy().view(np.uint64)
                 at = at - at[0]
-                edge = np.searchsorted(w.text, np.arange(part.num_rows + 1))
+                new = w.retained()
+                text, place, key = w.text[new], w.chosen[new], w.suffix[new]
+                edge = np.searchsorted(text, np.arange(part.num_rows + 1))
+                picked = right[text]
                 for i in range(part.num_rows):
                     own = slice(edge[i], edge[i + 1])
-                    right[own] &= np.isin(w.suffix[own], wanted[at[i] : at[i + 1]])
-                picked = np.flatnonzero(right)
-                if len(picked):
-                    text, hashed = w.text[picked], w.hashed(picked)
-                    order = np.lexsort((hashed, text))
-                    again = np.zeros(len(picked), bool)
-                    again[order[1:]] = (np.diff(hashed[order]) == 0) & (np.diff(text[order]) == 0)
-                    place = (w.at[picked] - w.first[text]).astype(np.int32)
+                    picked[own] &= np.isin(key[own], wanted[at[i] : at[i + 1]])
+                text, place = text[picked], place[picked]
+                if not len(text):
+                    continue
+                data, _ = text_bytes(part.column("text"))
+                onward, onward_at = _spelled(data, w.starts, w.ends)
+                backward, backward_at = _spelled(data, w.starts[::-1], w.ends[::-1])
+                n = len(w.starts)
+                for a in range(0, len(text), 5_000):
+                    t, p = text[a : a + 5_000], place[a : a + 5_000]
+                    last = np.minimum(p + min_words, w.first[t + 1])
+                    n_left = np.minimum(p - w.first[t], min_words - key_words)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(hashed), pa.array(ids[text]), pa.array(place), pa.array(again)],
-                        names=["window", "id", "at", "again"],
+                        [
+                            _slices(onward, onward_at[p], onward_at[last]),
+                            _slices(backward, backward_at[n - p], backward_at[n - p + n_left]),
+                            pa.array(n_left.astype(np.int32)),
+                            pa.array(ids[t]),
+                            pa.array((p - w.first[t]).astype(np.int32)),
+                        ],
+                        names=["right", "left", "n_left", "id", "at"],
                     )
 
-    return rows.mapInArrow(extend, "window long, id long, at int, again boolean")
+    return rows.mapInArrow(spell, "right binary, left binary, n_left int, id long, at int")
+
+
+# --- sorts ------------------------------------------------------------------------------------------------------------------
+
+
+def _sorted(df: DataFrame, count: int, *by: str) -> DataFrame:
+    few = min(partitions(df.sparkSession), -(-count // 1_000))
+    return df.repartitionByRange(max(1, few, -(-count // RANGE_ROWS)), *by).sortWithinPartitions(*by)
 
 
-def _spans(rows: DataFrame, min_words: int) -> DataFrame:
-    """``id, spans`` from ``id, ats``: the words that the windows cover."""
+def _to_borders(share: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """What each row shares with the first and with the last one; ``share`` is with the row before."""
+    head = share.copy()
+    head[0] = most
+    np.minimum.accumulate(head, out=head)
+    tail = np.append(share[1:], most)
+    tail = np.minimum.accumulate(tail[::-1])[::-1]
+    return head, tail
+
+
+def _first_of(n: int, value: dict, kind: pa.DataType) -> pa.Array:
+    return pa.array([value] + [None] * (n - 1), kind)
+
+
+_RIGHT = pa.struct(
+    [
+        ("first", pa.binary()),
+        ("last", pa.binary()),
+        ("through", pa.int32()),
+        ("onward", pa.list_(pa.int32())),
+        ("backward", pa.list_(pa.int32())),
+    ]
+)
+_RIGHT_SQL = "struct<first: binary, last: binary, through: int, onward: array<int>, backward: array<int>>"
+_PLACE = pa.list_(pa.struct([("id", pa.int64()), ("at", pa.int32())]))
+_LEFT = pa.struct(
+    [
+        ("first_run", pa.binary()),
+        ("first", pa.binary()),
+        ("last_run", pa.binary()),
+        ("last", pa.binary()),
+        ("through", pa.int32()),
+        ("heads", _PLACE),
+        ("tails", _PLACE),
+    ]
+)
+_LEFT_SQL = (
+    "struct<first_run: binary, first: binary, last_run: binary, last: binary, through: int, "
+    "heads: array<struct<id: bigint, at: int>>, tails: array<struct<id: bigint, at: int>>>"
+)
+
+
+def _compared_right(suffixes: DataFrame, min_words: int, key_words: int) -> DataFrame:
+    """The sorted suffixes with ``part``, ``lengths``, ``head``, ``tail`` and ``border``.
+
+    ``lengths`` are the numbers of words that the suffix shares with some other of its range, ``head`` and ``tail`` what it
+    shares with the first and last one of the range; the first row has what the range says of itself.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = list(batches)
+        n = sum(b.num_rows for b in given)
+        if not n:
+            return
+        rows = pa.Table.from_batches(given).combine_chunks().to_batches(max_chunksize=n)[0]
+        share = _common(rows.column("right"))
+        head, tail = _to_borders(share, min_words)
+        share[0] = 0
+        shared = np.zeros((n, min_words - key_words + 1), bool)
+        for j, length in enumerate(range(key_words, min_words + 1)):
+            begins = np.flatnonzero(share < length)
+            least = np.minimum.reduceat(np.where(share < length, min_words + 1, share), begins)
+            shared[:, j] = np.repeat(least == length, np.diff(np.append(begins, n)))
+        offsets = np.concatenate([[0], np.cumsum(shared.sum(1))]).astype(np.int32)
+        lengths = (np.nonzero(shared)[1] + key_words).astype(np.int32)
+        border = {
+            "first": rows.column("right")[0].as_py(),
+            "last": rows.column("right")[n - 1].as_py(),
+            "through": int(head[-1]),
+            "onward": np.unique(head[1:]).tolist(),
+            "backward": np.unique(tail[:-1]).tolist(),
+        }
+        part = TaskContext.get().partitionId()
+        more = [
+            pa.array(np.full(n, part, np.int32)),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(lengths)),
+            pa.array(head.astype(np.int32)),
+            pa.array(tail.astype(np.int32)),
+            _first_of(n, border, _RIGHT),
+        ]
+        out = pa.RecordBatch.from_arrays(
+            [*rows.columns, *more], names=[*rows.schema.names, "part", "lengths", "head", "tail", "border"]
+        )
+        yield from (out.slice(a, 10_000) for a in range(0, n, 10_000))
+
+    more = f"part int, lengths array<int>, head int, tail int, border {_RIGHT_SQL}"
+    return suffixes.mapInArrow(compare, f"right binary, left binary, n_left int, id long, at int, {more}")
+
+
+def _lengths_beyond(borders: list[Row], key_words: int) -> dict[int, tuple[list[int], list[int]]]:
+    """By range: the numbers of words that its first row shares with rows before the range, and its last one with rows after."""
+
+    def carried(ranges: list[tuple[int, dict, str, str, str]]) -> dict[int, list[int]]:
+        out, seen, before = {}, set(), None
+        for part, b, near, far, along in ranges:
+            if before is not None:
+                share = _shared(before[far], b[near])
+                inner = set(before[along]) | {min(x, before["through"]) for x in seen}
+                seen = {x for x in {share} | {min(x, share) for x in inner} if x >= key_words}
+            out[part] = sorted(seen)
+            before = b
+        return out
+
+    ranges = sorted((r.part, r.border) for r in borders)
+    before = carried([(p, b, "first", "last", "backward") for p, b in ranges])
+    after = carried([(p, b, "last", "first", "onward") for p, b in reversed(ranges)])
+    return {p: (before[p], after[p]) for p in before}
+
+
+def _runs(compared: DataFrame, beyond: dict[int, tuple[list[int], list[int]]], min_words: int, key_words: int) -> DataFrame:
+    """``run, left, id, at, length``: each suffix once for each run it is in, the suffixes that share ``length`` words."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = np.arange(key_words, min_words + 1)
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            lists = rows.column("lengths")
+            member = np.zeros((rows.num_rows, len(every)), bool)
+            member[np.repeat(np.arange(rows.num_rows), lists.value_lengths().to_numpy()), lists.flatten().to_numpy() - key_words] = True
+            part = rows.column("part").to_numpy()
+            for p in np.unique(part).tolist():
+                own = np.flatnonzero(part == p)
+                for side, lengths in zip(("head", "tail"), beyond[p], strict=True):
+                    near = rows.column(side).to_numpy()[own][:, None]
+                    if lengths:
+                        member[own] |= (near >= every) & np.isin(every, lengths)
+                        member[own] |= (near == every) & (lengths[-1] >= near)
+            member &= rows.column("n_left").to_numpy()[:, None] >= min_words - every
+            row, column = np.nonzero(member)
+            length = every[column]
+            data, borders = _flat(rows.column("right"))
+            marks = np.flatnonzero(data == _END)
+            end = marks[np.searchsorted(marks, borders[row]) + length - 1] + 1 if len(row) else row
+            raw = data.tobytes()
+            for a in range(0, len(row), 10_000):
+                some = slice(a, a + 10_000)
+                edges = zip(borders[row[some]].tolist(), end[some].tolist(), strict=True)
+                names = [sha256(raw[x:y]).digest()[:16] for x, y in edges]
+                taken = pa.array(row[some])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(names, pa.binary()),
+                        *[pc.take(rows.column(c), taken) for c in ("left", "id", "at")],
+                        pa.array(length[some].astype(np.int32)),
+                    ],
+                    names=["run", "left", "id", "at", "length"],
+                )
+
+    needed = compared.select("right", "left", "n_left", "id", "at", "part", "lengths", "head", "tail")
+    return needed.mapInArrow(name, "run binary, left binary, id long, at int, length int")
+
+
+def _compared_left(members: DataFrame, min_words: int, key_words: int) -> DataFrame:
+    """``id, at, length, reach, head, tail, part, border`` of the sorted members of the runs.
+
+    ``reach`` is how many words before it a member shares with an earlier place of its run and range, -1 for none earlier;
+    ``head`` and ``tail`` what it shares with the first and last row of the range. Rows that can't be repeats are left out.
+    """
+    most = min_words - key_words
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = list(batches)
+        n = sum(b.num_rows for b in given)
+        if not n:
+            return
+        rows = pa.Table.from_batches(given).combine_chunks().to_batches(max_chunksize=n)[0]
+        run = _flat(rows.column("run"))[0].reshape(n, 16)
+        share = _common(rows.column("left"))
+        share[1:][(run[1:] != run[:-1]).any(1)] = -1
+        head, tail = _to_borders(share, most)
+        share[0] = -1
+        ids, at = rows.column("id").to_numpy(), rows.column("at").to_numpy()
+        order = np.lexsort((at, ids))
+        new = np.ones(n, bool)
+        new[1:] = (np.diff(ids[order]) != 0) | (np.diff(at[order]) != 0)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(new) - 1
+        by_rank = order[new]
+        reach = np.full(n, -1)
+        for d in range(most + 1):
+            begins = np.flatnonzero(share < d)
+            least = np.minimum.reduceat(rank, begins)
+            reach += rank > np.repeat(least, np.diff(np.append(begins, n)))
+
+        def places(near: np.ndarray, ranks: np.ndarray) -> list[dict]:
+            least = np.minimum.accumulate(ranks)
+            where = by_rank[least[[int((near >= d).sum()) - 1 for d in range(most + 1)]]]
+            return [{"id": i, "at": a} for i, a in zip(ids[where].tolist(), at[where].tolist(), strict=True)]
+
+        left = rows.column("left")
+        border = {
+            "first_run": run[0].tobytes(),
+            "first": left[0].as_py(),
+            "last_run": run[-1].tobytes(),
+            "last": left[n - 1].as_py(),
+            "through": int(head[-1]),
+            "heads": places(head, rank),
+            "tails": places(tail, rank[::-1]),
+        }
+        need = min_words - rows.column("length").to_numpy()
+        may = (reach >= need) | (head >= need) | (tail >= need)
+        may[0] = True
+        kept = np.flatnonzero(may)
+        part = TaskContext.get().partitionId()
+        out = pa.RecordBatch.from_arrays(
+            [
+                *[pc.take(rows.column(c), pa.array(kept)) for c in ("id", "at", "length")],
+                *[pa.array(x[kept].astype(np.int32)) for x in (reach, head, tail)],
+                pa.array(np.full(len(kept), part, np.int32)),
+                _first_of(len(kept), border, _LEFT),
+            ],
+            names=["id", "at", "length", "reach", "head", "tail", "part", "border"],
+        )
+        yield from (out.slice(a, 10_000) for a in range(0, len(kept), 10_000))
+
+    schema = f"id long, at int, length int, reach int, head int, tail int, part int, border {_LEFT_SQL}"
+    return members.mapInArrow(compare, schema)
+
+
+def _earliest_beyond(borders: list[Row], most: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By range: the least place, before the range and after it, of those that share 0, 1, ... words with the row at the
+    border."""
+
+    def carried(ranges: list[tuple[int, dict, str, str, str]]) -> dict[int, list[tuple[int, int]]]:
+        out, before = {}, None
+        least = [_NONE] * (most + 1)
+        for part, b, near, far, places in ranges:
+            if before is not None:
+                same = before[f"{far}_run"] == b[f"{near}_run"]
+                share = _shared(before[far], b[near]) if same else -1
+                least = [
+                    min(tuple(before[places][d]), least[d] if before["through"] >= d else _NONE) if share >= d else _NONE
+                    for d in range(most + 1)
+                ]
+            out[part] = least
+            before = b
+        return out
+
+    ranges = sorted((r.part, r.border) for r in borders)
+    before = carried([(p, b, "first", "last", "tails") for p, b in ranges])
+    after = carried([(p, b, "last", "first", "heads") for p, b in reversed(ranges)])
+    return {p: (np.array(before[p]), np.array(after[p])) for p in before}
+
+
+def _matches(compared: DataFrame, beyond: dict[int, tuple[np.ndarray, np.ndarray]], min_words: int) -> DataFrame:
+    """``id, first, last``: the words of each place that stand earlier as well."""
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            ids, at, length, reach, part = (rows.column(c).to_numpy() for c in ("id", "at", "length", "reach", "part"))
+            reach = reach.copy()
+            for p in np.unique(part).tolist():
+                own = np.flatnonzero(part == p)
+                for side, least in zip(("head", "tail"), beyond[p], strict=True):
+                    near = rows.column(side).to_numpy()[own]
+                    for d, (i, a) in enumerate(least.tolist()):
+                        earlier = (ids[own] > i) | ((ids[own] == i) & (at[own] > a))
+                        reach[own[(near >= d) & earlier]] = np.maximum(reach[own[(near >= d) & earlier]], d)
+            found = np.flatnonzero(reach >= min_words - length)
+            first, last = at[found] - reach[found], at[found] + length[found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[found]), pa.array(first.astype(np.int64)), pa.array(last.astype(np.int64))], names=["id", "first", "last"]
+            )
+
+    needed = compared.select("id", "at", "length", "reach", "head", "tail", "part")
+    return needed.mapInArrow(extend, "id long, first long, last long")
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    """``id, spans`` from ``id, matches``: the words that the matches cover."""
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for ats in batch.column("ats"):
-                at = np.unique(ats.values.to_numpy())
-                gap = np.flatnonzero(np.diff(at) > min_words)
-                first, last = at[np.concatenate([[0], gap + 1])], at[np.concatenate([gap, [len(at) - 1]])] + min_words
-                out.append([{"first": a, "last": b} for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+            for matches in batch.column("matches"):
+                first, last = (matches.values.field(c).to_numpy() for c in ("first", "last"))
+                order = np.argsort(first, kind="stable")
+                first, last = first[order], np.maximum.accumulate(last[order])
+                gap = np.flatnonzero(first[1:] > last[:-1])
+                begin, end = first[np.concatenate([[0], gap + 1])], last[np.concatenate([gap, [len(last) - 1]])]
+                out.append([{"first": a, "last": b} for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, _SPANS)], names=["id", "spans"])
 
     return rows.mapInArrow(cover, "id long, spans array<struct<first: bigint, last: bigint>>")
 
 
+def _found(suffixes: DataFrame, count: int, min_words: int, key_words: int) -> DataFrame:
+    """``id, first, last`` of all matches among about ``count`` suffixes."""
+    right = stored(_compared_right(_sorted(suffixes, count, "right", "left", "id", "at"), min_words, key_words))
+    beyond = _lengths_beyond(right.filter("border is not null").select("part", "border").collect(), key_words)
+    count = right.agg(F.sum(F.size("lengths"))).first()[0] or 0
+    members = _runs(right, beyond, min_words, key_words)
+    left = stored(_compared_left(_sorted(members, count, "run", "left", "id", "at"), min_words, key_words))
+    borders = left.filter("border is not null").select("part", "border").collect()
+    return _matches(left, _earliest_beyond(borders, min_words - key_words), min_words)
+
+
 def find_repeats(docs: DataFrame, min_words: int = 50, key_words: int = KEY_WORDS) -> DataFrame:
     """``key, digest, id, n_words, spans``: of every document the spans of words, counted from 0, that repeat an earlier passage.
 
@@ -178,15 +559,12 @@ def find_repeats(docs: DataFrame, min_words: int = 50, key_words: int = KEY_WORD
     shared = suffixes.groupBy("suffix").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x <> y").select("suffix")
     own = long.select(F.explode("own").alias("suffix"), "id")
     wanted = suffixes.join(shared, "suffix").select("suffix", "id").unionByName(own)
-    wanted = wanted.groupBy("id").agg(F.collect_set("suffix").alias("suffixes")).join(least, "id")
-    windows = stored(_extended(rows.join(wanted, ["key", "digest"]).select("id", "text", "suffixes"), min_words, key_words))
-
-    once = windows.filter("not again").select("window", "id", "at")
-    first = once.groupBy("window").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x <> y")
-    first = stored(first.select("window", F.col("x").alias("keeps")))  # both sides of the join are dealt anew: a hot key is split
-    again = once.join(first, "window").filter("id <> keeps").select("id", "at")
-    again = again.unionByName(windows.filter("again").select("id", "at"))
-    found = _spans(again.groupBy("id").agg(F.collect_set("at").alias("ats")), min_words)
+    wanted = wanted.groupBy("id").agg(F.collect_set("suffix").alias("suffixes"), F.count("*").alias("n")).join(least, "id")
+    wanted = stored(wanted)
+    count = wanted.agg(F.sum("n")).first()[0] or 0
+    chosen = rows.join(wanted.drop("n"), ["key", "digest"]).select("id", "text", "suffixes")
+    matches = _found(_contexts(chosen, min_words, key_words), count, min_words, key_words)
+    found = _spans(matches.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("matches")))
 
     every = retained.select("key", "digest", "id", "n_words").join(found, "id", "left")
     every = every.join(least.select("id", F.col("key").alias("kept")), "id", "left")

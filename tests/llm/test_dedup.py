@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from metagauge.llm import near_dedup as nd
+from metagauge.llm import repeats
 from metagauge.llm.components import components
 from metagauge.llm.queries import QUERIES
 from metagauge.llm.repeats import KEY_WORDS, _Windows, find_repeats, remove_repeats
@@ -192,6 +193,32 @@ def test_what_a_neighbour_alone_would_miss(spark):
     check_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts, 15)
 
 
+@pytest.mark.parametrize("range_rows", [7, 40])
+def test_runs_over_many_ranges(spark, monkeypatch, range_rows):
+    """A hot passage, whole or cut off on either side, between words that differ or are shared in part; long words."""
+    monkeypatch.setattr(repeats, "RANGE_ROWS", range_rows)
+    rnd, passage = random.Random(4), prose(80, 30).split(" ")
+    passage[12] = "x" * 5_000
+    befores, afters = ([prose(900 + 10 * k + i, 9).split(" ") for i in range(4)] for k in range(2))
+    texts = {}
+    for i in range(60):
+        a, b = rnd.choice([0, 0, 0, 5, 9]), rnd.choice([30, 30, 30, 24, 19])
+        before, after = rnd.choice(befores)[rnd.randrange(9) :], rnd.choice(afters)[: rnd.randrange(10)]
+        texts[i] = " ".join([*prose(700 + i, 6).split(" "), *before, *passage[a:b], *after, *prose(800 + i, 6).split(" ")])
+    texts[60] = " ".join(passage * 4)
+    texts[61] = texts[8]
+    texts[62] = "x" * 4_999 + "y " + texts[8]
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    marks = check_repeats(df, texts, 15)
+    assert sum(any(m) for m in marks.values()) > 50 and not all(any(m) for m in marks.values())
+
+
+def test_words_that_two_suffixes_share():
+    values = [b"", b"a b ", b"a b c ", b"a bb c ", b"a bb c ", b"a\x00 ", b"a\x00 \x00 ", b"a\x00 "]
+    for together in (1, 2, 100):
+        assert repeats._common(pa.array(values, pa.binary()), together).tolist() == [0, 0, 2, 1, 3, 0, 1, 1]
+
+
 def test_rows_of_one_id_are_not_paired(spark, monkeypatch):
     texts = [prose(500 + i, 80) for i in range(40)]
     texts += [f"{t} {prose(600 + i, 40)}" for i, t in enumerate(texts[:20])] + [t + " end" for t in texts[20:30]]
