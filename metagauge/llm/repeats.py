@@ -190,16 +190,19 @@ def _contexts(rows: DataFrame, min_words: int, key_words: int) -> DataFrame:
     """
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = 0
         for batch in batches:
             for part in steps(batch, "text", 1_000_000):
                 w = _Windows(part.column("text"), min_words, key_words)
                 ids = part.column("id").to_numpy()
-                right = w.ids() == ids
+                new = ids != np.concatenate([[last], ids[:-1]])  # a row that is repeated comes again at once, if sorted
+                last = ids[-1]
+                right = new & (w.ids() == ids)
                 suffixes = part.column("suffixes")
                 at, wanted = suffixes.offsets.to_numpy(), suffixes.flatten().to_numpy().view(np.uint64)
                 at = at - at[0]
-                new = w.retained()
-                text, place, key = w.text[new], w.chosen[new], w.suffix[new]
+                kept = w.retained()
+                text, place, key = w.text[kept], w.chosen[kept], w.suffix[kept]
                 edge = np.searchsorted(text, np.arange(part.num_rows + 1))
                 picked = right[text]
                 for i in range(part.num_rows):
@@ -214,11 +217,11 @@ def _contexts(rows: DataFrame, min_words: int, key_words: int) -> DataFrame:
                 n = len(w.starts)
                 for a in range(0, len(text), 5_000):
                     t, p = text[a : a + 5_000], place[a : a + 5_000]
-                    last = np.minimum(p + min_words, w.first[t + 1])
+                    end = np.minimum(p + min_words, w.first[t + 1])
                     n_left = np.minimum(p - w.first[t], min_words - key_words)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            _slices(onward, onward_at[p], onward_at[last]),
+                            _slices(onward, onward_at[p], onward_at[end]),
                             _slices(backward, backward_at[n - p], backward_at[n - p + n_left]),
                             pa.array(n_left.astype(np.int32)),
                             pa.array(ids[t]),
@@ -281,8 +284,10 @@ _LEFT_SQL = (
 
 
 def _compared_right(suffixes: DataFrame, min_words: int, key_words: int) -> DataFrame:
-    """The sorted suffixes with ``part``, ``lengths``, ``head``, ``tail`` and ``border``.
+    """The sorted suffixes with ``n_right``, ``copy``, ``part``, ``lengths``, ``head``, ``tail`` and ``border``.
 
+    A suffix is a copy if the one before has the same words on both sides at another place: whatever it shares with others that
+    one shares too, and all its words are a repeat. Copies keep neither words nor lengths.
     ``lengths`` are the numbers of words that the suffix shares with some other of its range, ``head`` and ``tail`` what it
     shares with the first and last one of the range; the first row has what the range says of itself.
     """
@@ -295,12 +300,20 @@ def _compared_right(suffixes: DataFrame, min_words: int, key_words: int) -> Data
         rows = pa.Table.from_batches(given).combine_chunks().to_batches(max_chunksize=n)[0]
         share = _common(rows.column("right"))
         head, tail = _to_borders(share, min_words)
+        data, borders = _flat(rows.column("right"))
+        n_right = np.diff(np.searchsorted(np.flatnonzero(data == _END), borders))
+        ids, at, n_left = (rows.column(c).to_numpy() for c in ("id", "at", "n_left"))
+        copy = np.zeros(n, bool)
+        copy[1:] = (ids[1:] != ids[:-1]) | (at[1:] != at[:-1])
+        for alike, size in ((share, n_right), (_common(rows.column("left")), n_left)):
+            copy[1:] &= (alike[1:] == size[1:]) & (size[1:] == size[:-1])
         share[0] = 0
         shared = np.zeros((n, min_words - key_words + 1), bool)
         for j, length in enumerate(range(key_words, min_words + 1)):
             begins = np.flatnonzero(share < length)
             least = np.minimum.reduceat(np.where(share < length, min_words + 1, share), begins)
             shared[:, j] = np.repeat(least == length, np.diff(np.append(begins, n)))
+        shared[copy] = False
         offsets = np.concatenate([[0], np.cumsum(shared.sum(1))]).astype(np.int32)
         lengths = (np.nonzero(shared)[1] + key_words).astype(np.int32)
         border = {
@@ -311,7 +324,11 @@ def _compared_right(suffixes: DataFrame, min_words: int, key_words: int) -> Data
             "backward": np.unique(tail[:-1]).tolist(),
         }
         part = TaskContext.get().partitionId()
+        kept = pa.array(~copy)
+        words = [pc.if_else(kept, rows.column(c), pa.scalar(None, pa.binary())) for c in ("right", "left")]
         more = [
+            pa.array(n_right.astype(np.int32)),
+            pa.array(copy),
             pa.array(np.full(n, part, np.int32)),
             pa.ListArray.from_arrays(pa.array(offsets), pa.array(lengths)),
             pa.array(head.astype(np.int32)),
@@ -319,11 +336,13 @@ def _compared_right(suffixes: DataFrame, min_words: int, key_words: int) -> Data
             _first_of(n, border, _RIGHT),
         ]
         out = pa.RecordBatch.from_arrays(
-            [*rows.columns, *more], names=[*rows.schema.names, "part", "lengths", "head", "tail", "border"]
+            [*words, *[rows.column(c) for c in ("n_left", "id", "at")], *more],
+            names=["right", "left", "n_left", "id", "at", "n_right", "copy", "part", "lengths", "head", "tail", "border"],
         )
         yield from (out.slice(a, 10_000) for a in range(0, n, 10_000))
+        pa.default_memory_pool().release_unused()
 
-    more = f"part int, lengths array<int>, head int, tail int, border {_RIGHT_SQL}"
+    more = f"n_right int, copy boolean, part int, lengths array<int>, head int, tail int, border {_RIGHT_SQL}"
     return suffixes.mapInArrow(compare, f"right binary, left binary, n_left int, id long, at int, {more}")
 
 
@@ -387,7 +406,7 @@ def _runs(compared: DataFrame, beyond: dict[int, tuple[list[int], list[int]]], m
                     names=["run", "left", "id", "at", "length"],
                 )
 
-    needed = compared.select("right", "left", "n_left", "id", "at", "part", "lengths", "head", "tail")
+    needed = compared.filter("not copy").select("right", "left", "n_left", "id", "at", "part", "lengths", "head", "tail")
     return needed.mapInArrow(name, "run binary, left binary, id long, at int, length int")
 
 
@@ -453,6 +472,7 @@ def _compared_left(members: DataFrame, min_words: int, key_words: int) -> DataFr
             names=["id", "at", "length", "reach", "head", "tail", "part", "border"],
         )
         yield from (out.slice(a, 10_000) for a in range(0, len(kept), 10_000))
+        pa.default_memory_pool().release_unused()
 
     schema = f"id long, at int, length int, reach int, head int, tail int, part int, border {_LEFT_SQL}"
     return members.mapInArrow(compare, schema)
@@ -533,7 +553,9 @@ def _found(suffixes: DataFrame, count: int, min_words: int, key_words: int) -> D
     members = _runs(right, beyond, min_words, key_words)
     left = stored(_compared_left(_sorted(members, count, "run", "left", "id", "at"), min_words, key_words))
     borders = left.filter("border is not null").select("part", "border").collect()
-    return _matches(left, _earliest_beyond(borders, min_words - key_words), min_words)
+    copies = right.filter("copy").filter(F.col("n_left") + F.col("n_right") >= min_words)
+    copies = copies.selectExpr("id", "cast(at - n_left as long) first", "cast(at + n_right as long) last")
+    return _matches(left, _earliest_beyond(borders, min_words - key_words), min_words).unionByName(copies)
 
 
 def find_repeats(docs: DataFrame, min_words: int = 50, key_words: int = KEY_WORDS) -> DataFrame:
