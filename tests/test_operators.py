@@ -18,6 +18,7 @@ from metagauge.operators import snapshots as snapshot_ops
 from metagauge.plans.file_stats import file_stats
 from metagauge.plans.running import running_totals
 from metagauge.plans.top import top_per_group
+from workload import relations as rel
 
 FILES = (
     "table_name STRING, spec_id INT, partition STRUCT<k: STRING>, content INT, record_count BIGINT, "
@@ -458,3 +459,33 @@ def test_a_branch_without_a_number_keeps_the_default(spark):
     branches = "table_name STRING, branches ARRAY<STRUCT<name: STRING, snapshot_id: BIGINT, keep: INT>>"
     tables = spark.createDataFrame([("a", [("main", 3, None), ("dev", 2, 9), ("gone", None, 4)]), ("b", None)], branches)
     assert sorted(tuple(r) for r in ops.branch_heads(tables, 5).collect()) == [("a", 2, 9), ("a", 3, 5)]
+
+
+def test_changes_of_an_order_group_by_order_not_by_month(spark, tmp_path):
+    days = [f"{y}-{m:02}-15" for y in range(1985, 2002) for m in range(1, 13)]  # 204 months, of three spans
+    days += ["1969-12-31", "1970-01-01", "1970-01-31", "1980-08-31", "1980-09-01", "0001-01-01", "9999-12-31", None, None]
+    lines = [(1, i % 7 + 1, "R" if i % 2 else "A", 2.0, 0.25, d) for i, d in enumerate(days)]
+    lines += [(2, 1, "N", 1.0, 1.5, "1975-04-30"), (2, 2, "N", 1.0, 1.5, "1975-05-01"), (2, 6, "N", 1.0, 1.5, "1975-05-31")]
+    lines += [(3, 1, "N", 4.0, 2.0, None)]
+    columns = "l_orderkey BIGINT, l_linenumber INT, l_returnflag STRING, l_quantity DOUBLE, l_extendedprice DOUBLE, d STRING"
+    df = spark.createDataFrame(lines, columns)
+    df.withColumn("l_shipdate", F.col("d").cast("timestamp_ntz")).drop("d").write.parquet(f"{tmp_path}/lineitem.parquet")
+
+    changes = rel.order_changes(spark, str(tmp_path))
+    names = ("added_data_files", "deleted_data_files", "added_records", "bytes", "changed_partition_count")
+    got = {r.l_orderkey: tuple(r[n] for n in names) for r in changes.collect()}
+    one = [x for x in lines if x[0] == 1]
+    months = 204 + 7 - 1 + 1  # 1970-01 twice; no date is one more
+    assert got[1] == (sum(x[1] <= 5 for x in one), sum(x[2] == "R" for x in one), 2 * len(one), 25 * len(one), months)
+    assert got[2][4] == 2 and got[3] == (1, 0, 4, 200, 1)
+    # Of 213 lines two meet in the first step by order and month; by spans of 128 months they are a few rows.
+    plan = changes._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and " AS month" in plan and "bit_or(" in plan
+
+
+def test_lines_are_dealt_out_by_the_size_of_their_file(spark, tmp_path, monkeypatch):
+    spark.range(10_000).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert rel._parts(spark, str(tmp_path), "lineitem") == spark.sparkContext.defaultParallelism
+    size = sum(f.stat().st_size for f in (tmp_path / "lineitem.parquet").glob("*") if f.is_file())
+    monkeypatch.setattr(rel, "_PART_BYTES", 1_000)
+    assert size // 1_000 <= rel._parts(spark, str(tmp_path), "lineitem") <= size // 1_000 + 20
