@@ -3,7 +3,8 @@
 A passage of ``min_words`` words or more that stands twice has the same minimisers in both places, so only the suffixes at
 minimisers are retained. Those whose first ``key_words`` words stand nowhere else go. The others are sorted by their words
 over ranges of about equal size, neighbours are compared, and what each shares with its neighbours gives the right side of
-every match.
+every match. A place with the same words on both sides as an earlier one of its text is a repeat whatever stands elsewhere; it is
+settled where the text is read, and does not enter the sort.
 
 Comparing neighbours once would lose passages: of three suffixes that begin alike, the first and the last may share what
 precedes them, and the middle one not. So the suffixes of each run that shares some number of words, and no more, are sorted
@@ -39,6 +40,7 @@ _DIGEST = 33
 _END = 0x20
 _NONE = (2**63 - 1, 2**31 - 1)
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+_SPANS_SQL = "array<struct<first: bigint, last: bigint>>"
 
 
 class _Windows:
@@ -48,7 +50,7 @@ class _Windows:
         data, borders = text_bytes(column)
         self.starts, self.ends, self.first = spans(data, borders, NOT_SPACE)
         self.words = hashes(data, self.starts, self.ends)
-        self.min_words = min_words
+        self.min_words, self.key_words = min_words, key_words
         self.count = np.diff(self.first)
         n, width = len(self.words), min_words - key_words + 1
         windows = np.maximum(self.count - min_words + 1, 0)
@@ -81,15 +83,37 @@ class _Windows:
         new[1:] = (self.text[1:] != self.text[:-1]) | (self.chosen[1:] != self.chosen[:-1])
         return np.flatnonzero(new)
 
-    def suffixes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Text and key of the retained suffixes, once for each text, and those of its further places."""
+    def sides(self, text: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From which word and up to which a window with the suffix at each place may reach."""
+        begin = np.maximum(place - (self.min_words - self.key_words), self.first[text])
+        return begin, np.minimum(place + self.min_words, self.first[text + 1])
+
+    def alike(self, text: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of places of a text, one after the other, that have the same words on both sides, by their hashes."""
+        begin, end = self.sides(text, place)
+        by = place, place - begin, end - place, runs(self.words, begin, end), text
+        order = np.lexsort(by)
+        same = np.ones(max(0, len(order) - 1), bool)
+        for x in by[1:]:
+            same &= x[order[1:]] == x[order[:-1]]
+        return order[:-1][same], order[1:][same]
+
+    def suffixes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text and key of the retained suffixes, once for each text; the same of those with several places there; and by text
+        how many of these places differ in the words on some side."""
         new = self.retained()
-        text, key = self.text[new], self.suffix[new]
+        text, key, place = self.text[new], self.suffix[new], self.chosen[new]
         order = np.lexsort((key, text))
-        text, key = text[order], key[order]
+        text, key, place = text[order], key[order], place[order]
         first = np.ones(len(text), bool)
         first[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1])
-        return text[first], key[first].view(np.int64), text[~first], key[~first].view(np.int64)
+        begins = np.flatnonzero(first)
+        size = np.diff(np.append(begins, len(text)))
+        several, own = begins[size > 1], np.repeat(size > 1, size)
+        differing = np.bincount(text[own], minlength=len(self.count))
+        if own.any():
+            differing -= np.bincount(text[own][self.alike(text[own], place[own])[1]], minlength=len(self.count))
+        return text[first], key[first].view(np.int64), text[several], key[several].view(np.int64), differing
 
 
 def _lists(text: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
@@ -98,13 +122,14 @@ def _lists(text: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
 
 
 def _retained(rows: DataFrame, min_words: int, key_words: int) -> DataFrame:
-    """``key, digest, id, n_words, suffixes, own`` of every row; ``own`` has a suffix once for each place after its first."""
+    """``key, digest, id, n_words, suffixes, own, n_own`` of every row; ``own`` has the suffixes with several places in the text,
+    ``n_own`` is how many of these places are to be sorted."""
 
     def retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "text", 1_000_000):
                 w = _Windows(part.column("text"), min_words, key_words)
-                text, key, again, own = w.suffixes()
+                text, key, again, own, n_own = w.suffixes()
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -114,11 +139,12 @@ def _retained(rows: DataFrame, min_words: int, key_words: int) -> DataFrame:
                         pa.array(w.count),
                         _lists(text, key, n),
                         _lists(again, own, n),
+                        pa.array(n_own),
                     ],
-                    names=["key", "digest", "id", "n_words", "suffixes", "own"],
+                    names=["key", "digest", "id", "n_words", "suffixes", "own", "n_own"],
                 )
 
-    schema = "key long, digest long, id long, n_words long, suffixes array<long>, own array<long>"
+    schema = "key long, digest long, id long, n_words long, suffixes array<long>, own array<long>, n_own long"
     return rows.mapInArrow(retain, schema)
 
 
@@ -183,10 +209,40 @@ def _shared(a: bytes, b: bytes) -> int:
     return int(_common(pa.array([a, b], pa.binary()))[1])
 
 
+def _again(w: _Windows, text: np.ndarray, place: np.ndarray, data: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """Which places have the same words on both sides as an earlier one of their text; ``data`` are the words end to end."""
+    begin, end = w.sides(text, place)
+    out = np.zeros(len(place), bool)
+    one, other = w.alike(text, place)
+    for a in range(0, len(one), 5_000):
+        x, y = one[a : a + 5_000], other[a : a + 5_000]
+        size = borders[end[y]] - borders[begin[y]]
+        fits = size == borders[end[x]] - borders[begin[x]]
+        x, y, size = x[fits], y[fits], size[fits]
+        if len(x):
+            differ = data[_within(borders[begin[x]], size)] != data[_within(borders[begin[y]], size)]
+            out[y] = ~np.logical_or.reduceat(differ, np.cumsum(size) - size)
+    return out
+
+
+def _covered(text: np.ndarray, first: np.ndarray, last: np.ndarray, n: int) -> pa.Array:
+    """A list for each of ``n`` texts: the words that the spans cover, which are in order of their texts, borders and ends."""
+    if not len(text):
+        return pa.array([[]] * n, _SPANS)
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (first[1:] > last[:-1])
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(text)) - 1
+    at = np.searchsorted(text[begin], np.arange(n + 1)).astype(np.int32)
+    covered = pa.StructArray.from_arrays([pa.array(first[begin]), pa.array(last[end])], fields=list(_SPANS.value_type))
+    return pa.ListArray.from_arrays(pa.array(at), covered).cast(_SPANS)
+
+
 def _contexts(rows: DataFrame, min_words: int, key_words: int) -> DataFrame:
-    """``right, left, n_left, id, at``: the suffixes at the wanted minimisers, as far as a window from there may reach.
+    """``right, left, n_left, id, at, again``: the suffixes at the wanted minimisers, as far as a window from there may reach.
 
-    ``right`` holds the words from ``at`` on, ``left`` those before, the nearest first.
+    ``right`` holds the words from ``at`` on, ``left`` those before, the nearest first. Places that have the same words on both
+    sides as an earlier one of the text have no row; their words, all of them repeats, are ``again`` of the text's first row.
     """
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,6 +269,14 @@ def _contexts(rows: DataFrame, min_words: int, key_words: int) -> DataFrame:
                     continue
                 data, _ = text_bytes(part.column("text"))
                 onward, onward_at = _spelled(data, w.starts, w.ends)
+                twice = _again(w, text, place, onward, onward_at)
+                begin, end = (x - w.first[text] for x in w.sides(text, place))
+                whole = twice & (end - begin >= min_words)
+                again = _covered(text[whole], begin[whole], end[whole], part.num_rows)
+                text, place = text[~twice], place[~twice]
+                opens = np.ones(len(text), bool)
+                opens[1:] = text[1:] != text[:-1]
+                again = pc.take(again, pa.array(text, mask=~opens))
                 backward, backward_at = _spelled(data, w.starts[::-1], w.ends[::-1])
                 n = len(w.starts)
                 for a in range(0, len(text), 5_000):
@@ -226,11 +290,12 @@ def _contexts(rows: DataFrame, min_words: int, key_words: int) -> DataFrame:
                             pa.array(n_left.astype(np.int32)),
                             pa.array(ids[t]),
                             pa.array((p - w.first[t]).astype(np.int32)),
+                            again.slice(a, 5_000),
                         ],
-                        names=["right", "left", "n_left", "id", "at"],
+                        names=["right", "left", "n_left", "id", "at", "again"],
                     )
 
-    return rows.mapInArrow(spell, "right binary, left binary, n_left int, id long, at int")
+    return rows.mapInArrow(spell, f"right binary, left binary, n_left int, id long, at int, again {_SPANS_SQL}")
 
 
 # --- sorts ------------------------------------------------------------------------------------------------------------------
@@ -336,14 +401,14 @@ def _compared_right(suffixes: DataFrame, min_words: int, key_words: int) -> Data
             _first_of(n, border, _RIGHT),
         ]
         out = pa.RecordBatch.from_arrays(
-            [*words, *[rows.column(c) for c in ("n_left", "id", "at")], *more],
-            names=["right", "left", "n_left", "id", "at", "n_right", "copy", "part", "lengths", "head", "tail", "border"],
+            [*words, *[rows.column(c) for c in ("n_left", "id", "at", "again")], *more],
+            names=["right", "left", "n_left", "id", "at", "again", "n_right", "copy", "part", "lengths", "head", "tail", "border"],
         )
         yield from (out.slice(a, 10_000) for a in range(0, n, 10_000))
         pa.default_memory_pool().release_unused()
 
     more = f"n_right int, copy boolean, part int, lengths array<int>, head int, tail int, border {_RIGHT_SQL}"
-    return suffixes.mapInArrow(compare, f"right binary, left binary, n_left int, id long, at int, {more}")
+    return suffixes.mapInArrow(compare, f"right binary, left binary, n_left int, id long, at int, again {_SPANS_SQL}, {more}")
 
 
 def _lengths_beyond(borders: list[Row], key_words: int) -> dict[int, tuple[list[int], list[int]]]:
@@ -542,7 +607,7 @@ def _spans(rows: DataFrame) -> DataFrame:
                 out.append([{"first": a, "last": b} for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, _SPANS)], names=["id", "spans"])
 
-    return rows.mapInArrow(cover, "id long, spans array<struct<first: bigint, last: bigint>>")
+    return rows.mapInArrow(cover, f"id long, spans {_SPANS_SQL}")
 
 
 def _found(suffixes: DataFrame, count: int, min_words: int, key_words: int) -> DataFrame:
@@ -555,7 +620,8 @@ def _found(suffixes: DataFrame, count: int, min_words: int, key_words: int) -> D
     borders = left.filter("border is not null").select("part", "border").collect()
     copies = right.filter("copy").filter(F.col("n_left") + F.col("n_right") >= min_words)
     copies = copies.selectExpr("id", "cast(at - n_left as long) first", "cast(at + n_right as long) last")
-    return _matches(left, _earliest_beyond(borders, min_words - key_words), min_words).unionByName(copies)
+    again = right.select("id", F.explode("again").alias("span")).select("id", "span.*")
+    return _matches(left, _earliest_beyond(borders, min_words - key_words), min_words).unionByName(copies).unionByName(again)
 
 
 def find_repeats(docs: DataFrame, min_words: int = 50, key_words: int = KEY_WORDS) -> DataFrame:
@@ -575,13 +641,16 @@ def find_repeats(docs: DataFrame, min_words: int = 50, key_words: int = KEY_WORD
     rows = docs.select(order_key().alias("key"), text_digest().alias("digest"), text)
     retained = stored(_retained(rows, min_words, key_words))
     long = retained.filter("id <> 0")
-    least = stored(long.groupBy("id").agg(F.min(F.struct("key", "digest")).alias("least")).select("id", "least.*"))
+    least = F.min(F.struct("key", "digest", "own", "n_own")).alias("least")
+    least = stored(long.groupBy("id").agg(least).select("id", "least.*"))
 
     suffixes = long.select(F.explode("suffixes").alias("suffix"), "id")
     shared = suffixes.groupBy("suffix").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x <> y").select("suffix")
-    own = long.select(F.explode("own").alias("suffix"), "id")
-    wanted = suffixes.join(shared, "suffix").select("suffix", "id").unionByName(own)
-    wanted = wanted.groupBy("id").agg(F.collect_set("suffix").alias("suffixes"), F.count("*").alias("n")).join(least, "id")
+    found = suffixes.join(shared, "suffix").groupBy("id").agg(F.collect_set("suffix").alias("found"), F.count("*").alias("n"))
+    every = F.array_union("own", F.coalesce("found", F.expr("cast(array() as array<long>)")))
+    count = F.col("n_own") + F.coalesce("n", F.lit(0))
+    wanted = least.join(found, "id", "left").select("id", "key", "digest", every.alias("suffixes"), count.alias("n"))
+    wanted = wanted.filter("size(suffixes) > 0")
     wanted = stored(wanted)
     count = wanted.agg(F.sum("n")).first()[0] or 0
     chosen = rows.join(wanted.drop("n"), ["key", "digest"]).select("id", "text", "suffixes")
@@ -591,7 +660,7 @@ def find_repeats(docs: DataFrame, min_words: int = 50, key_words: int = KEY_WORD
     every = retained.select("key", "digest", "id", "n_words").join(found, "id", "left")
     every = every.join(least.select("id", F.col("key").alias("kept")), "id", "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_words").alias("last")))
-    none = F.expr("cast(array() as array<struct<first: bigint, last: bigint>>)")
+    none = F.expr(f"cast(array() as {_SPANS_SQL})")
     own_spans = F.when(F.col("kept") < F.col("key"), whole).otherwise(F.coalesce("spans", none))
     return every.select("key", "digest", "id", "n_words", own_spans.alias("spans"))
 

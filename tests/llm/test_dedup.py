@@ -213,6 +213,29 @@ def test_runs_over_many_ranges(spark, monkeypatch, range_rows):
     assert sum(any(m) for m in marks.values()) > 50 and not all(any(m) for m in marks.values())
 
 
+def test_places_alike_within_a_text_are_settled_there(spark, monkeypatch):
+    """Words and lines that a text repeats over and over, alone and in several texts, with long words and cut off."""
+    line, passage = prose(90, 7), prose(91, 40)
+    texts = {i: f"{prose(920 + i, 12)} {'Osas ' * (150 + i)}{prose(940 + i, 5)}" for i in range(6)}
+    texts |= {10 + i: f"{prose(960 + i, 9)} {(line + chr(10)) * (20 + i)}" for i in range(4)}
+    texts |= {20: " ".join([passage] * 9), 21: passage + " " + prose(92, 30) + " " + passage, 22: "a b " * 60, 23: "a b " * 60 + "a"}
+    texts |= {24: ("x" * 40 + " y ") * 50, 25: ("x" * 40 + " y ") * 50 + "z", 26: prose(93, 60), 27: "", 28: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    sorted_rows, real = [], repeats._sorted
+
+    def watched(df, count, *by):
+        sorted_rows.append((df.count(), count))
+        return real(df, count, *by)
+
+    monkeypatch.setattr(repeats, "_sorted", watched)
+    for n in (12, 50):
+        sorted_rows.clear()
+        marks = check_repeats(df, texts, n)
+        assert sum(any(m) for m in marks.values()) >= 12
+        # Of some 2,700 words each is a suffix, or each seventh of a line; most are like one before.
+        assert sorted_rows[0][0] < 800 and sorted_rows[0][1] < 1_600
+
+
 def test_words_that_two_suffixes_share():
     values = [b"", b"a b ", b"a b c ", b"a bb c ", b"a bb c ", b"a\x00 ", b"a\x00 \x00 ", b"a\x00 "]
     for together in (1, 2, 100):
