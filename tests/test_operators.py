@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 import statistics
 
 import pandas as pd
@@ -489,3 +490,32 @@ def test_lines_are_dealt_out_by_the_size_of_their_file(spark, tmp_path, monkeypa
     size = sum(f.stat().st_size for f in (tmp_path / "lineitem.parquet").glob("*") if f.is_file())
     monkeypatch.setattr(rel, "_PART_BYTES", 1_000)
     assert size // 1_000 <= rel._parts(spark, str(tmp_path), "lineitem") <= size // 1_000 + 20
+
+
+def test_tasks_of_commits_follow_the_size_of_the_file_not_the_session(spark, tmp_path, monkeypatch):
+    # Order 1 has 2,005 lines of halves in four spans of months, the same months in every task; others have one line.
+    days = ("1965-03-01", "1975-03-01", "1985-03-01", "1999-03-01", "1999-04-01")
+    hot = [(1, i % 7 + 1, "R" if i % 2 else "N", 0.5, 0.01 * i, days[i % 5]) for i in range(2_005)]
+    lines = hot + [(k, 1, "N", 1.0, 2.0, days[k % 5]) for k in range(2, 500)]
+    columns = "l_orderkey BIGINT, l_linenumber INT, l_returnflag STRING, l_quantity DOUBLE, l_extendedprice DOUBLE, d STRING"
+    df = spark.createDataFrame(lines, columns)
+    df.withColumn("l_shipdate", F.col("d").cast("timestamp_ntz")).drop("d").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = spark.range(1, 600).selectExpr(
+        "id AS o_orderkey", "id AS o_custkey", "TIMESTAMP_NTZ '1999-01-01' AS o_orderdate", "'2-HIGH' AS o_orderpriority"
+    )
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(rel, "_PART_BYTES", 500)
+    parts = rel._parts(spark, str(tmp_path), "lineitem")
+    assert parts > 20
+
+    commits = rel.commits(spark, str(tmp_path))
+    dealt = re.findall(r"hashpartitioning\(.*, (\d+)\)", commits._jdf.queryExecution().executedPlan().toString())
+    assert len(dealt) == 3 and {int(n) for n in dealt} == {parts}
+    got = {r.snapshot_id: r.summary for r in commits.collect()}
+    assert len(got) == 599 and got[550] == {}
+    assert got[2]["added-records"] == "1" and got[2]["changed-partition-count"] == "1"
+    one = {"added-records": "1002", "deleted-records": "501", "changed-partition-count": "5", "deleted-data-files": "1002"}
+    assert {k: got[1][k] for k in one} == one
+    # Halves of different spans are added up before they are cut to whole numbers.
+    changes = rel.order_changes(spark, str(tmp_path)).where("l_orderkey = 1").first()
+    assert (changes.added_data_files, changes.bytes) == (sum(x[1] <= 5 for x in hot), sum(range(2_005)))

@@ -21,7 +21,7 @@ _ID_SLICE = 1 << 20
 # Months that the bits of one number stand for.
 _MASK = 64
 # Bytes of a file whose rows one task groups.
-_PART_BYTES = 8 << 20
+_PART_BYTES = 4 << 20
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,8 +81,8 @@ def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each order changes.
 
     Its months are bits of two numbers, so that a row holds 128 of them, from 1970 on. Rows of later and earlier months are
-    added up in a second step. Both steps combine before they shuffle, so an order of any size is fine. Lines are dealt out
-    first: what a task combines is as much as it reads, and an input split of 128 MB may hold 20 million lines.
+    added up in a last step. Lines are dealt out to as many tasks as their file's size asks for, and so are the rows that
+    these tasks combine: what one task holds doesn't grow with the tables, nor with a session's number of shuffle partitions.
     """
     line, flag, quantity = F.col("l_linenumber"), F.col("l_returnflag"), F.col("l_quantity")
     lines = _read(spark, sf_dir, "lineitem").select(
@@ -93,26 +93,34 @@ def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_extendedprice",
         ((F.year("l_shipdate") - 1970) * 12 + F.month("l_shipdate") - 1).alias("month"),
     )
+    parts = _parts(spark, sf_dir, "lineitem")
     # By all columns: neither an order nor a line number of it, however frequent, meets in one task.
-    lines = lines.repartition(_parts(spark, sf_dir, "lineitem"), *lines.columns)
+    deal = F.pmod(F.xxhash64(*lines.columns), F.lit(parts)).alias("deal")
+    lines = lines.select("*", deal).repartition(parts, "l_orderkey", "deal")
     bit = F.expr(f"shiftleft(1L, pmod(month, {_MASK}))")
     late = F.pmod(F.col("month"), F.lit(2 * _MASK)) >= _MASK
-    spans = lines.groupBy("l_orderkey", F.floor(F.col("month") / (2 * _MASK)).alias("span")).agg(
+    dealt = lines.groupBy("l_orderkey", "deal", F.floor(F.col("month") / (2 * _MASK)).alias("span")).agg(
         F.count_if(line <= 5).alias("added_data_files"),
         F.count_if(flag == "R").alias("deleted_data_files"),
         F.count_if(line >= 6).alias("added_delete_files"),
         F.count_if((line >= 6) & (flag == "A")).alias("removed_delete_files"),
-        F.sum(quantity).cast("bigint").alias("added_records"),
-        F.sum(F.when(flag == "R", quantity)).cast("bigint").alias("deleted_records"),
+        F.sum(quantity).alias("added_records"),
+        F.sum(F.when(flag == "R", quantity)).alias("deleted_records"),
         _cents().alias("bytes"),
         F.bit_or(F.when(late, 0).otherwise(bit)).alias("first_months"),
         F.bit_or(F.when(late, bit).otherwise(0)).alias("last_months"),
     )
-    sums = [c for c in spans.columns if c not in ("l_orderkey", "span", "first_months", "last_months")]
+    masks = ("first_months", "last_months")
+    sums = [c for c in dealt.columns if c not in ("l_orderkey", "deal", "span", *masks)]
+    # An order has a row per deal and span at most. Both steps that follow find their rows in the task.
+    spans = dealt.repartition(parts, "l_orderkey").groupBy("l_orderkey", "span").agg(
+        *[F.sum(c).alias(c) for c in sums], *[F.bit_or(c).alias(c) for c in masks]
+    )
     # Lines without a date are a partition too.
     months = F.when(F.col("span").isNull(), 1).otherwise(F.bit_count("first_months") + F.bit_count("last_months"))
+    # Quantities are cut to whole numbers once all are added up.
     return spans.groupBy("l_orderkey").agg(
-        *[F.sum(c).alias(c) for c in sums], F.sum(months).alias("changed_partition_count")
+        *[F.sum(c).cast("bigint").alias(c) for c in sums], F.sum(months).alias("changed_partition_count")
     )
 
 
@@ -124,17 +132,21 @@ def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "delete")
         .otherwise("rewrite")
     )
-    orders = _read(spark, sf_dir, "orders").select(
+    changes = order_changes(spark, sf_dir)
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    # Both sides grow alike, so neither is broadcast; the changes are already partitioned by the key, into as many tasks.
+    orders = orders.repartition(_parts(spark, sf_dir, "lineitem"), "o_orderkey")
+    joined = orders.join(changes.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    # After the join, whose sort then holds the short columns.
+    return joined.select(
         _table("o_custkey").alias("table_name"),
         F.col("o_orderkey").alias("snapshot_id"),
         F.col("o_orderdate").alias("committed_at"),
         F.floor(utc_micros("o_orderdate") / 1000).alias("timestamp_ms"),
         operation.alias("operation"),
         F.concat(F.lit("metadata/snap-"), F.col("o_orderkey"), F.lit(".avro")).alias("manifest_list"),
+        *[c for c in changes.columns if c != "l_orderkey"],
     )
-    changes = order_changes(spark, sf_dir).withColumnRenamed("l_orderkey", "snapshot_id")
-    # Both sides grow alike, so neither is broadcast; the changes are already partitioned by the key.
-    return orders.join(changes.hint("merge"), "snapshot_id", "left")
 
 
 def _summary(keys: tuple[str, ...], columns: tuple[str, ...]) -> Column:
