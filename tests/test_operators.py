@@ -519,3 +519,29 @@ def test_tasks_of_commits_follow_the_size_of_the_file_not_the_session(spark, tmp
     # Halves of different spans are added up before they are cut to whole numbers.
     changes = rel.order_changes(spark, str(tmp_path)).where("l_orderkey = 1").first()
     assert (changes.added_data_files, changes.bytes) == (sum(x[1] <= 5 for x in hot), sum(range(2_005)))
+
+
+def test_tasks_of_commits_follow_the_rows_of_a_file_that_repeats_its_values(spark, tmp_path, monkeypatch):
+    # 12,000 orders of five equal lines: a few bytes each.
+    lines = spark.range(60_000).selectExpr(
+        "id DIV 5 AS l_orderkey", "CAST(id % 5 + 1 AS INT) AS l_linenumber", "'R' AS l_returnflag", "2D AS l_quantity",
+        "0.25D AS l_extendedprice", "TIMESTAMP_NTZ '1999-03-01' AS l_shipdate",
+    )
+    lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = spark.range(12_000).selectExpr(
+        "id AS o_orderkey", "id AS o_custkey", "TIMESTAMP_NTZ '1999-01-01' AS o_orderdate", "'2-HIGH' AS o_orderpriority"
+    )
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(rel, "_PART_ROWS", 1_500, raising=False)
+    assert rel._parts(spark, str(tmp_path), "lineitem") == 40
+    commits = rel.commits(spark, str(tmp_path))
+    dealt = re.findall(r"hashpartitioning\(.*, (\d+)\)", commits._jdf.queryExecution().executedPlan().toString())
+    assert dealt == ["40"] * 3
+    got = commits.selectExpr("summary['added-records'] AS n", "summary['deleted-data-files'] AS d").groupBy("n", "d").count()
+    assert [tuple(r) for r in got.collect()] == [("10", "5", 12_000)]
+
+    # Few tasks group more rows each, up to the most.
+    monkeypatch.setattr(rel, "_FEW_PARTS", 20)
+    assert rel._parts(spark, str(tmp_path), "lineitem") == 20
+    monkeypatch.setattr(rel, "_MOST_ROWS", 2_000)
+    assert rel._parts(spark, str(tmp_path), "lineitem") == 30

@@ -20,8 +20,13 @@ AS_OF = "2001-08-01 00:00:00"
 _ID_SLICE = 1 << 20
 # Months that the bits of one number stand for.
 _MASK = 64
-# Bytes of a file whose rows one task groups.
+# Bytes and rows of a file that one task groups. Rows of a file that repeats its values take few bytes.
 _PART_BYTES = 8 << 20
+_PART_ROWS = 400_000
+# For up to so many tasks Spark writes a shuffle row by row, for more it sorts what a scan's split sends in memory. Before there
+# are more, a task groups up to the most rows.
+_FEW_PARTS = 200
+_MOST_ROWS = 2_000_000
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +34,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, sf_dir: str, name: str) -> int:
-    """How many tasks group the rows of a file: as its size says, and enough to use all cores."""
+    """How many tasks group the rows of a file: as its size and its rows say, and enough to use all cores."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
     size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    return max(spark.sparkContext.defaultParallelism, -(-size // _PART_BYTES))
+    # Tasks read the rows' number from the footers.
+    rows = _read(spark, sf_dir, name).count()
+    wanted = max(-(-size // _PART_BYTES), -(-rows // _PART_ROWS))
+    if wanted > _FEW_PARTS:
+        wanted = max(_FEW_PARTS, -(-rows // _MOST_ROWS))
+    return max(spark.sparkContext.defaultParallelism, wanted)
 
 
 def _table(key: str) -> Column:
@@ -77,13 +87,15 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries(spark, sf_dir).where(F.col("status") != STATUS_DELETED)
 
 
-def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each order changes.
+def order_changes(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """What each order changes, grouped by ``parts`` tasks.
 
     Its months are bits of two numbers, so that a row holds 128 of them, from 1970 on. Rows of later and earlier months are
-    added up in a last step. Lines are dealt out to as many tasks as their file's size asks for, and so are the rows that
-    these tasks combine: what one task holds doesn't grow with the tables, nor with a session's number of shuffle partitions.
+    added up in a last step. Lines are dealt out to as many tasks as their file's size and rows ask for, and so are the rows
+    that these tasks combine: what one task holds is bounded, whatever the tables, a file's layout or a session's number of
+    shuffle partitions.
     """
+    parts = parts or _parts(spark, sf_dir, "lineitem")
     line, flag, quantity = F.col("l_linenumber"), F.col("l_returnflag"), F.col("l_quantity")
     lines = _read(spark, sf_dir, "lineitem").select(
         "l_orderkey",
@@ -93,7 +105,6 @@ def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_extendedprice",
         ((F.year("l_shipdate") - 1970) * 12 + F.month("l_shipdate") - 1).alias("month"),
     )
-    parts = _parts(spark, sf_dir, "lineitem")
     # By all columns: neither an order nor a line number of it, however frequent, meets in one task.
     deal = F.pmod(F.xxhash64(*lines.columns), F.lit(parts)).alias("deal")
     lines = lines.select("*", deal).repartition(parts, "l_orderkey", "deal")
@@ -132,10 +143,11 @@ def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "delete")
         .otherwise("rewrite")
     )
-    changes = order_changes(spark, sf_dir)
+    parts = _parts(spark, sf_dir, "lineitem")
+    changes = order_changes(spark, sf_dir, parts)
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     # Both sides grow alike, so neither is broadcast; the changes are already partitioned by the key, into as many tasks.
-    orders = orders.repartition(_parts(spark, sf_dir, "lineitem"), "o_orderkey")
+    orders = orders.repartition(parts, "o_orderkey")
     joined = orders.join(changes.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     # After the join, whose sort then holds the short columns.
     return joined.select(
